@@ -25,12 +25,41 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_validated(table(spark, sf_dir, "documents"))
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.template_decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.suffix_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetmill.llm.token_counts import token_report
 
     return token_report(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.probminhash import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op9_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows whose crc32 modulo 5 is 0 are held out."""
+    from sheetmill.llm.common import fold
+    from sheetmill.llm.rule_quality import fit, scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(fold(labels["doc_id"], 5) != 0), "quality")
+    out = scores(docs, model)
+    return out.select("doc_id", (fold(out["doc_id"], 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheetmill.llm.wfst_pieces import piece_digest
 
