@@ -81,6 +81,19 @@ SELECT CAST(l_orderkey AS BIGINT) AS table_id, CAST(floor(l_orderkey / 3) AS BIG
        CASE WHEN (l_linenumber + l_orderkey) % 3 = 0 THEN concat(CAST(l_linenumber AS VARCHAR(20)), ' to ', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20))) ELSE concat(CAST(l_linenumber AS VARCHAR(20)), 'mA') END AS max_text,
        'V' AS unit_text, concat('VCC = ', CAST(l_linenumber AS VARCHAR(20)), 'V, 25C') AS condition_text
 FROM {lineitem}""",
+    "fx_queries": "SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM {benchmark}",
+    "fx_table_content": """
+SELECT table_id, document_id, page, symbol, concat(symbol, ' ', min_text, ' ', typ_text, ' ', max_text, ' ', unit_text) AS content, row_no FROM {fx_tables}""",
+    "fx_figures": """
+SELECT CAST(page_id AS BIGINT) AS image_id, CAST(page_id % 40 AS BIGINT) AS document_id, concat('sheet', CAST(page_id % 40 AS VARCHAR(9)), '_ne5532.pdf') AS filename,
+  lower(substring(html, 60, 160)) AS caption,
+  CASE page_id % 4 WHEN 0 THEN 'amplifier op amp' WHEN 1 THEN 'filter' WHEN 2 THEN 'oscillator' ELSE '' END AS types,
+  CASE page_id % 3 WHEN 0 THEN 'r1 c1' WHEN 1 THEN 'u1' ELSE '' END AS parts,
+  CAST((page_id % 17) AS DOUBLE) / 10 AS visual
+FROM {pages}""",
+    "fx_figure_queries": """
+SELECT CAST(item_id AS BIGINT) AS query_id, CASE item_id % 4 WHEN 0 THEN 'ne5532 amplifier' WHEN 1 THEN 'filter r1 the' WHEN 2 THEN 'lang charset title' ELSE 'oscillator u1 5532' END AS query
+FROM {benchmark}""",
     "fx_catalogue": """
 SELECT CAST(event_id AS BIGINT) AS entry, CAST(user_id AS BIGINT) AS document_id, event_type AS status, CAST(value AS DOUBLE) AS progress, ts
 FROM {events}""",

@@ -187,7 +187,7 @@ g AS (SELECT user_id, b, max(al) AS al, count(*) AS n, min(position) AS lo, max(
 h AS (SELECT *, CASE WHEN b - lag(b) OVER (PARTITION BY user_id ORDER BY b) > 288000.0 THEN 1 ELSE 0 END AS nw FROM g),
 i AS (SELECT *, CASE WHEN al <= 5 THEN 0 ELSE sum(nw) OVER (PARTITION BY user_id ORDER BY b) END AS island FROM h),
 c AS (SELECT user_id, island, sum(n) AS n, min(lo) AS lo, max(hi) AS hi, max(al) AS al FROM i GROUP BY user_id, island),
-s AS (SELECT *, max(n) OVER (PARTITION BY user_id) >= 3 AS some FROM c)
+s AS (SELECT *, max(n) OVER (PARTITION BY user_id) >= 3 AS enough FROM c)
 SELECT user_id, CAST(island AS BIGINT) AS island, CAST(n AS BIGINT) AS n, lo, hi FROM s WHERE n >= 3 OR al <= 5
-UNION ALL SELECT user_id, 0, CAST(sum(n) AS BIGINT), min(lo), max(hi) FROM s WHERE NOT some AND al > 5 GROUP BY user_id""",
+UNION ALL SELECT user_id, 0, CAST(sum(n) AS BIGINT), min(lo), max(hi) FROM s WHERE NOT enough AND al > 5 GROUP BY user_id""",
 }
