@@ -94,6 +94,15 @@ FROM {pages}""",
     "fx_figure_queries": """
 SELECT CAST(item_id AS BIGINT) AS query_id, CASE item_id % 4 WHEN 0 THEN 'ne5532 amplifier' WHEN 1 THEN 'filter r1 the' WHEN 2 THEN 'lang charset title' ELSE 'oscillator u1 5532' END AS query
 FROM {benchmark}""",
+    "fx_names": """
+SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE p_partkey % 5 WHEN 0 THEN concat('SN74HC', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0')) WHEN 1 THEN concat('CD4', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0'))
+  WHEN 2 THEN concat('MC74LS', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0')) WHEN 3 THEN p_name ELSE concat('LM', CAST(p_partkey AS VARCHAR(9))) END AS name
+FROM {part} WHERE p_partkey % 10 < 5""",
+    "fx_kb": """
+SELECT chip_id, param_name, max_by(param_value, concat(lpad(CAST(CAST(round(confidence * 1000000) AS BIGINT) AS VARCHAR(20)), 12, '0'), param_id)) AS kb_value FROM {fx_parameters} GROUP BY chip_id, param_name""",
+    "fx_doc_values": """
+SELECT chip_id, param_name, param_value * CASE WHEN param_value < 2 THEN 1.05 ELSE 1.3 END AS doc_value, CAST(NULL AS VARCHAR(9)) AS unit FROM {fx_parameters} WHERE param_id LIKE '%_1'""",
+    "fx_files": "SELECT CAST(o_orderkey AS BIGINT) AS entry, CAST(o_custkey AS BIGINT) AS document_id, concat('file', CAST(o_custkey AS VARCHAR(9)), '.pdf') AS filename, o_orderdate AS upload_time FROM {orders}",
     "fx_catalogue": """
 SELECT CAST(event_id AS BIGINT) AS entry, CAST(user_id AS BIGINT) AS document_id, event_type AS status, CAST(value AS DOUBLE) AS progress, ts
 FROM {events}""",
