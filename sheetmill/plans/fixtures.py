@@ -74,7 +74,7 @@ SELECT concat('chip', lpad(CAST(l_partkey AS VARCHAR(9)), 6, '0')) AS chip_id,
 FROM {lineitem} GROUP BY l_partkey, l_linenumber, l_orderkey % 3""",
     "fx_tables": """
 SELECT CAST(l_orderkey AS BIGINT) AS table_id, CAST(floor(l_orderkey / 3) AS BIGINT) AS document_id, CAST(1 + l_orderkey % 3 AS INTEGER) AS page,
-       CAST(l_linenumber AS INTEGER) AS row_no,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS row_no,
        CASE l_linenumber WHEN 1 THEN 'VOH' WHEN 2 THEN 'VOL' WHEN 3 THEN 'VIH' WHEN 4 THEN 'V_IL' WHEN 5 THEN 'IOH' WHEN 6 THEN 'IOL' ELSE 'VCC' END AS symbol,
        CASE WHEN (l_linenumber + l_orderkey) % 5 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20)) END AS min_text,
        CASE WHEN (l_linenumber + l_orderkey) % 7 = 0 THEN '-' ELSE concat(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR(20)), '.5') END AS typ_text,
