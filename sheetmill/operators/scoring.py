@@ -86,16 +86,23 @@ def dense(df: DataFrame) -> DataFrame:
     return grid.join(df, ["group_id", "device", "param"], "left").withColumn("missing", F.col("weighted_value").isNull())
 
 
-BY_PARAM = Window.partitionBy("group_id", "param")
-BY_DEVICE = Window.partitionBy("group_id", "device")
-BY_GROUP = Window.partitionBy("group_id")
+def by_param():
+    return Window.partitionBy("group_id", "param")
+
+
+def by_device():
+    return Window.partitionBy("group_id", "device")
+
+
+def by_group():
+    return Window.partitionBy("group_id")
 
 
 def min_max(df: DataFrame, parameters: DataFrame | None = None, missing_as_zero: bool = False) -> DataFrame:
     """``df`` with ``norm`` in 0..1; a constant column is 0.5, a missing value 0."""
     p = F.broadcast(parameters or dicts.parameters(df.sparkSession))
     v = F.when(F.col("missing"), F.lit(0.0) if missing_as_zero else None).otherwise(F.col("weighted_value"))
-    d = df.join(p, "param", "left").withColumns({"_v": v, "_lo": F.min(v).over(BY_PARAM), "_hi": F.max(v).over(BY_PARAM)})
+    d = df.join(p, "param", "left").withColumns({"_v": v, "_lo": F.min(v).over(by_param()), "_hi": F.max(v).over(by_param())})
     span = F.col("_hi") - F.col("_lo")
     target = F.coalesce("target", (F.col("_lo") + F.col("_hi")) / 2)
     far = F.greatest(F.abs(F.col("_hi") - target), F.abs(F.col("_lo") - target))
@@ -111,14 +118,14 @@ def min_max(df: DataFrame, parameters: DataFrame | None = None, missing_as_zero:
 
 def merec(df: DataFrame) -> DataFrame:
     """``df`` with ``weight``: how much a group's scores change when the parameter is left out."""
-    lo, hi = F.min("norm").over(BY_PARAM), F.max("norm").over(BY_PARAM)
+    lo, hi = F.min("norm").over(by_param()), F.max("norm").over(by_param())
     d = df.withColumns({"_lo": lo, "_hi": hi})
     r = F.when(F.col("_hi") - F.col("_lo") < 1e-10, 1.0).when(F.col("kind") == "cost", F.col("_lo") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1e-10)).otherwise(F.col("norm") / F.when(F.col("_hi") > 0, F.col("_hi")).otherwise(1.0))
     d = d.withColumn("_r", F.abs(r))
-    d = d.withColumns({"_sum": F.sum("_r").over(BY_DEVICE), "_m": F.count("*").over(BY_DEVICE)})
+    d = d.withColumns({"_sum": F.sum("_r").over(by_device()), "_m": F.count("*").over(by_device())})
     without = F.log(1 + (F.col("_sum") - F.col("_r")) / F.greatest(F.col("_m") - 1, F.lit(1)))
     d = d.withColumn("_effect", F.abs(without - F.log(1 + F.col("_sum") / F.col("_m"))))
-    d = d.withColumns({"_e": F.sum("_effect").over(BY_PARAM), "_all": F.sum("_effect").over(BY_GROUP), "_n": F.count("*").over(BY_PARAM)})
+    d = d.withColumns({"_e": F.sum("_effect").over(by_param()), "_all": F.sum("_effect").over(by_group()), "_n": F.count("*").over(by_param())})
     weight = F.when((F.col("_all") > 1e-10) & (F.col("_n") > 1), F.col("_e") / F.nullif(F.col("_all"), F.lit(0.0))).otherwise(1 / F.col("_m"))
     return d.withColumn("weight", weight).drop("_lo", "_hi", "_r", "_sum", "_m", "_effect", "_e", "_all", "_n")
 
@@ -133,9 +140,9 @@ def device_scores(df: DataFrame) -> DataFrame:
         F.sqrt(F.sum(F.col("weight") * F.pow(F.col("norm") - F.coalesce("esp", F.lit(0.6)), F.lit(2.0)))).alias("distance"),
         F.sum(F.col("weight") * sure).alias("confidence"),
     )
-    score = (0.7 * (1.0 - F.col("distance") / (F.max("distance").over(BY_GROUP) + 1e-10)) + 0.3 * F.col("confidence")) * 100
+    score = (0.7 * (1.0 - F.col("distance") / (F.max("distance").over(by_group()) + 1e-10)) + 0.3 * F.col("confidence")) * 100
     d = d.withColumn("score", score)
-    return d.withColumn("rank", F.row_number().over(BY_GROUP.orderBy(F.desc(F.round("score", 9)), "device")))
+    return d.withColumn("rank", F.row_number().over(by_group().orderBy(F.desc(F.round("score", 9)), "device")))
 
 
 def dimension_scores(df: DataFrame) -> DataFrame:
@@ -148,11 +155,11 @@ def dimension_scores(df: DataFrame) -> DataFrame:
 
 def strengths(df: DataFrame, near: float = 0.05) -> DataFrame:
     """Each device: parameters within ``near`` of the best (4 at most) and worst (3) of the others, in order."""
-    up, down = BY_PARAM.orderBy(F.desc("norm"), "device"), BY_PARAM.orderBy("norm", "device")
+    up, down = by_param().orderBy(F.desc("norm"), "device"), by_param().orderBy("norm", "device")
     d = df.withColumns({"_top": F.row_number().over(up), "_low": F.row_number().over(down)})
     first = lambda col, w: F.max(F.when(F.col(col) == 1, F.col("norm"))).over(w)
     second = lambda col, w: F.max(F.when(F.col(col) == 2, F.col("norm"))).over(w)
-    d = d.withColumns({"_max": F.when(F.col("_top") == 1, second("_top", BY_PARAM)).otherwise(first("_top", BY_PARAM)), "_min": F.when(F.col("_low") == 1, second("_low", BY_PARAM)).otherwise(first("_low", BY_PARAM))})
+    d = d.withColumns({"_max": F.when(F.col("_top") == 1, second("_top", by_param())).otherwise(first("_top", by_param())), "_min": F.when(F.col("_low") == 1, second("_low", by_param())).otherwise(first("_low", by_param()))})
     judged = F.col("kind").isin("benefit", "cost")
     good = judged & (F.col("norm") >= F.col("_max") - near)
     bad = judged & ~(F.col("norm") >= F.col("_max") - near) & (F.col("norm") <= F.col("_min") + near)
@@ -175,7 +182,7 @@ def recommendations(scores: DataFrame) -> DataFrame:
 
 def headlines(scores: DataFrame) -> DataFrame:
     """Each group: winner, lead over the next one, mean confidence."""
-    s = scores.withColumn("lead", F.col("score") - F.lead("score").over(BY_GROUP.orderBy("rank")))
+    s = scores.withColumn("lead", F.col("score") - F.lead("score").over(by_group().orderBy("rank")))
     return s.groupBy("group_id").agg(F.min_by("device", "rank").alias("winner"), F.min_by("lead", "rank").alias("lead"), F.avg("confidence").alias("mean_confidence"))
 
 
@@ -189,7 +196,7 @@ def differences(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def value_ranks(df: DataFrame) -> DataFrame:
-    w = BY_PARAM.orderBy(F.desc_nulls_last("value"), "device")
+    w = by_param().orderBy(F.desc_nulls_last("value"), "device")
     return df.select("group_id", "param", "device", F.row_number().over(w).alias("value_rank"))
 
 
