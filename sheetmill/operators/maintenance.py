@@ -84,3 +84,25 @@ def kept_within_ttl(log: DataFrame, key: str, seconds: int) -> DataFrame:
     first = F.array().cast("array<struct<at:bigint,entry:bigint>>")
     kept = F.aggregate("s", first, lambda a, x: F.when((F.size(a) == 0) | (x["at"] - F.try_element_at(a, F.lit(-1))["at"] >= seconds), F.concat(a, F.array(F.struct(x["at"].alias("at"), x["entry"].alias("entry"))))).otherwise(a))
     return times.select(key, F.inline(kept))
+
+
+def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``query_id, document_id``: devices whose name holds the query, else those whose file name holds a word for it.
+
+    ``keywords(word, english)`` maps words of a query to words of file names.
+    """
+    from sheetmill.operators.retrieval import spread_pairs
+
+    pairs = spread_pairs(queries.select("query_id", F.lower("query").alias("query")), devices.select("document_id", F.lower("filename").alias("filename")))
+    direct = pairs.where(F.contains("filename", F.col("query"))).select("query_id", "document_id")
+    rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti")
+    mapped = rest.join(F.broadcast(keywords), F.contains(F.lower("query"), F.col("word"))).select("query_id", "english").distinct()
+    loose = spread_pairs(mapped, devices.select("document_id", F.lower("filename").alias("filename"))).where(F.contains("filename", F.col("english"))).select("query_id", "document_id").distinct()
+    return direct.unionByName(loose)
+
+
+def index_counts(chunks: DataFrame, postings: DataFrame, tables: DataFrame) -> DataFrame:
+    """Chunks, postings and tables of each document."""
+    n = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
+    out = n(chunks, "chunk_count").join(n(postings, "posting_count"), "document_id", "full_outer").join(n(tables, "table_count"), "document_id", "full_outer")
+    return out.fillna(0, ["chunk_count", "posting_count", "table_count"])
