@@ -3,8 +3,9 @@
 Every vector is scaled to length one, rotated by a fixed random rotation and kept as the signs of
 its components (packed bits) with two scalars: its length and its inner product with its own code.
 From the bits alone the inner product with a query is estimated without bias; its error is bounded,
-with a probability that ``EPSILON`` sets, by a term that the second scalar gives. A candidate is
-compared exactly only if its upper bound reaches the k-th largest lower bound of its block.
+with a probability that ``EPSILON`` sets, by a term that the second scalar gives. The best guesses
+are compared exactly first; of the rest only candidates whose upper bound reaches the k-th best of
+these are.
 
 Queries and candidates meet in blocks: candidates are spread evenly over parts, and each part takes
 the blocks of queries one at a time, so that a task holds one part and one block. Each pair of part
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART, BLOCK, AT_ONCE, EPSILON, SEED = 8_192, 8_192, 256, 3.0, 20_240
+PART, BLOCK, AT_ONCE, EPSILON, SEED = 8_192, 8_192, 128, 3.0, 20_240
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -61,11 +62,12 @@ def estimates(packed: np.ndarray, length: np.ndarray, aligned: np.ndarray, queri
     return (turned @ signs.T) * scale, (EPSILON * norms)[:, None].astype(np.float32) * spread[None, :].astype(np.float32)
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, adding component after component."""
-    out = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        out += a[:, i] * b[:, i]
+def exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``a`` with rows of ``b``, adding component after component."""
+    out = np.zeros(len(rows))
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for i in range(len(x)):
+        out += x[i][rows] * y[i][others]
     return out
 
 
@@ -80,15 +82,21 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, coded: tuple, query_ids: np.n
     guess, error = estimates(*coded, queries)
     own = query_ids[:, None] == ids[None, :]
     guess[own] = -np.inf
-    low, high = guess - error, guess + error
-    n = len(ids)
-    if n > k:
-        floor = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        pick = (high >= floor[:, None]) & ~own
+    n, some = len(ids), 3 * k
+    if n > some:
+        # The k-th best exact score among the best guesses is a floor for all k: below it nothing needs reranking.
+        first = np.argpartition(guess, n - some, axis=1)[:, n - some :]
+        rows = np.repeat(np.arange(len(queries)), some)
+        best = exact(queries, vectors, rows, first.ravel()).reshape(len(queries), some)
+        best[own[rows.reshape(best.shape), first]] = -np.inf
+        floor = np.partition(best, some - k, axis=1)[:, some - k]
+        pick = (guess + error >= floor[:, None] - 1e-4 * np.abs(floor[:, None])) & ~own
+        pick[rows, first.ravel()] = True
+        pick &= ~own
     else:
         pick = ~own
     q, c = np.nonzero(pick)
-    score = np.concatenate([exact(queries[q[i : i + 200_000]], vectors[c[i : i + 200_000]]) for i in range(0, len(q), 200_000)]) if len(q) else np.zeros(0)
+    score = exact(queries, vectors, q, c)
     order = np.lexsort((ids[c], -score, q))
     q, c, score = q[order], c[order], score[order]
     start = np.searchsorted(q, np.arange(len(query_ids)))
