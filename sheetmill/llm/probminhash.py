@@ -8,9 +8,11 @@ probability equal to their probability Jaccard similarity.
 
 Texts that agree in all registers of a band meet in a bucket. All members of a bucket are compared
 with its first one, which splits buckets of copies into few components without listing their pairs.
-Only where a bucket still holds several components are members of different components compared,
-and large ones of these buckets are first split by a second band. The comparison is exact, on the
-shingles of both texts, and a link needs a similarity (probability or plain Jaccard) of ``least``.
+Where a bucket still holds several components, all members of different components are compared,
+whatever the size of the bucket: its members' shingles meet in a task, blocks of ``most`` are compared
+by matrix products, and only links come out. Buckets beyond ``PARTS * most`` are dealt over tasks
+as pairs of parts. The comparison is exact, on the shingles of both texts, and a link needs a
+similarity (probability or plain Jaccard) of ``least``.
 
 Bands of 5 registers, 20 of them: a pair at similarity 0.8 is missed once in about 2,800.
 
@@ -33,6 +35,8 @@ from sheetmill.llm.common import GOLDEN, U64, checkpointed, mix, sized_batches,
 from sheetmill.llm.components import components
 
 WORDS, LEAST, BANDS, ROWS, MOST = 5, 0.8, 20, 5, 256
+#: Blocks of a bucket that one task takes from each side, and columns of one matrix product.
+PARTS, WIDTH = 4, 4096
 
 
 def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +97,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(jaccard, float(total))
 
 
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> bool:
+    """Whether the similarity is at least ``least``; bounds that hold for both measures come first."""
+    shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(shared):
+        return False
+    if len(shared) / (len(a[0]) + len(b[0]) - len(shared)) >= least:
+        return True
+    if not _uneven(a) and not _uneven(b) or np.minimum(a[1][i] / a[1].sum(), b[1][j] / b[1].sum()).sum() < least - 1e-9:
+        return False
+    return similarity(a, b) >= least
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(t, F.octet_length(t)).alias("t"), t.alias("text"))
@@ -145,46 +161,105 @@ def _compared(least: float):
     return run
 
 
+def weights_of(keys: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``t, weights`` of the texts that ``keys(t)`` names."""
+    first = rows.groupBy("t").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(keys.distinct(), "t")
+    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(first, ["t", "doc_id"]).select("t", "text")
+    return checkpointed(texts.mapInArrow(_weighted(words), "t long, weights binary").dropDuplicates(["t"]))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts are similar; ``rows`` has a text for each key, or several equal ones."""
-    ends = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
-    first = rows.groupBy("t").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(ends, "t")
-    texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(first, ["t", "doc_id"]).select("t", "text")
-    weights = checkpointed(texts.mapInArrow(_weighted(words), "t long, weights binary").dropDuplicates(["t"]))
+    weights = weights_of(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), rows, words)
     with_a = pairs.join(weights.select(F.col("t").alias("a"), F.col("weights").alias("wa")), "a")
     with_b = with_a.join(weights.select(F.col("t").alias("b"), F.col("weights").alias("wb")), "b")
     return checkpointed(with_b.mapInArrow(_compared(least), "a long, b long"))
 
 
-def _across(most: int):
-    """Pairs of members of different components of a bucket; a member of each pair is less than the other.
-
-    Rows come in order of bucket. Members are taken in blocks of ``most``; of a component, only the
-    blocks' members that face another component are paired.
+def _uneven(x: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether weights differ; if those of neither set do, both measures are the same."""
+    return bool((x[1] != x[1][0]).any())
+
+
+def overlaps(xs: list, ys: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of sets, the number of shared shingles, and the least share of weight that they hold in either."""
+    common = np.intersect1d(np.concatenate([x[0] for x in xs]), np.concatenate([y[0] for y in ys]))
+    number, in_x, in_y = (np.zeros((len(xs), len(ys)), np.float32) for _ in range(3))
+    if not len(common):
+        return number, in_x
+    sides = []
+    for sets in (xs, ys):
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        hashes, share = np.concatenate([h for h, _ in sets]), np.concatenate([w / w.sum() for _, w in sets]).astype(np.float32)
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        keep = np.flatnonzero(common[at] == hashes)
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        sides.append((owner[keep], at[keep], share[keep]))
+    weighted = any(map(_uneven, xs)) or any(map(_uneven, ys))
+    for start in range(0, len(common), WIDTH):
+        width = min(WIDTH, len(common) - start)
+        ones, shares = [], []
+        for sets, (owner, at, share) in zip((xs, ys), sides, strict=True):
+            low, high = np.searchsorted(at, [start, start + width])
+            one, part = np.zeros((len(sets), width), np.float32), np.zeros((len(sets), width), np.float32)
+            one[owner[low:high], at[low:high] - start] = 1
+            part[owner[low:high], at[low:high] - start] = share[low:high]
+            ones.append(one)
+            shares.append(part)
+        number += ones[0] @ ones[1].T
+        if weighted:
+            in_x += shares[0] @ ones[1].T
+            in_y += ones[0] @ shares[1].T
+    return number, np.minimum(in_x, in_y)
+
+
+def _across(most: int, least: float):
+    """Links between members of different components of a bucket; those that unite what is already one are left out.
+
+    Rows come in order of bucket and pair of its parts. Where the parts differ, members of one are
+    compared with those of the other.
     """
 
-    def pairs(group: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        t, label = (np.array(c, dtype=np.int64) for c in zip(*group, strict=True))
-        for i in range(0, len(t), most):
-            for j in range(i, len(t), most):
-                x, y = np.nonzero(label[i : i + most, None] != label[None, j : j + most])
-                a, b = t[i + x], t[j + y]
-                if i == j:
-                    a, b = a[x < y], b[x < y]
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        group.sort(key=lambda g: (g[0], g[1]))
+        part, t = (np.array([g[k] for g in group], dtype=np.int64) for k in (0, 1))
+        label = np.array([g[2] for g in group], dtype=np.int64)
+        sets = [_loaded(g[3]) for g in group]
+        size, uneven = np.array([len(s[0]) for s in sets]), np.array([_uneven(s) for s in sets])
+        cut = int(np.searchsorted(part, part[0], side="right"))
+        blocks = [np.arange(k, min(k + most, end)) for start, end in ((0, cut), (cut, len(t))) for k in range(start, end, most)]
+        first = sum(b[0] < cut for b in blocks)
+        both = [(i, j) for i in range(first) for j in range(first, len(blocks))] if cut < len(t) else [(i, j) for i in range(first) for j in range(i, first)]
+        for i, j in both:
+            x, y = blocks[i], blocks[j]
+            if (label[x] == label[y[0]]).all() and (label[y] == label[y[0]]).all():
+                continue
+            number, share = overlaps([sets[k] for k in x], [sets[k] for k in y])
+            number = number.astype(float)
+            plain = number / (size[x][:, None] + size[y][None, :] - number) >= least
+            # The shared part of either one's weight bounds probability Jaccard; room for single precision.
+            weighted = (uneven[x][:, None] | uneven[y][None, :]) & (share >= least - 0.001)
+            for p, q in np.argwhere((plain | weighted) & (label[x][:, None] != label[y][None, :])):
+                u, v = x[p], y[q]
+                if label[u] != label[v] and (plain[p, q] or alike(sets[u], sets[v], least)):
+                    label[label == label[v]] = label[u]
+                    yield int(t[u]), int(t[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ends(group: list[tuple]) -> pa.RecordBatch:
+            # Pairs inside a part belong to the pair of the part with itself.
+            alone = key is not None and key[1] != key[2] and len({g[0] for g in group}) < 2
+            found = list(links(group)) if len(group) > 1 and not alone else []
+            return pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         key, group = None, []
         for b in batches:
-            for k, t, label in zip(*(b.column(c).to_pylist() for c in ("key", "t", "label")), strict=True):
-                if k != key:
-                    if len(group) > 1:
-                        yield from pairs(group)
-                    key, group = k, []
-                group.append((t, label))
-        if len(group) > 1:
-            yield from pairs(group)
+            for k, low, high, part, t, label, w in zip(*(b.column(c).to_pylist() for c in ("key", "low", "high", "part", "t", "label", "weights")), strict=True):
+                if (k, low, high) != key:
+                    yield ends(group)
+                    key, group = (k, low, high), []
+                group.append((part, t, label, w))
+        yield ends(group)
 
     return run
 
@@ -201,17 +276,17 @@ def classes(docs: DataFrame, text: str = "text", words: int = WORDS, least: floa
     star = checkpointed(met.where("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b")).distinct())
     links = verified(star, keyed, words, least)
     label = components(links)
-    # Buckets that still hold several components.
+    # Buckets that still hold several components; of those with the same members, one.
     labelled = met.join(label.withColumnRenamed("v", "t"), "t", "left").select("key", "t", "n", F.coalesce("label", "t").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n"), F.min("t").alias("first"), F.bit_xor(F.xxhash64("t")).alias("same")).where("low <> high")
+    mixed = mixed.groupBy("n", "first", "same").agg(F.min("key").alias("key")).select("key")
     open_rows = checkpointed(labelled.join(mixed, "key"))
-    split = open_rows.where(F.col("n") > most).join(texts.select("t", "bands"), "t").select(F.explode("bands").alias("other"), "key", "t", "label").where("other <> key")
-    split = split.select(F.xxhash64("key", "other").alias("key"), "t", "label")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = open_rows.where(F.col("n") <= most).select("key", "t", "label").unionByName(split)
-    more = rest.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_across(most), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = checkpointed(more)
-    label = components(links.union(verified(more, keyed, words, least)))
+    parts = F.ceil(F.col("n") / F.lit(PARTS * most)).cast("int")
+    dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).select("key", "t", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "t", "label").join(weights_of(open_rows.select("t"), keyed, words), "t")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    more = dealt.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_across(most, least), "a long, b long")
+    label = components(links.union(checkpointed(more)))
     joined = texts.select("t", "doc_id").join(label.withColumnRenamed("v", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
     least_id = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return joined.join(least_id, "label").select("t", "class_id"), keyed

@@ -100,6 +100,21 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == df.columns
 
 
+def test_links_of_large_buckets_are_whole(spark):
+    texts = sorted({t for t in chains(7) if t and len(t.split()) > 4})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keys = [set(b) for b in probminhash.bands_of([t for t in texts], 5, 3, 1)]
+    sets = [probminhash.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and keys[a] & keys[b] and probminhash.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    for most in (2, 5, 10_000):
+        assert {r.doc_id: r.class_id for r in probminhash.report(df, bands=3, rows=1, most=most).collect()} == dict(enumerate(label))
+
+
 def test_similarity_of_weighted_sets():
     a = probminhash.shingles("a b c d e f g h i j")
     assert probminhash.similarity(a, a) == pytest.approx(1.0)
