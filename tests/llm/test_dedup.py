@@ -115,6 +115,16 @@ def test_links_of_large_buckets_are_whole(spark):
         assert {r.doc_id: r.class_id for r in probminhash.report(df, bands=3, rows=1, most=most).collect()} == dict(enumerate(label))
 
 
+def test_either_measure_links_texts_with_repeats(spark):
+    words = [f"w{k}" for k in range(100)]
+    phrase = " ".join(["five words said over again"] * 200)
+    texts = [phrase, phrase + " " + " ".join(f"t{k}" for k in range(20)), " ".join(words), " ".join(words + words[:10] * 60)]
+    sets = [probminhash.shingles(t) for t in texts]
+    assert probminhash.similarity(sets[0], sets[1]) > 0.95 and probminhash.similarity(sets[2], sets[3]) > 0.9
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in probminhash.report(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_similarity_of_weighted_sets():
     a = probminhash.shingles("a b c d e f g h i j")
     assert probminhash.similarity(a, a) == pytest.approx(1.0)
