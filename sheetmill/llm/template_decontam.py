@@ -8,13 +8,19 @@ filled consistently: a value of the item always gives the same value of the text
 of the item never become one. A text holds an item if its consistent alignments cover at least
 ``cover`` of the item's words, so re-parameterised questions are found as well as copies.
 
+An item is looked for in three forms, each judged by itself: its template; the same with its first
+word as a name, as that is what a capital letter means inside running text; and its plain words in
+lower case without any placeholder, which finds copies of items that are mostly numbers or names.
+
 Tasks drop windows that no benchmark item has, by a sorted array of the benchmark's window hashes.
 It is broadcast only while it has at most ``MOST_WINDOWS`` entries (32 MB); beyond that all windows
 go to the join.
 
-Defined results: null and empty texts and items of fewer than ``shortest`` words match nothing; an
-item shorter than a window is one window; windows with fewer than half of their words spelled out
-are skipped; rows that repeat give one result row; null ids are reported as null; further columns
+Defined results: null and empty texts and items of fewer than ``shortest`` plain words match nothing; a
+template of fewer than ``shortest`` template words is not looked for, its plain words are; an
+item shorter than a window is one window; template windows with fewer than half of their words spelled
+out are skipped; counts and places are those of the first form that matches, in template words or
+plain ones; rows that repeat give one result row; null ids are reported as null; further columns
 are ignored by ``matches`` and kept by ``without_matches``; empty tables give no matches.
 """
 
@@ -34,6 +40,7 @@ from sheetmill.llm.common import GOLDEN, U64, mix, sized_batches, strings
 
 WINDOW, COVER, SHORTEST, MOST_WINDOWS, KEPT = 8, 0.5, 5, 4_000_000, 400_000
 WORD, NUMBER, UNIT, NAME, STOP = 0, 1, 2, 3, 4
+TEMPLATE, NAMED, PLAIN = 0, 1, 2
 #: Words that are units when they follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal ms s sec secs min mins h hr hrs hz khz mhz ghz kb mb gb tb"
@@ -70,12 +77,15 @@ class Kinds(dict):
 _kinds = Kinds()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each template word: its hash, its kind, and the hash of what filled it."""
+def coded(text: str) -> np.ndarray:
     tokens = _TOKENS.findall(text)
-    code = np.fromiter(map(_kinds.__getitem__, tokens), dtype=U64, count=len(tokens))
+    return np.fromiter(map(_kinds.__getitem__, tokens), dtype=U64, count=len(tokens))
+
+
+def template(code: np.ndarray, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each template word: its hash, its kind, and the hash of what filled it; ``named`` as if words came before."""
     kind = (code & U64(7)).astype(np.int8)
-    before = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
+    before = np.concatenate([[WORD if named else STOP], kind[:-1]]) if len(kind) else kind
     kind = np.where((kind == NAME) & (before == STOP), WORD, kind)
     kind = np.where((kind == UNIT) & (before != NUMBER), WORD, kind)
     keep = kind != STOP
@@ -89,21 +99,35 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(kind == WORD, mix(value), PLACEHOLDER[kind]), kind, value
 
 
+def plain(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of plain words, which have no slots."""
+    value = code[(code & U64(7)) != STOP] & ~U64(7)
+    return mix(value ^ GOLDEN), np.zeros(len(value), np.int8), value
+
+
 def windows(words: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows of ``size`` words, at least half of them spelled out."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U64)
+    # Runs of 1, 2, 4 ... words; a window is put together from them.
     with np.errstate(over="ignore"):
-        out = np.full(n, U64(size))
-        for i in range(size):
-            out = (out ^ (out >> U64(29))) * GOLDEN + words[i : i + n]
+        out, done, run, length = np.full(n, U64(size)), 0, words, 1
+        while done < size:
+            if size & length:
+                out = (out ^ (out >> U64(29))) * GOLDEN + run[done : done + n]
+                done += length
+            if done < size:
+                run = (run[:-length] ^ (run[:-length] >> U64(29))) * GOLDEN + run[length:]
+                length *= 2
+    if not kinds.any():
+        return np.arange(n), mix(out)
     spelled = np.concatenate([[0], np.cumsum(kinds == WORD)])
     at = np.flatnonzero(2 * (spelled[size:] - spelled[:-size]) >= size)
     return at, mix(out[at])
 
 
-ITEM = "hash long, size int, item_id long, item_words int, at int, kinds binary, fills binary"
+ITEM = "hash long, size int, item_id long, form int, item_words int, at int, kinds binary, fills binary"
 
 
 def _item_rows(window: int, shortest: int):
@@ -111,14 +135,18 @@ def _item_rows(window: int, shortest: int):
         for b in batches:
             rows: list[tuple] = []
             for item, t in zip(b.column("item_id").to_pylist(), strings(b.column("text")), strict=True):
-                words, kinds, fills = template(t)
-                size = min(window, len(words))
-                if len(words) < shortest:
-                    continue
-                for at, h in zip(*windows(words, kinds, size), strict=True):
-                    rows.append((int(h.view(np.int64)), size, item, len(words), int(at), kinds[at : at + size].astype("i1").tobytes(), fills[at : at + size].tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                code = coded(t)
+                forms = [(TEMPLATE, template(code)), (PLAIN, plain(code))]
+                if len(code) and code[0] & U64(7) == NAME:
+                    forms.append((NAMED, template(code, named=True)))
+                for form, (words, kinds, fills) in forms:
+                    size = min(window, len(words))
+                    if len(words) < shortest:
+                        continue
+                    for at, h in zip(*windows(words, kinds, size), strict=True):
+                        rows.append((int(h.view(np.int64)), size, item, form, len(words), int(at), kinds[at : at + size].astype("i1").tobytes(), fills[at : at + size].tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in ITEM.split(", ")])
 
     return run
@@ -129,19 +157,25 @@ def _text_rows(sizes: list[int], known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = None if known is None else known.value
+        if have is not None:  # beginnings of known hashes, which most other ones do not share
+            shift = U64(64 - min(24, max(16, len(have).bit_length() + 4)))
+            begins = np.zeros(1 << (64 - int(shift)), bool)
+            begins[have >> shift] = True
         for b in sized_batches(batches, most=4 << 20):
             rows: list[list] = [[] for _ in range(6)]
             for doc, tk, t in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), strings(b.column("text")), strict=True):
-                words, kinds, fills = template(t)
-                for size in sizes:
-                    at, h = windows(words, kinds, size)
-                    if have is not None and len(h):
-                        near = np.minimum(np.searchsorted(have, h), len(have) - 1)
-                        hit = have[near] == h
-                        at, h = at[hit], h[hit]
-                    for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        for c, v in zip(rows, (x, size, doc, tk, p, fills[p : p + size].tobytes()), strict=True):
-                            c.append(v)
+                code = coded(t)
+                for words, kinds, fills in (template(code), plain(code)):
+                    for size in sizes:
+                        at, h = windows(words, kinds, size)
+                        if have is not None and len(h):
+                            maybe = np.flatnonzero(begins[h >> shift])
+                            at, h = at[maybe], h[maybe]
+                            hit = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h
+                            at, h = at[hit], h[hit]
+                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            for c, v in zip(rows, (x, size, doc, tk, p, fills[p : p + size].tobytes()), strict=True):
+                                c.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["hash", "size", "doc_id", "tk", "place", "filled"])
 
@@ -159,7 +193,7 @@ def consistent(pairs: set[tuple[int, int, int]]) -> bool:
 
 
 def _judge(rows: pd.DataFrame) -> pd.DataFrame:
-    """All windows that one text shares with one item."""
+    """All windows that one text shares with one form of an item."""
     covered: set[int] = set()
     changed = 0
     for _, part in rows.groupby("shift"):
@@ -172,10 +206,10 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
             for at, size in zip(part["at"], part["size"], strict=True):
                 covered |= set(range(at, at + size))
     row = rows.iloc[0]
-    return pd.DataFrame({"doc_id": [row["doc_id"]], "item_id": [row["item_id"]], "item_words": [row["item_words"]], "covered": [len(covered)], "slots_changed": [changed], "first_word": [rows["place"].min()]})
+    return pd.DataFrame({"doc_id": [row["doc_id"]], "tk": [row["tk"]], "form": [row["form"]], "item_id": [row["item_id"]], "item_words": [row["item_words"]], "covered": [len(covered)], "slots_changed": [changed], "first_word": [rows["place"].min()]})
 
 
-MATCH = "doc_id long, item_id long, item_words int, covered int, slots_changed int, first_word int"
+MATCH = "doc_id long, tk long, form int, item_id long, item_words int, covered int, slots_changed int, first_word int"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, shortest: int = SHORTEST) -> DataFrame:
@@ -189,8 +223,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(t).alias("tk"), t.alias("text"))
     own = rows.mapInArrow(_text_rows(sizes, known), "hash long, size int, doc_id long, tk long, place int, filled binary")
     both = own.join(items, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("at"))
-    judged = both.groupBy("doc_id", "tk", "item_id").applyInPandas(_judge, MATCH)
-    return judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_words", "covered", "slots_changed")), F.min("first_word").alias("first_word"))
+    judged = both.groupBy("doc_id", "tk", "item_id", "form").applyInPandas(_judge, MATCH)
+    held = judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "tk", "item_id").agg(F.min_by(F.struct("item_words", "covered", "slots_changed", "first_word"), "form").alias("best"))
+    held = held.select("doc_id", "item_id", "best.*")
+    return held.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_words", "covered", "slots_changed")), F.min("first_word").alias("first_word"))
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

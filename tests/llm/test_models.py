@@ -181,3 +181,17 @@ def test_slots(spark):
     assert [(r.doc_id, r.item_id) for r in got if r.doc_id != 6] == [(1, 9)] and all(r.slots_changed > 0 for r in got if r.doc_id == 1)
     assert template_decontam.matches(docs, bench.limit(0)).collect() == []
     assert template_decontam.matches(docs.limit(0), bench).collect() == []
+
+
+def test_verbatim_copies_of_odd_items(spark):
+    items = {
+        1: "Compute 12 + 7 * 3 - 45 / 9 + 8 * 11",
+        2: "The Old Man And The Sea Was Sold Here In May",
+        3: "What is the capital of France?",
+        4: "Which river runs through the old town of Basel",
+    }
+    texts = [f'they asked "{t}" and went on, ' for t in items.values()]
+    docs = spark.createDataFrame([(k, "before it, " + t) for k, t in enumerate(texts, 1)] + [(9, "they asked, What is the capital of Spain?"), (10, "nothing of it here, 12 and 7")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in template_decontam.matches(docs, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (9, 3)}
