@@ -212,24 +212,33 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
 MATCH = "doc_id long, tk long, form int, item_id long, item_words int, covered int, slots_changed int, first_word int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, shortest: int = SHORTEST) -> DataFrame:
-    """``doc_id, item_id`` of texts that hold items, how many of the item's words they cover and how many slots differ."""
+def _text_key(docs: DataFrame):
+    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.xxhash64(t, F.octet_length(t))
+
+
+def held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, shortest: int = SHORTEST) -> DataFrame:
+    """The columns of ``matches`` for each different text (key ``tk``) under an id."""
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).mapInArrow(_item_rows(window, shortest), ITEM)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` of them
     found = [r[0] for r in items.select("hash").distinct().limit(MOST_WINDOWS + 1).collect()]
     known = None if len(found) > MOST_WINDOWS or not found else sc.broadcast(np.sort(np.array(found, np.int64).view(U64)))
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(t).alias("tk"), t.alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("tk"), t.alias("text"))
     own = rows.mapInArrow(_text_rows(sizes, known), "hash long, size int, doc_id long, tk long, place int, filled binary")
     both = own.join(items, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("at"))
     judged = both.groupBy("doc_id", "tk", "item_id", "form").applyInPandas(_judge, MATCH)
-    held = judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "tk", "item_id").agg(F.min_by(F.struct("item_words", "covered", "slots_changed", "first_word"), "form").alias("best"))
-    held = held.select("doc_id", "item_id", "best.*")
-    return held.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_words", "covered", "slots_changed")), F.min("first_word").alias("first_word"))
+    best = judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "tk", "item_id").agg(F.min_by(F.struct("item_words", "covered", "slots_changed", "first_word"), "form").alias("best"))
+    return best.select("doc_id", "tk", "item_id", "best.*")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``doc_id, item_id`` of texts that hold items, how many of the item's words they cover and how many slots differ."""
+    return held(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("item_words", "covered", "slots_changed")), F.min("first_word").alias("first_word"))
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark."""
-    hit = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` that hold no item of the benchmark; other texts under the same id, null or not, stay."""
+    hit = held(docs, benchmark, **options).select(F.col("doc_id").alias("_hit"), F.col("tk").alias("_tk")).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & (_text_key(docs) == F.col("_tk")), "left_anti")

@@ -195,3 +195,11 @@ def test_verbatim_copies_of_odd_items(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in template_decontam.matches(docs, bench).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (9, 3)}
+
+
+def test_clean_texts_under_the_id_of_a_leak_stay(spark):
+    item = "Which river runs through the old town of Basel"
+    rows = [(None, "ask: " + item), (None, "clean"), (5, "ask: " + item), (5, "clean too"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = template_decontam.without_matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, "clean"), (5, "clean too"), (5, None)}
