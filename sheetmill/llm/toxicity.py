@@ -10,10 +10,10 @@ Every hit is looked at in a window of ``WINDOW`` tokens to both sides: quotation
 words of reporting speak for quotation; a second person, exclamation marks and further hits speak
 for abuse. The counts of a text are columns, and a logistic model turns them into a score.
 
-Both the lexicon and the model are learned from a bounded sample of labelled rows (at most about
-``SAMPLE``, chosen by a hash of the id): a word, or all words with a common stem, joins the lexicon
-if it is at least ``RATIO`` times as frequent in toxic rows and occurs in ``LEAST`` of them. The most
-frequent ``MOST_TERMS`` join; their number bounds what is sent to the tasks.
+The lexicon is learned from all labelled rows: a word, or all words with a common stem, joins it if
+it is at least ``RATIO`` times as frequent in toxic rows and occurs in ``LEAST`` of them. Every such
+term joins; this evidence alone bounds what is sent to the tasks. Only the logistic model is fitted
+to a sample (at most about ``SAMPLE`` rows, chosen by a hash of the id).
 
 Defined results: a null text is empty; a text without hits has the score of one without hits, so an
 empty one too; without labels of both kinds the lexicon is the seeds alone and the score is the
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.llm.common import checkpointed, sized_batches, strings
 
-SAMPLE, RATIO, LEAST, MOST_TERMS, WINDOW, THRESHOLD, KEPT = 16_000, 20.0, 6, 500, 8, 0.3, 400_000
+SAMPLE, RATIO, LEAST, WINDOW, THRESHOLD, KEPT = 16_000, 20.0, 6, 8, 0.3, 400_000
 #: Terms that are in the lexicon before anything is learned.
 SEEDS = ("idiot", "moron", "stupid", "pathetic", "worthless", "scum", "loser", "disgusting", "imbecile", "vermin")
 #: Words of reporting, and second persons, in the corpus's languages.
@@ -190,26 +190,29 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "toxic", "other"])
 
 
-def learned_terms(sample: DataFrame, toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems of the sample that mark toxic rows, with their log ratios."""
-    words = checkpointed(sample.select("text", "label").mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+def learned_terms(rows: DataFrame, toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems of labelled rows that mark toxic rows, with their log ratios."""
+    words = checkpointed(rows.select("text", "label").mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
     strong = (F.col("toxic") >= LEAST) & ((F.col("toxic") + 0.5) / (toxic + 1) >= RATIO * (F.col("other") + 0.5) / (other + 1))
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    own = {r["word"]: r for r in words.where(strong).select("word", "toxic", ratio.alias("ratio")).orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()}
+    own = {r["word"]: r for r in words.where(strong).select("word", "toxic", ratio.alias("ratio")).collect()}
     starts = words.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(9)), lambda k: F.struct(k.alias("k"), F.substring("word", F.lit(1), k).alias("start")))).alias("s"), "word", "toxic", "other")
     starts = starts.where(F.length("word") >= F.col("s.k")).groupBy(F.col("s.start").alias("start")).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.sum((F.col("toxic") > 0).cast("int")).alias("words"))
-    begin = starts.where(strong & (F.col("words") >= 4)).select("start", "toxic", ratio.alias("ratio")).orderBy(F.desc("toxic"), "start").limit(4 * MOST_TERMS).collect()
+    begin = starts.where(strong & (F.col("words") >= 4)).select("start", "toxic", ratio.alias("ratio")).collect()
     # The longest stem that still has nearly all that a shorter one has; and of nested ones the shortest such.
     count = {r["start"]: r["toxic"] for r in begin}
+    below: dict[str, list[str]] = {}
+    for x in sorted(count, key=lambda x: (-count[x], x)):
+        below.setdefault(x[:-1], []).append(x)
     stems: dict[str, float] = {}
     for r in sorted(begin, key=lambda r: (len(r["start"]), r["start"])):
         s = r["start"]
-        if any(s.startswith(t) for t in stems):
+        if any(s[:k] in stems for k in range(4, len(s) + 1)):
             continue
-        while longer := [x for x in count if len(x) == len(s) + 1 and x.startswith(s) and count[x] >= 0.95 * count[s]]:
+        while longer := [x for x in below.get(s, []) if count[x] >= 0.95 * count[s]]:
             s = longer[0]
         stems[s] = float(r["ratio"])
-    words_out = {w: float(r["ratio"]) for w, r in own.items() if not any(w.startswith(s) for s in stems)}
+    words_out = {w: float(r["ratio"]) for w, r in own.items() if not any(w[:k] in stems for k in range(4, 10))}
     # A seed or a word that marks toxic rows by itself is met with errors, so it is kept as a word too.
     return {**{s: 3.0 for s in SEEDS}, **words_out}, stems
 
@@ -241,14 +244,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     # At most about ``sample`` rows of two numbers, whatever the number of labels: small enough to send to all.
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "label")
-    ones, rows = own.agg(F.sum((F.col("label") > 0).cast("int")), F.count("*")).first()
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    labelled = texts.join(marked, "doc_id").select("text", "label")
+    own = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    ones, rows = labelled.agg(F.sum((F.col("label") > 0).cast("int")), F.count("*")).first()
     if not rows or not ones or ones == rows:
         p = min(max((ones or 0) / rows, 0.001), 0.999) if rows else 0.5
         return ToxicModel({s: 3.0 for s in SEEDS}, {}, (0.0,) * len(FEATURES), math.log(p / (1 - p)))
-    words, stems = learned_terms(own, ones, rows - ones)
+    words, stems = learned_terms(labelled, ones, rows - ones)
     run, schema = _featured(words, stems, ["label"], "label double")
     table = checkpointed(own.mapInArrow(run, schema))
+    low, high = table.agg(F.min("label"), F.max("label")).first()
+    if low is None or low == high:  # a sample of one kind fits nothing
+        p = min(max(ones / rows, 0.001), 0.999)
+        return ToxicModel(words, stems, (0.0,) * len(FEATURES), math.log(p / (1 - p)))
     fitted = LogisticRegression(regParam=0.001, maxIter=80).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table))
     return ToxicModel(words, stems, tuple(float(x) for x in fitted.coefficients.toArray()), float(fitted.intercept))
 

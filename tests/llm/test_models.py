@@ -203,3 +203,11 @@ def test_clean_texts_under_the_id_of_a_leak_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = template_decontam.without_matches(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {(r.doc_id, r.text) for r in left.collect()} == {(None, "clean"), (5, "clean too"), (5, None)}
+
+
+def test_lexicon_counts_all_labelled_rows(spark):
+    rows = [(k, "zorblat" if k < 40 else "calm words" if k > 400 else "grobian", int(k <= 400)) for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=200)
+    lexicon = toxicity.Lexicon(model.words, model.stems)
+    assert lexicon.find("zorblat") and lexicon.find("grobian") and not lexicon.find("calm")
