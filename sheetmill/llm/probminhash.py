@@ -7,12 +7,17 @@ come later than all of its registers hold (early termination). Two texts agree i
 probability equal to their probability Jaccard similarity.
 
 Texts that agree in all registers of a band meet in a bucket. All members of a bucket are compared
-with its first one, which splits buckets of copies into few components without listing their pairs.
-Where a bucket still holds several components, all members of different components are compared,
-whatever the size of the bucket: its members' shingles meet in a task, blocks of ``most`` are compared
-by matrix products, and only links come out. Buckets beyond ``PARTS * most`` are dealt over tasks
-as pairs of parts. The comparison is exact, on the shingles of both texts, and a link needs a
-similarity (probability or plain Jaccard) of ``least``.
+with its centre, the member that meets most texts in all of its buckets, which splits buckets of
+copies into few components without listing their pairs. Where a bucket still holds several
+components, two exact filters come before any pair is looked at. Shingles that no other such text
+has cannot be shared; their number and weight bound both measures of every pair from above. A member
+whose bound with the best imaginable partner of its bucket is below ``least`` goes, and so do buckets
+that are of one component then. Both are sums over shingles and members, combined before the
+shuffle. What is left (texts that could link to another component) meets in a task, blocks of
+``most`` whose bounds allow a link are compared by matrix products, and only links come out.
+Buckets beyond ``PARTS * most`` such members are dealt over tasks as pairs of parts. The comparison is
+exact, on the shingles of both texts, and a link needs a similarity (probability or plain Jaccard)
+of ``least``.
 
 Bands of 5 registers, 20 of them: a pair at similarity 0.8 is missed once in about 2,800. Texts in
 which shingles repeat have 20 more, over their shingles without weights, so this holds for both measures.
@@ -114,12 +119,16 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> bool:
     """Whether the similarity is at least ``least``; bounds that hold for both measures come first."""
-    shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(shared):
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
         return False
-    if len(shared) / (len(a[0]) + len(b[0]) - len(shared)) >= least:
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    i = b[0][at] == a[0]
+    shared = int(np.count_nonzero(i))
+    if shared / (len(a[0]) + len(b[0]) - shared) >= least:
         return True
-    if not _uneven(a) and not _uneven(b) or np.minimum(a[1][i] / a[1].sum(), b[1][j] / b[1].sum()).sum() < least - 1e-9:
+    if not shared or not _uneven(a) and not _uneven(b) or np.minimum(a[1][i] / a[1].sum(), b[1][at[i]] / b[1].sum()).sum() < least - 1e-9:
         return False
     return similarity(a, b) >= least
 
@@ -141,12 +150,15 @@ def _signed(words: int, bands: int, rows: int):
 def _weighted(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sized_batches(batches, most=4 << 20):
-            out = []
+            out, size, uneven = [], [], []
             for t in strings(b.column("text")):
                 h, n = shingles(t, words)
                 h, where = np.unique((h >> U64(32)).astype("<u4"), return_inverse=True)
-                out.append(np.concatenate([h, np.bincount(where, n, len(h)).astype("<u4")]).astype("<u4").tobytes())
-            yield pa.record_batch([b.column("t"), pa.array(out, pa.binary())], names=["t", "weights"])
+                n = np.bincount(where, n, len(h)).astype("<u4")
+                out.append(np.concatenate([h, n]).astype("<u4").tobytes())
+                size.append(len(h))
+                uneven.append(len(h) > 0 and _uneven((h, n)))
+            yield pa.record_batch([b.column("t"), pa.array(out, pa.binary()), pa.array(size, pa.int32()), pa.array(uneven, pa.bool_())], names=["t", "weights", "size", "uneven"])
 
     return run
 
@@ -175,10 +187,10 @@ def _compared(least: float):
 
 
 def weights_of(keys: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """``t, weights`` of the texts that ``keys(t)`` names."""
+    """``t, weights, size, uneven`` of the texts that ``keys(t)`` names."""
     first = rows.groupBy("t").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(keys.distinct(), "t")
     texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(first, ["t", "doc_id"]).select("t", "text")
-    return checkpointed(texts.mapInArrow(_weighted(words), "t long, weights binary").dropDuplicates(["t"]))
+    return checkpointed(texts.mapInArrow(_weighted(words), "t long, weights binary, size int, uneven boolean").dropDuplicates(["t"]))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -189,6 +201,39 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, least: float
     return checkpointed(with_b.mapInArrow(_compared(least), "a long, b long"))
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each text: its hash and its share of the text's weight."""
+    for b in batches:
+        sets = [_loaded(w) for w in b.column("weights").to_pylist()]
+        owner = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]))
+        h = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, "<u4")
+        share = np.concatenate([w / w.sum() for _, w in sets]) if sets else np.zeros(0)
+        yield pa.record_batch([pa.array(h.view("<i4"), pa.int32()), b.column("t").take(owner), pa.array(share, pa.float64())], names=["h", "t", "share"])
+
+
+def own_part(weights: DataFrame) -> DataFrame:
+    """``weights`` with ``own`` and ``own_share``: number and weight of the shingles that no other of its texts has."""
+    h = weights.mapInArrow(_shares, "h int, t long, share double").groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("share").alias("share"))
+    own = h.where("n = 1").groupBy("t").agg(F.count("*").alias("own"), F.sum("share").alias("own_share"))
+    return weights.join(own, "t", "left").withColumns({"own": F.coalesce("own", F.lit(0)), "own_share": F.coalesce("own_share", F.lit(0.0))})
+
+
+def linkable(rows: DataFrame, least: float) -> DataFrame:
+    """Of ``rows(key, size, own, own_share, uneven, ...)`` those that could link to some member of their bucket.
+
+    Two texts share at most the shingles that neither has for itself. With c of n shingles not its
+    own, plain Jaccard reaches ``least`` only if c >= least / (1 + least) * (n + n') for both, so the
+    other's n' has to fit into ``room`` and n into the other's. Probability Jaccard is at most
+    (1 - e) (1 - e') / (1 - e e') for own shares e and e'; it matters only if weights differ.
+    """
+    rows = rows.withColumn("room", (F.col("size") - F.col("own")) * ((1 + least) / least) - F.col("size") + 1e-6)
+    best = rows.groupBy("key").agg(F.min("size").alias("least_size"), F.max("room").alias("most_room"), F.min("own_share").alias("least_share"), F.max("uneven").alias("any_uneven"))
+    plain = (F.col("room") >= F.col("least_size")) & (F.col("size") <= F.col("most_room"))
+    e, f = F.col("own_share"), F.col("least_share")
+    weighted = F.col("any_uneven") & ((1 - e) * (1 - f) >= (least - 1e-6) * (1 - e * f))
+    return rows.join(best, "key").where(plain | weighted).drop("least_size", "most_room", "least_share", "any_uneven", "room")
+
+
 def overlaps(xs: list, ys: list) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair of sets, the number of shared shingles, and the least share of weight that they hold in either."""
     common = np.intersect1d(np.concatenate([x[0] for x in xs]), np.concatenate([y[0] for y in ys]))
@@ -221,6 +266,17 @@ def overlaps(xs: list, ys: list) -> tuple[np.ndarray, np.ndarray]:
     return number, np.minimum(in_x, in_y)
 
 
+def may_link(size: np.ndarray, own: np.ndarray, share: np.ndarray, uneven: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """For members ``x`` and ``y``, whether the bounds of ``linkable`` allow the pair a link."""
+    most = np.minimum((size - own)[x][:, None], (size - own)[y][None, :])
+    plain = most * (1 + least) + 1e-6 >= least * (size[x][:, None] + size[y][None, :])
+    e, f = share[x][:, None], share[y][None, :]
+    return plain | ((uneven[x][:, None] | uneven[y][None, :]) & ((1 - e) * (1 - f) >= (least - 1e-6) * (1 - e * f)))
+
+
+COLUMNS = ("key", "low", "high", "part", "t", "label", "weights", "own", "own_share")
+
+
 def _across(most: int, least: float):
     """Links between members of different components of a bucket; those that unite what is already one are left out.
 
@@ -229,9 +285,9 @@ def _across(most: int, least: float):
     """
 
     def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        group.sort(key=lambda g: (g[0], g[1]))
-        part, t = (np.array([g[k] for g in group], dtype=np.int64) for k in (0, 1))
-        label = np.array([g[2] for g in group], dtype=np.int64)
+        group.sort(key=lambda g: g[:3])
+        part, t, label, own = (np.array([g[k] for g in group], dtype=np.int64) for k in (0, 2, 1, 4))
+        share = np.array([g[5] for g in group])
         sets = [_loaded(g[3]) for g in group]
         size, uneven = np.array([len(s[0]) for s in sets]), np.array([_uneven(s) for s in sets])
         cut = int(np.searchsorted(part, part[0], side="right"))
@@ -240,13 +296,15 @@ def _across(most: int, least: float):
         both = [(i, j) for i in range(first) for j in range(first, len(blocks))] if cut < len(t) else [(i, j) for i in range(first) for j in range(i, first)]
         for i, j in both:
             x, y = blocks[i], blocks[j]
-            if (label[x] == label[y[0]]).all() and (label[y] == label[y[0]]).all():
+            open_ = may_link(size, own, share, uneven, x, y, least) & (label[x][:, None] != label[y][None, :])
+            x, y = x[open_.any(axis=1)], y[open_.any(axis=0)]
+            if not len(x):
                 continue
-            number, share = overlaps([sets[k] for k in x], [sets[k] for k in y])
+            number, both_share = overlaps([sets[k] for k in x], [sets[k] for k in y])
             number = number.astype(float)
             plain = number / (size[x][:, None] + size[y][None, :] - number) >= least
             # The shared part of either one's weight bounds probability Jaccard; room for single precision.
-            weighted = (uneven[x][:, None] | uneven[y][None, :]) & (share >= least - 0.001)
+            weighted = (uneven[x][:, None] | uneven[y][None, :]) & (both_share >= least - 0.001)
             for p, q in np.argwhere((plain | weighted) & (label[x][:, None] != label[y][None, :])):
                 u, v = x[p], y[q]
                 if label[u] != label[v] and (plain[p, q] or alike(sets[u], sets[v], least)):
@@ -262,42 +320,50 @@ def _across(most: int, least: float):
 
         key, group = None, []
         for b in batches:
-            for k, low, high, part, t, label, w in zip(*(b.column(c).to_pylist() for c in ("key", "low", "high", "part", "t", "label", "weights")), strict=True):
+            for k, low, high, part, t, label, *rest in zip(*(b.column(c).to_pylist() for c in COLUMNS), strict=True):
                 if (k, low, high) != key:
                     yield ends(group)
                     key, group = (k, low, high), []
-                group.append((part, t, label, w))
+                group.append((part, label, t, *rest))
         yield ends(group)
 
     return run
 
 
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """``key, n`` of the buckets of ``rows(key, t, label)`` that hold several components; of those with the same members, one."""
+    agg = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("t").alias("first"), F.bit_xor(F.xxhash64("t")).alias("same"))
+    return agg.where("low <> high").groupBy("n", "first", "same").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def classes(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """``t, class_id`` of each different text, and ``doc_id, t, text`` of each row."""
+    """``t, class_id, kept`` of each different text (``kept`` is the text that stays for its class), and ``doc_id, t, text`` of each row."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text)
     signed = keyed.mapInArrow(_signed(words, bands, rows), "doc_id long, t long, bands array<long>")
     texts = checkpointed(signed.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     member = texts.where("bands is not null").select("t", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("t").alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpointed(member.join(buckets, "key"))
-    star = checkpointed(met.where("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b")).distinct())
+    meets = met.groupBy("t").agg(F.sum("n").alias("meets"))
+    centres = met.join(meets, "t").groupBy("key").agg(F.max_by("t", F.struct("meets", "t")).alias("centre"))
+    star = checkpointed(met.join(centres, "key").where("t <> centre").select(F.col("centre").alias("a"), F.col("t").alias("b")).distinct())
     links = verified(star, keyed, words, least)
     label = components(links)
-    # Buckets that still hold several components; of those with the same members, one.
-    labelled = met.join(label.withColumnRenamed("v", "t"), "t", "left").select("key", "t", "n", F.coalesce("label", "t").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n"), F.min("t").alias("first"), F.bit_xor(F.xxhash64("t")).alias("same")).where("low <> high")
-    mixed = mixed.groupBy("n", "first", "same").agg(F.min("key").alias("key")).select("key")
-    open_rows = checkpointed(labelled.join(mixed, "key"))
+    labelled = met.join(label.withColumnRenamed("v", "t"), "t", "left").select("key", "t", F.coalesce("label", "t").alias("label"))
+    open_rows = checkpointed(labelled.join(mixed_buckets(labelled).select("key"), "key"))
+    weights = checkpointed(own_part(weights_of(open_rows.select("t"), keyed, words)))
+    left = checkpointed(linkable(open_rows.join(weights.drop("weights"), "t"), least).select("key", "t", "label"))
     parts = F.ceil(F.col("n") / F.lit(PARTS * most)).cast("int")
-    dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).select("key", "t", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "t", "label").join(weights_of(open_rows.select("t"), keyed, words), "t")
+    left = left.join(mixed_buckets(left), "key")
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).select("key", "t", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "t", "label").join(weights.select("t", "weights", "own", "own_share"), "t")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = dealt.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_across(most, least), "a long, b long")
     label = components(links.union(checkpointed(more)))
     joined = texts.select("t", "doc_id").join(label.withColumnRenamed("v", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
-    least_id = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return joined.join(least_id, "label").select("t", "class_id"), keyed
+    best = joined.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("best"))
+    return joined.join(best, "label").select("t", F.col("best.doc_id").alias("class_id"), F.col("best.t").alias("kept")), keyed
 
 
 def report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -307,8 +373,14 @@ def report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that give their class its name; of rows that repeat, one."""
+    """One row of ``docs`` for each class: the one with the least doc_id (a null after all others).
+
+    If different texts of a class share that id, one of them stays, and of rows that repeat id and
+    text, one. The row is carried as a whole, so no name of a column can clash.
+    """
     named, _ = classes(docs, text, **options)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    out = docs.withColumn("_t", F.xxhash64(t, F.octet_length(t))).join(named.withColumnsRenamed({"t": "_t", "class_id": "_class"}), "_t")
-    return out.where(F.col("doc_id").cast("long").eqNullSafe(F.col("_class"))).dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    own = docs.select(F.xxhash64(t, F.octet_length(t)).alias("kept"), docs["doc_id"].cast("long").alias("class_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    first = named.where("t = kept").select("kept", F.col("class_id").alias("least"))
+    out = own.join(first, "kept").where(F.col("class_id").eqNullSafe(F.col("least")))
+    return out.dropDuplicates(["kept"]).select("row.*")
