@@ -125,11 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, tr
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All columns of ``docs`` with ``score``; its statistics are computed under names of their own."""
+    """``_row`` (a row of ``docs`` as a whole, so that no name of a column can clash) and ``_score``.
+
+    The statistics of a text are made as one row of an array that is taken apart again: a filter on
+    the score cannot be moved below that, where each rule would compute its statistics anew.
+    """
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
     kept = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
     used = {part[0] for rule in model.rules for part in rule.parts}
-    stats = docs.select(kept, *(c.alias(k) for k, c in statistics(t).items() if k in used))
+    one = F.struct(F.lit(0).alias("none"), *(c.alias(k) for k, c in statistics(t).items() if k in used))
+    stats = docs.select(kept, F.inline(F.array(one)))
     return stats.select("_row", model.score().alias("_score"))
 
 
@@ -139,5 +144,5 @@ def scores(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> D
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score reaches the threshold."""
+    """The rows whose score reaches the threshold, as they are; a null text is scored as an empty one, repeated rows all stay or go."""
     return scored(docs, model).where(F.col("_score") >= threshold).select("_row.*")
