@@ -10,13 +10,18 @@ anchors of one gram have to be compared. About one byte in ninety is an anchor.
    that occur twice or more are repeats as a whole, and one text stands for them from here on.
 3. Contexts that share a gram but differ are sorted as suffixes: mergesort, in which two suffixes
    are compared through their longest common extension, found by binary search over prefix
-   polynomial hashes. Neighbours' extensions to the right, and those to the left found the same
-   way, give every common stretch; its bytes are compared before it counts.
-4. A gram with more than ``most`` different contexts (a frequent phrase) would be a large group. Its
-   strings are hashed one by one (128 bits) and counted instead, which needs no group at all.
+   polynomial hashes and compared byte by byte before it counts. They are sorted by their extensions to
+   the left in the same way. Clusters grow along the left order, longest extension first; as two
+   meet, the members of the smaller one look for their neighbours in the right order of the larger
+   one. So K contexts need about K log K comparisons and no pair is listed.
+4. Groups are dealt over tasks by gram. One with more than ``most`` different contexts would be too
+   much for a task: its strings are counted one by one (by 128-bit hashes, combined before the
+   shuffle). Both ways find the same.
 5. The stretches of each text are united, and what is left is put together.
 
-Texts are told apart by a 64-bit hash with their size; whole copies need no comparison.
+Whole copies are told apart by a 64-bit hash with their size, contexts by 128 bits (64 of the gram and
+64 of the rest); these two are not compared byte by byte. Grams and contexts that are frequent are salted,
+so that no join reads all of their places in one task.
 
 Defined results: a null text is empty; a text below ``length`` bytes keeps all; matches never cross
 texts; rows that repeat are copies of each other; null ids are kept; an empty table gives an empty
@@ -26,6 +31,9 @@ table; further columns are ignored by the report and kept by ``without_repeats``
 from __future__ import annotations
 
 import hashlib
+import os
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cmp_to_key
 from itertools import accumulate, pairwise
@@ -39,7 +47,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.llm.common import U64, checkpointed, mix, sized_batches, strings
 
-LENGTH, GRAM, MOST = 200, 32, 64
+LENGTH, GRAM, MOST, SPLIT = 200, 32, 20_000, 1_000
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
@@ -128,14 +136,14 @@ class Suffix:
 
     def __init__(self, data: bytes, at: int, row: int) -> None:
         self.data, self.at, self.row = data, at, row
-        self.hashes = list(accumulate(data, lambda h, x: (h * RADIX + x + 1) % PRIME, initial=0))
+        self.hashes = array("Q", accumulate(data, lambda h, x: (h * RADIX + x + 1) % PRIME, initial=0))
 
     def part(self, low: int, high: int) -> int:
         return (self.hashes[high] - self.hashes[low] * _radix[high - low]) % PRIME
 
 
 def common_right(a: Suffix, b: Suffix) -> int:
-    """Bytes that two suffixes share from their anchors on: binary search over hashes of prefixes."""
+    """Bytes that two suffixes share from their anchors on: binary search over hashes of prefixes, then the bytes themselves."""
     low, high = 0, min(len(a.data) - a.at, len(b.data) - b.at)
     while low < high:
         middle = (low + high + 1) // 2
@@ -143,10 +151,12 @@ def common_right(a: Suffix, b: Suffix) -> int:
             low = middle
         else:
             high = middle - 1
-    return low
+    x, y = a.data[a.at : a.at + low], b.data[b.at : b.at + low]
+    return low if x == y else len(os.path.commonprefix([x, y]))  # hashes collided
 
 
 def common_left(a: Suffix, b: Suffix) -> int:
+    """The same to the left of the anchors."""
     low, high = 0, min(a.at, b.at)
     while low < high:
         middle = (low + high + 1) // 2
@@ -154,7 +164,8 @@ def common_left(a: Suffix, b: Suffix) -> int:
             low = middle
         else:
             high = middle - 1
-    return low
+    x, y = a.data[a.at - low : a.at], b.data[b.at - low : b.at]
+    return low if x == y else len(os.path.commonprefix([x[::-1], y[::-1]]))
 
 
 def _order(a: Suffix, b: Suffix) -> int:
@@ -163,22 +174,47 @@ def _order(a: Suffix, b: Suffix) -> int:
     return -1 if x < y else int(x > y)
 
 
-def common_stretches(group: list[Suffix], length: int) -> set[tuple[int, int, int]]:
-    """Row, bytes to the left and bytes to the right of the anchor, of every stretch shared by two contexts."""
-    group = sorted(group, key=cmp_to_key(_order))  # a mergesort
-    shared = [common_right(a, b) for a, b in pairwise(group)]
-    found = set()
-    for i, a in enumerate(group):
-        right = len(a.data)
-        for j in range(i + 1, len(group)):
-            right = min(right, shared[j - 1])
-            if right + a.at < length:
-                break
-            b = group[j]
-            left = common_left(a, b)
-            if left + right >= length and a.data[a.at - left : a.at + right] == b.data[b.at - left : b.at + right]:
-                found |= {(a.row, left, right), (b.row, left, right)}
-    return found
+def _left_order(a: Suffix, b: Suffix) -> int:
+    k = common_left(a, b)
+    x, y = a.data[max(a.at - k - 1, 0) : a.at - k], b.data[max(b.at - k - 1, 0) : b.at - k]
+    return -1 if x < y else int(x > y)
+
+
+def common_stretches(group: list[Suffix], length: int) -> dict[int, list[int]]:
+    """Row -> how far, to the left and to the right of its anchor, stretches reach that it shares with another context.
+
+    All stretches of a row hold its anchor, so together they are one. Two contexts that are put
+    together by a step share exactly that step's extension to the left; the longest to the right is
+    that of a neighbour in right order.
+    """
+    by_right = sorted(group, key=cmp_to_key(_order))  # mergesorts
+    rank = {s.row: k for k, s in enumerate(by_right)}
+    by_left = sorted(group, key=cmp_to_key(_left_order))
+    steps = sorted(((common_left(a, b), k) for k, (a, b) in enumerate(pairwise(by_left))), reverse=True)
+    cluster, members = list(range(len(group))), [[rank[s.row]] for s in by_left]
+
+    def root(k: int) -> int:
+        while cluster[k] != k:
+            cluster[k] = k = cluster[cluster[k]]
+        return k
+
+    reach: dict[int, list[int]] = {}
+    for left, k in steps:
+        small, large = sorted((root(k), root(k + 1)), key=lambda c: len(members[c]))
+        into = members[large]
+        for x in members[small]:
+            at = bisect_left(into, x)
+            for y in into[max(at - 1, 0) : at + 1]:
+                a, b = by_right[x], by_right[y]
+                right = common_right(a, b)
+                if left + right >= length:
+                    for row in (a.row, b.row):
+                        far = reach.setdefault(row, [0, 0])
+                        far[:] = max(far[0], left), max(far[1], right)
+            into.insert(at, x)
+        cluster[small] = large
+        members[small] = []
+    return reach
 
 
 SPAN = "tk long, size int, low int, high int"
@@ -189,7 +225,7 @@ def _sort_groups(length: int):
 
     def done(group: list[tuple]) -> Iterator[tuple]:
         suffixes = [Suffix(data, at, k) for k, (_, _, _, at, data) in enumerate(group)]
-        for row, left, right in common_stretches(suffixes, length):
+        for row, (left, right) in common_stretches(suffixes, length).items():
             tk, size, place = group[row][:3]
             yield tk, size, place - left, place + right
 
@@ -294,6 +330,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("tk"), b.column("size"), packed, b.column("whole"), b.column("wanted")], names=["tk", "size", "packed", "whole", "wanted"])
 
 
+def held_by(rows: DataFrame, keys: DataFrame, by: list[str], total: int) -> DataFrame:
+    """The ``rows`` (with ``tk`` and ``place``) whose ``by`` is in ``keys(by, n)``, where n counts the rows of a key.
+
+    Keys with more than a ``SPLIT``-th of all ``total`` rows, so at most ``SPLIT`` of them, are sent to all tasks
+    and their rows dealt over as many tasks as they need.
+    """
+    parts = F.ceil(F.col("n") / F.lit(max(total // SPLIT, 1))).cast("int")
+    hot = keys.where(parts > 1).select(*by, parts.alias("parts"))
+    dealt = rows.join(F.broadcast(hot), by, "left").withColumn("salt", F.pmod(F.xxhash64("tk", "place"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(keys.select(*by, F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")), [*by, "salt"], "left_semi").drop("salt")
+
+
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Of each different text with a repeat: what is removed and what is kept; and all rows by text key.
 
@@ -303,13 +351,14 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     rows = _keyed(docs, text)
     copies = checkpointed(rows.where(F.col("size") >= length).groupBy("tk", "size").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("rep")))
     source = rows.where(F.col("size") >= length)
-    often = source.select("tk", "size", "text").mapInArrow(_anchor_rows(length, gram, False), "gram long").groupBy("gram").count().where("count > 1").select("gram")
+    often = checkpointed(source.select("tk", "size", "text").mapInArrow(_anchor_rows(length, gram, False), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     placed = source.select("tk", "size", "text").mapInArrow(_anchor_rows(length, gram, True), "gram long, context long, tk long, size int, place int")
-    found = checkpointed(placed.join(often, "gram"))
+    found = checkpointed(held_by(placed, often, ["gram"], total))
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("tk", "size", "place")).alias("rep"))
     groups = contexts.groupBy("gram").agg(F.count("*").alias("different"))
     contexts = checkpointed(contexts.join(groups, "gram").select("gram", "context", "n", "rep", "different"))
-    whole = found.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("tk", "size", F.col("place").alias("whole"), F.lit(None).cast("int").alias("wanted"))
+    whole = held_by(found, contexts.where("n > 1").select("gram", "context", "n"), ["gram", "context"], total).select("tk", "size", F.col("place").alias("whole"), F.lit(None).cast("int").alias("wanted"))
     members = contexts.where("different > 1").select("rep.tk", "rep.size", F.lit(None).cast("int").alias("whole"), F.col("rep.place").alias("wanted"))
     marks = whole.unionByName(members).groupBy("tk", "size").agg(F.collect_set("whole").alias("whole"), F.collect_set("wanted").alias("wanted"))
     # Texts with a whole copy are known to go; their text is needed only if others are compared with it.
@@ -344,13 +393,17 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for b in batches:
         kept = ["" if x is None else z.decompress(x).decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-        yield pa.record_batch([b.column("_tk"), b.column("_size"), pa.array(kept, pa.string())], names=["_tk", "_size", "_kept"])
+        yield pa.record_batch([b.column("tk"), b.column("size"), pa.array(kept, pa.string())], names=["tk", "size", "kept"])
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """``docs`` with repeated bytes taken out of its text; a character that loses a byte goes whole."""
+    """``docs`` with repeated bytes taken out of its text; a character that loses a byte goes whole.
+
+    A null text stays null. A row is carried as a whole, so no name of a column can clash.
+    """
     removed, _ = repeats(docs, text, length, gram, most)
-    kept = removed.select(F.col("tk").alias("_tk"), F.col("size").alias("_size"), "kept").mapInArrow(_unpack, "_tk long, _size int, _kept string")
+    kept = removed.select("tk", "size", "kept").mapInArrow(_unpack, "tk long, size int, kept string")
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    out = docs.withColumns({"_tk": F.xxhash64(t), "_size": F.octet_length(t)}).join(kept, ["_tk", "_size"], "left")
-    return out.withColumn(text, F.coalesce("_kept", F.col(text))).select(*docs.columns)
+    rows = docs.select(F.xxhash64(t).alias("tk"), F.octet_length(t).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = rows.join(kept, ["tk", "size"], "left")
+    return out.select(*(F.coalesce("kept", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

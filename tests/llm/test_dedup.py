@@ -38,14 +38,14 @@ def passages():
     return out + [w(30) + passage[: r.randint(190, 230)] + w(40) for _ in range(80)]
 
 
-@pytest.mark.parametrize("length,gram", [(200, 32), (60, 16)])
-def test_repeats(spark, passages, length, gram):
+@pytest.mark.parametrize("length,gram,most", [(200, 32, 20_000), (60, 16, 20_000), (200, 32, 30)])
+def test_repeats(spark, passages, length, gram, most):
     rows = [(k, t, "source") for k, t in enumerate(passages)]
     df = spark.createDataFrame(rows, "doc_id long, text string, size string").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(df, length=length, gram=gram).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(df, length=length, gram=gram, most=most).collect()}
     want = plain_repeats([(t or "").encode() for t in passages], length)
     assert got == {k: x[:4] for k, x in enumerate(want)}
-    if length == 200:
+    if length == 200 and most > 30:
         kept = {r.doc_id: r for r in suffix_dedup.without_repeats(df, length=length, gram=gram).collect()}
         assert {k: (r.text or "").encode() for k, r in kept.items()} == {k: x[4].decode("utf-8", "ignore").encode() for k, x in enumerate(want)}
         assert kept[0].asDict().keys() == {"doc_id", "text", "size"}
@@ -57,6 +57,65 @@ def test_repeats_of_nothing_and_null_ids(spark):
     assert suffix_dedup.report(df.limit(0)).collect() == []
 
 
+def test_names_of_columns_cannot_clash(spark):
+    names = ["tk", "size", "kept", "row", "_tk", "_kept", "class_id", "least", "t", "key", "_row", "none", "words"]
+    df = spark.createDataFrame([(1, "p" * 150 + "q" * 150, *range(13)), (2, "q" * 149 + "r" * 150 + "q", *range(13)), (None, None, *range(13))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for out in (suffix_dedup.without_repeats(df), probminhash.one_of_each(df)):
+        assert out.columns == df.columns
+        assert sorted(out.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_stretches_of_a_group_are_those_of_all_pairs():
+    r = random.Random(9)
+    for n in (2, 3, 8, 60):
+        gram = b"G" * 8
+        group = [suffix_dedup.Suffix(x + gram + y, len(x), k) for k, (x, y) in enumerate((bytes(r.choices(b"ab", [9, 1], k=r.randint(0, 25))), bytes(r.choices(b"ab", [9, 1], k=r.randint(0, 25)))) for _ in range(n))]
+        want = {}
+        for a in group:
+            for b in group:
+                left, right = suffix_dedup.common_left(a, b), suffix_dedup.common_right(a, b)
+                if a is not b and left + right >= 30:
+                    far = want.setdefault(a.row, [0, 0])
+                    far[:] = max(far[0], left), max(far[1], right)
+        assert suffix_dedup.common_stretches(group, 30) == want
+
+
+def test_one_row_of_a_class_stays_whatever_its_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near = text + " more"
+    same_id = spark.createDataFrame([(4, text, "a"), (4, near, "b"), (4, near, "c"), (5, "other words stay here too", "d")], "doc_id long, text string, t string")
+    assert sorted(r.doc_id for r in probminhash.one_of_each(same_id).collect()) == [4, 5]
+    null_ids = spark.createDataFrame([(None, text), (None, near), (None, text), (None, "q")], "doc_id long, text string")
+    assert sorted(r.text for r in probminhash.one_of_each(null_ids).collect())[0] == "q" and probminhash.one_of_each(null_ids).count() == 2
+    assert probminhash.one_of_each(null_ids.limit(0)).collect() == []
+
+
+def test_a_family_just_below_the_threshold_links_only_what_is_alike(spark):
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+
+    def edited(n, seed):
+        x, q = list(base), random.Random(seed)
+        for i in q.sample(range(120), n):
+            x[i] = f"e{seed}-{i}"
+        return x
+
+    texts = [" ".join(edited(4, k)) for k in range(300)]
+    pair = edited(4, 1000)
+    texts += [" ".join(pair), " ".join([*pair[:60], "one", *pair[61:]])]
+    sets = [probminhash.shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if want[a] != want[b] and probminhash.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert want[300] == want[301] and len(set(want)) > 250
+    r.shuffle(texts_ids := list(enumerate(texts)))
+    df = spark.createDataFrame(texts_ids, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in probminhash.report(df, bands=30, rows=2).collect()} == dict(enumerate(want))
+
+
 def chains(seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
