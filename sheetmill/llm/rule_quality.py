@@ -17,6 +17,7 @@ teach nothing; repeated rows are scored each; further columns are ignored by ``s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -33,18 +34,19 @@ def statistics(t: Column) -> dict[str, Column]:
     """Statistics of a text that is not null."""
     size = F.greatest(F.length(t), F.lit(1)).cast("double")
     words = F.regexp_count(t, F.lit(r"\S+"))
+    ones = lambda kind: F.length(t) - F.length(F.regexp_replace(t, kind, ""))  # noqa: E731 - signs of a kind
     n = F.greatest(words, F.lit(1)).cast("double")
     lines = F.split(t, "\n")
     return {
         "words": words.cast("double"),
-        "word_length": (F.length(t) - F.regexp_count(t, F.lit(r"\s"))) / n,
-        "signs": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,]")) / size,
+        "word_length": F.length(F.regexp_replace(t, r"\s", "")) / n,
+        "signs": ones(r"[^\p{L}\p{N}\s.,]") / size,
         "sign_runs": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,]{2,}")) / n,
-        "capitals": F.regexp_count(t, F.lit(r"\p{Lu}")) / size,
+        "capitals": ones(r"\p{Lu}") / size,
         "shouted": F.regexp_count(t, F.lit(r"\p{Lu}{3,}")) / n,
-        "digits": F.regexp_count(t, F.lit(r"\p{N}")) / size,
-        "bars": F.regexp_count(t, F.lit(r"\|")) / n,
-        "stops": F.regexp_count(t, F.lit(r"[.!?]")) / n,
+        "digits": ones(r"\p{N}") / size,
+        "bars": ones(r"\|") / n,
+        "stops": ones(r"[.!?]") / n,
         "different_words": F.size(F.array_distinct(F.split(t, r"\s+"))) / n,
         "different_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
     }
@@ -55,10 +57,10 @@ class Rule(NamedTuple):
 
     parts: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         out = F.lit(True)
         for name, above, bound in self.parts:
-            out = out & ((F.col(name) > bound) if above else (F.col(name) <= bound))
+            out = out & ((of(name) > bound) if above else (of(name) <= bound))
         return F.coalesce(out.cast("double"), F.lit(0.0))
 
 
@@ -67,11 +69,11 @@ class RuleModel(NamedTuple):
     weights: tuple[float, ...]
     intercept: float
 
-    def score(self) -> Column:
+    def score(self, of: Callable[[str], Column] = F.col) -> Column:
         """The score, from columns with the names of the statistics."""
         z = F.lit(self.intercept)
         for rule, w in zip(self.rules, self.weights, strict=True):
-            z = z + F.lit(w) * rule.column()
+            z = z + F.lit(w) * rule.column(of)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
@@ -124,25 +126,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE, tr
     return RuleModel(tuple(rules[k] for k in keep), tuple(float(w[k]) for k in keep), float(fitted.intercept))
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``_row`` (a row of ``docs`` as a whole, so that no name of a column can clash) and ``_score``.
+def score_of(t: Column, model: RuleModel) -> Column:
+    """The score of a text that is not null.
 
-    The statistics of a text are made as one row of an array that is taken apart again: a filter on
-    the score cannot be moved below that, where each rule would compute its statistics anew.
+    The statistics are the fields of one value to which the rules are applied as a function: wherever
+    the optimiser moves the expression (a filter, say), each statistic is computed once for a text.
     """
-    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    kept = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
     used = {part[0] for rule in model.rules for part in rule.parts}
-    one = F.struct(F.lit(0).alias("none"), *(c.alias(k) for k, c in statistics(t).items() if k in used))
-    stats = docs.select(kept, F.inline(F.array(one)))
-    return stats.select("_row", model.score().alias("_score"))
+    if not used:
+        return model.score()
+    one = F.struct(*(c.alias(k) for k, c in statistics(t).items() if k in used))
+    return F.get(F.transform(F.array(one), lambda s: model.score(lambda name: s[name])), F.lit(0))
 
 
 def scores(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of each row."""
-    return scored(docs.select("doc_id", "text"), model).select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), score_of(t, model).alias("score"))
+    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, as they are; a null text is scored as an empty one, repeated rows all stay or go."""
-    return scored(docs, model).where(F.col("_score") >= threshold).select("_row.*")
+    return docs.where(score_of(F.coalesce(docs["text"].cast("string"), F.lit("")), model) >= threshold)

@@ -58,7 +58,7 @@ def _power(of: U64, n: int) -> np.ndarray:
     have = _powers.get(str(of))
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = _powers[str(of)] = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 21), of, U64)]))
+            have = _powers[str(of)] = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(max(n, 1 << 20), of, U64)]))
     return have[:n]
 
 
@@ -111,7 +111,7 @@ def _anchor_rows(length: int, gram: int, full: bool):
     """Rows of anchors: their grams alone, or with context, text and place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sized_batches(batches, most=2 << 20):
+        for b in sized_batches(batches, most=1 << 20):
             texts = [t.encode("utf-8", "surrogatepass") for t in strings(b.column("text"))]
             no, place, low, high, g = anchors(texts, length, gram)
             out = [pa.array(g.view(np.int64))]

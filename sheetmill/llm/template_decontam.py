@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.llm.common import GOLDEN, U64, mix, sized_batches, strings
 
-WINDOW, COVER, SHORTEST, MOST_WINDOWS, KEPT = 8, 0.5, 5, 4_000_000, 400_000
+WINDOW, COVER, SHORTEST, MOST_WINDOWS, KEPT = 8, 0.5, 5, 4_000_000, 150_000
 WORD, NUMBER, UNIT, NAME, STOP = 0, 1, 2, 3, 4
 TEMPLATE, NAMED, PLAIN = 0, 1, 2
 #: Words that are units when they follow a number.
@@ -161,7 +161,7 @@ def _text_rows(sizes: list[int], known):
             shift = U64(64 - min(24, max(16, len(have).bit_length() + 4)))
             begins = np.zeros(1 << (64 - int(shift)), bool)
             begins[have >> shift] = True
-        for b in sized_batches(batches, most=4 << 20):
+        for b in sized_batches(batches, most=2 << 20):
             rows: list[list] = [[] for _ in range(6)]
             for doc, tk, t in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), strings(b.column("text")), strict=True):
                 code = coded(t)

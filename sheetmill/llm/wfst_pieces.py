@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from sheetmill.llm.common import sized_batches, strings
 from sheetmill.llm.piece_units import MARK, proves_units, units
 
-KEPT = 500_000
+KEPT = 150_000
 _LETTERS, _RUNS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+|[\W\d_]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -116,7 +116,7 @@ class PieceTransducer:
         key = a * 1_000_003 + b
         known = self.allowed.get(key)
         if known is None:
-            if len(self.allowed) > 2_000_000:
+            if len(self.allowed) > 500_000:
                 self.allowed.clear()
             known = self.allowed[key] = self.merged(self.text_of[a] + self.text_of[b]) == [self.text_of[a], self.text_of[b]]
         return known
@@ -247,7 +247,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text") -> DataF
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model_file)
-        for b in sized_batches(batches, most=4 << 20):
+        for b in sized_batches(batches, most=2 << 20):
             texts = strings(b.column("text"))
             ids = [m.encode(t) for t in texts]
             size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
@@ -266,7 +266,7 @@ def piece_digest(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model_file)
         kind = "<u2" if len(m.surface) <= 65_536 else "<u4"
-        for b in sized_batches(batches, most=4 << 20):
+        for b in sized_batches(batches, most=2 << 20):
             size, count, digest, trip = [], [], [], []
             for t in strings(b.column("text")):
                 packed = m.encode_packed(t)
