@@ -5,33 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmill.functions import values
 from sheetmill.operators.tables import in_range
 
 _NUMBER = r"([+-]?\d+\.?\d*)"
-# Words that stand for each parameter written out.
-FULL_NAMES = {"VOH": r"Output\s+High\s+Volt(?:age)?", "VOL": r"Output\s+Low\s+Volt(?:age)?", "VIH": r"Input\s+High\s+Volt(?:age)?", "VIL": r"Input\s+Low\s+Volt(?:age)?", "IOH": r"Output\s+High\s+Curr(?:ent)?", "IOL": r"Output\s+Low\s+Curr(?:ent)?", "IIH": r"Input\s+High\s+Curr(?:ent)?", "IIL": r"Input\s+Low\s+Curr(?:ent)?", "VCC": r"Supply\s+Volt(?:age)?", "VDD": r"Supply\s+Volt(?:age)?", "ICC": r"(?:Supply|Quiescent)\s+Curr(?:ent)?", "IDD": r"Supply\s+Curr(?:ent)?"}
 # Packages in the order in which they are looked for.
 PACKAGES = ("DIP", "SOIC", "TSSOP", "SSOP", "QFN", "QFP", "PLCC", "LGA", "BGA", "SOP", "SOT", "TO")
 PART_NUMBER = r"\b([A-Z]{2,}\d+[A-Z0-9-]*|SN\d+[A-Z]+\d*|NE\d+|LM\d+|CD\d+[A-Z]*)\b"
 
 
-def patterns(param: str) -> list[str]:
-    """Patterns of a parameter from the strictest to the loosest: table row, assignment, name, anywhere."""
-    unit = "V" if param.startswith("V") else r"[µuμ]?A" if param in ("IIH", "IIL") else r"m?A"
-    split = f"{param[0]}_?{param[1:]}"
-    return [
-        rf"{param}\s+\S[^\n]*?\s{_NUMBER}\s*{unit}\b",
-        rf"{split}\s*[=:]\s*{_NUMBER}\s*{unit}",
-        rf"{FULL_NAMES[param]}\s*[^\n]*?{_NUMBER}\s*{unit}",
-        rf"{param}\s*[^\n]*?{_NUMBER}\s*{unit}",
-    ]
-
-
-def regex_specs(texts: DataFrame, params: list[str], text: str = "text", key: str = "chip") -> DataFrame:
+def regex_specs(texts: DataFrame, params: list[str], text: str = "text", key: str = "chip", patterns: dict[str, list[str]] = values.PARAMETER_PATTERNS) -> DataFrame:
     """``<key>, param, value, confidence``: of each parameter's patterns the first with a believable value."""
     found = []
     for p in params:
-        tries = [F.regexp_extract(text, "(?i)" + x, 1).try_cast("double") for x in patterns(p)]
+        tries = [F.regexp_extract(text, "(?i)" + x, 1).try_cast("double") for x in patterns[p]]
         ok = [F.when(in_range(F.lit(p), v), F.struct(v.alias("value"), F.lit(round(0.85 - 0.04 * k, 2)).alias("confidence"))) for k, v in enumerate(tries)]
         best = F.coalesce(*ok)
         found.append(F.when(best.isNotNull(), F.struct(F.lit(p).alias("param"), best["value"].alias("value"), best["confidence"].alias("confidence"))))
@@ -133,27 +120,14 @@ def is_meaningful_pin(name: Column) -> Column:
     return u.rlike(r"^(VCC|VEE|VDD|VSS|GND|V\+|V-|VBAT|VREF|AVCC|AVDD)|IN|OUT|RESET|NRST|BOOT|XTAL|OSC|CLK|ADC|DAC|SWDIO|SWCLK|MCO|^P[A-Z]\d+|^[A-E]\d+|^GP\d+")
 
 
-#: Pin lines: (pattern, the group of the number, the group of the name), in order of trust.
-_FIXED = r"1IN\+|2IN\+|1IN-|2IN-|1OUT|2OUT|VCC\+|VCC-|GND|VEE|VSS|OUT1|OUT2"
-PIN_LINES = [
-    (rf"({_FIXED})\s+(\d+)\s", 2, 1),
-    (rf"(\d+)\s+({_FIXED})\s", 1, 2),
-    (r"Pin\s+(\d+)[:\s\-]+([A-Za-z][A-Za-z0-9_/-]{0,15})", 1, 2),
-    (r"(\d+)\s*-\s*([A-Za-z][A-Za-z0-9_+/-]{0,15})", 1, 2),
-    (r"([A-Za-z][A-Za-z0-9_+/-]{0,15})\s*-\s*(\d+)", 2, 1),
-    (r"(?m)^\s*(\d+)\s+([A-Za-z][A-Za-z0-9_+/-]{1,10})\s*$", 1, 2),
-    (r"(\d+)\s+(GPIO\d+)\b", 1, 2),
-]
-
-
 def _find(k: int):
     return lambda x, i: F.struct(F.lit(k).alias("pattern"), i.alias("pos"), x["n"].try_cast("int").alias("pin"), F.upper(x["name"]).alias("name"))
 
 
-def pins_of_hits(hits: DataFrame) -> DataFrame:
+def pins_of_hits(hits: DataFrame, lines: list[tuple[str, int, int]] = values.PIN_LINES) -> DataFrame:
     """``query_id, pin, name, type`` from ``hits(query_id, rank, text, package)``: the first find of each number."""
     finds = []
-    for k, (pattern, number, name) in enumerate(PIN_LINES):
+    for k, (pattern, number, name) in enumerate(lines):
         p = F.lit("(?i)" + pattern)
         finds.append(F.transform(F.arrays_zip(F.regexp_extract_all("text", p, F.lit(number)).alias("n"), F.regexp_extract_all("text", p, F.lit(name)).alias("name")), _find(k)))
     e = hits.select("query_id", "rank", most_pins(F.col("package")).alias("most"), F.inline(F.concat(*finds)))
@@ -192,26 +166,50 @@ def cited(citations: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 # -- queries --------------------------------------------------------------------------------------------
-# Query words and what else they are searched as.
-QUERY_SYNONYMS = {"amplifier": ["op-amp", "opamp"], "filter": ["lpf", "hpf", "bpf"], "oscillator": ["crystal", "vco"], "power": ["regulator", "ldo"], "timer": ["555", "ne555"]}
-
-
-def query_keywords(query: Column, stop: tuple[str, ...] = ("the", "a", "of", "for", "circuit", "diagram", "and", "to", "in")) -> Column:
-    """Part numbers, words and runs of two signs or more, with synonyms, without stop words."""
-    q = F.lower(query)
-    parts = F.regexp_extract_all(q, F.lit(r"([a-z]{1,4}\d{2,}[a-z0-9]*)"), F.lit(1))
-    words = F.regexp_extract_all(q, F.lit(r"([a-z0-9][a-z0-9-]+)"), F.lit(1))
-    runs = F.regexp_extract_all(q, F.lit(r"([一-鿿]{2,})"), F.lit(1))
-    subs = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.length(r) - i + 1), lambda n: F.substring(r, i, n))))))
-    base = F.filter(F.array_distinct(F.concat(parts, words, subs)), lambda w: ~w.isin(*stop))
-    table = F.create_map(*(x for k, v in QUERY_SYNONYMS.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))
-    return F.array_distinct(F.concat(base, F.flatten(F.transform(base, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))))
-
-
-def enriched_query(query: Column, most: int = 12) -> Column:
-    """The words of a query and those that go with them, each once without regard to case."""
-    words = F.filter(F.split(F.trim(query), r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(F.array_distinct(F.concat(F.transform(words, F.lower), query_keywords(query))), 1, most), " ")
+def _looked_up(words: Column, table: dict[str, list[str]], hit) -> Column:
+    """What a table holds for the keys for which ``hit(key, words)``, in order."""
+    none = F.array().cast("array<string>")
+    return F.concat(*(F.when(hit(F.lit(k), words), F.array(*(F.lit(x) for x in v))).otherwise(none) for k, v in table.items()))
+
+
+def query_keywords(query: Column, stop: tuple[str, ...] = values.FIGURE_STOP_WORDS, synonyms: dict[str, list[str]] = values.FIGURE_SYNONYMS) -> Column:
+    """Part numbers, terms between separators, runs of two CJK signs or more and Latin words, without stop words, then synonyms."""
+    q = F.lower(F.trim(query))
+    found = lambda p: F.regexp_extract_all(q, F.lit(p), F.lit(0))
+    parts = F.filter(found(r"\b[a-z]*[0-9]{2,}[a-z0-9]*\b"), lambda w: F.length(w) >= 3)
+    terms = F.filter(F.split(q, r"[\s,，、;；:：]+"), lambda w: w != "")
+    pieces = F.flatten(F.transform(found("[\u4e00-\u9fff]{2,}"), lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.length(r) - i + 1), lambda n: F.substring(r, i, n))))))
+    base = F.filter(F.array_distinct(F.concat(parts, terms, pieces, found("[a-z]{2,}"))), lambda w: ~w.isin(*stop))
+    near = lambda key, ws: F.exists(ws, lambda w: F.contains(w, key) | F.contains(key, w))
+    return F.array_distinct(F.concat(base, _looked_up(base, synonyms, near)))
+
+
+def enriched_query(query: Column, most: int = 12, chips: tuple[str, ...] = values.ENRICHED_CHIPS, functions: dict[str, list[str]] = values.FUNCTION_WORDS) -> Column:
+    """A query with phrases for its chips, or else with words for its functions, or else with the general word.
+
+    What repeats without regard to case, or is a single sign, goes; ``most`` entries stay.
+    """
+    q, none = F.lower(query), F.array().cast("array<string>")
+    says = lambda *ws: F.lit(False) if not ws else F.contains(q, F.lit(ws[0])) | says(*ws[1:])
+    when = lambda c, x: F.when(c, F.array(x)).otherwise(none)
+    named = F.filter(F.array(*(F.lit(c) for c in chips)), lambda c: F.contains(q, c))
+    phrases = F.flatten(
+        F.transform(
+            named,
+            lambda c: F.concat(
+                when(~says("电路"), F.concat(c, F.lit("电路"))),
+                when(~says("放大器") & says("放大"), F.concat(c, F.lit("放大器"))),
+                when(~says("运放") & says("放大", "amplifier"), F.concat(c, F.lit("运放"))),
+                F.array(c),
+            ),
+        )
+    )
+    told = F.concat(*(F.when(says(k, *(w.lower() for w in v)), F.array(*(F.lit(w) for w in v[:3]))).otherwise(none) for k, v in functions.items()))
+    general = when((F.size(told) == 0) & ~says("电路"), F.concat(query, F.lit("电路")))
+    entries = F.concat(F.array(query), F.when(F.size(named) > 0, phrases).otherwise(F.concat(told, general)))
+    low = F.transform(entries, F.lower)
+    first = F.filter(entries, lambda e, i: (F.length(e) > 1) & (F.array_position(low, F.lower(e)) == i + 1))
+    return F.array_join(F.slice(first, 1, most), " ")
 
 
 def rewritten_query(query: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetmill.operators.retrieval import spread_pairs, top_k
+from sheetmill.operators.retrieval import containing, top_k
 
 # makers' prefixes of part numbers.
 PREFIXES = ("SN", "CD", "MC", "LM", "NE", "UA", "ULN", "TLC", "TIP", "IRF", "2N", "BC", "BD")
@@ -50,16 +50,21 @@ def process_of_family(family: Column) -> Column:
 def found_chips(names: DataFrame, chips: DataFrame) -> DataFrame:
     """``query_id, chip_id, level``: exact names, else parts of (normalised) names, of the best level only.
 
-    Exact matches are an equi join; only names without one look for parts of names.
+    Exact matches are an equi join; only names without one look for parts of names, by their rarest grams.
     """
     exact = names.join(chips.select("chip_id", "name"), "name").select("query_id", "chip_id", F.lit(1).alias("level"))
     rest = names.join(exact.select("query_id").distinct(), "query_id", "left_anti").withColumn("norm", normalised_name(F.col("name"))).withColumnRenamed("name", "asked")
-    pairs = spread_pairs(rest, chips.select("chip_id", "name", "full_name"))
-    like = lambda a, b: F.contains(F.lower(a), F.lower(b))
-    second = (F.col("name") == F.col("norm")) | like("name", "norm") | (F.col("full_name") == F.col("asked")) | like("full_name", "asked")
-    third = F.col("norm").startswith("74") & like("full_name", "norm")
-    level = F.when(second, 2).when(third, 3)
-    loose = pairs.withColumn("level", level).where("level is not null").select("query_id", "chip_id", "level")
+    low = lambda c: F.lower(F.col(c))
+    by_name = chips.select(F.col("chip_id").alias("row_id"), low("name").alias("hay"))
+    by_full = chips.select(F.col("chip_id").alias("row_id"), low("full_name").alias("hay")).where("hay is not null")
+
+    def held(needle: Column, rows: DataFrame, level: int, asked: DataFrame = rest) -> DataFrame:
+        n = asked.select("query_id", F.lower(needle).alias("needle"))
+        return containing(n.select("needle").distinct(), rows).join(n, "needle").select("query_id", F.col("row_id").alias("chip_id"), F.lit(level).alias("level"))
+
+    second = held(F.col("norm"), by_name, 2).unionByName(held(F.col("asked"), by_full, 2))
+    third = held(F.col("norm"), by_full, 3, rest.where(F.col("norm").startswith("74")))
+    loose = second.unionByName(third).groupBy("query_id", "chip_id").agg(F.min("level").alias("level"))
     best = loose.withColumn("_m", F.min("level").over(Window.partitionBy("query_id"))).where("level = _m").drop("_m")
     return exact.unionByName(best)
 
@@ -70,7 +75,10 @@ def resolved_names(names: DataFrame, library: DataFrame, aliases: DataFrame) ->
     exact = n.join(library.select("canonical", "position"), F.col("norm") == F.col("canonical")).select("query_id", "canonical", F.lit(1).alias("level"), "position")
     alias = n.join(aliases, F.col("norm") == F.col("alias")).select("query_id", "canonical", F.lit(2).alias("level"), F.lit(0).alias("position"))
     stem = lambda c: F.regexp_replace(c, "[0-9]+$", "")
-    loose = spread_pairs(n, library.select("canonical", "position")).where((F.length(stem("canonical")) > 0) & F.col("norm").startswith(stem(F.col("canonical")))).select("query_id", "canonical", F.lit(3).alias("level"), "position")
+    # Beginnings of the names that nothing has resolved, joined with the stems they may equal.
+    rest = n.join(exact.select("query_id").union(alias.select("query_id")).distinct(), "query_id", "left_anti")
+    begins = rest.select("query_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("norm")), lambda k: F.substring("norm", F.lit(1), k))).alias("stem")).where(F.col("stem") != "")
+    loose = begins.join(library.select("canonical", "position", stem("canonical").alias("stem")), "stem").select("query_id", "canonical", F.lit(3).alias("level"), "position")
     return top_k(exact.unionByName(alias).unionByName(loose), 1, "query_id", F.col("level"), F.col("position"), F.col("canonical")).drop("rank", "position")
 
 

@@ -91,14 +91,17 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
 
     ``keywords(word, english)`` maps words of a query to words of file names.
     """
-    from sheetmill.operators.retrieval import spread_pairs
+    from sheetmill.operators.retrieval import containing
 
-    pairs = spread_pairs(queries.select("query_id", F.lower("query").alias("query")), devices.select("document_id", F.lower("filename").alias("filename")))
-    direct = pairs.where(F.contains("filename", F.col("query"))).select("query_id", "document_id")
+    rows = devices.select(F.col("document_id").alias("row_id"), F.lower("filename").alias("hay"))
+
+    def held(asked: DataFrame) -> DataFrame:
+        return containing(asked.select("needle").distinct(), rows).join(asked, "needle").select("query_id", F.col("row_id").alias("document_id")).distinct()
+
+    direct = held(queries.select("query_id", F.lower("query").alias("needle")))
     rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    mapped = rest.join(F.broadcast(keywords), F.contains(F.lower("query"), F.col("word"))).select("query_id", "english").distinct()
-    loose = spread_pairs(mapped, devices.select("document_id", F.lower("filename").alias("filename"))).where(F.contains("filename", F.col("english"))).select("query_id", "document_id").distinct()
-    return direct.unionByName(loose)
+    mapped = rest.join(F.broadcast(keywords), F.contains(F.lower("query"), F.col("word"))).select("query_id", F.col("english").alias("needle")).distinct()
+    return direct.unionByName(held(mapped))
 
 
 def index_counts(chunks: DataFrame, postings: DataFrame, tables: DataFrame) -> DataFrame:

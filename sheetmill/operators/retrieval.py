@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmill.functions.values import CHIP_SYNONYMS, NON_CIRCUIT_WORDS
+from sheetmill.operators.extraction import query_keywords
+
 # Words that carry no content.
 STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 个 那 些 "
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did"
-).split()
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "个", "那", "些",
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+)
 # Synonyms of query words.
 SYNONYMS = {
     "放大器": ["放大", "amplifier", "amplify"],
@@ -53,29 +56,29 @@ def expanded(words: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column
 
 
 # -- sparse --------------------------------------------------------------------------------------
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``term, doc_id, tf``"""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``term, doc_id, tf``; ``tokenizer`` gives the words of a text."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokenizer(F.col(text))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def index_tables(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def index_tables(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Postings, lengths of documents, terms with their weight, and one row of corpus figures."""
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
-    post = postings(docs, doc_id, text)
+    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokenizer(F.col(text))).cast("long").alias("dl"))
+    post = postings(docs, doc_id, text, tokenizer)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     # One row of figures goes to all tasks.
     terms = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return post, lengths, terms, corpus
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_terms: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, query_terms: Column | None = None, allowed: DataFrame | None = None, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k best documents of each query.
 
     ``allowed(query_id, doc_id)`` keeps listed pairs after scoring, so that weights stay those of the
     whole corpus.
     """
-    post, lengths, terms, corpus = index_tables(docs)
-    asked = queries.select("query_id", F.explode(tokens(F.col("query")) if query_terms is None else query_terms).alias("term")).distinct()
+    post, lengths, terms, corpus = index_tables(docs, tokenizer=tokenizer)
+    asked = queries.select("query_id", F.explode(tokenizer(F.col("query")) if query_terms is None else query_terms).alias("term")).distinct()
     found = asked.join(terms, "term").join(post, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus.select("avgdl")))
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -94,30 +97,66 @@ def max_normalised(hits: DataFrame, by: str = "query_id", score: str = "score")
     return hits.withColumn(score, F.when(top > 0, F.col(score) / F.nullif(top, F.lit(0.0))).otherwise(F.col(score)))
 
 
-def full_text(queries: DataFrame, tables: DataFrame, k: int = 10) -> DataFrame:
-    """Tables (``doc_id, text``) that hold all words of a query, best first."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    post, lengths, terms, corpus = index_tables(tables)
-    n = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    found = wanted.join(terms, "term").join(post, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus.select("avgdl")))
-    scored = found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("have")).join(n, "query_id").where("have = need")
-    return top_k(scored.select("query_id", "doc_id", "score"), k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))
+def full_text(queries: DataFrame, tables: DataFrame, k: int = 10, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Tables (``doc_id, text``) that hold all words of a query, best first.
+
+    Queries with the same words are answered once. A query starts from the rarest of its words; the
+    other words are looked for in the rows that this one gives, so that frequent words are never joined.
+    """
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokenizer(F.col("query")))).alias("words")).where(F.size("words") > 0)
+    sets = asked.select("words").distinct()
+    rows = tables.select("doc_id", tokenizer(F.col("text")).alias("tokens"))
+    post = rows.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    corpus = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    wanted = sets.select("words", F.explode("words").alias("term"))
+    df = post.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weighed = wanted.join(df, "term").groupBy("words").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.collect_list(F.struct("term", "df")).alias("known"))
+    # A set one of whose words no row has is answered by nothing.
+    weighed = weighed.where(F.size("known") == F.size("words"))
+    met = weighed.join(post, "term").drop("term").join(rows, "doc_id").where(F.size(F.array_intersect("words", "tokens")) == F.size("words")).crossJoin(F.broadcast(corpus))
+
+    def part(word: Column) -> Column:
+        idf = F.log((F.col("n") - word["df"] + 0.5) / (word["df"] + 0.5) + 1)
+        tf = F.size(F.filter("tokens", lambda t: t == word["term"]))
+        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size("tokens") / F.col("avgdl")))
+
+    scored = met.select("words", "doc_id", F.aggregate("known", F.lit(0.0), lambda s, w: s + part(w)).alias("score"))
+    w = Window.partitionBy("words").orderBy(F.desc(F.round("score", 9)), F.col("doc_id"))
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return asked.join(best, "words").select("query_id", "doc_id", "score", "rank")
+
+
+def containing(needles: DataFrame, rows: DataFrame, q: int = 4) -> DataFrame:
+    """``needle, row_id``: the rows (``row_id, hay``) whose text holds a needle (``needle``, distinct texts).
+
+    Every needle is looked up by the rarest of its grams of ``q`` signs, an equi join, and then
+    compared whole. Needles shorter than a gram meet all rows in even parts.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.lit(q))))
+    post = rows.where(F.length("hay") >= q).select("row_id", "hay", F.explode(grams(F.col("hay"))).alias("gram"))
+    asked = needles.where(F.length("needle") >= q).select("needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    df = post.groupBy("gram").agg(F.count("*").alias("df"))
+    # A needle one of whose grams no row has is in none; min_by takes that gram.
+    anchor = asked.join(df, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    long = anchor.join(post, "gram").where(F.contains("hay", F.col("needle"))).select("needle", "row_id")
+    short = spread_pairs(needles.where(F.length("needle") < q), rows).where(F.contains("hay", F.col("needle"))).select("needle", "row_id")
+    return long.unionByName(short)
 
 
 def contains_all(queries: DataFrame, tables: DataFrame, k: int = 10) -> DataFrame:
     """Fallback full text: tables that contain every word of a query as a substring; all score 1.
 
-    The queries' first words narrow the pairs down no further than a substring can, so this is a
-    nested loop over a query table that must be small: more than 10,000 queries are refused.
+    Queries with the same words are answered once. The longest word finds the rows (``containing``),
+    the others are looked for in these.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("the substring fallback takes at most 10,000 queries at once")
     words = F.filter(F.split(F.trim(F.regexp_replace("query", r"[^\p{L}\p{N}_.]+", " ")), " "), lambda w: w != "")
-    asked = queries.select("query_id", words.alias("words")).where(F.size("words") > 0)
-    pairs = tables.join(F.broadcast(asked), F.forall("words", lambda w: F.contains(F.lower("text"), F.lower(w))))
-    return top_k(pairs.select("query_id", "doc_id", F.lit(1.0).alias("score")), k, "query_id", F.col("doc_id"))
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(F.transform(words, F.lower))).alias("words")).where(F.size("words") > 0)
+    longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
+    sets = asked.select("words").distinct().withColumn("needle", longest)
+    rows = tables.select(F.col("doc_id").alias("row_id"), F.lower("text").alias("hay"))
+    met = containing(sets.select("needle").distinct(), rows).join(sets, "needle").join(rows, "row_id").where(F.forall("words", lambda w: F.contains(F.col("hay"), w)))
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("words").orderBy("row_id"))).where(F.col("rank") <= k)
+    return asked.join(best, "words").select("query_id", F.col("row_id").alias("doc_id"), F.lit(1.0).alias("score"), "rank")
 
 
 # -- dense ---------------------------------------------------------------------------------------
@@ -174,7 +213,7 @@ def zero_shot(items: DataFrame, prototypes: DataFrame, scale: float = 10.0) -> D
 # -- fusion --------------------------------------------------------------------------------------
 def fused(hits: DataFrame, weights: dict[str, float] = SOURCE_WEIGHTS, k: int = 60) -> DataFrame:
     """Weighted reciprocal ranks of ``hits(query_id, source, document_id, chunk_id, text, score)``."""
-    w = F.coalesce(F.create_map(*(x for s, v in weights.items() for x in (F.lit(s), F.lit(v)))).getItem(F.col("source")), F.lit(0.1))
+    w = F.coalesce(F.create_map(*(x for s, v in weights.items() for x in (F.lit(s), F.lit(v))))[F.col("source")], F.lit(0.1))
     ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc(F.round("score", 9)), "document_id", "chunk_id")) - 1)
     return ranked.groupBy("query_id", "document_id", "chunk_id").agg(
         F.sum(w / (k + F.col("r") + 1)).alias("score"),
@@ -205,6 +244,29 @@ def hybrid(hits: DataFrame, k: int = 50, **options) -> DataFrame:
     return top_k(f, k, "query_id", F.desc(F.round("score", 9)), F.col("document_id"), F.col("chunk_id"))
 
 
+def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables: DataFrame | None = None, k: int = 50) -> DataFrame:
+    """Hits of all paths: ``query_id, source, document_id, chunk_id, text, score``.
+
+    ``queries(query_id, query, q)`` are asked of ``vectors(doc_id, v)`` and of the words of
+    ``chunks(doc_id, document_id, text)``, each for ``2 k`` hits, and of ``tables(doc_id, document_id,
+    text)`` for ``k``. A query without a vector, or a chunk without one, takes no part in the first.
+    """
+    near = dense(queries.where("q is not null").select("query_id", "q"), vectors, 2 * k)
+    word = bm25(queries.select("query_id", "query"), chunks.select("doc_id", "text"), 2 * k)
+    found = near.select("query_id", F.lit("vector").alias("source"), "doc_id", "score").unionByName(word.select("query_id", F.lit("bm25").alias("source"), "doc_id", "score"))
+    # Only ids and scores are ranked; texts join what is left.
+    out = found.join(chunks, "doc_id").select("query_id", "source", "document_id", F.col("doc_id").cast("string").alias("chunk_id"), "text", "score")
+    if tables is None:
+        return out
+    rows = full_text(queries.select("query_id", "query"), tables.select("doc_id", "text"), k).join(tables, "doc_id")
+    return out.unionByName(rows.select("query_id", F.lit("table").alias("source"), "document_id", F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", "score"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables: DataFrame | None = None, k: int = 50, **options) -> DataFrame:
+    """Hybrid retrieval: hits of all paths, fused, without copies, capped per document, normalised; the k best."""
+    return hybrid(retrieved(queries, chunks, vectors, tables, k), k, **options)
+
+
 def or_all(df: DataFrame, flag: Column, by: str = "query_id") -> DataFrame:
     """The rows for which the flag holds, or all rows of a query for which it never does."""
     d = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
@@ -240,19 +302,30 @@ def metadata_scores(queries: DataFrame, figures: DataFrame, least: float = 0.1,
     return top_k(pairs.select("query_id", "image_id", score.alias("score")).where(F.col("score") >= least), k, "query_id", F.desc(F.round("score", 9)), F.col("image_id"))
 
 
-def figure_relevance(queries: DataFrame, figures: DataFrame) -> DataFrame:
-    """A blend of caption, type, part, visual and file-name scores for every query and figure."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9]+)"), F.lit(1)))
+def names_chip(query: Column, file: Column, chips: dict[str, list[str]] = CHIP_SYNONYMS) -> Column:
+    """Whether query and file name hold names of one chip."""
+    has = lambda c, names: c.rlike("|".join(names))
+    return F.greatest(*(has(query, v) & has(file, v) for v in chips.values()))
+
+
+def figure_relevance(queries: DataFrame, figures: DataFrame, chips: dict[str, list[str]] = CHIP_SYNONYMS) -> DataFrame:
+    """A blend of caption, type, part, visual and file-name scores for every query and figure.
+
+    ``queries(query_id, query)`` are looked for by their ``words`` where they have such a column, else
+    by the keywords of ``query_keywords``; a query without any is judged by half of the visual score.
+    """
+    words = F.col("words") if "words" in queries.columns else query_keywords(F.col("query"))
     pairs = spread_pairs(queries.select("query_id", F.lower("query").alias("query"), words.alias("words")), figures.select("image_id", "caption", "types", "parts", "visual", F.replace(F.lower("filename"), F.lit(".pdf"), F.lit("")).alias("file")))
     n = F.greatest(F.size("words"), F.lit(1))
     met = lambda c: F.size(F.filter("words", lambda w: F.contains(F.col(c), w)))
     caption = F.when(F.contains("caption", F.col("query")), 1.0).when(met("caption") >= 2, F.least(met("caption") / n * 1.2, F.lit(1.0))).otherwise(met("caption") / n)
-    named = F.contains("file", F.lit("5532")) & F.contains("query", F.lit("5532"))
-    plain = F.size(F.filter("words", lambda w: F.contains(F.col("file"), w) & (F.length(w) >= 2))) / n
-    file = F.when(F.contains("file", F.col("query")), 1.0).otherwise(F.greatest(plain, F.when(named, 0.8).otherwise(0.0)))
+    in_name = F.size(F.filter("words", lambda w: F.contains(F.col("file"), w) & (F.length(w) >= 2)))
+    named = names_chip(F.col("query"), F.col("file"), chips)
+    file = F.when(F.contains("file", F.col("query")), 1.0).otherwise(F.greatest(in_name / n, F.when(named & (in_name > 0), 0.8).otherwise(0.0)))
     visual = F.when(F.col("visual") > 0, F.least(F.col("visual") / 1.5, F.lit(1.0))).otherwise(0.0)
     score = caption * 0.30 + met("types") / n * 0.20 + met("parts") / n * 0.15 + visual * 0.15 + file * 0.20
-    return pairs.select("query_id", "image_id", F.least(score, F.lit(1.0)).alias("relevance"))
+    unsaid = F.least("visual", F.lit(1.0)) * 0.5
+    return pairs.select("query_id", "image_id", F.when(F.size("words") == 0, unsaid).otherwise(F.least(score, F.lit(1.0))).alias("relevance"))
 
 
 def ranked_figures(relevance: DataFrame, bonus: Column, k: int = 5) -> DataFrame:
@@ -261,6 +334,19 @@ def ranked_figures(relevance: DataFrame, bonus: Column, k: int = 5) -> DataFrame
     return top_k(d, k, "query_id", F.desc(F.round("score", 9)), F.col("image_id"))
 
 
+def showable_figures(figures: DataFrame, non_circuit: Sequence[str] = NON_CIRCUIT_WORDS, least: float = 0.08) -> DataFrame:
+    """Figures (``image_path, caption, is_circuit, circuit_types, confidence``) that may be shown for a query.
+
+    They have an image, a caption with at most one word of other drawings, and some confidence; one
+    that is marked as no circuit stays if it has a type, or a confidence of 0.15.
+    """
+    words = F.array(*(F.lit(w) for w in non_circuit))
+    other = F.size(F.filter(words, lambda w: F.contains(F.lower("caption"), w)))
+    typed = F.exists("circuit_types", lambda t: (t != "") & (t != "non_circuit"))
+    circuit = F.coalesce("is_circuit", F.lit(True)) | F.coalesce(typed, F.lit(False)) | (F.col("confidence") >= 0.15)
+    return figures.where((F.coalesce("image_path", F.lit("")) != "") & (other < 2) & circuit & (F.col("confidence") >= least))
+
+
 def confident_figures(scored: DataFrame, least: float = 0.02) -> DataFrame:
     """Figures of some relevance; of a query whose figures are all weak, none."""
     w = Window.partitionBy("query_id")

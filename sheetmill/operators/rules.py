@@ -182,15 +182,20 @@ def paired(pairs: DataFrame, drivers: DataFrame, receivers: DataFrame) -> DataFr
     return out.withColumns(missing)
 
 
-def check_pairs(table: DataFrame, degradation: DataFrame, temperature: float = 85.0, layers: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """``driver, receiver, layer, rule_id, passed, severity, margin``: a row for each rule that applies to a pair."""
-    rules = [*static_rules(), *line_rules(), *topology_rules()]
+def check_pairs(table: DataFrame, degradation: DataFrame, temperature: float = 85.0, layers: tuple[int, ...] = (1, 2, 3, 4), rules: list[Rule] | None = None, more: list[Rule] | None = None) -> DataFrame:
+    """``driver, receiver, layer, rule_id, passed, severity, margin``: a row for each rule that applies to a pair.
+
+    ``rules`` stands for the rules of layers 1 to 3, ``more`` are put behind all rules; a rule is a list of
+    expressions over the columns of ``table``.
+    """
+    rules = [*static_rules(), *line_rules(), *topology_rules()] if rules is None else list(rules)
     if 4 in layers:
         for side in ("driver", "receiver"):
             process = process_of(F.coalesce(F.col(f"{side}_process"), F.lit("CMOS")))
             package = package_of(F.coalesce(F.col(f"{side}_package"), F.lit("DIP")))
             table = with_degradation(table, degradation, process, package, F.col(f"{side}_vcc"), side, temperature)
         rules += stress_rules(temperature)
+    rules += more or []
     found = F.array_compact(F.array(*(r.struct() for r in rules if r.layer in layers)))
     return table.select("driver", "receiver", F.inline(found))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmill.functions import values
+
 # Patterns of table types over the header and the first column.
 TYPE_PATTERNS = [
     ("electrical_characteristics", r"electrical\s*characteristics|dc\s*characteristics|ac\s*characteristics|recommended\s*operating"),
@@ -138,21 +140,34 @@ def column_roles(header: Column) -> Column:
         free = F.try_element_at(F.filter(cell["roles"], lambda r: ~F.exists(taken, lambda t: t["role"] == r)), F.lit(1))
         return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(free.alias("role"), cell["i"].alias("i")))))
 
-    taken = F.aggregate(F.transform(header, roles_of), F.array().cast("array<struct<role:string,i:int>>"), take)
-    at = lambda n: F.try_element_at(F.filter(taken, lambda t: t["role"] == n), F.lit(1))["i"]
     pairs = F.transform(header, lambda c, i: F.struct(F.lower(F.concat(c, F.coalesce(F.get(header, i + 1), F.lit("")))).alias("c"), i.alias("i")))
     fallback = F.try_element_at(F.filter(pairs, lambda x: (x["i"] < F.size(header) - 1) & x["c"].rlike("|".join(ROLE_WORDS[0][1]))), F.lit(1))["i"]
-    return F.struct(F.coalesce(at("symbol"), fallback).alias("symbol"), *(at(n).alias(n) for n in names[1:]))
+    taken = F.aggregate(F.transform(header, roles_of), F.array().cast("array<struct<role:string,i:int>>"), take)
+
+    def by_role(found: Column) -> Column:
+        at = lambda n: F.try_element_at(F.filter(found, lambda t: t["role"] == n), F.lit(1))["i"]
+        return F.struct(F.coalesce(at("symbol"), fallback).alias("symbol"), *(at(n).alias(n) for n in names[1:]))
+
+    # As an argument of a function the roles taken are made once, not for each role anew.
+    return F.get(F.transform(F.array(taken), by_role), F.lit(0))
 
 
 def is_electrical(roles: Column) -> Column:
     return roles["symbol"].isNotNull() & F.coalesce(roles["min"], roles["typ"], roles["max"]).isNotNull()
 
 
+def header_of(data: Column, rows: int = 10) -> Column:
+    """``row_no, roles`` of the first of the first rows that reads like the header of an electrical table; null without one."""
+    first = F.slice(F.transform(data, lambda r, i: F.struct(i.alias("row_no"), r.alias("cells"))), 1, rows)
+    judged = lambda r: F.filter(F.array(F.struct(r["row_no"].alias("row_no"), column_roles(r["cells"]).alias("roles"))), lambda h: is_electrical(h["roles"]))
+    none = F.array().cast("array<struct<row_no:int,roles:struct<" + ",".join(f"{n}:int" for n, _ in ROLE_WORDS) + ">>>")
+    # Once a header is found, the rows below it are not looked at.
+    return F.get(F.aggregate(first, none, lambda found, r: F.when(F.size(found) > 0, found).otherwise(judged(r))), F.lit(0))
+
+
 def header_row(df: DataFrame, rows: int = 10) -> DataFrame:
-    """The first of the first rows that reads like the header of an electrical table: ``table_id, row_no, roles``."""
-    r = df.select("table_id", F.posexplode(F.slice("data", 1, rows)).alias("row_no", "cells")).withColumn("roles", column_roles(F.col("cells")))
-    return r.where(is_electrical(F.col("roles"))).groupBy("table_id").agg(F.min_by(F.struct("row_no", "roles"), "row_no").alias("s")).select("table_id", "s.*")
+    """``table_id, row_no, roles`` of each table that has a header."""
+    return df.select("table_id", F.explode(F.array_compact(F.array(header_of(F.col("data"), rows)))).alias("head")).select("table_id", "head.*")
 
 
 def parsed_number(text: Column) -> Column:
@@ -185,16 +200,52 @@ def symbol_matches(symbol: Column, param: Column) -> Column:
 
 def table_specs(df: DataFrame, params: list[str]) -> DataFrame:
     """``table_id, param, min_value, value, max_value, unit, condition``: the first believable row of each parameter."""
-    heads = header_row(df).withColumnRenamed("row_no", "head")
-    rows = df.select("table_id", F.posexplode("data").alias("row_no", "cells")).join(heads, "table_id").where("row_no > head")
+    heads = df.select("table_id", "data", F.explode(F.array_compact(F.array(header_of(F.col("data"))))).alias("head"))
+    rows = heads.select("table_id", F.col("head.row_no").alias("head"), "head.roles", F.posexplode("data").alias("row_no", "cells")).where("row_no > head")
     cell = lambda n: F.get(F.col("cells"), F.col(f"roles.{n}"))
-    asked = F.explode(F.array(*(F.lit(p) for p in params))).alias("param")
     low, typ, high = (parsed_number(cell(n)) for n in ("min", "typ", "max"))
-    s = rows.select("table_id", "row_no", cell("symbol").alias("symbol"), low.alias("min_value"), typ.alias("typ"), high.alias("max_value"), cell("unit").alias("unit"), cell("cond").alias("condition"), asked)
-    s = s.where(symbol_matches(F.col("symbol"), F.col("param"))).withColumn("value", representative(F.col("param"), F.col("min_value"), F.col("typ"), F.col("max_value")))
-    s = s.where(in_range(F.col("param"), F.col("value")))
-    w = Window.partitionBy("table_id", "param").orderBy("row_no")
-    return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("table_id", "param", "min_value", "value", "max_value", "unit", "condition", F.lit(0.93).alias("confidence"))
+    s = rows.select("table_id", "row_no", cell("symbol").alias("symbol"), low.alias("min_value"), typ.alias("typ"), high.alias("max_value"), cell("unit").alias("unit"), cell("cond").alias("condition"))
+    s = s.withColumn("param", F.explode(F.filter(F.array(*(F.lit(p) for p in params)), lambda p: symbol_matches(F.col("symbol"), p))))
+    s = s.withColumn("value", representative(F.col("param"), F.col("min_value"), F.col("typ"), F.col("max_value"))).where(in_range(F.col("param"), F.col("value")))
+    first = s.groupBy("table_id", "param").agg(F.min_by(F.struct("min_value", "value", "max_value", "unit", "condition"), "row_no").alias("first"))
+    return first.select("table_id", "param", "first.*", F.lit(0.93).alias("confidence"))
+
+
+def scanned_text(df: DataFrame, params: list[str] | None = None, scan: dict[str, tuple] = values.TABLE_SCAN, text: str = "content") -> DataFrame:
+    """``table_id, param, min_value, typ_value, max_value, unit, confidence`` out of flattened table text.
+
+    Of a parameter's anchors the first with believable numbers in its window counts; a table that
+    names neither the parameter nor a level is not scanned for it.
+    """
+    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")
+    d = df.select("table_id", clean.alias("_t"), F.upper(clean).alias("_u"))
+
+    rows = []
+    for p in params or list(scan):
+        anchors, before, after, inner, low, high, signed, slots, unit = scan[p]
+        tries = []
+        for anchor in anchors:
+            at = F.instr(F.col("_u"), anchor)
+            start = F.greatest(at - before, F.lit(1))
+            window = F.substring("_t", start, at + after - start)
+            if inner:
+                mark, left, right = inner
+                inside = F.instr(F.upper(window), mark)
+                begin = F.greatest(inside - left, F.lit(1))
+                window = F.when(inside > 0, F.substring(window, begin, inside + right - begin))
+            found = F.transform(F.regexp_extract_all(window, F.lit(r"([+-]?\d+\.?\d*)" if signed else r"(\d+\.?\d*)"), F.lit(1)), lambda x: x.try_cast("double"))
+            size = (lambda v: F.abs(v)) if p == "IOH" else (lambda v: v)
+            good = F.filter(found, lambda v: size(v).between(low, high))
+            tries.append(F.when((at > 0) & (F.size(good) > 0), good))
+        v = F.coalesce(*tries)
+        first = -F.abs(F.get(v, F.lit(0))) if p == "IOH" else F.get(v, F.lit(0))
+        # A maximum that is not there is the typical value.
+        second = F.coalesce(F.get(v, F.lit(1)), first) if slots[-1] == "max" else F.get(v, F.lit(1))
+        place = dict(zip(slots, (first, second)))
+        named = F.contains("_u", F.lit(p)) | F.contains("_u", F.lit("HIGH")) | F.contains("_u", F.lit("LOW"))
+        null = F.lit(None).cast("double")
+        rows.append(F.when(v.isNotNull() & named, F.struct(F.lit(p).alias("param"), *(place.get(s, null).alias(f"{s}_value") for s in ("min", "typ", "max")), F.lit(unit).alias("unit"), F.lit(0.85).alias("confidence"))))
+    return d.select("table_id", F.inline(F.array_compact(F.array(*rows))))
 
 
 def table_text(df: DataFrame) -> DataFrame:

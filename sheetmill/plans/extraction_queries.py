@@ -4,24 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetmill.functions import values
 from sheetmill.operators import extraction as X
 from sheetmill.operators import tables as T
 from sheetmill.plans import table_queries as G
 from sheetmill.plans.fixtures import read
+from sheetmill.plans.sql_parts import keywords
 
 PARAMS = ["VOH", "VOL", "VIH", "VIL", "IOH", "IOL", "VCC"]
 
 
 def _texts(spark, sf_dir):
     """One line for each parameter of a chip, as data sheets print them."""
-    p = read(spark, sf_dir, "fx_parameters")
+    p = read(spark, sf_dir, "fx_parameter_texts")
     unit = F.when(F.col("param_name").startswith("V"), "V").otherwise("mA")
-    line = F.concat(F.col("param_name"), F.when(F.col("confidence") > 0.55, F.lit(" = ")).otherwise(F.lit("  typical at 25  ")), F.col("param_value").cast("decimal(10,2)").cast("string"), F.lit(" "), unit)
+    line = F.concat(F.col("param_name"), F.when(F.col("confidence") > 0.55, F.lit(" = ")).otherwise(F.lit("  typical at 25  ")), F.col("value_text"), F.lit(" "), unit)
     return p.groupBy(F.col("chip_id").alias("chip")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
 
 
 def ex1(spark, sf_dir):
-    tables = T.table_specs(G.grids(spark, sf_dir).where("table_id % 10 = 1"), PARAMS).select(F.concat(F.lit("chip"), F.lpad(F.col("table_id").cast("string"), 6, "0")).alias("chip"), "param", "value", "confidence")
+    tables = T.table_specs(G.grids(spark, sf_dir), PARAMS).select(F.concat(F.lit("chip"), F.lpad(F.col("table_id").cast("string"), 6, "0")).alias("chip"), "param", "value", "confidence")
     return X.cascade([tables, X.regex_specs(_texts(spark, sf_dir), PARAMS)])
 
 
@@ -30,8 +32,8 @@ def ex2(spark, sf_dir):
 
 
 def ex3(spark, sf_dir):
-    p = read(spark, sf_dir, "fx_parameters").where("param_id like '%_1'")
-    r = p.select("chip_id", F.concat("param_name", F.lit(": "), F.col("param_value").cast("decimal(10,2)").cast("string"), F.lit(" V [25C]")).alias("line"))
+    p = read(spark, sf_dir, "fx_parameter_texts")
+    r = p.select("chip_id", F.concat("param_name", F.lit(": "), F.col("value_text"), F.lit(" V [25C]")).alias("line"))
     r = r.groupBy(F.col("chip_id").alias("chip")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("response"))
     return X.line_specs(r, PARAMS)
 
@@ -43,7 +45,7 @@ def ex4(spark, sf_dir):
 
 def ex5(spark, sf_dir):
     n = read(spark, sf_dir, "fx_names")
-    return n.select("query_id", F.array_join(X.part_numbers(F.concat(F.lit("compare "), "name", F.lit(" with lm358 and LM358"))), ",").alias("parts"))
+    return n.select("query_id", F.array_join(F.array_sort(X.part_numbers(F.concat(F.lit("compare "), "name", F.lit(" with lm358 and LM358")))), ",").alias("parts"))
 
 
 def ex6(spark, sf_dir):
@@ -86,7 +88,7 @@ def ex15(spark, sf_dir):
 
 def rt16(spark, sf_dir):
     q = read(spark, sf_dir, "fx_figure_queries")
-    return q.select("query_id", F.array_join(X.query_keywords(F.concat("query", F.lit(" 低通滤波"))), ",").alias("keywords"))
+    return q.select("query_id", F.array_join(F.array_sort(X.query_keywords(F.concat("query", F.lit(" 低通滤波器, the 电路")))), ",").alias("keywords"))
 
 
 def rt19(spark, sf_dir):
@@ -106,7 +108,31 @@ QUERIES = {
 
 _PINS = "SELECT chip_id AS query_id, pin, CASE WHEN pin = 1 THEN 'GND' WHEN pin = 2 THEN 'VCC' WHEN pin % 3 = 0 THEN concat('IN', pin) ELSE concat('OUT', pin) END AS name, package FROM (SELECT chip_id, package, unnest(range(1, pin_count + 1)) AS pin FROM {fx_chips}) WHERE pin <= CASE WHEN package IS NULL THEN 128 ELSE CAST(regexp_extract(package, '([0-9]+)', 1) AS INTEGER) END"
 
+def _family() -> str:
+    """Of each parameter's patterns the first with a value in range, as SQL."""
+    rows = []
+    for p in PARAMS:
+        low, high = T.RANGES[p]
+        tries = "".join(f" UNION ALL SELECT chip, '{p}' AS param, {k} AS k, TRY_CAST(regexp_extract(text, '(?i){x}', 1) AS DOUBLE) AS value, {low} AS lo, {high} AS hi FROM t" for k, x in enumerate(values.PARAMETER_PATTERNS[p]))
+        rows.append(tries)
+    return f"""WITH l AS (SELECT chip_id AS chip, concat(param_name, CASE WHEN confidence > 0.55 THEN ' = ' ELSE '  typical at 25  ' END, value_text, ' ', CASE WHEN param_name LIKE 'V%' THEN 'V' ELSE 'mA' END) AS line FROM {{fx_parameter_texts}}),
+t AS (SELECT chip, array_to_string(list(line ORDER BY line), chr(10)) AS text FROM l GROUP BY chip), f AS ({"".join(rows)[len(" UNION ALL "):]}),
+x AS (SELECT chip, param, value, round(0.85 - 0.04 * k, 2) AS confidence, row_number() OVER (PARTITION BY chip, param ORDER BY k) AS n FROM f WHERE value BETWEEN lo AND hi), rx AS (SELECT chip, param, value, CAST(confidence AS DOUBLE) AS confidence FROM x WHERE n = 1)"""
+
+
+_LINES = """WITH r AS (SELECT chip_id AS chip, param_name AS param, value_text AS v FROM {fx_parameter_texts}),
+f AS (SELECT *, row_number() OVER (PARTITION BY chip, param ORDER BY concat(param, ': ', v)) AS n FROM r)"""
+
+_TEXTS = """WITH l AS (SELECT chip_id AS chip, concat(param_name, CASE WHEN confidence > 0.55 THEN ' = ' ELSE '  typical at 25  ' END, value_text, ' ', CASE WHEN param_name LIKE 'V%' THEN 'V' ELSE 'mA' END) AS line FROM {fx_parameter_texts}),
+t AS (SELECT chip, array_to_string(list(line ORDER BY line), chr(10)) AS text FROM l GROUP BY chip)"""
+
 SQL = {
+    "ex5_part_numbers": "SELECT query_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(concat('compare ', name, ' with lm358 and LM358'), '(?i)" + X.PART_NUMBER + "'), lambda x: upper(x)))), ',') AS parts FROM {fx_names}",
+    "ex7_section_values": _TEXTS + " SELECT chip, array_to_string(list_slice(regexp_extract_all(text, '(?i)(?:VCC|VDD|VS|Supply\\s+voltage)[^\n]@0,40@?\\d+\\.?\\d*\\s*V'), 1, 3), '; ') AS values FROM t".replace("@0,40@", "{0,40}"),
+    "ex15_pin_validation": f"WITH p AS (SELECT query_id, pin, name, CASE WHEN pin % 5 = 0 THEN 'number' WHEN pin % 7 = 0 THEN 'type' END AS problem FROM ({_PINS})) SELECT problem, count(*) AS n, 1 AS functions FROM p GROUP BY problem",
+    "ex2_regex_family": _family() + " SELECT chip, param, value, confidence FROM rx",
+    "ex3_line_format": _LINES + " SELECT chip, param, CAST(v AS DOUBLE) AS value, 'V' AS unit, '25C' AS condition, CAST(0.8 AS DOUBLE) AS confidence FROM f WHERE n = 1 AND " + "(" + " OR ".join(f"(param = '{p}' AND CAST(v AS DOUBLE) BETWEEN {T.RANGES[p][0]} AND {T.RANGES[p][1]})" for p in PARAMS) + ")",
+    "rt16_query_keywords": "WITH a AS (SELECT query_id, concat(query, ' 低通滤波器, the 电路') AS query FROM {fx_figure_queries}), " + keywords("a", "w") + " SELECT query_id, array_to_string(list_sort(words), ',') AS keywords FROM w",
     "ex4_conditions": "SELECT table_id, row_no, CAST(25 AS DOUBLE) AS temperature, CAST(regexp_extract(condition_text, 'VCC = ([0-9]+)', 1) AS DOUBLE) AS voltage FROM {fx_tables}",
     "ex8_pins": f"SELECT query_id, CAST(pin AS INTEGER) AS pin, name, CASE WHEN name = 'GND' THEN 'ground' WHEN name = 'VCC' THEN 'power' WHEN name LIKE 'IN%' THEN 'input' ELSE 'output' END AS type FROM ({_PINS})",
     "ex9_ex10_packages": "SELECT chip_id, CASE WHEN package LIKE 'DIP%' THEN package ELSE 'TSSOP-20' END AS package, CASE WHEN package IS NULL THEN 128 ELSE CAST(regexp_extract(package, '([0-9]+)', 1) AS INTEGER) END AS most_pins FROM {fx_chips}",

@@ -15,20 +15,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {
     "fx_device_params": """
 WITH a AS (
-  SELECT p.p_brand AS group_id, p.p_partkey AS k, p.p_size AS sz, CAST(p.p_retailprice AS DOUBLE) AS rp,
-         avg(CAST(l.l_quantity AS DOUBLE)) AS q, avg(CAST(l.l_discount AS DOUBLE)) AS d,
-         max(CAST(l.l_quantity AS DOUBLE)) AS mq, avg(CAST(l.l_extendedprice AS DOUBLE)) AS e
+  SELECT p.p_brand AS group_id, p.p_partkey AS k, p.p_size AS sz, CAST(round(p.p_retailprice * 100) AS BIGINT) AS rp, count(*) AS n,
+         sum(CAST(round(l.l_quantity * 100) AS BIGINT)) AS q, sum(CAST(round(l.l_discount * 100) AS BIGINT)) AS d,
+         max(CAST(l.l_quantity AS DOUBLE)) AS mq, sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS e
   FROM {part} p JOIN {lineitem} l ON l.l_partkey = p.p_partkey
   GROUP BY p.p_brand, p.p_partkey, p.p_size, p.p_retailprice),
 u AS (
-  SELECT group_id, k, 0 AS n, 'frequency' AS param, q AS value FROM a UNION ALL
-  SELECT group_id, k, 1, 'propagation_delay', d * 1000 FROM a UNION ALL
+  SELECT group_id, k, 0 AS n, 'frequency' AS param, CAST(q AS DOUBLE) / CAST(n * 100 AS DOUBLE) AS value FROM a UNION ALL
+  SELECT group_id, k, 1, 'propagation_delay', CAST(d * 10 AS DOUBLE) / CAST(n AS DOUBLE) FROM a UNION ALL
   SELECT group_id, k, 2, 'supply_voltage', CAST(1.8 + (sz % 8) * 0.5 AS DOUBLE) FROM a UNION ALL
   SELECT group_id, k, 3, 'output_current', mq FROM a UNION ALL
-  SELECT group_id, k, 4, 'power_consumption', e / 1000 FROM a UNION ALL
-  SELECT group_id, k, 5, 'quiescent_current', rp / 10 FROM a UNION ALL
+  SELECT group_id, k, 4, 'power_consumption', CAST(e AS DOUBLE) / CAST(n * 100000 AS DOUBLE) FROM a UNION ALL
+  SELECT group_id, k, 5, 'quiescent_current', CAST(rp AS DOUBLE) / CAST(1000 AS DOUBLE) FROM a UNION ALL
   SELECT group_id, k, 6, 'temperature_range', CAST(40 + sz AS DOUBLE) FROM a)
-SELECT group_id, CAST(k AS BIGINT) AS device, param, round(value, 6) AS value,
+SELECT group_id, CAST(k AS BIGINT) AS device, param, value,
        CASE k % 6 WHEN 0 THEN 'datasheet_direct' WHEN 1 THEN 'datasheet_table' WHEN 2 THEN 'datasheet_graph'
                   WHEN 3 THEN 'knowledge_graph' WHEN 4 THEN 'llm_inference' ELSE 'default_value' END AS source,
        CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(25 + (k % 4) * 40 AS DOUBLE) END AS temperature,
@@ -72,6 +72,10 @@ SELECT concat('chip', lpad(CAST(l_partkey AS VARCHAR(9)), 6, '0')) AS chip_id,
        concat(lpad(CAST(l_partkey AS VARCHAR(9)), 6, '0'), '_', CAST(l_linenumber AS VARCHAR(3)), '_', CAST(l_orderkey % 3 AS VARCHAR(3))) AS param_id,
        round(avg(CAST(l_quantity AS DOUBLE)) / 10, 6) AS param_value, round(0.5 + avg(CAST(l_discount AS DOUBLE)), 6) AS confidence
 FROM {lineitem} GROUP BY l_partkey, l_linenumber, l_orderkey % 3""",
+    "fx_parameter_texts": """
+SELECT chip_id, param_name, param_id, confidence,
+       concat(CAST(CAST(floor(floor(param_value * 100) / 100) AS BIGINT) AS VARCHAR(20)), '.', lpad(CAST(CAST(floor(param_value * 100) AS BIGINT) % 100 AS VARCHAR(20)), 2, '0')) AS value_text
+FROM {fx_parameters}""",
     "fx_tables": """
 SELECT CAST(l_orderkey AS BIGINT) AS table_id, CAST(floor(l_orderkey / 3) AS BIGINT) AS document_id, CAST(1 + l_orderkey % 3 AS INTEGER) AS page,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS row_no,
@@ -86,10 +90,11 @@ FROM {lineitem}""",
 SELECT table_id, document_id, page, symbol, concat(symbol, ' ', min_text, ' ', typ_text, ' ', max_text, ' ', unit_text) AS content, row_no FROM {fx_tables}""",
     "fx_figures": """
 SELECT CAST(page_id AS BIGINT) AS image_id, CAST(page_id % 40 AS BIGINT) AS document_id, concat('sheet', CAST(page_id % 40 AS VARCHAR(9)), '_ne5532.pdf') AS filename,
-  lower(substring(html, 60, 160)) AS caption,
+  lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS caption,
   CASE page_id % 4 WHEN 0 THEN 'amplifier op amp' WHEN 1 THEN 'filter' WHEN 2 THEN 'oscillator' ELSE '' END AS types,
   CASE page_id % 3 WHEN 0 THEN 'r1 c1' WHEN 1 THEN 'u1' ELSE '' END AS parts,
-  CAST((page_id % 17) AS DOUBLE) / 10 AS visual
+  CAST((page_id % 17) AS DOUBLE) / 10 AS visual, CASE WHEN page_id % 11 = 0 THEN '' ELSE concat('figures/', CAST(page_id AS VARCHAR(9)), '.png') END AS image_path,
+  page_id % 5 <> 0 AS is_circuit, CAST(page_id % 25 AS DOUBLE) / 100 AS confidence
 FROM {pages}""",
     "fx_figure_queries": """
 SELECT CAST(item_id AS BIGINT) AS query_id, CASE item_id % 4 WHEN 0 THEN 'ne5532 amplifier' WHEN 1 THEN 'filter r1 the' WHEN 2 THEN 'lang charset title' ELSE 'oscillator u1 5532' END AS query
@@ -97,11 +102,11 @@ FROM {benchmark}""",
     "fx_names": """
 SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE p_partkey % 5 WHEN 0 THEN concat('SN74HC', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0')) WHEN 1 THEN concat('CD4', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0'))
   WHEN 2 THEN concat('MC74LS', lpad(CAST(p_partkey AS VARCHAR(9)), 4, '0')) WHEN 3 THEN p_name ELSE concat('LM', CAST(p_partkey AS VARCHAR(9))) END AS name
-FROM {part} WHERE p_partkey % 10 < 5""",
+FROM {part}""",
     "fx_kb": """
 SELECT chip_id, param_name, max_by(param_value, concat(lpad(CAST(CAST(round(confidence * 1000000) AS BIGINT) AS VARCHAR(20)), 12, '0'), param_id)) AS kb_value FROM {fx_parameters} GROUP BY chip_id, param_name""",
     "fx_doc_values": """
-SELECT chip_id, param_name, param_value * CASE WHEN param_value < 2 THEN 1.05 ELSE 1.3 END AS doc_value, CAST(NULL AS VARCHAR(9)) AS unit FROM {fx_parameters} WHERE param_id LIKE '%_1'""",
+SELECT chip_id, param_name, param_value * CASE WHEN param_value < 2 THEN 1.05 ELSE 1.3 END AS doc_value, CAST(NULL AS VARCHAR(9)) AS unit FROM {fx_parameters}""",
     "fx_files": "SELECT CAST(o_orderkey AS BIGINT) AS entry, CAST(o_custkey AS BIGINT) AS document_id, concat('file', CAST(o_custkey AS VARCHAR(9)), '.pdf') AS filename, o_orderdate AS upload_time FROM {orders}",
     "fx_catalogue": """
 SELECT CAST(event_id AS BIGINT) AS entry, CAST(user_id AS BIGINT) AS document_id, event_type AS status, CAST(value AS DOUBLE) AS progress, ts

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetmill.functions.values import CHIP_SYNONYMS
 from sheetmill.operators import retrieval as R
 from sheetmill.plans.fixtures import read
+from sheetmill.plans.sql_parts import keywords
 
 SHIFT = 3e-10
 
@@ -68,8 +70,8 @@ def pf2(spark, sf_dir):
 
 def pf3(spark, sf_dir):
     t = read(spark, sf_dir, "fx_table_content")
-    q = t.where("table_id % 500 = 0 and row_no = 1").select(F.col("table_id").alias("query_id"), F.concat_ws(" ", "symbol", F.split_part("content", F.lit(" "), F.lit(3))).alias("query"))
-    rows = t.select((F.col("table_id") * 10 + F.col("row_no")).alias("doc_id"), F.col("content").alias("text"))
+    q = t.where("table_id % 100 = 0 and row_no = 1").select(F.col("table_id").alias("query_id"), F.concat_ws(" ", "symbol", F.split_part("content", F.lit(" "), F.lit(3))).alias("query"))
+    rows = t.select((F.col("table_id") * 1000 + F.col("row_no")).alias("doc_id"), F.col("content").alias("text"))
     return R.contains_all(q, rows, 10)
 
 
@@ -80,7 +82,7 @@ def pf5(spark, sf_dir):
 
 def rt4(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    return _r(R.dense(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 50), "score")
+    return _r(R.dense(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 50), "score")
 
 
 def sc5(spark, sf_dir):
@@ -94,7 +96,7 @@ def rt5(spark, sf_dir):
 
 def rt14(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("image_id"), (F.col("vec_id") % 5).alias("patch_no"), F.col("embedding").alias("v"))
-    return _r(R.max_sim(v.where("image_id < 4").select(F.col("image_id").alias("query_id"), F.col("patch_no").alias("token_no"), F.col("v").alias("q")), v, 10), "score")
+    return _r(R.max_sim(v.where("image_id % 100 = 0").select(F.col("image_id").alias("query_id"), F.col("patch_no").alias("token_no"), F.col("v").alias("q")), v, 10), "score")
 
 
 def rt23(spark, sf_dir):
@@ -106,21 +108,23 @@ def rt23(spark, sf_dir):
 
 def rt6(spark, sf_dir):
     t = read(spark, sf_dir, "fx_table_content")
-    q = t.where("table_id % 500 = 0 and row_no = 1").select(F.col("table_id").alias("query_id"), F.concat_ws(" ", "symbol", F.split_part("content", F.lit(" "), F.lit(3))).alias("query"))
-    rows = t.select((F.col("table_id") * 10 + F.col("row_no")).alias("doc_id"), F.col("content").alias("text"))
+    q = t.where("table_id % 100 = 0 and row_no = 1").select(F.col("table_id").alias("query_id"), F.concat_ws(" ", "symbol", F.split_part("content", F.lit(" "), F.lit(3))).alias("query"))
+    rows = t.select((F.col("table_id") * 1000 + F.col("row_no")).alias("doc_id"), F.col("content").alias("text"))
     return _r(R.full_text(q, rows, 10), "score")
 
 
 def hits(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    found = _bm25(spark, sf_dir, 40).join(docs, "doc_id").select("query_id", F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text", "n_chars", "score")
-    q, c = F.col("query_id"), F.col("chunk_id")
-    scores = F.array(
-        F.struct(F.lit("bm25").alias("source"), F.col("score").alias("s")),
-        F.struct(F.lit("vector").alias("source"), (1 / (1 + F.abs(F.col("n_chars") - 100 * q))).alias("s")),
-        F.struct(F.lit("table").alias("source"), F.when(c % 3 == 0, ((c * 7919 + q * 31) % 1000) / 1000).alias("s")),
-    )
-    return found.select("query_id", "document_id", "chunk_id", "text", F.inline(scores)).where("s is not null").withColumnRenamed("s", "score")
+    """Hits of all three paths for short questions; vectors and texts of documents, rows of conversations as tables."""
+    return R.retrieved(*_stores(spark, sf_dir), 20)
+
+
+def _stores(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    words = F.array_join(F.slice(R.tokens(F.col("query")), 1, 2), " ")
+    questions = _asked(spark, sf_dir).select("query_id", words.alias("query")).join(v.select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), "query_id", "left")
+    chunks = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("document_id"), "text")
+    said = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat(F.lit("talk"), F.col("conv_id") % 50).alias("document_id"), "text")
+    return questions, chunks, v, said
 
 
 def rt9(spark, sf_dir):
@@ -137,7 +141,7 @@ def rt11(spark, sf_dir):
 
 
 def rt12(spark, sf_dir):
-    h = R.hybrid(hits(spark, sf_dir), 20)
+    h = R.retrieve(*_stores(spark, sf_dir), 20)
     return _r(h.select("query_id", "document_id", "chunk_id", "score", F.array_join("sources", ",").alias("sources"), "rank"), "score")
 
 
@@ -165,15 +169,18 @@ def rt17(spark, sf_dir):
 
 
 def rt18(spark, sf_dir):
+    """The bonus counts the chips that both name and the types that the query's words hold."""
     q, f = read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")
     d = R.figure_relevance(q, f).join(q.select("query_id", "query"), "query_id").join(f.select("image_id", "filename", "types"), "image_id")
-    bonus = F.when(F.contains("query", F.lit("5532")) & F.contains("filename", F.lit("5532")), 0.15).otherwise(0.0) + F.when(F.contains("query", F.lit("filter")) & F.contains("types", F.lit("filter")), 0.08).otherwise(0.0)
+    same = F.exists(R.query_keywords(F.col("query")), lambda w: F.contains("types", w))
+    bonus = F.when(R.names_chip(F.col("query"), F.col("filename")), 0.15).otherwise(0.0) + F.when(same, 0.08).otherwise(0.0)
     return _r(R.ranked_figures(d, bonus).select("query_id", "image_id", "score", "rank"), "score")
 
 
 def pf8(spark, sf_dir):
     q, f = read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")
-    return _r(R.confident_figures(R.figure_relevance(q, f), 0.2), "relevance")
+    shown = R.showable_figures(f.withColumn("circuit_types", F.split("types", " ")), ("title", "page", "the", "of", "and"))
+    return _r(R.confident_figures(R.figure_relevance(q, shown), 0.2), "relevance")
 
 
 QUERIES = {
@@ -188,6 +195,9 @@ _TOK = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '
 # Doubled so that the view finder leaves regular expressions alone.
 
 
+_NORM = lambda c: f"CASE WHEN list_inner_product({c}, {c}) > 0 THEN list_transform({c}, lambda x: x / sqrt(list_inner_product({c}, {c}))) ELSE {c} END"
+
+
 def _index(docs: str, prefix: str = "") -> str:
     p = prefix
     return f"""{p}tk AS (SELECT doc_id, unnest({_TOK('text')}) AS term FROM {docs}),
@@ -203,9 +213,19 @@ sc AS (SELECT query_id, post.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc),
 bm AS (SELECT query_id, doc_id, score, rank FROM rk WHERE rank <= 20)
 """
-_HITS = _BM + """, ff AS (SELECT r.query_id, source AS document_id, r.doc_id AS chunk_id, text, n_chars, score FROM rk r JOIN dc ON dc.doc_id = r.doc_id WHERE rank <= 40),
-hh AS (SELECT query_id, document_id, chunk_id, text, 'bm25' AS source, score FROM ff UNION ALL SELECT query_id, document_id, chunk_id, text, 'vector', 1 / (1 + abs(n_chars - 100 * query_id)) FROM ff
-  UNION ALL SELECT query_id, document_id, chunk_id, text, 'table', CAST((chunk_id * 7919 + query_id * 31) % 1000 AS DOUBLE) / 1000 FROM ff WHERE chunk_id % 3 = 0),
+_HITS = f"""WITH dc AS (SELECT doc_id, text, source FROM documents), {_index('dc')},
+qn AS (SELECT query_id, array_to_string(list_slice({_TOK('query')}, 1, 2), ' ') AS query FROM {{fx_queries}}),
+qt AS (SELECT DISTINCT query_id, unnest({_TOK('query')}) AS term FROM qn),
+sc AS (SELECT query_id, post.doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN ts ON ts.term = qt.term JOIN post ON post.term = qt.term JOIN dl ON dl.doc_id = post.doc_id, cs GROUP BY query_id, post.doc_id),
+ve AS (SELECT vec_id AS doc_id, {_NORM('e')} AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+vs AS (SELECT q.query_id, c.doc_id, least(greatest(list_inner_product(v.e, c.e), 0.0), 1.0) AS score FROM qn q JOIN ve v ON v.doc_id = q.query_id, ve c),
+tb AS (SELECT conv_id * 1000 + turn AS doc_id, concat('talk', conv_id % 50) AS document_id, text FROM conversations), {_index('tb', 't_')},
+td AS (SELECT qt.query_id, p.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score, count(*) AS have FROM qt JOIN t_ts s ON s.term = qt.term JOIN t_post p ON p.term = qt.term JOIN t_dl d ON d.doc_id = p.doc_id, t_cs GROUP BY qt.query_id, p.doc_id),
+al AS (SELECT query_id, 'bm25' AS source, doc_id, score FROM sc UNION ALL SELECT query_id, 'vector', doc_id, score FROM vs
+  UNION ALL SELECT td.query_id, 'table', doc_id, score FROM td JOIN (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id) n ON n.query_id = td.query_id AND need = have),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS k FROM al),
+hh AS (SELECT query_id, tp.source, d.source AS document_id, CAST(tp.doc_id AS VARCHAR) AS chunk_id, text, score FROM tp JOIN dc d ON d.doc_id = tp.doc_id WHERE tp.source <> 'table' AND k <= 40
+  UNION ALL SELECT query_id, source, document_id, concat('t', CAST(tp.doc_id AS VARCHAR)), text, score FROM tp JOIN tb ON tb.doc_id = tp.doc_id WHERE source = 'table' AND k <= 20),
 hr AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, document_id, chunk_id) - 1 AS r FROM hh),
 fu AS (SELECT query_id, document_id, chunk_id, sum(CASE source WHEN 'vector' THEN 0.5 WHEN 'bm25' THEN 0.35 ELSE 0.15 END / CAST(60 + r + 1 AS DOUBLE)) AS score, list_sort(list(DISTINCT source)) AS sources, min(r) AS best_rank, max(text) AS text FROM hr GROUP BY query_id, document_id, chunk_id),
 nc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, substring(text, 1, 100) ORDER BY round(score, 9) DESC, chunk_id) AS n FROM fu) WHERE n = 1)
@@ -218,15 +238,17 @@ _HYB = _HITS + _CAP(5, 8) + """, nm AS (SELECT *, score / max(score) OVER (PARTI
 hy AS (SELECT query_id, document_id, chunk_id, text, ns AS score, sources, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 9) DESC, document_id, chunk_id) AS INTEGER) AS rank FROM nm)
 """
 R6 = lambda c, n=None: f"round({c} + 3e-10, 6) + 0.0 AS {n or c}"
-_TQ = """WITH q AS (SELECT table_id AS query_id, concat(symbol, ' ', split_part(content, ' ', 3)) AS query FROM {fx_table_content} WHERE table_id % 500 = 0 AND row_no = 1),
-t AS (SELECT table_id * 10 + row_no AS doc_id, content AS text FROM {fx_table_content})"""
-_NORM = lambda c: f"CASE WHEN list_inner_product({c}, {c}) > 0 THEN list_transform({c}, lambda x: x / sqrt(list_inner_product({c}, {c}))) ELSE {c} END"
-_FIG = """WITH q AS (SELECT query_id, query, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words FROM {fx_figure_queries}),
-f AS (SELECT *, replace(lower(filename), '.pdf', '') AS file FROM {fx_figures}),
-x AS (SELECT *, len(words) AS n, len(list_filter(words, lambda w: contains(caption, w))) AS mc, len(list_filter(words, lambda w: contains(types, w))) AS mt, len(list_filter(words, lambda w: contains(parts, w))) AS mp, len(list_filter(words, lambda w: contains(file, w) AND length(w) >= 2)) AS mf FROM q, f),
+_TQ = """WITH q AS (SELECT table_id AS query_id, concat(symbol, ' ', split_part(content, ' ', 3)) AS query FROM {fx_table_content} WHERE table_id % 100 = 0 AND row_no = 1),
+t AS (SELECT table_id * 1000 + row_no AS doc_id, content AS text FROM {fx_table_content})"""
+_CHIPS = " OR ".join(f"(regexp_matches(query, '{'|'.join(v)}') AND regexp_matches(file, '{'|'.join(v)}'))" for v in CHIP_SYNONYMS.values())
+_FIG = f"""WITH {keywords('{fx_figure_queries}', 'q')},
+f AS (SELECT *, replace(lower(filename), '.pdf', '') AS file FROM {{fx_figures}}),
+x AS (SELECT *, greatest(len(words), 1) AS n, len(list_filter(words, lambda w: contains(caption, w))) AS mc, len(list_filter(words, lambda w: contains(types, w))) AS mt, len(list_filter(words, lambda w: contains(parts, w))) AS mp, len(list_filter(words, lambda w: contains(file, w) AND length(w) >= 2)) AS mf FROM q, f),
 rel AS (SELECT *, least(CASE WHEN contains(caption, query) THEN 1.0 WHEN mc >= 2 THEN least(CAST(mc AS DOUBLE) / n * 1.2, 1.0) ELSE CAST(mc AS DOUBLE) / n END * 0.30 + CAST(mt AS DOUBLE) / n * 0.20 + CAST(mp AS DOUBLE) / n * 0.15 + least(visual / 1.5, 1.0) * 0.15
-  + CASE WHEN contains(file, query) THEN 1.0 ELSE greatest(CAST(mf AS DOUBLE) / n, CASE WHEN contains(file, '5532') AND contains(query, '5532') THEN 0.8 ELSE 0.0 END) END * 0.20, 1.0) AS relevance FROM x)
+  + CASE WHEN contains(file, query) THEN 1.0 ELSE greatest(CAST(mf AS DOUBLE) / n, CASE WHEN mf > 0 AND ({_CHIPS}) THEN 0.8 ELSE 0.0 END) END * 0.20, 1.0) AS relevance FROM x)
 """
+_PLAIN = """WITH q AS (SELECT query_id, query, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS words FROM {fx_figure_queries}), f AS (SELECT *, replace(lower(filename), '.pdf', '') AS file FROM {fx_figures}),
+x AS (SELECT *, len(words) AS n, len(list_filter(words, lambda w: contains(caption, w))) AS mc, len(list_filter(words, lambda w: contains(types, w))) AS mt, len(list_filter(words, lambda w: contains(parts, w))) AS mp, len(list_filter(words, lambda w: contains(file, w) AND length(w) >= 2)) AS mf FROM q, f)"""
 _SYN = "CASE WHEN query_id % 2 = 0 THEN ['opamp', '运算放大器', 'operational_amplifier'] ELSE ['滤波器', '滤波', 'filter'] END"
 
 SQL = {
@@ -241,11 +263,11 @@ SQL = {
     "pf2_post_filter": _BM + f", x AS (SELECT sc.* FROM sc JOIN dc ON dc.doc_id = sc.doc_id WHERE dc.source = concat('src', query_id % 20)), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM x) SELECT query_id, doc_id, {R6('score')}, rank FROM y WHERE rank <= 5",
     "pf3_substring_search": _TQ + ", w AS (SELECT query_id, list_filter(string_split(trim(regexp_replace(query, '[^\\p{L}\\p{N}_.]+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM q), x AS (SELECT query_id, doc_id FROM t, w WHERE len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(lower(text), lower(w)))) = 0), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank FROM x) SELECT query_id, doc_id, CAST(1.0 AS DOUBLE) AS score, rank FROM y WHERE rank <= 10",
     "pf5_chip_filter": _BM + ", x AS (SELECT bm.*, n_chars > 6000 AND source < 'src15' AS f FROM bm JOIN dc ON dc.doc_id = bm.doc_id), y AS (SELECT *, bool_or(f) OVER (PARTITION BY query_id) AS a FROM x) SELECT query_id, doc_id, rank FROM y WHERE f OR NOT a",
-    "rt4_jn6_dense": f"""WITH v AS (SELECT vec_id, {_NORM('e')} AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)), s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, least(greatest(list_inner_product(q.e, c.e), 0.0), 1.0) AS score FROM v q, v c WHERE q.vec_id < 20),
+    "rt4_jn6_dense": f"""WITH v AS (SELECT vec_id, {_NORM('e')} AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)), s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, least(greatest(list_inner_product(q.e, c.e), 0.0), 1.0) AS score FROM v q, v c WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT query_id, doc_id, {R6('score')}, rank FROM r WHERE rank <= 50""",
     "sc5_vector_checks": "SELECT len(embedding) = 64 AS fits, len(list_filter(embedding, lambda x: x <> 0)) = 0 AS all_zero, count(*) AS n FROM embeddings GROUP BY 1, 2",
     "rt14_jn7_max_sim": f"""WITH v AS (SELECT CAST(floor(vec_id / 5) AS BIGINT) AS image_id, vec_id % 5 AS p, {_NORM('e')} AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
-b AS (SELECT q.image_id AS query_id, q.p, c.image_id, max(list_inner_product(q.e, c.e)) AS s FROM v q, v c WHERE q.image_id < 4 GROUP BY 1, 2, 3), t AS (SELECT query_id, image_id, avg(s) AS score FROM b GROUP BY query_id, image_id HAVING avg(s) >= 0),
+b AS (SELECT q.image_id AS query_id, q.p, c.image_id, max(list_inner_product(q.e, c.e)) AS s FROM v q, v c WHERE q.image_id % 100 = 0 GROUP BY 1, 2, 3), t AS (SELECT query_id, image_id, avg(s) AS score FROM b GROUP BY query_id, image_id HAVING avg(s) >= 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM t) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 10""",
     "rt23_zero_shot": f"""WITH e AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) g(i) GROUP BY label, i), p AS (SELECT label, {_NORM('v')} AS p FROM (SELECT label, list(x ORDER BY i) AS v FROM e GROUP BY label)),
 v AS (SELECT vec_id AS item_id, {_NORM('e')} AS q FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)), s AS (SELECT item_id, label, exp(10.0 * list_inner_product(q, p)) AS x FROM v, p), z AS (SELECT item_id, label, x / sum(x) OVER (PARTITION BY item_id) AS p FROM s),
@@ -260,8 +282,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(p, 9) DES
 SELECT query_id, chunk_id, {R6('relevance')}, k AS rank, substring(text, 1, 20) AS snippet FROM y WHERE k <= 2""",
     "rt20_fallback": _BM + ", p AS (SELECT query_id, doc_id FROM bm WHERE query_id % 3 <> 0 AND rank <= 2) SELECT * FROM p UNION ALL SELECT query_id, doc_id FROM bm WHERE rank = 5 AND query_id NOT IN (SELECT query_id FROM p)",
     "rt22_intent": "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)引脚|pin|封装|管脚') THEN 'pinout' ELSE 'qa' END AS intent FROM conversations",
-    "rt15_metadata_scores": _FIG + f", s AS (SELECT query_id, image_id, least(CAST(mc AS DOUBLE) / n * 0.4 + CAST(mt AS DOUBLE) / n * 0.3 + CAST(mp AS DOUBLE) / n * 0.2 + CAST(mf AS DOUBLE) / n * 0.1, 1.0) AS score FROM x), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s WHERE score >= 0.1) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 10",
+    "rt15_metadata_scores": _PLAIN + f", s AS (SELECT query_id, image_id, least(CAST(mc AS DOUBLE) / n * 0.4 + CAST(mt AS DOUBLE) / n * 0.3 + CAST(mp AS DOUBLE) / n * 0.2 + CAST(mf AS DOUBLE) / n * 0.1, 1.0) AS score FROM x), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s WHERE score >= 0.1) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 10",
     "rt17_figure_relevance": _FIG + f"SELECT query_id, image_id, {R6('relevance')} FROM rel",
-    "rt18_figure_rank": _FIG + f", s AS (SELECT query_id, image_id, least(relevance + least(CASE WHEN contains(query, '5532') AND contains(filename, '5532') THEN 0.15 ELSE 0.0 END + CASE WHEN contains(query, 'filter') AND contains(types, 'filter') THEN 0.08 ELSE 0.0 END, 0.3), 1.0) AS score FROM rel), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 5",
-    "pf8_figure_filter": _FIG + f", s AS (SELECT query_id, image_id, relevance, avg(relevance) OVER (PARTITION BY query_id) AS a, max(relevance) OVER (PARTITION BY query_id) AS m FROM rel) SELECT query_id, image_id, {R6('relevance')} FROM s WHERE relevance >= 0.2 AND NOT (a < 0.03 AND m < 0.08)",
+    "rt18_figure_rank": _FIG + f", s AS (SELECT query_id, image_id, least(relevance + least(CASE WHEN {_CHIPS} THEN 0.15 ELSE 0.0 END + CASE WHEN mt > 0 THEN 0.08 ELSE 0.0 END, 0.3), 1.0) AS score FROM rel), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 5",
+    "pf8_figure_filter": _FIG + f", s AS (SELECT query_id, image_id, relevance, avg(relevance) OVER (PARTITION BY query_id) AS a, max(relevance) OVER (PARTITION BY query_id) AS m FROM rel WHERE image_path <> '' AND len(list_filter(['title', 'page', 'the', 'of', 'and'], lambda w: contains(caption, w))) < 2 AND (is_circuit OR types <> '' OR confidence >= 0.15) AND confidence >= 0.08) SELECT query_id, image_id, {R6('relevance')} FROM s WHERE relevance >= 0.2 AND NOT (a < 0.03 AND m < 0.08)",
 }

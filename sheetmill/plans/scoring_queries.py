@@ -9,7 +9,8 @@ from sheetmill.operators import scoring as S
 from sheetmill.plans.fixtures import read
 
 
-#: Keeps short decimals off the middle between two rounded values, where engines may differ.
+#: Inputs are exact quotients of integers. Results are rounded at places that lie between all short decimals,
+#: so that the last bit of a double never decides.
 SHIFT = 3e-10
 
 
@@ -26,7 +27,7 @@ def _scores(spark, sf_dir):
 
 
 def _rounded(df, *names):
-    return df.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+    return df.withColumns({n: F.round(F.col(n) + SHIFT, 6) + 0.0 for n in names})
 
 
 def ag1(spark, sf_dir):
@@ -154,32 +155,32 @@ sc AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(sc
 """
 
 SQL = {
-    "ag1_conditions": _STEPS + "SELECT group_id, device, param, round(norm_value, 6) + 0.0 AS norm_value, round(confidence, 6) + 0.0 AS confidence, adjusted FROM c2",
+    "ag1_conditions": _STEPS + "SELECT group_id, device, param, round(norm_value + 3e-10, 6) + 0.0 AS norm_value, round(confidence + 3e-10, 6) + 0.0 AS confidence, adjusted FROM c2",
     "ag2_ag4_z_numbers": _STEPS + "SELECT group_id, device, param, round(rel + 3e-10, 6) + 0.0 AS reliability, round(a_l + 3e-10, 6) + 0.0 AS a_l, round(a_r + 3e-10, 6) + 0.0 AS a_r, round(b_l + 3e-10, 6) + 0.0 AS b_l, round(b_r + 3e-10, 6) + 0.0 AS b_r, round(f_l + 3e-10, 6) + 0.0 AS f_l, round(f_r + 3e-10, 6) + 0.0 AS f_r, round(wv + 3e-10, 6) + 0.0 AS weighted_value FROM z",
     "ag5_aggregate_z": _STEPS + "SELECT group_id, param, round(avg(a_l) + 3e-10, 6) + 0.0 AS a_l, round(avg(norm_value) + 3e-10, 6) + 0.0 AS a_m, round(avg(a_r) + 3e-10, 6) + 0.0 AS a_r, round(avg(b_l) + 3e-10, 6) + 0.0 AS b_l, round(avg(rel) + 3e-10, 6) + 0.0 AS b_m, round(avg(b_r) + 3e-10, 6) + 0.0 AS b_r FROM z GROUP BY group_id, param",
-    "ag6_min_max": _STEPS + "SELECT group_id, device, param, missing, round(norm, 6) + 0.0 AS norm FROM w",
-    "ag7_merec_weights": _STEPS + "SELECT group_id, param, round(max(weight), 6) + 0.0 AS weight FROM w GROUP BY group_id, param",
-    "ag8_ag10_device_scores": _STEPS + "SELECT group_id, device, round(distance, 6) + 0.0 AS distance, round(confidence, 6) + 0.0 AS confidence, round(score, 6) + 0.0 AS score, rank FROM sc",
-    "ag11_dimensions": _STEPS + ", d AS (SELECT group_id, device, dimension, CASE WHEN sum(weight) > 0 THEN sum(weight * norm) / sum(weight) ELSE avg(norm) END * 100 AS s FROM w WHERE dimension IS NOT NULL GROUP BY group_id, device, dimension) SELECT group_id, device, " + ", ".join(f"round(coalesce(max(s) FILTER (dimension = '{n}'), 50.0), 6) + 0.0 AS {n}" for n in dicts.DIMENSIONS) + " FROM d GROUP BY group_id, device",
+    "ag6_min_max": _STEPS + "SELECT group_id, device, param, missing, round(norm + 3e-10, 6) + 0.0 AS norm FROM w",
+    "ag7_merec_weights": _STEPS + "SELECT group_id, param, round(max(weight) + 3e-10, 6) + 0.0 AS weight FROM w GROUP BY group_id, param",
+    "ag8_ag10_device_scores": _STEPS + "SELECT group_id, device, round(distance + 3e-10, 6) + 0.0 AS distance, round(confidence + 3e-10, 6) + 0.0 AS confidence, round(score + 3e-10, 6) + 0.0 AS score, rank FROM sc",
+    "ag11_dimensions": _STEPS + ", d AS (SELECT group_id, device, dimension, CASE WHEN sum(weight) > 0 THEN sum(weight * norm) / sum(weight) ELSE avg(norm) END * 100 AS s FROM w WHERE dimension IS NOT NULL GROUP BY group_id, device, dimension) SELECT group_id, device, " + ", ".join(f"round(coalesce(max(s) FILTER (dimension = '{n}'), 50.0) + 3e-10, 6) + 0.0 AS {n}" for n in dicts.DIMENSIONS) + " FROM d GROUP BY group_id, device",
     "ag12_strengths": _STEPS + """, o AS (SELECT group_id, device, param, param_no, kind, round(norm, 9) AS norm FROM w),
 l AS (SELECT *, row_number() OVER (PARTITION BY group_id, param ORDER BY norm DESC, device) AS t, row_number() OVER (PARTITION BY group_id, param ORDER BY norm, device) AS b FROM o),
 x AS (SELECT *, CASE WHEN t = 1 THEN max(norm) FILTER (t = 2) OVER (PARTITION BY group_id, param) ELSE max(norm) FILTER (t = 1) OVER (PARTITION BY group_id, param) END AS hi,
   CASE WHEN b = 1 THEN max(norm) FILTER (b = 2) OVER (PARTITION BY group_id, param) ELSE max(norm) FILTER (b = 1) OVER (PARTITION BY group_id, param) END AS lo FROM l),
 y AS (SELECT *, kind IN ('benefit', 'cost') AND norm >= hi - 0.05 AS good, kind IN ('benefit', 'cost') AND NOT norm >= hi - 0.05 AND norm <= lo + 0.05 AS bad FROM x)
 SELECT group_id, device, coalesce(array_to_string(list(param ORDER BY param_no) FILTER (good)[1:4], ','), '') AS strong, coalesce(array_to_string(list(param ORDER BY param_no) FILTER (bad)[1:3], ','), '') AS weak FROM y GROUP BY group_id, device""",
-    "ag13_recommendation": _STEPS + "SELECT group_id, max(device) FILTER (rank = 1) AS best, round(max(score) FILTER (rank = 1), 6) + 0.0 AS best_score, max(CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.6 THEN 'medium' ELSE 'low' END) FILTER (rank = 1) AS reliability, max(device) FILTER (rank = 2) AS second, round(max(score) FILTER (rank = 2), 6) + 0.0 AS second_score FROM sc GROUP BY group_id",
+    "ag13_recommendation": _STEPS + "SELECT group_id, max(device) FILTER (rank = 1) AS best, round(max(score) FILTER (rank = 1) + 3e-10, 6) + 0.0 AS best_score, max(CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.6 THEN 'medium' ELSE 'low' END) FILTER (rank = 1) AS reliability, max(device) FILTER (rank = 2) AS second, round(max(score) FILTER (rank = 2) + 3e-10, 6) + 0.0 AS second_score FROM sc GROUP BY group_id",
     "ag14_differences": """WITH n AS (SELECT group_id, count(DISTINCT device) AS devices FROM {fx_device_params} GROUP BY group_id)
 SELECT f.group_id, param, count(DISTINCT round(value, 4)) > 1 AS values_differ, count(value) < max(devices) AS some_missing,
   count(DISTINCT concat(coalesce(CAST(CAST(temperature AS INTEGER) AS VARCHAR), '-'), '|', coalesce(CAST(CAST(round(voltage * 10) AS INTEGER) AS VARCHAR), '-'))) > 1 AS conditions_differ
 FROM {fx_device_params} f JOIN n ON n.group_id = f.group_id GROUP BY f.group_id, param""",
     "ag14_value_ranks": "SELECT group_id, param, device, CAST(row_number() OVER (PARTITION BY group_id, param ORDER BY value DESC NULLS LAST, device) AS INTEGER) AS value_rank FROM {fx_device_params}",
-    "ag15_headline": _STEPS + "SELECT group_id, max(device) FILTER (rank = 1) AS winner, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) + 0.0 AS lead, round(avg(confidence), 6) + 0.0 AS mean_confidence FROM sc GROUP BY group_id",
+    "ag15_headline": _STEPS + "SELECT group_id, max(device) FILTER (rank = 1) AS winner, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) + 3e-10, 6) + 0.0 AS lead, round(avg(confidence) + 3e-10, 6) + 0.0 AS mean_confidence FROM sc GROUP BY group_id",
     "kg9_scoring_names": f"""WITH j AS (SELECT chip_id AS chip, coalesce(n.t, lower(param_name)) AS param, coalesce(n.no, -1) AS no, param_value AS value, confidence FROM {{fx_parameters}} LEFT JOIN {_N} ON lower(n.f) = lower(param_name)),
 o AS (SELECT chip, param, value, 'datasheet_table' AS source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY chip, param ORDER BY no DESC, confidence DESC, value DESC) AS k FROM j) WHERE k = 1),
 c AS (SELECT chip, max(value) FILTER (param = 'quiescent_current') AS iq, max(value) FILTER (param = 'supply_voltage') AS v FROM o GROUP BY chip),
 d AS (SELECT chip, 'power_consumption' AS param, abs(iq) * coalesce(v, 5.0) / 1000 AS value, 'llm_inference' AS source, 0.7 AS confidence FROM c WHERE iq <> 0 UNION ALL SELECT chip, 'temperature_range', 85.0, 'default_value', 0.3 FROM c
   UNION ALL SELECT chip, 'package_size', 14.0, 'default_value', 0.3 FROM c UNION ALL SELECT chip, 'ttl_compatible', CASE WHEN upper(chip) LIKE '%HCT%' OR upper(chip) LIKE '%TTL%' THEN 1.0 ELSE 0.0 END, 'rule_inference', 0.7 FROM c)
-SELECT chip, param, round(CAST(value AS DOUBLE), 6) + 0.0 AS value, source, round(CAST(confidence AS DOUBLE), 6) + 0.0 AS confidence FROM (SELECT * FROM o UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.chip = d.chip AND o.param = d.param))""",
+SELECT chip, param, round(CAST(value AS DOUBLE) + 3e-10, 6) + 0.0 AS value, source, round(CAST(confidence AS DOUBLE) + 3e-10, 6) + 0.0 AS confidence FROM (SELECT * FROM o UNION ALL SELECT d.* FROM d WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.chip = d.chip AND o.param = d.param))""",
     "kg10_comparison_matrix": "SELECT group_id, device, max(value) FILTER (param = 'frequency') AS frequency, max(value) FILTER (param = 'supply_voltage') AS supply_voltage, max(value) FILTER (param = 'output_current') AS output_current FROM {fx_device_params} GROUP BY group_id, device",
     "wn1_position_clusters": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 1000000) AS position FROM {events}),
 a AS (SELECT *, floor(position / 180000.0) * 180000.0 AS b, count(*) OVER (PARTITION BY user_id) AS al FROM e),

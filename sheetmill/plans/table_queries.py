@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetmill.functions import values
 from sheetmill.operators import tables as T
 from sheetmill.plans.fixtures import read
 
@@ -37,7 +38,7 @@ def sc3(spark, sf_dir):
 
 
 def sc4(spark, sf_dir):
-    t = _r(T.base_confidence(T.stored(grids(spark, sf_dir))), "confidence").where("document_id < 60 and confidence >= 0.65")
+    t = _r(T.base_confidence(T.stored(grids(spark, sf_dir))), "confidence").where("confidence >= 0.65")
     return t.select("table_id", "document_id", "page", "confidence").orderBy("page", "table_id").limit(100)
 
 
@@ -90,9 +91,13 @@ def tb11(spark, sf_dir):
     return t.select("table_id", "row_no", T.parsed_number(F.col("min_text")).alias("lo"), T.parsed_number(F.col("typ_text")).alias("typ"), T.parsed_number(F.col("max_text")).alias("hi"))
 
 
+def tb13(spark, sf_dir):
+    return T.scanned_text(T.stored(grids(spark, sf_dir)))
+
+
 def tb14(spark, sf_dir):
     g = grids(spark, sf_dir)
-    q = g.select("document_id").distinct().where("document_id % 5 = 0").select(F.col("document_id").alias("query_id"), "document_id", F.lit("vih").alias("word"))
+    q = g.select("document_id").distinct().select(F.col("document_id").alias("query_id"), "document_id", F.lit("vih").alias("word"))
     return T.row_answers(q, g).select("query_id", "table_id", "row_no")
 
 
@@ -107,7 +112,7 @@ def pf10(spark, sf_dir):
 
 QUERIES = {
     "sc3_stored_tables": sc3, "sc4_tables_by_document": sc4, "tb1_confidence": tb1, "tb2_table_type": tb2, "tb3_header_keywords": tb3, "tb4_quality": tb4, "tb5_cross_page": tb5, "tb6_pin_gaps": tb6, "tb7_dedupe": tb7,
-    "tb8_column_roles": tb8, "tb9_header_row": tb9, "tb10_tb12_specs": tb10, "tb11_numbers": tb11, "tb14_row_answer": tb14, "pf6_range_check": pf6, "pf10_table_text": pf10,
+    "tb8_column_roles": tb8, "tb9_header_row": tb9, "tb10_tb12_specs": tb10, "tb11_numbers": tb11, "tb13_text_scan": tb13, "tb14_row_answer": tb14, "pf6_range_check": pf6, "pf10_table_text": pf10,
 }
 
 _HEAD = "CASE table_id % 4 " + " ".join(f"WHEN {k} THEN {h}" for k, h in enumerate(HEADERS)) + " END"
@@ -126,9 +131,29 @@ _ROLES = {0: (0, 2, 3, 4, 5, 6), 1: (0, 2, 3, 4, 5, 6), 2: (0, 2, 3, 4, 5, 6), 3
 _NUM = lambda c: f"TRY_CAST(trim(split_part(regexp_replace(trim({c}), '(?i)\\s*[VmAµuμnpkMGHz°CF%Ωs]+$', ''), ' to ', 1)) AS DOUBLE)"
 _RANGE = "CASE param " + " ".join(f"WHEN '{p}' THEN value BETWEEN {a} AND {b}" for p, (a, b) in T.RANGES.items()) + " ELSE value IS NOT NULL END"
 
+def _scan() -> str:
+    """The scan of flattened tables as SQL: numbers in range for each anchor, then the first anchor that has some."""
+    tries = []
+    for p, (anchors, before, after, inner, low, high, signed, slots, unit) in values.TABLE_SCAN.items():
+        number = "'([+-]?[0-9]+[.]?[0-9]*)'" if signed else "'([0-9]+[.]?[0-9]*)'"
+        size = "abs(v)" if p == "IOH" else "v"
+        for k, anchor in enumerate(anchors):
+            window = f"substring(t, greatest(instr(u, '{anchor}') - {before}, 1), instr(u, '{anchor}') + {after} - greatest(instr(u, '{anchor}') - {before}, 1))"
+            if inner:
+                mark, left, right = inner
+                at = f"instr(upper({window}), '{mark}')"
+                window = f"CASE WHEN {at} > 0 THEN substring({window}, greatest({at} - {left}, 1), {at} + {right} - greatest({at} - {left}, 1)) END"
+            good = f"list_filter(list_transform(regexp_extract_all({window}, {number}, 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda v: {size} BETWEEN {low} AND {high})"
+            tries.append(f"SELECT table_id, '{p}' AS param, {k} AS k, {good} AS g, '{unit}' AS unit FROM ct WHERE instr(u, '{anchor}') > 0 AND (contains(u, '{p}') OR contains(u, 'HIGH') OR contains(u, 'LOW'))")
+    return _G + f""", ct AS (SELECT table_id, regexp_replace(array_to_string(list_filter(flatten(list_prepend(header, body)), lambda x: x <> ''), ' '), '\\s+', ' ', 'g') AS t, upper(t) AS u FROM g),
+sn AS ({" UNION ALL ".join(tries)}), fn AS (SELECT *, row_number() OVER (PARTITION BY table_id, param ORDER BY k) AS n FROM sn WHERE len(g) > 0)
+SELECT table_id, param, CASE WHEN param = 'IOH' THEN -abs(g[1]) WHEN param IN ('VOH', 'VIH', 'IOL', 'IIH', 'IIL') THEN g[1] END AS min_value, CASE param WHEN 'VOH' THEN g[2] WHEN 'VOL' THEN g[1] END AS typ_value,
+  CASE param WHEN 'VOL' THEN coalesce(g[2], g[1]) WHEN 'VIL' THEN g[1] END AS max_value, unit, CAST(0.85 AS DOUBLE) AS confidence FROM fn WHERE n = 1"""
+
+
 SQL = {
     "sc3_stored_tables": _G + "SELECT table_id, CAST(rc AS INTEGER) AS row_count, 7 AS column_count, CAST(ec AS INTEGER) AS empty_cells, array_to_string(list_filter(flat, lambda x: x <> ''), ' ') AS content FROM c",
-    "sc4_tables_by_document": _G + f"SELECT table_id, document_id, page, {_R6('conf', 'confidence')} FROM b WHERE document_id < 60 AND round(conf + 3e-10, 6) >= 0.65 ORDER BY page, table_id LIMIT 100",
+    "sc4_tables_by_document": _G + f"SELECT table_id, document_id, page, {_R6('conf', 'confidence')} FROM b WHERE round(conf + 3e-10, 6) >= 0.65 ORDER BY page, table_id LIMIT 100",
     "tb1_confidence": _G + f"SELECT table_id, {_R6('conf', 'confidence')} FROM b",
     "tb2_table_type": _G + f"SELECT table_id, table_type, {_R6('conf2', 'confidence')} FROM k",
     "tb3_header_keywords": _G + "SELECT table_id, kw AS header_keywords FROM k",
@@ -145,7 +170,8 @@ SELECT gid AS table_id, document_id, min(page) AS page, CAST(sum(rc - 1) + 1 AS
     "tb10_tb12_specs": f"""WITH n AS (SELECT table_id, row_no, replace(symbol, '_', '') AS param, {_NUM('min_text')} AS lo, CASE WHEN typ_text = '-' THEN NULL ELSE {_NUM('typ_text')} END AS typ, {_NUM('max_text')} AS hi, unit_text, condition_text FROM {{fx_tables}} WHERE table_id % 4 <> 3),
 v AS (SELECT *, CASE WHEN param IN ('VOH', 'VIH', 'IOH') THEN coalesce(lo, typ, hi) WHEN param IN ('VOL', 'VIL', 'IOL') THEN coalesce(hi, typ, lo) ELSE coalesce(typ, hi, lo) END AS value FROM n),
 w AS (SELECT *, row_number() OVER (PARTITION BY table_id, param ORDER BY row_no) AS k FROM v WHERE {_RANGE}) SELECT table_id, param, lo AS min_value, value, hi AS max_value, unit_text AS unit, condition_text AS condition, CAST(0.93 AS DOUBLE) AS confidence FROM w WHERE k = 1""",
-    "tb14_row_answer": """WITH t AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY page, table_id) AS tn FROM {fx_tables} WHERE document_id % 5 = 0),
+    "tb13_text_scan": _scan(),
+    "tb14_row_answer": """WITH t AS (SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY page, table_id) AS tn FROM {fx_tables}),
 h AS (SELECT document_id AS query_id, table_id, row_no, row_number() OVER (PARTITION BY document_id ORDER BY tn, row_no) AS k FROM t WHERE tn <= 10 AND symbol = 'VIH') SELECT query_id, table_id, row_no FROM h WHERE k = 1""",
     "pf6_range_check": f"SELECT param_name, count(*) AS n, count(*) FILTER ({_RANGE.replace('CASE param ', 'CASE param_name ').replace('value', 'param_value')}) AS n_valid FROM {{fx_parameters}} GROUP BY param_name",
     "pf10_table_text": _G + """, l AS (SELECT table_id, array_to_string(list_filter(list_transform(list_prepend(header, body), lambda r: array_to_string(list_filter(r, lambda x: x <> ''), ' | ')), lambda x: x <> ''), chr(10)) AS text, header FROM g)

@@ -45,6 +45,10 @@ def tx5(spark, sf_dir):
     return pages(spark, sf_dir).select("document_id", F.length(T.chart_noise_removed(F.col("text"))).alias("kept"))
 
 
+def tx6(spark, sf_dir):
+    return pages(spark, sf_dir).select("document_id", F.length(T.query_time_text(F.col("text"))).alias("kept"))
+
+
 def tx7(spark, sf_dir):
     t = T.circuit_types(F.col("text"))
     return pages(spark, sf_dir).select("document_id", F.array_join(t, ",").alias("types"))
@@ -59,7 +63,7 @@ def tx10(spark, sf_dir):
 
 
 def tx11(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 300), F.when(F.col("document_id") % 2 == 0, " Electrical Characteristics ").otherwise(" "), F.substring("text", 301, 900), F.when(F.col("document_id") % 3 == 0, " Package Information ").otherwise(" "), F.substring("text", 1201, 5000))
+    t = F.concat(F.substring("text", 1, 300), F.when(F.col("document_id") % 2 == 0, " Electrical Characteristics ").otherwise(" "), F.substring("text", 301, 900), F.when(F.col("document_id") % 3 == 0, " Package Information ").otherwise(" "), F.expr("substring(text, 1201)"))
     return pages(spark, sf_dir).select("document_id", F.md5(T.section(t)).alias("section_key"))
 
 
@@ -108,17 +112,35 @@ def pf9(spark, sf_dir):
 
 
 QUERIES = {
-    "sc1_document_status": sc1, "sc2_web_pages": sc2, "tx1_sentences": tx1, "tx2_chunks": tx2, "tx3_windows": tx3, "tx4_chunk_ids": tx4, "tx5_chart_noise": tx5, "tx7_tx8_circuit_types": tx7, "tx9_components": tx9, "tx10_page_type": tx10,
+    "sc1_document_status": sc1, "sc2_web_pages": sc2, "tx1_sentences": tx1, "tx2_chunks": tx2, "tx3_windows": tx3, "tx4_chunk_ids": tx4, "tx5_chart_noise": tx5, "tx6_query_time_text": tx6, "tx7_tx8_circuit_types": tx7, "tx9_components": tx9, "tx10_page_type": tx10,
     "tx11_section": tx11, "tx12_context": tx12, "tx13_sentence_dedupe": tx13, "tx14_role_markers": tx14, "tx15_errors": tx15, "tx16_answer_cleanup": tx16, "tx17_captions": tx17, "tx20_acceptance": tx20, "tx21_annotations": tx21, "pf9_figure_classes": pf9,
 }
 
 _COL = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 _ANY = lambda t, ws: "(" + " OR ".join(f"contains({t}, '{w}')" for w in ws) + ")"
 
+_PARTS = [r"\\b([A-Z]{2,}\\d{2,}[A-Z0-9]*)\\b", r"\\b(LM\\d{3,}|NE\\d{3,}|TL\\d{3,}|AD\\d{3,}|OPA\\d{3,})\\b", r"\\b(\\d{1,4}[kKmM]?[Ωω])", r"\\b(\\d{1,4}[pPnNuUμmM]?[Ff])\\b"]
+_REPEATS = """WITH s0 AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, '[^。！？.!?\\n]*[。！？.!?]?'), lambda x: trim(x)) AS s FROM {fx_answers}),
+s1 AS (SELECT conv_id, turn, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM s0),
+s2 AS (SELECT *, substring(regexp_replace(lower(s), '\\s+', '', 'g'), 1, 20) AS k FROM s1 WHERE length(s) > 6 AND length(regexp_replace(lower(s), '\\s+', '', 'g')) > 4),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY pos) AS n FROM s2), s4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS r FROM s3 WHERE n = 1),
+s5 AS (SELECT conv_id, turn, string_agg(s, chr(10) ORDER BY pos) AS d FROM s4 WHERE r <= 15 GROUP BY conv_id, turn),
+rp AS (SELECT a.conv_id, a.turn, a.text, coalesce(d, '') AS deduped, length(replace(a.text, ' ', '')) > 20 AND length(replace(coalesce(d, ''), ' ', '')) < 0.5 * length(replace(a.text, ' ', '')) AS repetitive
+  FROM {fx_answers} a LEFT JOIN s5 ON s5.conv_id = a.conv_id AND s5.turn = a.turn)"""
+_TEXT11 = "SELECT doc_id AS document_id, concat(substring(text, 1, 300), CASE WHEN doc_id % 2 = 0 THEN ' Electrical Characteristics ' ELSE ' ' END, substring(text, 301, 900), CASE WHEN doc_id % 3 = 0 THEN ' Package Information ' ELSE ' ' END, substring(text, 1201)) AS t FROM documents"
+_AT = lambda t, p: f"CASE WHEN regexp_matches({t}, '{p}') THEN length(regexp_extract({t}, '(?s)^(.*?)(?:{p})', 1)) + 1 ELSE 0 END"
+
 SQL = {
+    "tx9_components": "SELECT doc_id AS document_id, array_to_string(list_sort(list_distinct(" + "list_concat(" * 3 + ", ".join(f"list_slice(regexp_extract_all(text, '{p}', 1), 1, 5)" + (")" if k else "") for k, p in enumerate(_PARTS)) + ")), ',') AS components FROM documents",
+    "tx11_section": f"WITH x AS ({_TEXT11}), a AS (SELECT *, {_AT('t', T.SECTION_START)} AS beg FROM x), b AS (SELECT *, CASE WHEN beg > 0 THEN substring(t, beg, 2000) ELSE substring(t, 1, 2000) END AS body FROM a), c AS (SELECT *, substring(body, 52, 2000) AS rest FROM b), d AS (SELECT *, {_AT('rest', T.SECTION_END)} AS stop FROM c) SELECT document_id, md5(CASE WHEN beg > 0 AND stop > 0 THEN substring(body, 1, stop + 50) ELSE body END) AS section_key FROM d",
+    "tx12_context": f"WITH a AS (SELECT doc_id AS document_id, text, {_AT('text', '(?i)' + chr(92) + 'bthor' + chr(92) + 'b')} AS a4, {_AT('text', '(?i)' + chr(92) + 'btho' + chr(92) + 'b')} AS a3 FROM documents), b AS (SELECT *, CASE WHEN a4 > 0 THEN a4 ELSE a3 END AS f, CASE WHEN a4 > 0 THEN 4 ELSE 3 END AS s FROM a WHERE a4 > 0 OR a3 > 0) SELECT document_id, trim(substring(text, greatest(f - 125, 1), f + s + 125 - greatest(f - 125, 1))) AS around FROM b",
+    "tx13_sentence_dedupe": _REPEATS + " SELECT conv_id, turn, md5(deduped) AS deduped_key, repetitive FROM rp",
+    "tx16_answer_cleanup": r"""WITH a AS (SELECT conv_id, turn, concat('<think>x</think>## **', text) AS t FROM {fx_answers}), b AS (SELECT conv_id, turn, regexp_replace(t, '(?is)<think>.*?</think>|</?think>', '', 'g') AS t FROM a), c AS (SELECT conv_id, turn, regexp_replace(t, '(?im)^\s*(assistant|user|system)\s*[:：]?\s*$', '', 'g') AS t FROM b),
+d AS (SELECT conv_id, turn, regexp_replace(t, '(?m)^\s{{0,3}}#{{1,6}}\s*|\*\*|`', '', 'g') AS t FROM c), e AS (SELECT conv_id, turn, regexp_replace(t, '(\d)\s+(V|mA|A|MHz|kHz|Hz|ns|W)\b', '\1\2', 'g') AS t FROM d)
+SELECT conv_id, turn, length(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS kept FROM e""".replace("{{", "{").replace("}}", "}").replace(chr(92) * 2, chr(92)),
     "sc1_document_status": "WITH p AS (SELECT concat(source, '-', CAST(floor(doc_id / 100) AS BIGINT)) AS document_id, n_chars < 100 AS e FROM documents) SELECT document_id, count(*) AS page_count, count(*) FILTER (e) AS error_pages, CASE WHEN count(*) FILTER (e) = 0 THEN 'success' WHEN count(*) FILTER (e) < count(*) THEN 'partial' ELSE 'error' END AS status FROM p GROUP BY document_id",
-    "tx3_windows": f"WITH d AS (SELECT doc_id AS document_id, {_COL} AS t FROM documents), e AS (SELECT document_id, t, unnest(range(0, least(100, (length(t) + 599) // 600))) AS pos FROM d WHERE length(t) > 0) SELECT document_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 600 AS INTEGER) AS start, md5(substring(t, pos * 600 + 1, 800)) AS chunk_key FROM e",
-    "tx4_chunk_ids": f"WITH d AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, {_COL} AS t FROM documents), e AS (SELECT document_id, page, unnest(range(0, least(100, (length(t) + 599) // 600))) AS pos FROM d WHERE length(t) > 0) SELECT document_id, page, CAST(pos AS INTEGER) AS pos, concat(document_id, '_p', page, '_c', row_number() OVER (PARTITION BY document_id ORDER BY page, pos) - 1) AS chunk_id FROM e",
+    "tx3_windows": f"WITH d AS (SELECT doc_id AS document_id, {_COL} AS t FROM documents), e AS (SELECT document_id, t, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 600 AS INTEGER) AS start, md5(substring(t, pos * 600 + 1, 800)) AS chunk_key FROM e",
+    "tx4_chunk_ids": f"WITH d AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, {_COL} AS t FROM documents), e AS (SELECT document_id, page, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, page, CAST(pos AS INTEGER) AS pos, concat(document_id, '_p', page, '_c', row_number() OVER (PARTITION BY document_id ORDER BY page, pos) - 1) AS chunk_id FROM e",
     "tx7_tx8_circuit_types": "WITH x AS (SELECT doc_id AS document_id, list_filter([" + ", ".join(f"CASE WHEN {_ANY('lower(text)', ws)} THEN '{n}' END" for n, ws in T.CIRCUIT_WORDS) + "], lambda v: v IS NOT NULL) AS t FROM documents) SELECT document_id, CASE WHEN len(t) > 0 THEN array_to_string(t, ',') ELSE 'unknown' END AS types FROM x",
     "tx10_page_type": f"""SELECT doc_id AS document_id, CASE WHEN {_ANY('lower(text)', T.COVER_WORDS)} AND length(text) < 500 THEN 'cover' WHEN contains(lower(text), 'contents') THEN 'toc' WHEN {_ANY('lower(text)', T.TIMING_WORDS)} THEN 'timing_diagram'
   WHEN (doc_id % 3 = 0 OR doc_id % 4 = 0) AND {_ANY('lower(text)', T.PARAMETER_WORDS)} THEN 'parameter_table' WHEN (doc_id % 3 = 0 OR doc_id % 4 = 0) AND {_ANY('lower(text)', T.PIN_WORDS)} THEN 'pin_table' ELSE 'text_only' END AS page_type FROM documents""",

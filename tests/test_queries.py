@@ -7,6 +7,11 @@ from sheetmill.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, TWINS = registry.queries(), registry.oracle_sql()
+#: Folds and lists that SQL does not express; their outputs are compared whole in other tests.
+ELSEWHERE = {
+    "ex1_cascade", "ex6_pairs", "ex11_ex12_pin_names", "rt19_query_enrichment", "sc2_web_pages", "sc11_index_documents", "st3_ttl",
+    "tx1_sentences", "tx2_chunks", "tx5_chart_noise", "tx6_query_time_text", "tx17_captions", "tx20_acceptance", "tx21_annotations",
+}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +33,7 @@ def test_query(name, spark, sf, duck):
     df = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
     if name not in TWINS:
-        assert df.columns
+        assert name in ELSEWHERE and rows
         return
     cur = duck.execute(TWINS[name])
     names = [d[0] for d in cur.description]
