@@ -35,10 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there from now on."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def checkpointed(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df`` written to the shared folder and read from there from now on.
+
+    While it is computed, Python workers get at most ``rows`` rows at once: a row may hold a whole text,
+    and both sides keep a batch in memory.
+    """
+    conf = df.sparkSession.conf
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    before = conf.get(BATCH)
+    conf.set(BATCH, str(min(int(before), rows)) if int(before) > 0 else str(rows))
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(BATCH, before)
 
 
 def fold(id_col: Column, k: int) -> Column:
