@@ -239,6 +239,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; other texts under the same id, null or not, stay."""
-    hit = held(docs, benchmark, **options).select(F.col("doc_id").alias("_hit"), F.col("tk").alias("_tk")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & (_text_key(docs) == F.col("_tk")), "left_anti")
+    """The rows of ``docs`` that hold no item of the benchmark; other texts under the same id, null or not, stay.
+
+    A row is carried as a whole, so no name of a column can clash.
+    """
+    hit = held(docs, benchmark, **options).select(F.col("doc_id").alias("hit"), "tk").distinct()
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("tk"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit")) & (rows["tk"] == hit["tk"]), "left_anti").select("row.*")
