@@ -30,7 +30,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -75,6 +74,7 @@ class Kinds(dict):
 
 
 _kinds = Kinds()
+_END = np.array([_kinds["."]], U64)
 
 
 def coded(text: str) -> np.ndarray:
@@ -82,27 +82,39 @@ def coded(text: str) -> np.ndarray:
     return np.fromiter(map(_kinds.__getitem__, tokens), dtype=U64, count=len(tokens))
 
 
-def template(code: np.ndarray, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each template word: its hash, its kind, and the hash of what filled it; ``named`` as if words came before."""
+def template_of(code: np.ndarray, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each template word: its hash, its kind, the hash of what filled it, and its place among the tokens.
+
+    ``named`` reads the tokens as if words came before them.
+    """
     kind = (code & U64(7)).astype(np.int8)
     before = np.concatenate([[WORD if named else STOP], kind[:-1]]) if len(kind) else kind
     kind = np.where((kind == NAME) & (before == STOP), WORD, kind)
     kind = np.where((kind == UNIT) & (before != NUMBER), WORD, kind)
-    keep = kind != STOP
-    kind, value = kind[keep], code[keep] & ~U64(7)
+    place = np.flatnonzero(kind != STOP)
+    kind, value = kind[place], code[place] & ~U64(7)
     if (kind == NAME).any():  # a run of names is one slot, filled by all of its words
         again = np.concatenate([[False], (kind[1:] == NAME) & (kind[:-1] == NAME)])
         first = np.flatnonzero(~again)
         with np.errstate(over="ignore"):
             value = np.add.reduceat(np.where(again, mix(value), value), first)
-        kind = kind[first]
-    return np.where(kind == WORD, mix(value), PLACEHOLDER[kind]), kind, value
+        kind, place = kind[first], place[first]
+    return np.where(kind == WORD, mix(value), PLACEHOLDER[kind]), kind, value, place
 
 
-def plain(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def plain_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same of plain words, which have no slots."""
-    value = code[(code & U64(7)) != STOP] & ~U64(7)
-    return mix(value ^ GOLDEN), np.zeros(len(value), np.int8), value
+    place = np.flatnonzero((code & U64(7)) != STOP)
+    value = code[place] & ~U64(7)
+    return mix(value ^ GOLDEN), np.zeros(len(value), np.int8), value, place
+
+
+def template(code: np.ndarray, named: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return template_of(code, named)[:3]
+
+
+def plain(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return plain_of(code)[:3]
 
 
 def windows(words: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,23 +173,33 @@ def _text_rows(sizes: list[int], known):
             shift = U64(64 - min(24, max(16, len(have).bit_length() + 4)))
             begins = np.zeros(1 << (64 - int(shift)), bool)
             begins[have >> shift] = True
-        for b in sized_batches(batches, most=2 << 20):
-            rows: list[list] = [[] for _ in range(6)]
-            for doc, tk, t in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), strings(b.column("text")), strict=True):
-                code = coded(t)
-                for words, kinds, fills in (template(code), plain(code)):
-                    for size in sizes:
-                        at, h = windows(words, kinds, size)
-                        if have is not None and len(h):
-                            maybe = np.flatnonzero(begins[h >> shift])
-                            at, h = at[maybe], h[maybe]
-                            hit = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h
-                            at, h = at[hit], h[hit]
-                        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                            for c, v in zip(rows, (x, size, doc, tk, p, fills[p : p + size].tobytes()), strict=True):
-                                c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["hash", "size", "doc_id", "tk", "place", "filled"])
+        for b in sized_batches(batches, most=1 << 20):
+            # All texts of a batch in a row, a stop behind each, so that arrays are long; what reaches over two texts goes.
+            codes = [coded(t) for t in strings(b.column("text"))]
+            code = np.concatenate([x for c in codes for x in (c, _END)])
+            text_no = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])
+            out: list[list] = [[] for _ in range(5)]
+            for words, kinds, fills, token in (template_of(code), plain_of(code)):
+                owner = text_no[token]
+                first = np.searchsorted(owner, np.arange(len(codes)))
+                for size in sizes:
+                    at, h = windows(words, kinds, size)
+                    if have is not None and len(h):
+                        maybe = np.flatnonzero(begins[h >> shift])
+                        at, h = at[maybe], h[maybe]
+                        hit = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h
+                        at, h = at[hit], h[hit]
+                    whole = owner[at] == owner[at + size - 1] if len(at) else np.zeros(0, bool)
+                    at, h = at[whole], h[whole]
+                    for o, x in zip(out, (h.view(np.int64), np.full(len(at), size, np.int32), owner[at], (at - first[owner[at]]).astype(np.int32)), strict=False):
+                        o.append(x)
+                    out[4] += [fills[p : p + size].tobytes() for p in at.tolist()]
+            hashes, size, no, place = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out[:4])
+            take = pa.array(no.astype(np.int64))
+            yield pa.record_batch(
+                [pa.array(hashes.astype(np.int64)), pa.array(size.astype(np.int32)), b.column("doc_id").take(take), b.column("tk").take(take), pa.array(place.astype(np.int32)), pa.array(out[4], pa.binary())],
+                names=["hash", "size", "doc_id", "tk", "place", "filled"],
+            )
 
     return run
 
@@ -192,21 +214,54 @@ def consistent(pairs: set[tuple[int, int, int]]) -> bool:
     return True
 
 
-def _judge(rows: pd.DataFrame) -> pd.DataFrame:
-    """All windows that one text shares with one form of an item."""
+def judged_rows(rows: list[tuple]) -> tuple[int, int, int]:
+    """Of all windows (place, at, size, kinds, fills, filled) that a text shares with a form of an item: words covered, slots changed, first place."""
+    shifts: dict[int, list[tuple]] = {}
+    for row in rows:
+        shifts.setdefault(row[0] - row[1], []).append(row)
     covered: set[int] = set()
     changed = 0
-    for _, part in rows.groupby("shift"):
+    for part in shifts.values():
         pairs = set()
-        for kinds, fills, filled in zip(part["kinds"], part["fills"], part["filled"], strict=True):
+        for _, _, _, kinds, fills, filled in part:
             k = np.frombuffer(kinds, "i1")
-            pairs |= {(int(x), int(y), int(z)) for x, y, z in zip(k, np.frombuffer(fills, "<u8"), np.frombuffer(filled, "<u8"), strict=True) if x != WORD}
+            if k.any():
+                pairs |= {(int(x), int(y), int(z)) for x, y, z in zip(k, np.frombuffer(fills, "<u8"), np.frombuffer(filled, "<u8"), strict=True) if x != WORD}
         if consistent(pairs):
             changed += sum(y != z for _, y, z in pairs)
-            for at, size in zip(part["at"], part["size"], strict=True):
-                covered |= set(range(at, at + size))
-    row = rows.iloc[0]
-    return pd.DataFrame({"doc_id": [row["doc_id"]], "tk": [row["tk"]], "form": [row["form"]], "item_id": [row["item_id"]], "item_words": [row["item_words"]], "covered": [len(covered)], "slots_changed": [changed], "first_word": [rows["place"].min()]})
+            for _, at, size, *_ in part:
+                covered.update(range(at, at + size))
+    return len(covered), changed, min(r[0] for r in rows)
+
+
+KEYS = ("doc_id", "tk", "item_id", "form")
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of ``KEYS``; a group is done when the next begins."""
+
+    def done(key: tuple, words: int, rows: list[tuple]) -> tuple:
+        doc, tk, item, form = key
+        return (doc, tk, form, item, words, *judged_rows(rows))
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in MATCH.split(", ")])
+
+    key, words, group = None, 0, []
+    for b in batches:
+        out = []
+        columns = (b.column(c).to_pylist() for c in (*KEYS, "item_words", "place", "at", "size", "kinds", "fills", "filled"))
+        for doc, tk, item, form, n, *row in zip(*columns, strict=True):
+            if key != (doc, tk, item, form):
+                if group:
+                    out.append(done(key, words, group))
+                key, words, group = (doc, tk, item, form), n, []
+            group.append(tuple(row))
+        yield batch(out)
+    if group:
+        yield batch([done(key, words, group)])
 
 
 MATCH = "doc_id long, tk long, form int, item_id long, item_words int, covered int, slots_changed int, first_word int"
@@ -227,8 +282,8 @@ def held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: flo
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("tk"), t.alias("text"))
     own = rows.mapInArrow(_text_rows(sizes, known), "hash long, size int, doc_id long, tk long, place int, filled binary")
-    both = own.join(items, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("at"))
-    judged = both.groupBy("doc_id", "tk", "item_id", "form").applyInPandas(_judge, MATCH)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = own.join(items, ["hash", "size"]).repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_judged, MATCH)
     best = judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "tk", "item_id").agg(F.min_by(F.struct("item_words", "covered", "slots_changed", "first_word"), "form").alias("best"))
     return best.select("doc_id", "tk", "item_id", "best.*")
 
