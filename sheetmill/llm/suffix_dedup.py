@@ -36,7 +36,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cmp_to_key
-from itertools import accumulate, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -125,21 +125,45 @@ def _anchor_rows(length: int, gram: int, full: bool):
 
 
 # -- the suffix sort of one group ----------------------------------------------------------------
-PRIME, RADIX = (1 << 61) - 1, 0x1F3D5B79A2C4E6F1 % ((1 << 61) - 1)
-_radix = list(accumulate(range(4096), lambda p, _: p * RADIX % PRIME, initial=1))
+MASK = (1 << 64) - 1
+_shifts = array("Q")
+
+
+def prefix_hashes(data: bytes) -> array:
+    """Sums of byte codes times falling powers, modulo 2**64; a difference times a rising power is the hash of a stretch."""
+    global _shifts
+    n = len(data)
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(BYTE_CODES[np.frombuffer(data, np.uint8)] * _power(INVERSE, n), dtype=U64)
+    if len(_shifts) < n + 1:
+        _shifts = array("Q", _power(BASE, max(n + 1, 1 << 16)).tobytes())
+    return array("Q", bytes(8) + sums.tobytes())
 
 
 class Suffix:
-    """A context and its prefix polynomial hashes; the suffix begins at the anchor."""
+    """A context and its prefix polynomial hashes; the suffix begins at the anchor.
+
+    The contexts of a group may share one row of hashes, in which this one's begin at ``base``.
+    """
 
-    __slots__ = ("at", "data", "hashes", "row")
+    __slots__ = ("at", "base", "data", "hashes", "row")
 
-    def __init__(self, data: bytes, at: int, row: int) -> None:
-        self.data, self.at, self.row = data, at, row
-        self.hashes = array("Q", accumulate(data, lambda h, x: (h * RADIX + x + 1) % PRIME, initial=0))
+    def __init__(self, data: bytes, at: int, row: int, hashes: array | None = None, base: int = 0) -> None:
+        self.data, self.at, self.row, self.base = data, at, row, base
+        self.hashes = prefix_hashes(data) if hashes is None else hashes
 
     def part(self, low: int, high: int) -> int:
-        return (self.hashes[high] - self.hashes[low] * _radix[high - low]) % PRIME
+        low += self.base
+        return (self.hashes[self.base + high] - self.hashes[low]) * _shifts[low] & MASK
+
+
+def suffixes_of(contexts: list[tuple[bytes, int]]) -> list[Suffix]:
+    """Suffixes of a group's contexts (bytes, place of the anchor), numbered."""
+    hashes, base, out = prefix_hashes(b"".join(data for data, _ in contexts)), 0, []
+    for row, (data, at) in enumerate(contexts):
+        out.append(Suffix(data, at, row, hashes, base))
+        base += len(data)
+    return out
 
 
 def common_right(a: Suffix, b: Suffix) -> int:
@@ -187,6 +211,11 @@ def common_stretches(group: list[Suffix], length: int) -> dict[int, list[int]]:
     together by a step share exactly that step's extension to the left; the longest to the right is
     that of a neighbour in right order.
     """
+    if len(group) == 2:  # nothing to sort
+        a, b = group
+        right = common_right(a, b)
+        left = common_left(a, b) if right + min(a.at, b.at) >= length else 0
+        return {s.row: [left, right] for s in group} if left + right >= length else {}
     by_right = sorted(group, key=cmp_to_key(_order))  # mergesorts
     rank = {s.row: k for k, s in enumerate(by_right)}
     by_left = sorted(group, key=cmp_to_key(_left_order))
@@ -224,7 +253,7 @@ def _sort_groups(length: int):
     """Rows come in order of gram; a group is done when the next begins."""
 
     def done(group: list[tuple]) -> Iterator[tuple]:
-        suffixes = [Suffix(data, at, k) for k, (_, _, _, at, data) in enumerate(group)]
+        suffixes = suffixes_of([(data, at) for _, _, _, at, data in group])
         for row, (left, right) in common_stretches(suffixes, length).items():
             tk, size, place = group[row][:3]
             yield tk, size, place - left, place + right
