@@ -3,8 +3,9 @@
 Lexical features of a URL are columns: its length and depth, the share of digits, the entropy of its
 characters, its parameters, hyphens and host labels, and how often labelled URLs with the same last
 one and last two labels of the host are blocked (smoothed). The trees are trained on labelled URLs, at
-most about ``SAMPLE`` of them, chosen by a hash of the URL. ``judged`` takes the URLs that a rule names
-as the labelled ones.
+most about ``SAMPLE`` of them, chosen by a hash of the URL. In training, a URL's rates are those of the
+other ``FOLDS - 1`` folds (by a hash of the URL), so that they never hold its own label. ``judged`` takes
+the URLs that a rule names as the labelled ones.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule, and is
 judged by its other features; without labelled URLs of both kinds the verdict is the kind that
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.llm.common import checkpointed
 
-SAMPLE, TREES, DEPTH, PRIOR = 20_000, 10, 3, 5.0
+SAMPLE, TREES, DEPTH, PRIOR, FOLDS = 20_000, 10, 3, 5.0, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): the rule's host, then the beginning of the path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -104,12 +105,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     table = checkpointed(labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < share * 1_000_003))
     base = float(ones) / total
 
-    def rates(by: str) -> DataFrame:
-        # Of all labelled URLs, not of the sample.
-        return checkpointed(labelled.groupBy(by).agg(((F.sum("label") + PRIOR * base) / (F.count("*") + PRIOR)).alias(f"{by}_rate")))
-
-    model = UrlModel(None, rates("last"), rates("domain"), base, None)
-    ready = checkpointed(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.rated(table)).select("features", "label"))
+    def rate(ones: Column, n: Column) -> Column:
+        return (ones + PRIOR * base) / (n + PRIOR)
+
+    # Rates are those of all labelled URLs, not of the sample.
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    totals, train = {}, table.withColumn("fold", fold)
+    for by in ("last", "domain"):
+        parts = checkpointed(labelled.groupBy(by, fold.alias("fold")).agg(F.sum("label").alias("ones"), F.count("*").alias("n")))
+        whole = parts.groupBy(by).agg(F.sum("ones").alias("all_ones"), F.sum("n").alias("all_n"))
+        totals[by] = checkpointed(whole.select(by, rate(F.col("all_ones"), F.col("all_n")).alias(f"{by}_rate")))
+        others = parts.join(whole, by).select(by, "fold", rate(F.col("all_ones") - F.col("ones"), F.col("all_n") - F.col("n")).alias(f"{by}_rate"))
+        train = train.join(others, [by, "fold"])
+    model = UrlModel(None, totals["last"], totals["domain"], base, None)
+    ready = checkpointed(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label"))
     model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11).fit(ready)
     return model
 

@@ -94,6 +94,15 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scores(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_with_clashing_columns_and_a_tie_at_the_threshold(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 9, "x"), (1, "you idiot", 8, "y"), (None, "calm", 7, None)], "doc_id long, text string, label int, score string")
+    docs = docs.withColumns({"exact": F.lit("e"), "weight": F.lit(1), "predicted": F.lit("p"), "held_out": F.lit(None).cast("string")})
+    labels = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (None, 1, "c")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.scores(docs, toxicity.ToxicModel(model.words, {}, (0.0,) * len(toxicity.FEATURES), 0.0), threshold=0.5).collect()
+    assert [(r.score, r.predicted) for r in out] == [(0.5, 1)] * 3 and sorted(r.exact for r in out)[0] == 0.0 < max(r.exact for r in out)
+
+
 def test_neighbours_equal_exact_search(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in queries.op6_onebit_ann(spark, SMALL).collect())
     c = duckdb.connect()
@@ -147,14 +156,36 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judged(df.where("page_id >= 6")).collect()} == {"allow"}
 
 
-def test_url_trees_learn_their_labels(spark):
-    rows = url_filter.with_features(queries.table(spark, SMALL, "pages").select("page_id", "url"))
+def labelled_urls(spark, sf):
+    rows = url_filter.with_features(queries.table(spark, sf, "pages").select("page_id", "url"))
     rule, verdict = url_filter.matching_rule(F.col("host"), F.col("path"))
-    marked = rows.withColumn("by", verdict).where("by is not null").withColumn("label", (F.col("by") == "block").cast("double"))
+    return rows.withColumn("by", verdict).where("by is not null").withColumn("label", (F.col("by") == "block").cast("double"))
+
+
+def test_url_trees_learn_their_labels(spark):
+    marked = labelled_urls(spark, SMALL)
     out = url_filter.fit(marked).verdicts(marked)
     assert out.where("own = by").count() > 0.9 * out.count()
 
 
+def test_url_trees_beat_the_commoner_verdict_on_held_out_urls(spark):
+    marked = labelled_urls(spark, "/root/testdata/sf0.1").withColumn("held", F.crc32("url") % 4 == 0)
+    out = url_filter.fit(marked.where("not held")).verdicts(marked.where("held"))
+    n, blocked, right = out.agg(F.count("*"), F.sum("label"), F.count_if(F.col("own") == F.col("by"))).first()
+    assert n > 100 and right > max(blocked, n - blocked)
+
+
+def test_repeated_and_very_long_urls(spark):
+    long = "http://a.com/en/" + "x/7-" * 50_000
+    urls = [long, long, "http://b.net/de/1", "http://b.net/de/1", "://", "", None, None]
+    df = spark.createDataFrame([(k, u, 0, 0) for k, u in enumerate(urls)], "page_id long, url string, label int, fold int")
+    out = {r.page_id: r for r in url_filter.judged(df).collect()}
+    assert sorted(out) == list(range(len(urls))) and out[0].path == long[len("http://a.com") :]
+    assert [out[k].verdict for k in range(4)] == ["block", "block", "allow", "allow"]
+    assert {(out[k].host, out[k].path, out[k].rule) for k in (4, 5, 6, 7)} == {("", "", None)}
+    assert out[6][1:] == out[7][1:]
+
+
 def test_leaks_are_found_and_clean_rows_are_not(spark):
     docs, bench = queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "benchmark")
     d, b = docs.toPandas(), bench.toPandas()
