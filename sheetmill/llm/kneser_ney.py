@@ -12,9 +12,8 @@ Scoring maps these files into memory in the workers, which look up the bigrams o
 pages are shared by the workers of a machine. A file that is not on a mounted file system is copied
 to the worker's temporary folder first and removed as soon as it is mapped.
 
-A bigram is known by a hash: 64 bits, of which a bucket keeps the upper 32 while buckets are small,
-so an unseen bigram is taken for a seen one about once in 20,000 look-ups. Order 2 is used because
-the counts of order 3 do not fit four times the input's size on disk.
+A bigram is known by 64 bits of hash, at every size of the input. Order 2 is used because the counts
+of order 3 do not fit four times the input's size on disk.
 
 Words: lower-cased (A-Z only), split at the six ASCII blanks; then one end for each text.
 
@@ -54,7 +53,6 @@ class Model(NamedTuple):
     folder: str
     gram_bits: int
     word_bits: int
-    wide: bool
     tokens: int  # N
     types: int  # V
     bigrams: int  # different bigrams
@@ -198,12 +196,12 @@ def _stats(kind: int, keys: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], names=["kind", "key", "n", "n1", "n2", "n3"])
 
 
-def _merge(folder: str, wide: bool):
+def _merge(folder: str):
     def finish(bucket: int, blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [unpacked(x) for x in blocks]
         h1, h2, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
         keys, at, n = added(gram_hash(h1, h2), n)
-        write_arrays(f"{folder}/grams/{bucket}", keys if wide else (keys >> U64(32)).astype("<u4"), np.minimum(n, 2**32 - 1).astype("<u4"))
+        write_arrays(f"{folder}/grams/{bucket}", keys, np.minimum(n, 2**32 - 1).astype("<u4"))
         return h1[at], h2[at], n
 
     def tell(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +289,12 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     rows = docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(4, int(size / BYTES_PER_BUCKET).bit_length()), MOST_BUCKETS.bit_length() - 1)
-    wide = size / BYTES_PER_BUCKET > 4 * MOST_BUCKETS
     word_bits = max(2, bits - 3)
     base = shared_dir(spark)
     folder = f"{base.rstrip('/')}/kneser-ney-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.mapInArrow(_blocks(bits), "bucket long, block binary")
-    stats = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(folder, wide), STATS)
+    stats = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(folder), STATS)
     words = stats.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3")))
     # The same rule for both kinds, on the 40 bits that they share.
     words = words.withColumn("bucket", F.when(F.col("kind") == COUNTS, 0).otherwise(F.shiftrightunsigned(F.shiftleft("key", 24), 64 - word_bits)))
@@ -306,7 +303,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     n, types, grams, c1, c2, c3, c4, more = (int(x) for x in meta[:8])
     d, dw = _discounts(tuple(int(x) for x in meta[8:])), _discounts((c1, c2, c3, c4))
     gamma = (dw[0] * c1 + dw[1] * c2 + dw[2] * more) / grams if grams else 1.0
-    return Model(folder, bits, word_bits, wide, n, types, grams, d, dw, gamma)
+    return Model(folder, bits, word_bits, n, types, grams, d, dw, gamma)
 
 
 # -- scoring -----------------------------------------------------------------------------------
@@ -346,8 +343,7 @@ class Lookup:
 
     def pairs(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         m = self.model
-        g, bucket = gram_hash(h1, h2), gram_bucket(h1, h2 & LOW40, m.gram_bits)
-        return self.find("grams", ("<u8", "<u4") if m.wide else ("<u4", "<u4"), bucket, g if m.wide else g >> U64(32))[0]
+        return self.find("grams", ("<u8", "<u4"), gram_bucket(h1, h2 & LOW40, m.gram_bits), gram_hash(h1, h2))[0]
 
 
 def _discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
