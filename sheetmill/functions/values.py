@@ -243,3 +243,66 @@ PACKAGE_ENDS = ("electrical characteristics", "recommended operating conditions"
 # Labels of axes, and titles of charts.
 AXIS_LABELS = ("VDIFF (V)", "VIN (V)", "VOUT+ (V)", "VOUTt (V)", "VOUT- (V)", "Figure 7-2", "Figure 7-", "Figure 8-")
 CHART_TITLES = ("Differential Output Voltage vs Input Voltage", "Positive Output Voltage Node vs Input Voltage", "Output Voltage")
+
+# What a pin is for, in order: kind, words in its lower-case name, patterns at the start of its upper-case name.
+PIN_KINDS = [
+    ("power", ("vcc", "vdd", "power", "supply", "vee", "v+", "v-", "vbat", "vref", "vdda", "vssa", "avcc", "avdd", "dvcc", "dvdd", "vddio", "vout", "3v3", "5v", "1v8", "vin"), ()),
+    ("ground", ("gnd", "vss", "ground", "pgnd", "agnd", "dgnd", "sgnd"), ()),
+    ("special", ("nrst", "reset", "boot", "swdio", "swclk", "jtdi", "jtck", "jtms", "jtdo", "jtrst", "trst", "tck", "tms", "tdi", "tdo", "test", "mode", "por", "wdt"), ()),
+    ("special", ("xtal", "osc", "clk", "clkout", "mco", "hse", "hsi", "lse", "lsi"), ()),
+    ("output", ("out",), (r"^\d*(?:OUT|O)\d*$",)),
+    ("input", ("input", "in+", "in-", "_i", "+", "-"), (r"^\d*(?:IN|I)[N\d]*[+-]?$",)),
+    ("nc", ("nc", "n.c.", "no connect", "n/a", "dnc", "reserved"), ()),
+    ("analog", ("adc", "dac", "analog", "aout", "ain"), ()),
+    ("bidirectional", (), (r"^P[A-Z]\d+", r"^[A-E]\d+", r"^GP\d+", r"^IO\d+", r"^RB\d+", r"^RC\d+", r"^RD\d+", r"^RA\d+", r"^GPIO\d*")),
+]
+OTHER_PIN = "io"
+
+# Names that tell what a pin is for: words in the lower-case name, patterns of the upper-case name.
+MEANINGFUL_WORDS = (
+    "input", "output", "in+", "in-", "out+", "out-", "out1", "out2", "in1", "in2", "reset", "nrst",
+    "boot", "xtal", "osc", "clk", "adc", "dac", "swdio", "swclk", "mco", "in", "out",
+)
+MEANINGFUL_PREFIXES = ("VCC", "VEE", "VDD", "VSS", "GND", "V+", "V-", "VBAT", "VREF", "VDDA", "VSSA", "AVCC", "AVDD")
+MEANINGFUL_PATTERNS = (r"^P[A-Z]\d+", r"^[A-E]\d+", r"^GP\d+")
+
+# What looks like a pin's name and is none; months count only together with a year or a number after a dash.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+DATE_PATTERNS = (r"\d{4}", r"-\d+")
+GARBAGE_PATTERNS = (
+    r"^(?:REV|REVISION|VERSION|VER|V\d*\.?\d*)$",
+    r"^PAGE\s*\d+$",
+    r"^\d{4}$",
+    r"^[A-Z]{3}-\d{4}$",
+    r"^DOC(?:UMENT)?\s*\d*$",
+    r"^SHEET\s*\d+/\d+$",
+    r"^(?:WWW\.|HTTP|HTTPS|@)",
+    r"^\d+\s*[\/\-\.]\s*\d+\s*[\/\-\.]\s*\d+$",
+    r"^FIGURE\s*\d+|^TABLE\s*\d+",
+    r"^(?:CONFIDENTIAL|PROPRIETARY|DRAFT|PRELIMINARY)$",
+)
+
+# Words of which two make a figure a circuit, and class labels that pass or are rejected.
+CIRCUIT_EVIDENCE = ("circuit", "schematic", "amplifier", "filter", "regulator", "oscillator", "op-amp", "transistor", "capacitor", "resistor", "电路", "原理图", "放大器", "滤波器", "稳压器", "振荡器")
+PASSED_CLASSES = ("circuit_diagram", "application_circuit", "test_circuit", "block_diagram", "schema")
+REJECTED_CLASSES = ("chip_package", "pin_diagram", "pcb_layout", "mechanical_drawing", "package_materials", "table", "chart", "timing_diagram", "logo", "photo", "truth_table", "state_diagram", "pinout_diagram", "other")
+
+# Part numbers and component values in a caption, in order; of each the first five count.
+COMPONENT_PATTERNS = (r"\b([A-Z]{2,}\d{2,}[A-Z0-9]*)\b", r"\b(LM\d{3,}|NE\d{3,}|TL\d{3,}|AD\d{3,}|OPA\d{3,})\b", r"\b(\d{1,4}[kKmM]?[Ωω])", r"\b(\d{1,4}[pPnNuUμmM]?[Ff])\b")
+
+# Packages in the order in which they are looked for.
+PACKAGES = ("DIP", "SOIC", "TSSOP", "SSOP", "QFN", "QFP", "PLCC", "LGA", "BGA", "SOP", "SOT", "TO")
+
+# Part numbers of drivers and receivers.
+PAIRED_PARTS = r"(SN74[A-Z]{0,3}\d+[A-Z0-9-]*|74[A-Z]{1,3}\d+[A-Z0-9-]*|(?:NE|LM|CD|MAX|MCP|PCA|PCF|ADS|OP|TL)\d+[A-Z0-9]*)"
+
+# What a section is searched for by the kind of a question, and otherwise.
+SECTION_VALUES = {
+    "voltage": r"((?:VCC|VDD|VS|Supply\s+voltage)[^\n]{0,40}?\d+\.?\d*\s*V)",
+    "current": r"((?:ICC|IDD|Supply\s+current)[^\n]{0,40}?\d+\.?\d*\s*m?A)",
+    "temperature": r"((?:Operating\s+temperature|TA)[^\n]{0,40}?-?\d+\s*°?C)",
+}
+OTHER_SECTION_VALUE = r"((?:Power\s+dissipation|PD)[^\n]{0,40}?\d+\.?\d*\s*m?W)"
+
+# Words that stay in a rewritten query.
+REWRITE_WORDS = ("voltage", "vcc", "vdd", "supply", "current", "power", "temperature", "operating", "frequency", "bandwidth")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,6 @@ from sheetmill.functions import values
 from sheetmill.operators.tables import in_range
 
 _NUMBER = r"([+-]?\d+\.?\d*)"
-# Packages in the order in which they are looked for.
-PACKAGES = ("DIP", "SOIC", "TSSOP", "SSOP", "QFN", "QFP", "PLCC", "LGA", "BGA", "SOP", "SOT", "TO")
 PART_NUMBER = r"\b([A-Z]{2,}\d+[A-Z0-9-]*|SN\d+[A-Z]+\d*|NE\d+|LM\d+|CD\d+[A-Z]*)\b"
 
 
@@ -57,8 +58,7 @@ def part_numbers(text: Column) -> Column:
 
 def driver_and_receiver(text: Column) -> Column:
     """The first two part numbers of a text of which none ends with the other."""
-    families = r"(?i)(SN74[A-Z]{0,3}\d+[A-Z0-9-]*|74[A-Z]{1,3}\d+[A-Z0-9-]*|(?:NE|LM|CD|MAX|MCP|PCA|PCF|ADS|OP|TL)\d+[A-Z0-9]*)"
-    found = F.transform(F.regexp_extract_all(text, F.lit(families), F.lit(1)), F.upper)
+    found = F.transform(F.regexp_extract_all(text, F.lit("(?i)" + values.PAIRED_PARTS), F.lit(1)), F.upper)
     none = F.array().cast("array<string>")
     kept = F.aggregate(found, none, lambda acc, x: F.when(F.exists(acc, lambda c: c.endswith(x) | x.endswith(c)), acc).otherwise(F.concat(acc, F.array(x))))
     return F.slice(kept, 1, 2)
@@ -69,14 +69,15 @@ def section_values(text: Column, intent: Column) -> Column:
     def all_of(pattern: str) -> Column:
         return F.array_join(F.slice(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1)), 1, 3), "; ")
 
-    return F.when(intent == "voltage", all_of(r"((?:VCC|VDD|VS|Supply\s+voltage)[^\n]{0,40}?\d+\.?\d*\s*V)")).when(intent == "current", all_of(r"((?:ICC|IDD|Supply\s+current)[^\n]{0,40}?\d+\.?\d*\s*m?A)")).when(intent == "temperature", all_of(r"((?:Operating\s+temperature|TA)[^\n]{0,40}?-?\d+\s*°?C)")).otherwise(all_of(r"((?:Power\s+dissipation|PD)[^\n]{0,40}?\d+\.?\d*\s*m?W)"))
+    asked = [F.when(intent == kind, all_of(pattern)) for kind, pattern in values.SECTION_VALUES.items()]
+    return F.coalesce(*asked, all_of(values.OTHER_SECTION_VALUE))
 
 
 # -- pins -------------------------------------------------------------------------------------------
 def package_of_text(text: Column) -> Column:
     """The first package family that a text names with a number of pins."""
     out = F.lit(None).cast("string")
-    for p in reversed(PACKAGES):
+    for p in reversed(values.PACKAGES):
         pattern = rf"(?i)\b({'(?:PD)?' if p == 'DIP' else ''}{p}-?\d+)\b"
         out = F.when(text.rlike(pattern), F.upper(F.regexp_extract(text, pattern, 1))).otherwise(out)
     return out
@@ -92,32 +93,31 @@ def most_pins(package: Column) -> Column:
     return F.when(package.isNull() | (package == ""), 128).when(p == "QFN56", 57).otherwise(guess)
 
 
-def pin_type(name: Column) -> Column:
-    """What a pin is for, by its name."""
-    n, u = F.lower(F.trim(name)), F.upper(F.trim(name))
-    return (
-        F.when(n.rlike(r"vcc|vdd|power|supply|vee|v\+|v-|vbat|vref|vssa|vout|3v3|5v|1v8|vin"), "power")
-        .when(n.rlike(r"gnd|vss|ground"), "ground")
-        .when(n.rlike(r"nrst|reset|boot|swdio|swclk|jtdi|jtck|jtms|jtdo|trst|tck|tms|tdi|tdo|test|mode|por|wdt|xtal|osc|clk|mco|hse|hsi|lse|lsi"), "special")
-        .when(F.contains(n, F.lit("out")) | u.rlike(r"^\d*O\d*$"), "output")
-        .when(n.rlike(r"input|in\+|in-|_i") | u.rlike(r"^\d*(?:IN|I)[N\d]*[+-]?$") | name.rlike(r"[+-]"), "input")
-        .when(n.rlike(r"nc|n\.c\.|no connect|n/a|reserved"), "nc")
-        .when(n.rlike(r"adc|dac|analog|aout|ain"), "analog")
-        .when(u.rlike(r"^P[A-Z]\d+|^[A-E]\d+|^GP\d+|^IO\d+|^R[A-D]\d+|^GPIO\d*"), "bidirectional")
-        .otherwise("io")
-    )
+def _holds(text: Column, words: Sequence[str], patterns: Sequence[str], upper: Column) -> Column:
+    """Whether a lower-case text holds one of the words, or its upper case matches one of the patterns."""
+    tests = [F.contains(text, F.lit(w)) for w in words] + [upper.rlike(p) for p in patterns]
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
+def pin_type(name: Column, kinds: list[tuple[str, Sequence[str], Sequence[str]]] = values.PIN_KINDS) -> Column:
+    """What a pin is for: the first kind of which the name holds a word or matches a pattern."""
+    low, up = F.lower(F.trim(name)), F.upper(F.trim(name))
+    tagged = [F.when(_holds(low, words, patterns, up), F.lit(kind)) for kind, words, patterns in kinds]
+    return F.coalesce(*tagged, F.lit(values.OTHER_PIN))
 
 
 def is_garbage_pin(name: Column) -> Column:
     """Dates, revisions, page marks and links that look like pin names."""
-    u = F.upper(F.trim(name))
-    month = u.rlike(r"^(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)") & (u.rlike(r"\d{4}") | u.rlike(r"-\d+"))
-    return (u == "") | month | u.rlike(r"^(?:REV|REVISION|VERSION|VER|V\d*\.?\d*)$|^PAGE\s*\d+$|^\d{4}$|^[A-Z]{3}-\d{4}$|^DOC(?:UMENT)?\s*\d*$|^SHEET\s*\d+/\d+$|^(?:WWW\.|HTTP|@)|^\d+\s*[/\-.]\s*\d+\s*[/\-.]\s*\d+$|^FIGURE\s*\d+|^TABLE\s*\d+|^(?:CONFIDENTIAL|PROPRIETARY|DRAFT|PRELIMINARY)$")
+    up = F.upper(F.trim(name))
+    month = F.substring(up, 1, 3).isin(*values.MONTHS) & _holds(up, (), values.DATE_PATTERNS, up)
+    return (up == "") | month | _holds(up, (), values.GARBAGE_PATTERNS, up)
 
 
 def is_meaningful_pin(name: Column) -> Column:
-    u = F.upper(F.trim(name))
-    return u.rlike(r"^(VCC|VEE|VDD|VSS|GND|V\+|V-|VBAT|VREF|AVCC|AVDD)|IN|OUT|RESET|NRST|BOOT|XTAL|OSC|CLK|ADC|DAC|SWDIO|SWCLK|MCO|^P[A-Z]\d+|^[A-E]\d+|^GP\d+")
+    """Names that tell what a pin is for."""
+    low, up = F.lower(F.trim(name)), F.upper(F.trim(name))
+    begins = reduce(Column.__or__, [F.startswith(up, F.lit(p)) for p in values.MEANINGFUL_PREFIXES])
+    return begins | _holds(low, values.MEANINGFUL_WORDS, values.MEANINGFUL_PATTERNS, up)
 
 
 def _find(k: int):
@@ -215,6 +215,6 @@ def enriched_query(query: Column, most: int = 12, chips: tuple[str, ...] = value
 def rewritten_query(query: Column) -> Column:
     """Chip and up to three parameter words, or chip and a default phrase; the query itself without a chip."""
     chip = F.try_element_at(part_numbers(query), F.lit(1))
-    words = F.array(*(F.lit(w) for w in ("voltage", "vcc", "vdd", "supply", "current", "power", "temperature", "operating", "frequency", "bandwidth")))
+    words = F.array(*(F.lit(w) for w in values.REWRITE_WORDS))
     have = F.slice(F.filter(words, lambda w: F.contains(F.lower(query), w)), 1, 3)
     return F.when(chip.isNull(), query).when(F.size(have) > 0, F.concat_ws(" ", chip, F.array_join(have, " "))).otherwise(F.concat(chip, F.lit(" supply voltage operating voltage")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sheetmill.functions import values
@@ -74,10 +76,14 @@ def ex9(spark, sf_dir):
     return c.select("chip_id", X.package_of_text(t).alias("package"), X.most_pins(F.col("package")).alias("most_pins"))
 
 
+#: What stands in texts where pins are named, and names that texts seldom hold.
+PIN_WORD = "[A-Za-z0-9][A-Za-z0-9_+/-]{0,15}"
+PIN_NAMES = ("VCC", "V+", "GND", "1OUT", "3O", "2IN+", "PA7", "GP12", "NRST", "N.C.", "AIN0", "JAN-2020", "REV", "V1.2", "SHEET 1/2", "FIGURE 7", "2024", " VDD ", "")
+
+
 def ex11(spark, sf_dir):
-    p = read(spark, sf_dir, "fx_parameters").select("param_name").distinct()
-    names = F.explode(F.array(F.lit("VCC"), F.lit("GND"), F.lit("1OUT"), F.lit("2IN+"), F.lit("PA7"), F.lit("NRST"), F.lit("JAN-2020"), F.lit("REV"), F.col("param_name")))
-    n = p.select(names.alias("name")).distinct()
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(PIN_WORD), F.lit(0))).alias("name"))
+    n = words.union(spark.createDataFrame([(x,) for x in PIN_NAMES], "name string")).distinct()
     return n.select("name", X.pin_type(F.col("name")).alias("type"), X.is_garbage_pin(F.col("name")).alias("garbage"), X.is_meaningful_pin(F.col("name")).alias("meaningful"))
 
 
@@ -126,7 +132,25 @@ f AS (SELECT *, row_number() OVER (PARTITION BY chip, param ORDER BY concat(para
 _TEXTS = """WITH l AS (SELECT chip_id AS chip, concat(param_name, CASE WHEN confidence > 0.55 THEN ' = ' ELSE '  typical at 25  ' END, value_text, ' ', CASE WHEN param_name LIKE 'V%' THEN 'V' ELSE 'mA' END) AS line FROM {fx_parameter_texts}),
 t AS (SELECT chip, array_to_string(list(line ORDER BY line), chr(10)) AS text FROM l GROUP BY chip)"""
 
+
+def _pin_names() -> str:
+    """Kind and standing of each name by the same tables, as SQL."""
+    low, up = "lower(trim(name))", "upper(trim(name))"
+    quoted = lambda w: w.replace("'", "''")
+    # A repetition is written with both bounds, as names in braces stand for tables.
+    found = lambda p: f"regexp_matches({up}, '{re.sub(r'[{]([0-9]+)[}]', r'{\1,\1}', p)}')"
+    any_of = lambda words, patterns: " OR ".join([f"contains({low}, '{quoted(w)}')" for w in words] + [found(p) for p in patterns])
+    kinds = " ".join(f"WHEN {any_of(words, patterns)} THEN '{kind}'" for kind, words, patterns in values.PIN_KINDS)
+    months = ", ".join(f"'{m}'" for m in values.MONTHS)
+    begins = " OR ".join(f"starts_with({up}, '{p}')" for p in values.MEANINGFUL_PREFIXES)
+    extra = ", ".join(f"'{x}'" for x in PIN_NAMES)
+    return f"""WITH n AS (SELECT unnest(regexp_extract_all(text, '{PIN_WORD}')) AS name FROM {{documents}} UNION SELECT unnest([{extra}]) AS name)
+SELECT name, CASE {kinds} ELSE '{values.OTHER_PIN}' END AS type, {up} = '' OR (left({up}, 3) IN ({months}) AND ({any_of((), values.DATE_PATTERNS)})) OR {any_of((), values.GARBAGE_PATTERNS)} AS garbage,
+{begins} OR {any_of(values.MEANINGFUL_WORDS, values.MEANINGFUL_PATTERNS)} AS meaningful FROM n"""
+
+
 SQL = {
+    "ex11_ex12_pin_names": _pin_names(),
     "ex5_part_numbers": "SELECT query_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(concat('compare ', name, ' with lm358 and LM358'), '(?i)" + X.PART_NUMBER + "'), lambda x: upper(x)))), ',') AS parts FROM {fx_names}",
     "ex7_section_values": _TEXTS + " SELECT chip, array_to_string(list_slice(regexp_extract_all(text, '(?i)(?:VCC|VDD|VS|Supply\\s+voltage)[^\n]@0,40@?\\d+\\.?\\d*\\s*V'), 1, 3), '; ') AS values FROM t".replace("@0,40@", "{0,40}"),
     "ex15_pin_validation": f"WITH p AS (SELECT query_id, pin, name, CASE WHEN pin % 5 = 0 THEN 'number' WHEN pin % 7 = 0 THEN 'type' END AS problem FROM ({_PINS})) SELECT problem, count(*) AS n, 1 AS functions FROM p GROUP BY problem",
