@@ -42,7 +42,9 @@ from sheetmill.llm.common import GOLDEN, U64, fold, mix, shared_dir, sized_batch
 
 BEGIN, END = U64(0x5BD1E995AB1F03C7), U64(0x27D4EB2F165667C5)
 LOW40 = U64((1 << 40) - 1)
-FLUSH = 4_000_000  # bigrams that a task holds before it sends them on
+FLUSH = 2_500_000  # bigrams that a task holds before it sends them on
+HELD = 2_000_000  # different bigrams of merged buckets that a task holds before it tells their words' counts
+AT_ONCE = 3 << 20  # bytes of text that a worker takes apart at once
 BYTES_PER_BUCKET = 2_600_000  # of text; about 200,000 different bigrams
 MOST_BUCKETS = 1 << 16
 
@@ -157,6 +159,8 @@ def mapped(uri: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 def _blocks(bits: int):
     def send(h1: list[np.ndarray], h2: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate(h1), np.concatenate(h2)
+        h1.clear()
+        h2.clear()
         _, at, n = added(gram_hash(a, b), np.ones(len(a), np.int64))
         a, b = a[at], b[at]
         bucket = gram_bucket(a, b, bits)
@@ -168,14 +172,14 @@ def _blocks(bits: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, held = [], [], 0
-        for b in sized_batches(batches):
+        for b in sized_batches(batches, most=AT_ONCE):
             x, y = bigrams(strings(b.column("text")))
             h1.append(x)
             h2.append(y)
             held += len(x)
             if held >= FLUSH:
                 yield from send(h1, h2)
-                h1, h2, held = [], [], 0
+                held = 0
         if held:
             yield from send(h1, h2)
 
@@ -206,6 +210,7 @@ def _merge(folder: str):
 
     def tell(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         h1, h2, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+        held.clear()
         keys, _, total, n1, n2, n3 = added(h1, n, *((f(n)).astype(np.int64) for f in (lambda x: x == 1, lambda x: x == 2, lambda x: x >= 3)))
         yield _stats(HISTORY, keys, total, n1, n2, n3)
         keys, _, before = added(h2, np.ones(len(h2), np.int64))
@@ -219,9 +224,9 @@ def _merge(folder: str):
                 if k != bucket and blocks:
                     held.append(finish(bucket, blocks))
                     size, blocks = size + len(held[-1][0]), []
-                    if size >= FLUSH // 2:
+                    if size >= HELD:
                         yield from tell(held)
-                        held, size = [], 0
+                        size = 0
                 bucket = k
                 blocks.append(block)
         if blocks:
@@ -389,7 +394,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sized_batches(batches, most=6 << 20):
+        for b in sized_batches(batches, most=AT_ONCE):
             tokens, known, base, own = score_texts(model, strings(b.column("text")))
             yield pa.record_batch([b.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(own)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
