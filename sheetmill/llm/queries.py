@@ -91,6 +91,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.license_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -111,4 +117,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_onebit_ann": OP6_SQL}
+    from sheetmill.llm import license_scan
+
+    return {"op6_onebit_ann": OP6_SQL, "op11_license_scan": license_scan.twin()}
