@@ -97,6 +97,18 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.ptolemaic_clusters import report
+
+    return report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheetmill.llm.gnat_codes import report
+
+    return report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -117,6 +129,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    from sheetmill.llm import license_scan
+    from sheetmill.llm import gnat_codes, license_scan, ptolemaic_clusters
 
-    return {"op6_onebit_ann": OP6_SQL, "op11_license_scan": license_scan.twin()}
+    return {"op6_onebit_ann": OP6_SQL, "op11_license_scan": license_scan.twin(), "op12_ptolemaic_clusters": ptolemaic_clusters.twin(), "op13_gnat_codes": gnat_codes.twin()}
