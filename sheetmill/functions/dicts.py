@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheetmill.functions import values
+
 # Degradation of (process, package): temperature, humidity and voltage coefficients,
 # base rate per 1000 h, activation energy, confidence interval.
 DEGRADATION = [
@@ -90,6 +92,28 @@ def parameters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(PARAMETERS)], "param_no int, param string, kind string, target double, esp double, dimension string")
 
 
+def tag_words(spark: SparkSession, classes: list[tuple[str, list[str]]]) -> DataFrame:
+    """A dictionary ``word, tag, tag_no`` for ``tagging.tagger``."""
+    return spark.createDataFrame([(w, tag, k) for k, (tag, words) in enumerate(classes) for w in words], "word string, tag string, tag_no int")
+
+
+def circuit_words(spark: SparkSession) -> DataFrame:
+    return tag_words(spark, values.CIRCUIT_WORDS)
+
+
+def caption_words(spark: SparkSession) -> DataFrame:
+    return tag_words(spark, list(values.CAPTION_CLASS_WORDS.items()))
+
+
+def chinese_words(spark: SparkSession) -> DataFrame:
+    """A dictionary ``word, weight`` for ``tagging.segmenter``: the Chinese words of the library's tables, all alike."""
+    from sheetmill.operators.retrieval import STOP_WORDS, SYNONYMS
+
+    known = [*STOP_WORDS, *SYNONYMS, *(w for ws in SYNONYMS.values() for w in ws), *(w for _, ws in values.CIRCUIT_WORDS for w in ws), *(w for ws in values.CAPTION_CLASS_WORDS.values() for w in ws)]
+    words = {w for w in known if all("\u4e00" <= c <= "\u9fa5" for c in w)}
+    return spark.createDataFrame([(w, 1.0) for w in sorted(words)], "word string, weight double")
+
+
 def values_sql(rows: list[tuple], names: str) -> str:
     """The rows as a SQL table expression, for the twins."""
     cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)

@@ -306,3 +306,26 @@ OTHER_SECTION_VALUE = r"((?:Power\s+dissipation|PD)[^\n]{0,40}?\d+\.?\d*\s*m?W)"
 
 # Words that stay in a rewritten query.
 REWRITE_WORDS = ("voltage", "vcc", "vdd", "supply", "current", "power", "temperature", "operating", "frequency", "bandwidth")
+
+# Classes of captions and their keywords, which are looked for as they stand in a lower-case text.
+CAPTION_CLASS_WORDS = {
+    "amplifier": ["amplifier", "op-amp", "运放", "增益", "gain", "反馈", "feedback"],
+    "filter": ["filter", "滤波", "低通", "高通", "带通", "LPF", "HPF", "BPF"],
+    "power": ["power", "电源", "稳压", "regulator", "LDO", "DC-DC", "供电"],
+    "oscillator": ["oscillator", "振荡", "晶振", "crystal", "时钟", "clock"],
+    "driver": ["driver", "驱动", "LED驱动", "电机驱动", "H桥", "PWM"],
+    "comparator": ["comparator", "比较器", "阈值", "threshold"],
+    "timer": ["timer", "定时", "555", "延时", "delay"],
+    "rectifier": ["rectifier", "整流", "桥式", "半波", "全波"],
+    "protection": ["protection", "保护", "ESD", "TVS", "过流", "过压"],
+    "interface": ["interface", "接口", "UART", "SPI", "I2C", "USB", "CAN"],
+    "reset": ["reset", "复位", "POR", "看门狗", "watchdog"],
+    "logic": ["logic", "逻辑", "门电路", "触发器", "flip-flop"],
+}
+# Names of chips that raise the rank of a figure.
+RANKED_CHIPS = (
+    "ne5532", "lm358", "tl072", "lm741", "lm324", "opa", "ad8605",
+    "5532", "358", "072", "741", "324", "555", "386", "317", "7805",
+    "tl431", "tl082", "tl084", "opa2134", "ad823", "lt1013",
+    "mc34063", "uc3842",
+)

@@ -31,16 +31,24 @@ def page_update(index: DataFrame, new: DataFrame, keys: list[str], columns: list
     return index.join(n, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
+def id_prefixes(chunk_id: Column) -> Column:
+    """All that stands before a ``_p`` in a chunk id: the document ids that it may belong to."""
+    parts = F.split(chunk_id.cast("string"), "_p")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "_p"))
+
+
 def without_documents(store: DataFrame, gone: DataFrame) -> DataFrame:
     """A store without the rows of the documents in ``gone(document_id)``, by id or by ``{id}_p`` of the chunk id.
 
-    The prefix is cut out of the chunk id, so both forms are equi joins.
+    The prefixes are cut out of the chunk id, so both forms are equi joins; an id may itself hold ``_p``.
     """
     ids = gone.select(F.col("document_id").cast("string").alias("_id")).distinct()
     kept = store.join(ids, store["document_id"].cast("string") == ids["_id"], "left_anti")
     if "chunk_id" not in store.columns:
         return kept
-    return kept.join(ids, F.regexp_extract(F.col("chunk_id").cast("string"), "^(.*?)_p", 1) == F.col("_id"), "left_anti")
+    named = kept.where(F.contains(F.col("chunk_id").cast("string"), F.lit("_p"))).select(F.col("chunk_id").alias("_chunk"), F.explode(id_prefixes(F.col("chunk_id"))).alias("_id"))
+    lost = named.join(ids, "_id", "left_semi").select("_chunk").distinct()
+    return kept.join(lost, F.col("chunk_id") == F.col("_chunk"), "left_anti")
 
 
 def deletion_counts(stores: dict[str, DataFrame], gone: DataFrame) -> DataFrame:
@@ -104,8 +112,10 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
     return direct.unionByName(held(mapped))
 
 
-def index_counts(chunks: DataFrame, postings: DataFrame, tables: DataFrame) -> DataFrame:
-    """Chunks, postings and tables of each document."""
-    n = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
-    out = n(chunks, "chunk_count").join(n(postings, "posting_count"), "document_id", "full_outer").join(n(tables, "table_count"), "document_id", "full_outer")
-    return out.fillna(0, ["chunk_count", "posting_count", "table_count"])
+def index_counts(outputs: dict[str, DataFrame]) -> DataFrame:
+    """``document_id`` and ``<name>_count`` for each of the outputs of indexing, 0 where a document has none."""
+    all_of = None
+    for name, df in outputs.items():
+        rows = df.select("document_id", F.lit(name).alias("_output"))
+        all_of = rows if all_of is None else all_of.unionByName(rows)
+    return all_of.groupBy("document_id").agg(*(F.count_if(F.col("_output") == name).alias(f"{name}_count") for name in outputs))

@@ -7,9 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetmill.functions.values import CHIP_SYNONYMS, NON_CIRCUIT_WORDS
-from sheetmill.operators.extraction import query_keywords
-
 # Words that carry no content.
 STOP_WORDS = (
     "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "个", "那", "些",
@@ -43,10 +40,26 @@ SOURCE_WEIGHTS = {"vector": 0.5, "bm25": 0.35, "table": 0.15}
 SOURCE_ORDER = {"vector": 0, "bm25": 1, "table": 2}
 
 
+SEPARATORS = r"[^\p{L}\p{N}_]+"
+CJK = r"[\u4e00-\u9fa5]"
+
+
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-case words of two signs or more that are no stop words."""
+    """Lower-case words of two signs or more that are no stop words.
+
+    A run of CJK signs, which has no blanks, becomes its overlapping pairs. ``tagging.segmenter`` is a
+    tokeniser that cuts such runs into the words of a dictionary.
+    """
     stop = F.array(*(F.lit(w) for w in stop_words))
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(F.regexp_replace(low, f"({CJK}+)", " $1 "), SEPARATORS)
+
+    def pairs(run: Column) -> Column:
+        signs = F.split(run, "")
+        return F.zip_with(F.slice(signs, 1, F.length(run) - 1), F.slice(signs, 2, F.length(run) - 1), lambda a, b: F.concat(a, b))
+
+    cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike(f"^{CJK}{{2}}"), pairs(w)).otherwise(F.array(w))))
+    return F.filter(F.when(low.rlike(CJK), cut).otherwise(words), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def expanded(words: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
@@ -75,17 +88,32 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """``query_id, doc_id, score, rank``: the k best documents of each query.
 
     ``allowed(query_id, doc_id)`` keeps listed pairs after scoring, so that weights stay those of the
-    whole corpus.
+    whole corpus. Texts are cut into words once; words that nobody asks for go before anything is counted.
     """
-    post, lengths, terms, corpus = index_tables(docs, tokenizer=tokenizer)
     asked = queries.select("query_id", F.explode(tokenizer(F.col("query")) if query_terms is None else query_terms).alias("term")).distinct()
-    found = asked.join(terms, "term").join(post, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus.select("avgdl")))
+    words = docs.select("doc_id", tokenizer(F.col("text")).alias("words"))
+    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    each = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    found = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return scored(asked, found, corpus, k, k1, b, allowed)
+
+
+def scored(asked: DataFrame, found: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, allowed: DataFrame | None = None, split: int = 8) -> DataFrame:
+    """The k best of ``found(term, doc_id, tf, dl)`` for ``asked(query_id, term)``; ``corpus(n, avgdl)`` is one row.
+
+    The postings of a word are dealt to ``split`` tasks, and the queries that ask for it repeated for each,
+    so that a word of a third of all texts is no single task.
+    """
+    df = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
+    terms = df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    dealt = asked.join(terms, "term").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+    met = found.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(split)).cast("int")).join(dealt, ["term", "_part"])
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    out = met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
     if allowed is not None:
-        scored = scored.join(allowed, ["query_id", "doc_id"], "left_semi")
-    return top_k(scored, k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))
+        out = out.join(allowed, ["query_id", "doc_id"], "left_semi")
+    return top_k(out, k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))
 
 
 def top_k(df: DataFrame, k: int, by: str, *order: Column) -> DataFrame:
@@ -291,64 +319,3 @@ def primary_or_fallback(primary: DataFrame, fallback: DataFrame, by: str = "quer
 
 def intent(query: Column) -> Column:
     return F.when(query.rlike("(?i)引脚|pin|封装|管脚"), "pinout").otherwise("qa")
-
-
-def metadata_scores(queries: DataFrame, figures: DataFrame, least: float = 0.1, k: int = 10) -> DataFrame:
-    """Figures by how many words of a query their caption, types, parts and file name contain."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    pairs = spread_pairs(queries.select("query_id", words.alias("words")).where(F.size("words") > 0), figures.select("image_id", "caption", "types", "parts", F.replace(F.lower("filename"), F.lit(".pdf"), F.lit("")).alias("file")))
-    share = lambda c, shortest=1: F.size(F.filter("words", lambda w: F.contains(F.col(c), w) & (F.length(w) >= shortest))) / F.size("words")
-    score = F.least(share("caption") * 0.4 + share("types") * 0.3 + share("parts") * 0.2 + share("file", 2) * 0.1, F.lit(1.0))
-    return top_k(pairs.select("query_id", "image_id", score.alias("score")).where(F.col("score") >= least), k, "query_id", F.desc(F.round("score", 9)), F.col("image_id"))
-
-
-def names_chip(query: Column, file: Column, chips: dict[str, list[str]] = CHIP_SYNONYMS) -> Column:
-    """Whether query and file name hold names of one chip."""
-    has = lambda c, names: c.rlike("|".join(names))
-    return F.greatest(*(has(query, v) & has(file, v) for v in chips.values()))
-
-
-def figure_relevance(queries: DataFrame, figures: DataFrame, chips: dict[str, list[str]] = CHIP_SYNONYMS) -> DataFrame:
-    """A blend of caption, type, part, visual and file-name scores for every query and figure.
-
-    ``queries(query_id, query)`` are looked for by their ``words`` where they have such a column, else
-    by the keywords of ``query_keywords``; a query without any is judged by half of the visual score.
-    """
-    words = F.col("words") if "words" in queries.columns else query_keywords(F.col("query"))
-    pairs = spread_pairs(queries.select("query_id", F.lower("query").alias("query"), words.alias("words")), figures.select("image_id", "caption", "types", "parts", "visual", F.replace(F.lower("filename"), F.lit(".pdf"), F.lit("")).alias("file")))
-    n = F.greatest(F.size("words"), F.lit(1))
-    met = lambda c: F.size(F.filter("words", lambda w: F.contains(F.col(c), w)))
-    caption = F.when(F.contains("caption", F.col("query")), 1.0).when(met("caption") >= 2, F.least(met("caption") / n * 1.2, F.lit(1.0))).otherwise(met("caption") / n)
-    in_name = F.size(F.filter("words", lambda w: F.contains(F.col("file"), w) & (F.length(w) >= 2)))
-    named = names_chip(F.col("query"), F.col("file"), chips)
-    file = F.when(F.contains("file", F.col("query")), 1.0).otherwise(F.greatest(in_name / n, F.when(named & (in_name > 0), 0.8).otherwise(0.0)))
-    visual = F.when(F.col("visual") > 0, F.least(F.col("visual") / 1.5, F.lit(1.0))).otherwise(0.0)
-    score = caption * 0.30 + met("types") / n * 0.20 + met("parts") / n * 0.15 + visual * 0.15 + file * 0.20
-    unsaid = F.least("visual", F.lit(1.0)) * 0.5
-    return pairs.select("query_id", "image_id", F.when(F.size("words") == 0, unsaid).otherwise(F.least(score, F.lit(1.0))).alias("relevance"))
-
-
-def ranked_figures(relevance: DataFrame, bonus: Column, k: int = 5) -> DataFrame:
-    """Figures by relevance and a bonus of at most 0.3, at most 1 together."""
-    d = relevance.withColumn("score", F.least(F.col("relevance") + F.least(bonus, F.lit(0.3)), F.lit(1.0)))
-    return top_k(d, k, "query_id", F.desc(F.round("score", 9)), F.col("image_id"))
-
-
-def showable_figures(figures: DataFrame, non_circuit: Sequence[str] = NON_CIRCUIT_WORDS, least: float = 0.08) -> DataFrame:
-    """Figures (``image_path, caption, is_circuit, circuit_types, confidence``) that may be shown for a query.
-
-    They have an image, a caption with at most one word of other drawings, and some confidence; one
-    that is marked as no circuit stays if it has a type, or a confidence of 0.15.
-    """
-    words = F.array(*(F.lit(w) for w in non_circuit))
-    other = F.size(F.filter(words, lambda w: F.contains(F.lower("caption"), w)))
-    typed = F.exists("circuit_types", lambda t: (t != "") & (t != "non_circuit"))
-    circuit = F.coalesce("is_circuit", F.lit(True)) | F.coalesce(typed, F.lit(False)) | (F.col("confidence") >= 0.15)
-    return figures.where((F.coalesce("image_path", F.lit("")) != "") & (other < 2) & circuit & (F.col("confidence") >= least))
-
-
-def confident_figures(scored: DataFrame, least: float = 0.02) -> DataFrame:
-    """Figures of some relevance; of a query whose figures are all weak, none."""
-    w = Window.partitionBy("query_id")
-    d = scored.withColumns({"_avg": F.avg("relevance").over(w), "_max": F.max("relevance").over(w)})
-    return d.where((F.col("relevance") >= least) & ~((F.col("_avg") < 0.03) & (F.col("_max") < 0.08))).drop("_avg", "_max")

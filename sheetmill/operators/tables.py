@@ -114,7 +114,7 @@ def merged_across_pages(df: DataFrame) -> DataFrame:
 
 def pin_gap_penalty(df: DataFrame) -> DataFrame:
     """Confidence of pin tables, lowered by the share of gaps between their pin numbers."""
-    pins = df.where("table_type = 'pin_configuration'").select("table_id", F.explode(F.filter(F.transform(F.slice("data", 2, 100_000), lambda r: F.when(F.trim(F.try_element_at(r, F.lit(1))).rlike(r"^\d{1,9}$"), F.trim(F.try_element_at(r, F.lit(1))).cast("int"))), lambda x: x.isNotNull())).alias("pin"))
+    pins = df.where("table_type = 'pin_configuration'").select("table_id", F.explode(F.filter(F.transform(F.slice("data", F.lit(2), F.greatest(F.size("data") - 1, F.lit(0))), lambda r: F.when(F.trim(F.try_element_at(r, F.lit(1))).rlike(r"^\d{1,9}$"), F.trim(F.try_element_at(r, F.lit(1))).cast("int"))), lambda x: x.isNotNull())).alias("pin"))
     gaps = pins.withColumn("gap", (F.col("pin") - F.lag("pin").over(Window.partitionBy("table_id").orderBy("pin")) > 1).cast("int")).groupBy("table_id").agg((F.coalesce(F.sum("gap"), F.lit(0)) / F.count("*")).alias("gap_share"))
     return df.join(gaps, "table_id", "left").withColumn("confidence", F.col("confidence") * (1 - F.coalesce("gap_share", F.lit(0.0)) * 0.5)).drop("gap_share")
 

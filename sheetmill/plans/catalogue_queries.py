@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetmill.functions import units
-from sheetmill.operators import extraction, maintenance, retrieval, text
+from sheetmill.operators import extraction, maintenance, text
 from sheetmill.plans.fixtures import read
 
 # Words of queries and what file names call them.
 DEVICE_WORDS = [("放大器", "ne55"), ("运放", "lm3"), ("sheet one", "sheet1_"), ("amplifier", "ne5532")]
 
 
-def sc11(spark, sf_dir):
-    """Chunks, postings and tables that indexing makes of each document."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text")
-    chunks = text.packed_chunks(d)
-    post = retrieval.postings(d, "document_id", "text").withColumnRenamed("doc_id", "document_id")
-    tables = read(spark, sf_dir, "fx_tables").select("document_id", "table_id").distinct()
-    return maintenance.index_counts(chunks, post, tables)
-
-
 def tx19(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     pages = d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "text", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), (F.col("doc_id") % 3 == 0).alias("regions"))
@@ -47,7 +38,7 @@ def ex14(spark, sf_dir):
     return extraction.cited(cites, pins).select("query_id", "rank", "page")
 
 
-QUERIES = {"sc11_index_documents": sc11, "tx19_page_profile": tx19, "pf4_device_search": pf4, "kg13_display": kg13, "ex14_citation_filter": ex14}
+QUERIES = {"tx19_page_profile": tx19, "pf4_device_search": pf4, "kg13_display": kg13, "ex14_citation_filter": ex14}
 
 _ANY = lambda t, ws: "(" + " OR ".join(f"contains({t}, '{w}')" for w in ws) + ")"
 

@@ -146,6 +146,8 @@ def plain_sql(sql: str) -> str:
     body = strip(sql)
     if not views:
         return body
+    if re.match(r"WITH\s+RECURSIVE\s", body):
+        return f"WITH RECURSIVE {', '.join(views)}, {re.sub(r'^WITH\s+RECURSIVE', '', body).strip()}"
     if re.match(r"WITH\s", body):
         return f"WITH {', '.join(views)}, {body[4:].strip()}"
     return f"WITH {', '.join(views)} {body}"

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetmill.functions.values import CHIP_SYNONYMS
+from sheetmill.functions.values import CAPTION_CLASS_WORDS, CHIP_SYNONYMS, RANKED_CHIPS
+from sheetmill.functions import dicts
+from sheetmill.operators import figures as G
 from sheetmill.operators import retrieval as R
+from sheetmill.operators.tagging import segmenter
 from sheetmill.plans.fixtures import read
-from sheetmill.plans.sql_parts import keywords
+from sheetmill.plans.sql_parts import keywords, tokens
 
 SHIFT = 3e-10
 
@@ -29,7 +32,8 @@ def _bm25(spark, sf_dir, k=20, **options):
 
 
 def rt1(spark, sf_dir):
-    t = R.tokens(F.col("text"))
+    """Some texts get a Chinese sentence, which becomes pairs of signs."""
+    t = R.tokens(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("同相放大器的增益OPA一个"), "text")).otherwise(F.col("text")))
     return _docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.try_element_at(t, F.lit(1)).alias("first_token"))
 
 
@@ -43,13 +47,6 @@ def sc6(spark, sf_dir):
     return _r(terms.where("df > 1").crossJoin(F.broadcast(corpus)).select("term", "df", "idf", "n", "avgdl"), "idf", "avgdl")
 
 
-def sc7(spark, sf_dir):
-    """Documents that one of the index tables lacks."""
-    post, lengths, _, _ = R.index_tables(_docs(spark, sf_dir))
-    p = post.groupBy("doc_id").agg(F.sum("tf").alias("tf"))
-    return lengths.join(p, "doc_id", "full_outer").where(~F.col("dl").eqNullSafe(F.col("tf"))).select("doc_id", "dl", "tf")
-
-
 def rt3(spark, sf_dir):
     return _r(_bm25(spark, sf_dir), "score")
 
@@ -161,38 +158,42 @@ def rt22(spark, sf_dir):
 
 
 def rt15(spark, sf_dir):
-    return _r(R.metadata_scores(read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")), "score")
+    return _r(G.metadata_scores(read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")), "score")
 
 
 def rt17(spark, sf_dir):
-    return _r(R.figure_relevance(read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")), "relevance")
+    """Pairs that share a word, and under no query what every other pair of a figure has."""
+    q, f = read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")
+    rest = G.figure_constants(f).select(F.lit(None).cast("long").alias("query_id"), "image_id", F.col("rest").alias("relevance"))
+    return _r(G.figure_relevance(q, f).unionByName(rest), "relevance")
 
 
 def rt18(spark, sf_dir):
-    """The bonus counts the chips that both name and the types that the query's words hold."""
     q, f = read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")
-    d = R.figure_relevance(q, f).join(q.select("query_id", "query"), "query_id").join(f.select("image_id", "filename", "types"), "image_id")
-    same = F.exists(R.query_keywords(F.col("query")), lambda w: F.contains("types", w))
-    bonus = F.when(R.names_chip(F.col("query"), F.col("filename")), 0.15).otherwise(0.0) + F.when(same, 0.08).otherwise(0.0)
-    return _r(R.ranked_figures(d, bonus).select("query_id", "image_id", "score", "rank"), "score")
+    return _r(G.ranked_figures(q, f, G.figure_relevance(q, f), G.rank_bonus(q, f)), "score")
 
 
 def pf8(spark, sf_dir):
     q, f = read(spark, sf_dir, "fx_figure_queries"), read(spark, sf_dir, "fx_figures")
-    shown = R.showable_figures(f.withColumn("circuit_types", F.split("types", " ")), ("title", "page", "the", "of", "and"))
-    return _r(R.confident_figures(R.figure_relevance(q, shown), 0.2), "relevance")
+    shown = G.showable_figures(f.withColumn("circuit_types", F.split("types", " ")), ("title", "page", "the", "of", "and"))
+    return _r(G.confident_figures(G.figure_relevance(q, shown), shown, 0.2), "relevance")
+
+
+def rt1_words(spark, sf_dir):
+    """Words of Chinese questions, cut along the cheapest path through the word graph of the library's dictionary."""
+    q = F.concat(F.lit("同相放大器电路"), F.when(F.col("query_id") % 3 == 0, "的增益").when(F.col("query_id") % 3 == 1, "和低通滤波").otherwise("一个未知器件NE5532"), F.lit(" "), F.col("query"))
+    cut = segmenter(dicts.chinese_words(spark), R.STOP_WORDS)
+    return _asked(spark, sf_dir).select("query_id", F.array_join(cut(q), " ").alias("words"))
 
 
 QUERIES = {
-    "rt1_tokens": rt1, "rt2_query_expansion": rt2, "rt3_jn5_bm25": rt3, "rt4_jn6_dense": rt4, "rt5_encode_once": rt5, "rt6_jn2_full_text": rt6, "rt7_normalised": rt7,
+    "rt1_tokens": rt1, "rt1_word_graph": rt1_words, "rt2_query_expansion": rt2, "rt3_jn5_bm25": rt3, "rt4_jn6_dense": rt4, "rt5_encode_once": rt5, "rt6_jn2_full_text": rt6, "rt7_normalised": rt7,
     "rt8_rt12_hybrid_search": rt12, "rt9_fusion": rt9, "rt10_copies": rt10, "rt11_document_caps": rt11, "rt13_citations": rt13, "rt14_jn7_max_sim": rt14, "rt15_metadata_scores": rt15,
-    "rt17_figure_relevance": rt17, "rt18_figure_rank": rt18, "rt20_fallback": rt20, "rt22_intent": rt22, "rt23_zero_shot": rt23, "sc5_vector_checks": sc5, "sc6_sparse_index": sc6, "sc7_index_consistency": sc7,
+    "rt17_figure_relevance": rt17, "rt18_figure_rank": rt18, "rt20_fallback": rt20, "rt22_intent": rt22, "rt23_zero_shot": rt23, "sc5_vector_checks": sc5, "sc6_sparse_index": sc6, 
     "pf1_jn11_metadata_filter": pf1, "pf2_post_filter": pf2, "pf3_substring_search": pf3, "pf5_chip_filter": pf5, "pf8_figure_filter": pf8,
 }
 
-_STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
-_TOK = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))".replace("{{", "{").replace("}}", "}")
-# Doubled so that the view finder leaves regular expressions alone.
+_TOK = tokens
 
 
 _NORM = lambda c: f"CASE WHEN list_inner_product({c}, {c}) > 0 THEN list_transform({c}, lambda x: x / sqrt(list_inner_product({c}, {c}))) ELSE {c} END"
@@ -252,13 +253,14 @@ x AS (SELECT *, len(words) AS n, len(list_filter(words, lambda w: contains(capti
 _SYN = "CASE WHEN query_id % 2 = 0 THEN ['opamp', '运算放大器', 'operational_amplifier'] ELSE ['滤波器', '滤波', 'filter'] END"
 
 SQL = {
-    "rt1_tokens": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, t[1] AS first_token FROM (SELECT doc_id, {_TOK('text')} AS t FROM documents)",
+    # The three Chinese questions are cut by hand; a brute-force test covers the word graph.
+    "rt1_word_graph": f"SELECT query_id, array_to_string(list_concat(CASE query_id % 3 WHEN 0 THEN ['同相', '放大器', '电路', '增益'] WHEN 1 THEN ['同相', '放大器', '电路', '低通', '滤波'] ELSE ['同相', '放大器', '电路', '未知', '知器', '器件', 'ne5532'] END, {_TOK('query')}), ' ') AS words FROM {{fx_queries}}",
+    "rt1_tokens": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, t[1] AS first_token FROM (SELECT doc_id, {_TOK('x')} AS t FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('同相放大器的增益OPA一个', text) ELSE text END AS x FROM documents))",
     "rt2_query_expansion": f"SELECT query_id, array_to_string(CASE WHEN len(t[1:2]) = 2 AND t[1] = t[2] THEN t[1:1] ELSE t[1:2] END || {_SYN}, ' ') AS words FROM (SELECT query_id, {_TOK('query')} AS t FROM {{fx_queries}})",
     "rt3_jn5_bm25": _BM + f"SELECT query_id, doc_id, {R6('score')}, rank FROM bm",
     "rt7_normalised": _BM + f"SELECT query_id, doc_id, {R6('score / max(score) OVER (PARTITION BY query_id)', 'score')}, rank FROM bm",
     "rt5_encode_once": "SELECT md5(text) AS cache_key, count(*) AS n_rows, min(doc_id) AS first_doc FROM documents GROUP BY md5(text)",
     "sc6_sparse_index": f"WITH {_index('documents')} SELECT term, df, {R6('idf')}, n, {R6('avgdl')} FROM ts, cs WHERE df > 1",
-    "sc7_index_consistency": f"WITH {_index('documents')}, p AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post GROUP BY doc_id) SELECT coalesce(dl.doc_id, p.doc_id) AS doc_id, dl.dl AS dl, p.tf AS tf FROM dl FULL OUTER JOIN p ON p.doc_id = dl.doc_id WHERE dl.dl IS DISTINCT FROM p.tf",
     "pf1_jn11_metadata_filter": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT query_id * 3 FROM {fx_queries}) AND source IN ('src0', 'src3', 'src6')",
     "pf2_post_filter": _BM + f", x AS (SELECT sc.* FROM sc JOIN dc ON dc.doc_id = sc.doc_id WHERE dc.source = concat('src', query_id % 20)), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM x) SELECT query_id, doc_id, {R6('score')}, rank FROM y WHERE rank <= 5",
     "pf3_substring_search": _TQ + ", w AS (SELECT query_id, list_filter(string_split(trim(regexp_replace(query, '[^\\p{L}\\p{N}_.]+', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM q), x AS (SELECT query_id, doc_id FROM t, w WHERE len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(lower(text), lower(w)))) = 0), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank FROM x) SELECT query_id, doc_id, CAST(1.0 AS DOUBLE) AS score, rank FROM y WHERE rank <= 10",
@@ -283,7 +285,7 @@ SELECT query_id, chunk_id, {R6('relevance')}, k AS rank, substring(text, 1, 20)
     "rt20_fallback": _BM + ", p AS (SELECT query_id, doc_id FROM bm WHERE query_id % 3 <> 0 AND rank <= 2) SELECT * FROM p UNION ALL SELECT query_id, doc_id FROM bm WHERE rank = 5 AND query_id NOT IN (SELECT query_id FROM p)",
     "rt22_intent": "SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)引脚|pin|封装|管脚') THEN 'pinout' ELSE 'qa' END AS intent FROM conversations",
     "rt15_metadata_scores": _PLAIN + f", s AS (SELECT query_id, image_id, least(CAST(mc AS DOUBLE) / n * 0.4 + CAST(mt AS DOUBLE) / n * 0.3 + CAST(mp AS DOUBLE) / n * 0.2 + CAST(mf AS DOUBLE) / n * 0.1, 1.0) AS score FROM x), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s WHERE score >= 0.1) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 10",
-    "rt17_figure_relevance": _FIG + f"SELECT query_id, image_id, {R6('relevance')} FROM rel",
-    "rt18_figure_rank": _FIG + f", s AS (SELECT query_id, image_id, least(relevance + least(CASE WHEN {_CHIPS} THEN 0.15 ELSE 0.0 END + CASE WHEN mt > 0 THEN 0.08 ELSE 0.0 END, 0.3), 1.0) AS score FROM rel), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 5",
+    "rt17_figure_relevance": _FIG + f"SELECT query_id, image_id, {R6('relevance')} FROM rel WHERE mc + mt + mp > 0 OR len(list_filter(words, lambda w: contains(file, w))) > 0 OR contains(caption, query) OR contains(file, query) UNION ALL SELECT NULL, image_id, {R6('least(visual / 1.5, 1.0) * 0.15', 'relevance')} FROM f",
+    "rt18_figure_rank": _FIG + f", kw AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{w.lower()}')" for k, ws in CAPTION_CLASS_WORDS.items() for w in ws)}) AS t(class, w)), b AS (SELECT query_id, image_id, least(CASE WHEN {' OR '.join(f"(contains(query, '{c}') AND (contains(caption, '{c}') OR contains(file, '{c}')))" for c in RANKED_CHIPS)} THEN 0.15 ELSE 0.0 END + coalesce((SELECT sum(CASE WHEN contains(caption, k.w) THEN 0.05 ELSE 0.0 END + CASE WHEN contains(lower(types), k.w) THEN 0.08 ELSE 0.0 END) FROM kw k WHERE k.class IN (SELECT k2.class FROM kw k2 WHERE contains(rel.query, k2.w))), 0.0), 0.3) AS bonus, relevance FROM rel), s AS (SELECT query_id, image_id, least(relevance + CAST(bonus AS DOUBLE), 1.0) AS score FROM b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 5",
     "pf8_figure_filter": _FIG + f", s AS (SELECT query_id, image_id, relevance, avg(relevance) OVER (PARTITION BY query_id) AS a, max(relevance) OVER (PARTITION BY query_id) AS m FROM rel WHERE image_path <> '' AND len(list_filter(['title', 'page', 'the', 'of', 'and'], lambda w: contains(caption, w))) < 2 AND (is_circuit OR types <> '' OR confidence >= 0.15) AND confidence >= 0.08) SELECT query_id, image_id, {R6('relevance')} FROM s WHERE relevance >= 0.2 AND NOT (a < 0.03 AND m < 0.08)",
 }

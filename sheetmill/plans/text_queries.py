@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheetmill.functions import dicts
+from sheetmill.functions.values import CAPTION_CLASS_WORDS, CIRCUIT_WORDS
 from sheetmill.operators import text as T
+from sheetmill.operators.tagging import tagger
 from sheetmill.plans.fixtures import read
+from sheetmill.plans.sql_parts import COLLAPSED, SENTENCES, chunks
 
 
 def pages(spark, sf_dir):
@@ -50,10 +54,17 @@ def tx6(spark, sf_dir):
 
 
 def tx7(spark, sf_dir):
-    t = T.circuit_types(F.col("text"))
+    t = T.circuit_types(F.col("text"), tagger(dicts.circuit_words(spark)))
     return pages(spark, sf_dir).select("document_id", F.array_join(t, ",").alias("types"))
 
 
+def tx8(spark, sf_dir):
+    """Classes of captions, which here are what conversations say, with a label before them."""
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.when(F.col("conv_id") % 3 == 0, " 低通滤波 LPF buck POWER").when(F.col("conv_id") % 3 == 1, " H桥 555 feedback").otherwise("")).alias("text"), F.when(F.col("turn") % 3 == 0, "filter").when(F.col("turn") % 3 == 1, "logo").alias("label"))
+    t = T.circuit_types(F.col("text"), tagger(dicts.caption_words(spark)), F.coalesce("label", F.lit("other")))
+    return said.select("conv_id", "turn", F.array_join(t, ",").alias("types"))
+
+
 def tx9(spark, sf_dir):
     return pages(spark, sf_dir).select("document_id", F.array_join(F.array_sort(T.component_ids(F.col("text"))), ",").alias("components"))
 
@@ -112,7 +123,7 @@ def pf9(spark, sf_dir):
 
 
 QUERIES = {
-    "sc1_document_status": sc1, "sc2_web_pages": sc2, "tx1_sentences": tx1, "tx2_chunks": tx2, "tx3_windows": tx3, "tx4_chunk_ids": tx4, "tx5_chart_noise": tx5, "tx6_query_time_text": tx6, "tx7_tx8_circuit_types": tx7, "tx9_components": tx9, "tx10_page_type": tx10,
+    "sc1_document_status": sc1, "sc2_web_pages": sc2, "tx1_sentences": tx1, "tx2_chunks": tx2, "tx3_windows": tx3, "tx4_chunk_ids": tx4, "tx5_chart_noise": tx5, "tx6_query_time_text": tx6, "tx7_circuit_types": tx7, "tx8_caption_classes": tx8, "tx9_components": tx9, "tx10_page_type": tx10,
     "tx11_section": tx11, "tx12_context": tx12, "tx13_sentence_dedupe": tx13, "tx14_role_markers": tx14, "tx15_errors": tx15, "tx16_answer_cleanup": tx16, "tx17_captions": tx17, "tx20_acceptance": tx20, "tx21_annotations": tx21, "pf9_figure_classes": pf9,
 }
 
@@ -141,7 +152,10 @@ SELECT conv_id, turn, length(trim(regexp_replace(replace(replace(replace(replace
     "sc1_document_status": "WITH p AS (SELECT concat(source, '-', CAST(floor(doc_id / 100) AS BIGINT)) AS document_id, n_chars < 100 AS e FROM documents) SELECT document_id, count(*) AS page_count, count(*) FILTER (e) AS error_pages, CASE WHEN count(*) FILTER (e) = 0 THEN 'success' WHEN count(*) FILTER (e) < count(*) THEN 'partial' ELSE 'error' END AS status FROM p GROUP BY document_id",
     "tx3_windows": f"WITH d AS (SELECT doc_id AS document_id, {_COL} AS t FROM documents), e AS (SELECT document_id, t, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 600 AS INTEGER) AS start, md5(substring(t, pos * 600 + 1, 800)) AS chunk_key FROM e",
     "tx4_chunk_ids": f"WITH d AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, {_COL} AS t FROM documents), e AS (SELECT document_id, page, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, page, CAST(pos AS INTEGER) AS pos, concat(document_id, '_p', page, '_c', row_number() OVER (PARTITION BY document_id ORDER BY page, pos) - 1) AS chunk_id FROM e",
-    "tx7_tx8_circuit_types": "WITH x AS (SELECT doc_id AS document_id, list_filter([" + ", ".join(f"CASE WHEN {_ANY('lower(text)', ws)} THEN '{n}' END" for n, ws in T.CIRCUIT_WORDS) + "], lambda v: v IS NOT NULL) AS t FROM documents) SELECT document_id, CASE WHEN len(t) > 0 THEN array_to_string(t, ',') ELSE 'unknown' END AS types FROM x",
+    "tx8_caption_classes": "WITH s AS (SELECT conv_id, turn, concat(text, CASE conv_id % 3 WHEN 0 THEN ' 低通滤波 LPF buck POWER' WHEN 1 THEN ' H桥 555 feedback' ELSE '' END) AS text, CASE turn % 3 WHEN 0 THEN ['filter'] ELSE [] END AS seed FROM conversations), x AS (SELECT conv_id, turn, list_concat(seed, list_filter([" + ", ".join(f"CASE WHEN {_ANY('lower(text)', ws)} THEN '{n}' END" for n, ws in CAPTION_CLASS_WORDS.items()) + "], lambda v: v IS NOT NULL AND NOT list_contains(seed, v))) AS t FROM s) SELECT conv_id, turn, CASE WHEN len(t) > 0 THEN array_to_string(t, ',') ELSE 'unknown' END AS types FROM x",
+    "tx1_sentences": f"WITH d AS (SELECT doc_id AS document_id, {COLLAPSED} AS t FROM documents), e AS (SELECT document_id, unnest(list_filter({SENTENCES}, lambda x: length(x) > 0)) AS raw, generate_subscripts(list_filter({SENTENCES}, lambda x: length(x) > 0), 1) AS i FROM d), f AS (SELECT document_id, raw, sum(length(raw)) OVER (PARTITION BY document_id ORDER BY i) AS stop FROM e) SELECT document_id, count(*) AS n_sentences, CAST(max(stop - (length(raw) - length(rtrim(raw)))) AS INTEGER) AS last_end, CAST(sum(length(trim(raw))) AS BIGINT) AS signs FROM f WHERE length(trim(raw)) > 0 GROUP BY document_id",
+    "tx2_chunks": f"WITH RECURSIVE pg AS (SELECT doc_id AS document_id, 1 AS page, text FROM documents), {chunks('pg')} SELECT document_id, concat(document_id, '_p', page, '_c', row_number() OVER (PARTITION BY document_id ORDER BY page, pos) - 1) AS chunk_id, CAST(length(chunk) AS INTEGER) AS size FROM ck",
+    "tx7_circuit_types": "WITH x AS (SELECT doc_id AS document_id, list_filter([" + ", ".join(f"CASE WHEN {_ANY('lower(text)', ws)} THEN '{n}' END" for n, ws in CIRCUIT_WORDS) + "], lambda v: v IS NOT NULL) AS t FROM documents) SELECT document_id, CASE WHEN len(t) > 0 THEN array_to_string(t, ',') ELSE 'unknown' END AS types FROM x",
     "tx10_page_type": f"""SELECT doc_id AS document_id, CASE WHEN {_ANY('lower(text)', T.COVER_WORDS)} AND length(text) < 500 THEN 'cover' WHEN contains(lower(text), 'contents') THEN 'toc' WHEN {_ANY('lower(text)', T.TIMING_WORDS)} THEN 'timing_diagram'
   WHEN (doc_id % 3 = 0 OR doc_id % 4 = 0) AND {_ANY('lower(text)', T.PARAMETER_WORDS)} THEN 'parameter_table' WHEN (doc_id % 3 = 0 OR doc_id % 4 = 0) AND {_ANY('lower(text)', T.PIN_WORDS)} THEN 'pin_table' ELSE 'text_only' END AS page_type FROM documents""",
     "tx14_role_markers": """WITH a AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat(text, ' user: next') ELSE text END AS t FROM {fx_answers}), m AS (SELECT *, instr(lower(t), 'assistant') AS p1, instr(lower(t), 'user:') AS p2, instr(lower(t), 'system:') AS p3, instr(lower(t), concat(chr(10), chr(10), chr(10))) AS p4 FROM a),
