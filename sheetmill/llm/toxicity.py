@@ -4,15 +4,20 @@ The lexicon is a trie of words and stems. A Levenshtein automaton for all of its
 the product of the trie with an error count; its states are made when a token first needs them and
 kept, so that a token costs one dictionary look-up for each character, and most tokens leave the
 automaton after two or three. Words of 5 to 7 letters may have one error, longer ones two, shorter
-ones none; stems have to be met exactly, whatever follows them.
+ones none; stems of 5 letters or more may have one error, whatever follows them.
+
+A token of common language is no misspelling: what stands near a term but is used in clean rows does
+not count. What is left counts as a hit of its term, by the share that misspellings with as many errors
+have earned in labelled rows, and otherwise like a term that is spelled right.
 
 Every hit is looked at in a window of ``WINDOW`` tokens to both sides: quotation marks around it and
-words of reporting speak for quotation; a second person, exclamation marks and further hits speak
-for abuse. The counts of a text are columns, and a logistic model turns them into a score.
+words of reporting speak for quotation, which halves what the hit counts; a second person, exclamation
+marks and further hits speak for abuse. The counts of a text are columns, and a logistic model turns them
+into a score; no evidence of abuse can lower it and no quotation can raise it.
 
 The lexicon is learned from all labelled rows: a word, or all words with a common stem, joins it if
 it is at least ``RATIO`` times as frequent in toxic rows and occurs in ``LEAST`` of them. Every such
-term joins; this evidence alone bounds what is sent to the tasks. Only the logistic model is fitted
+term joins; this evidence alone bounds what is sent to the tasks, as a broadcast. Only the logistic model is fitted
 to a sample (at most about ``SAMPLE`` rows, chosen by a hash of the id).
 
 Defined results: a null text is empty; a text without hits has the score of one without hits, so an
@@ -26,13 +31,15 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Matrices
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmill.llm.common import checkpointed, sized_batches, strings
@@ -47,30 +54,49 @@ _TOKENS = re.compile(r"\w+|[!\"“”„«»‘’]")
 _QUOTES = frozenset("\"“”„«»‘’")
 
 
+#: What a misspelling with so many errors counts before labels say more, how many labelled rows that is worth, and its least.
+TRUST, PRIOR, LEAST_TRUST = {1: 0.7, 2: 0.5}, 20.0, 0.4
+#: A near word that so many clean rows use, and that is not this much more frequent in toxic ones, is common language.
+COMMON, COMMON_RATIO = 2, 5.0
+STATES = 200_000
+
+
 def errors_allowed(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 8 else 2
 
 
+def stem_errors(stem: str) -> int:
+    return min(1, errors_allowed(stem))
+
+
 class Lexicon:
     """The trie and its automaton. A state is a set of (node, errors so far); 0 is the dead state."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]) -> None:
+    def __init__(self, words: dict[str, float], stems: dict[str, float], common: frozenset[str] = frozenset(), trust: dict[int, float] = TRUST) -> None:
+        self.words, self.stems, self.common, self.trust = words, stems, common, {0: 1.0, **trust}
         self.children: list[dict[str, int]] = [{}]
         self.word: list[tuple[str, float] | None] = [None]
         self.stem: list[tuple[str, float] | None] = [None]
         for terms, ends in ((words, self.word), (stems, self.stem)):
             for term, weight in terms.items():
                 ends[self._node(term)] = (term, weight)
-        #: The most errors that a word below a node allows.
+        #: The most errors that a word or stem below a node allows.
         self.limit = [0] * len(self.children)
         for node in range(len(self.children) - 1, -1, -1):
             own = errors_allowed(self.word[node][0]) if self.word[node] else 0
-            self.limit[node] = max([own, *(self.limit[c] for c in self.children[node].values())])
+            stem = stem_errors(self.stem[node][0]) if self.stem[node] else 0
+            self.limit[node] = max([own, stem, *(self.limit[c] for c in self.children[node].values())])
+        self.seen: dict[str, tuple[int, float, str] | None] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        """No states but the dead one and the start."""
         self.states: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
         self.next: list[dict[str, int]] = [{}]
+        #: Of each state the closest stem that has been met there.
+        self.met: list[tuple[int, float, str] | None] = [None]
         self.start = self._state(self._closed({(0, 0)}))
-        self.seen: dict[str, tuple[int, float, str] | None] = {}
 
     def _node(self, term: str) -> int:
         node = 0
@@ -102,6 +128,8 @@ class Lexicon:
             self.states[members] = len(self.sets)
             self.sets.append(members)
             self.next.append({})
+            stems = [(e, -self.stem[n][1], self.stem[n][0]) for n, e in members if self.stem[n] and e <= stem_errors(self.stem[n][0])]
+            self.met.append(min(stems) if stems else None)
         return self.states[members]
 
     def step(self, state: int, ch: str) -> int:
@@ -123,54 +151,65 @@ class Lexicon:
         """(errors, weight, term) of the closest term of a lower-case token, or nothing."""
         if token in self.seen:
             return self.seen[token]
-        state, node = self.start, 0
-        found: tuple[int, float, str] | None = None
+        if len(self.sets) > STATES:
+            self._restart()
+        state = self.start
+        found: tuple[int, float, str] | None = None  # errors, -weight, term
         for ch in token:
             state = self.step(state, ch)
-            node = self.children[node].get(ch, -1) if node >= 0 else -1
-            if node >= 0 and self.stem[node]:
-                found = (0, self.stem[node][1], self.stem[node][0])
             if not state:
                 break
-        if state:
-            for at, e in self.sets[state]:
-                w = self.word[at]
-                if w and e <= errors_allowed(w[0]) and (found is None or (e, -w[1], w[0]) < (found[0], -found[1], found[2])):
-                    found = (e, w[1], w[0])
+            stem = self.met[state]
+            if stem and (found is None or (stem[0], -len(stem[2])) < (found[0], -len(found[2]))):
+                found = stem
+        for at, e in self.sets[state]:
+            w = self.word[at]
+            if w and e <= errors_allowed(w[0]) and (found is None or (e, -w[1], w[0]) < found):
+                found = (e, -w[1], w[0])
+        if found and found[0] and token in self.common:
+            found = None
+        out = (found[0], -found[1], found[2]) if found else None
         if len(self.seen) > KEPT:
             self.seen.clear()
-        self.seen[token] = found
-        return found
+        self.seen[token] = out
+        return out
 
 
-FEATURES = ("exact", "fuzzy", "abuse", "quoted", "weight", "different", "share")
+#: What the model weighs, and behind it counts of exact and misspelled hits, which it does not.
+WEIGHED = ("hits", "abuse", "quoted", "weight", "different", "share")
+FEATURES = (*WEIGHED, "exact", "fuzzy")
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
+    """The values of ``FEATURES`` for one text."""
     tokens = _TOKENS.findall(text.lower())
     find, seen = lexicon.find, lexicon.seen
     hit_words = {w for w in set(tokens) if (seen[w] if w in seen else find(w)) is not None}
     if not hit_words:
         return [0.0] * len(FEATURES)
     places = [i for i, w in enumerate(tokens) if w in hit_words]
-    exact = fuzzy = abuse = quoted = weight = 0.0
-    terms, hits = set(), set(places)
+    hits = exact = fuzzy = abuse = quoted = weight = 0.0
+    terms: dict[str, float] = {}
+    hit_at = set(places)
     for i in places:
         errors, w, term = find(tokens[i])  # type: ignore[misc]
+        trust = lexicon.trust[errors]
         low, high = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
         before, after = tokens[low:i], tokens[i + 1 : high]
         quotes = any(t in _QUOTES for t in before) and any(t in _QUOTES for t in after)
         reports = any(t in REPORTING for t in before) or any(t in REPORTING for t in after)
-        sharp = sum(t in SECOND_PERSON or t == "!" for t in before + after) + sum(j in hits for j in range(low, high)) - 1
+        sharp = sum(t in SECOND_PERSON or t == "!" for t in before + after) + sum(j in hit_at for j in range(low, high)) - 1
         quotation = 0.7 * quotes + 0.3 * reports
+        counted = trust * (1.0 - 0.5 * quotation)
+        hits += counted
         quoted += quotation
-        abuse += max(0.0, 1.0 + 0.5 * min(sharp, 4) - 1.5 * quotation)
-        weight += w * (1.0 - 0.5 * quotation) * (1.0 if not errors else 0.6)
+        abuse += trust * max(0.0, 1.0 + 0.5 * min(sharp, 4) - 1.5 * quotation)
+        weight += w * counted
         exact += not errors
         fuzzy += errors > 0
-        terms.add(term)
+        terms[term] = max(counted, terms.get(term, 0.0))
     log = lambda x: math.log1p(x)
-    return [log(exact), log(fuzzy), log(abuse), log(quoted), log(weight), float(min(len(terms), 10)), log(1000.0 * exact / len(tokens))]
+    return [log(hits), log(abuse), log(quoted), log(weight), min(sum(terms.values()), 10.0), log(1000.0 * hits / len(tokens)), exact, fuzzy]
 
 
 class ToxicModel(NamedTuple):
@@ -178,6 +217,8 @@ class ToxicModel(NamedTuple):
     stems: dict[str, float]
     weights: tuple[float, ...]
     intercept: float
+    common: frozenset[str] = frozenset()
+    trust: dict[int, float] = TRUST
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +231,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "toxic", "other"])
 
 
-def learned_terms(rows: DataFrame, toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems of labelled rows that mark toxic rows, with their log ratios."""
-    words = checkpointed(rows.select("text", "label").mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word, toxic, other``: how many toxic and other labelled rows have a word."""
+    return checkpointed(rows.select("text", "label").mapInArrow(_word_counts, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+
+
+def learned_terms(words: DataFrame, toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems of labelled rows that mark toxic rows, with their log ratios; ``words`` are ``word_counts``."""
     strong = (F.col("toxic") >= LEAST) & ((F.col("toxic") + 0.5) / (toxic + 1) >= RATIO * (F.col("other") + 0.5) / (other + 1))
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     own = {r["word"]: r for r in words.where(strong).select("word", "toxic", ratio.alias("ratio")).collect()}
@@ -217,17 +262,56 @@ def learned_terms(rows: DataFrame, toxic: int, other: int) -> tuple[dict[str, fl
     return {**{s: 3.0 for s in SEEDS}, **words_out}, stems
 
 
-_lexicons: dict[int, Lexicon] = {}
+def near_words(words: DataFrame, lexicon: Lexicon, toxic: int, other: int) -> tuple[frozenset[str], dict[int, float]]:
+    """Words near a term that are common language, and what the rest of the misspellings have earned by errors.
 
+    Only words that the automaton meets with errors come back to the driver, and of them those that clean
+    rows use; the evidence of all others is summed where it is.
+    """
+    run, _ = _with_lexicon(lexicon.words, lexicon.stems)
 
-def _featured(words: dict[str, float], stems: dict[str, float], columns: list[str], types: str):
-    key = hash((tuple(sorted(words.items())), tuple(sorted(stems.items()))))
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = run()
+        for b in batches:
+            hits = [known.find(w) for w in strings(b.column("word"))]
+            at = pa.array([k for k, h in enumerate(hits) if h and h[0]], pa.int64())
+            yield pa.record_batch([b.column(c).take(at) for c in ("word", "toxic", "other")] + [pa.array([h[0] for h in hits if h and h[0]], pa.int32())], names=["word", "toxic", "other", "errors"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _lexicons:
+    near = checkpointed(words.mapInArrow(met, "word string, toxic long, other long, errors int"))
+    rate = lambda n, of: (n + 0.5) / (of + 1)
+    usual = (F.col("other") >= COMMON) & (rate(F.col("toxic"), toxic) < COMMON_RATIO * rate(F.col("other"), other))
+    common = frozenset(r["word"] for r in near.where(usual).select("word").collect())
+    trust = dict(TRUST)
+    mean = sum(lexicon.words.values()) / len(lexicon.words)
+    for r in near.where(~usual).groupBy("errors").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect():
+        n, earned = r["toxic"] + r["other"], math.log(rate(r["toxic"], toxic)) - math.log(rate(r["other"], other))
+        blend = (n * earned / mean + PRIOR * TRUST[r["errors"]]) / (n + PRIOR)
+        trust[r["errors"]] = min(1.0, max(LEAST_TRUST, blend))
+    return common, trust
+
+
+_lexicons: dict[str, Lexicon] = {}
+
+
+def _with_lexicon(words: dict[str, float], stems: dict[str, float], common: frozenset[str] = frozenset(), trust: dict[int, float] = TRUST):
+    """A function that gives a worker its lexicon, and the name under which it is kept there."""
+    name = uuid.uuid4().hex
+    sent = SparkSession.getActiveSession().sparkContext.broadcast((words, stems, common, trust))
+
+    def run() -> Lexicon:
+        if name not in _lexicons:
             _lexicons.clear()
-            _lexicons[key] = Lexicon(words, stems)
-        lexicon = _lexicons[key]
+            _lexicons[name] = Lexicon(*sent.value)
+        return _lexicons[name]
+
+    return run, name
+
+
+def _featured(model: ToxicModel, columns: list[str], types: str):
+    lexicon_of, _ = _with_lexicon(model.words, model.stems, model.common, model.trust)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = lexicon_of()
         for b in sized_batches(batches, most=8 << 20):
             rows = [features(t, lexicon) for t in strings(b.column("text"))]
             out = [b.column(c) for c in columns] + [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(FEATURES))]
@@ -251,21 +335,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not rows or not ones or ones == rows:
         p = min(max((ones or 0) / rows, 0.001), 0.999) if rows else 0.5
         return ToxicModel({s: 3.0 for s in SEEDS}, {}, (0.0,) * len(FEATURES), math.log(p / (1 - p)))
-    words, stems = learned_terms(labelled, ones, rows - ones)
-    run, schema = _featured(words, stems, ["label"], "label double")
+    counted = word_counts(labelled)
+    words, stems = learned_terms(counted, ones, rows - ones)
+    common, trust = near_words(counted, Lexicon(words, stems), ones, rows - ones)
+    none = ToxicModel(words, stems, (0.0,) * len(FEATURES), 0.0, common, trust)
+    run, schema = _featured(none, ["label"], "label double")
     table = checkpointed(own.mapInArrow(run, schema))
     low, high = table.agg(F.min("label"), F.max("label")).first()
     if low is None or low == high:  # a sample of one kind fits nothing
         p = min(max(ones / rows, 0.001), 0.999)
-        return ToxicModel(words, stems, (0.0,) * len(FEATURES), math.log(p / (1 - p)))
-    fitted = LogisticRegression(regParam=0.001, maxIter=80).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table))
-    return ToxicModel(words, stems, tuple(float(x) for x in fitted.coefficients.toArray()), float(fitted.intercept))
+        return none._replace(intercept=math.log(p / (1 - p)))
+    quotes = [f == "quoted" for f in WEIGHED]
+    low, high = (Matrices.dense(1, len(WEIGHED), b) for b in ([-50.0 if q else 0.0 for q in quotes], [0.0 if q else 50.0 for q in quotes]))
+    logistic = LogisticRegression(regParam=0.001, maxIter=80, lowerBoundsOnCoefficients=low, upperBoundsOnCoefficients=high)
+    fitted = logistic.fit(VectorAssembler(inputCols=list(WEIGHED), outputCol="features").transform(table))
+    return none._replace(weights=(*(float(x) for x in fitted.coefficients.toArray()), 0.0, 0.0), intercept=float(fitted.intercept))
 
 
 def scores(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` of each row, with the counts that the score is made of."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    run, schema = _featured(model.words, model.stems, ["doc_id"], "doc_id long")
+    run, schema = _featured(model, ["doc_id"], "doc_id long")
     z = F.lit(model.intercept)
     for w, f in zip(model.weights, FEATURES, strict=True):
         z = z + F.lit(w) * F.col(f)

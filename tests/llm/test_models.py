@@ -87,6 +87,53 @@ def test_quotation_weighs_less_than_abuse():
     assert said["quoted"] > 0 == meant["quoted"] and said["abuse"] < meant["abuse"] and meant["fuzzy"] > 0
 
 
+def test_stems_may_have_one_error_and_common_language_none():
+    lexicon = toxicity.Lexicon({"worthless": 3.0}, {"achlich": 2.0}, frozenset({"worthlest"}), {1: 0.6, 2: 0.4})
+    assert lexicon.find("achlichkeit") == (0, 2.0, "achlich") and lexicon.find("achljchkeit") == (1, 2.0, "achlich") and lexicon.find("abhljchkeit") is None
+    assert lexicon.find("worthles") == (1, 3.0, "worthless") and lexicon.find("worthlest") is None
+    one, two = (toxicity.features(t, lexicon) for t in ("a worthless thing", "a worthles thing"))
+    assert all(0 < b < a for a, b, f in zip(one, two, toxicity.FEATURES) if f in ("hits", "abuse", "weight", "different", "share"))
+
+
+def test_states_of_an_automaton_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    lexicon, r = toxicity.Lexicon({"worthless": 3.0, "disgusting": 2.0}, {}), random.Random(1)
+    for _ in range(500):
+        lexicon.find("".join(r.choices("worthlesdigun", k=9)))
+        assert len(lexicon.sets) < 50 + 30
+    assert lexicon.find("worthles") == (1, 3.0, "worthless")
+
+
+def edited(word, r):
+    k = r.randrange(1, len(word))
+    return r.choice([word[:k] + word[k + 1 :], word[:k] + r.choice("bqxz") + word[k:], word[:k] + r.choice("bqxz") + word[k + 1 :]])
+
+
+def test_misspelled_terms_score_above_clean_rows(spark):
+    """One random edit in each term of a held-out toxic row still leaves it above nearly all clean rows."""
+    docs, labels = queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")
+    fold = F.crc32(labels["doc_id"].cast("string")) % 4
+    model = toxicity.fit(docs, labels.where(fold != 2), "toxic")
+    assert all(w >= 0 for w, f in zip(model.weights, toxicity.FEATURES) if f != "quoted") and all(0 < t <= 1 for t in model.trust.values())
+    r, terms = random.Random(9), {w for w in model.words if toxicity.errors_allowed(w)}
+    held = docs.join(labels.where(fold == 2), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = []
+    for x in held:
+        words = x.text.split(" ")
+        if x.toxic and any(w.strip(".,").lower() in terms for w in words):
+            rows.append((x.doc_id, " ".join(edited(w, r) if w.strip(".,").lower() in terms else w for w in words), "wrong"))
+            rows.append((x.doc_id, x.text, "right"))
+        elif not x.toxic:
+            rows.append((x.doc_id, x.text, "clean"))
+    rows += [(-1, "You are a worthles person.", "short"), (-2, "You are pathetlc!", "short"), (-3, "You are a good person.", "calm")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = {}
+    for s, (_, _, kind) in zip(sorted(toxicity.scores(df, model).collect(), key=lambda s: (s.doc_id, s.exact)), sorted(rows, key=lambda x: (x[0], x[2] == "right"))):
+        got.setdefault(kind, []).append(s.score)
+    clean = sorted(got["clean"])
+    assert len(got["wrong"]) >= 3 and min(got["wrong"]) > clean[int(0.97 * len(clean))] and min(got["short"]) > got["calm"][0] and min(got["short"]) >= 0.3
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "idiot " * 20_000), (2, "fine")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
