@@ -100,6 +100,7 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
     ``keywords(word, english)`` maps words of a query to words of file names.
     """
     from sheetmill.operators.retrieval import containing
+    from sheetmill.operators.tagging import occurrences
 
     rows = devices.select(F.col("document_id").alias("row_id"), F.lower("filename").alias("hay"))
 
@@ -108,7 +109,8 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
 
     direct = held(queries.select("query_id", F.lower("query").alias("needle")))
     rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    mapped = rest.join(F.broadcast(keywords), F.contains(F.lower("query"), F.col("word"))).select("query_id", F.col("english").alias("needle")).distinct()
+    words = keywords.select("word", F.col("english").alias("tag"))
+    mapped = occurrences(rest.select("query_id", F.lower("query").alias("query")), words, "query_id", "query").select("query_id", F.col("tag").alias("needle")).distinct()
     return direct.unionByName(held(mapped))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmill.functions.folds import bound
+
 # Words that carry no content.
 STOP_WORDS = (
     "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这", "个", "那", "些",
@@ -154,21 +156,34 @@ def full_text(queries: DataFrame, tables: DataFrame, k: int = 10, tokenizer: Cal
     return asked.join(best, "words").select("query_id", "doc_id", "score", "rank")
 
 
+def grams(text: Column, q: int) -> Column:
+    """All runs of ``q`` signs of a text, in order; none of a shorter one."""
+    runs = lambda signs: F.transform(F.sequence(F.lit(0), F.size(signs) - q), lambda i: F.concat(*(F.get(signs, i + k) for k in range(q))))
+    return F.when(F.length(text) >= q, bound(F.split(text, ""), runs)).otherwise(F.array().cast("array<string>"))
+
+
 def containing(needles: DataFrame, rows: DataFrame, q: int = 4) -> DataFrame:
     """``needle, row_id``: the rows (``row_id, hay``) whose text holds a needle (``needle``, distinct texts).
 
-    Every needle is looked up by the rarest of its grams of ``q`` signs, an equi join, and then
-    compared whole. Needles shorter than a gram meet all rows in even parts.
+    Texts send the places of their grams of ``q`` signs, as far as a needle has the gram; the texts stay where
+    they are. A needle is looked up by the two rarest of its grams, which have to stand at the right distance,
+    and what both give is joined with its text and compared whole. A needle shorter than a gram is a gram itself.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.lit(q))))
-    post = rows.where(F.length("hay") >= q).select("row_id", "hay", F.explode(grams(F.col("hay"))).alias("gram"))
-    asked = needles.where(F.length("needle") >= q).select("needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    asked = needles.where(F.length("needle") >= q).select("needle", F.posexplode(grams(F.col("needle"), q)).alias("off", "gram"))
+    post = rows.where(F.length("hay") >= q).select("row_id", F.posexplode(grams(F.col("hay"), q)).alias("pos", "gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
     df = post.groupBy("gram").agg(F.count("*").alias("df"))
-    # A needle one of whose grams no row has is in none; min_by takes that gram.
-    anchor = asked.join(df, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    long = anchor.join(post, "gram").where(F.contains("hay", F.col("needle"))).select("needle", "row_id")
-    short = spread_pairs(needles.where(F.length("needle") < q), rows).where(F.contains("hay", F.col("needle"))).select("needle", "row_id")
-    return long.unionByName(short)
+    # A gram that no row has counts as the rarest, and its needle is found nowhere.
+    weighed = asked.join(df, "gram", "left").groupBy("needle").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "gram"))), 1, 2).alias("two"))
+    anchors = weighed.where(F.col("two")[0]["df"] > 0).select("needle", F.size("two").alias("need"), F.inline("two"))
+    met = anchors.join(post, "gram").select("needle", "row_id", "need", "off", (F.col("pos") - F.col("off")).alias("at"))
+    # Both grams of a needle have other offsets, so each place counts them once.
+    near = met.groupBy("needle", "row_id", "need", "at").agg(F.count("*").alias("n")).where("n = need").select("needle", "row_id").distinct()
+    out = near.join(rows, "row_id").where(F.contains("hay", F.col("needle"))).select("needle", "row_id")
+    for k in range(1, q):
+        short = needles.where(F.length("needle") == k)
+        each = rows.select("row_id", F.explode(F.array_distinct(grams(F.col("hay"), k))).alias("needle"))
+        out = out.unionByName(each.join(short, "needle", "left_semi").select("needle", "row_id"))
+    return out.unionByName(rows.where("hay is not null").join(F.broadcast(needles.where("needle = ''").limit(1)), how="cross").select("needle", "row_id"))
 
 
 def contains_all(queries: DataFrame, tables: DataFrame, k: int = 10) -> DataFrame:
