@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetmill.llm.common import GOLDEN, U64, checkpointed, mix, sized_batches, strings, token_hashes, word_shingles
+from sheetmill.llm.common import GOLDEN, U64, checkpointed, mix, sized_batches, strings, tidied, token_hashes, word_shingles
 from sheetmill.llm.components import components
 
 WORDS, LEAST, BANDS, ROWS, MOST = 5, 0.8, 20, 5, 256
@@ -153,9 +153,7 @@ def _weighted(words: int):
             out, size, uneven = [], [], []
             for t in strings(b.column("text")):
                 h, n = shingles(t, words)
-                h, where = np.unique((h >> U64(32)).astype("<u4"), return_inverse=True)
-                n = np.bincount(where, n, len(h)).astype("<u4")
-                out.append(np.concatenate([h, n]).astype("<u4").tobytes())
+                out.append(h.astype("<u8").tobytes() + n.astype("<u4").tobytes())
                 size.append(len(h))
                 uneven.append(len(h) > 0 and _uneven((h, n)))
             yield pa.record_batch([b.column("t"), pa.array(out, pa.binary()), pa.array(size, pa.int32()), pa.array(uneven, pa.bool_())], names=["t", "weights", "size", "uneven"])
@@ -164,8 +162,9 @@ def _weighted(words: int):
 
 
 def _loaded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(raw, "<u4")
-    return both[: len(both) // 2], both[len(both) // 2 :]
+    """Hashes (64 bits) and weights (32 bits) of a text's shingles."""
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
 
 
 def _compared(least: float):
@@ -190,7 +189,7 @@ def weights_of(keys: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """``t, weights, size, uneven`` of the texts that ``keys(t)`` names."""
     first = rows.groupBy("t").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id")).join(keys.distinct(), "t")
     texts = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(first, ["t", "doc_id"]).select("t", "text")
-    return checkpointed(texts.mapInArrow(_weighted(words), "t long, weights binary, size int, uneven boolean").dropDuplicates(["t"]))
+    return checkpointed(texts.mapInArrow(tidied(_weighted(words)), "t long, weights binary, size int, uneven boolean").dropDuplicates(["t"]))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -198,7 +197,7 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int = WORDS, least: float
     weights = weights_of(pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))), rows, words)
     with_a = pairs.join(weights.select(F.col("t").alias("a"), F.col("weights").alias("wa")), "a")
     with_b = with_a.join(weights.select(F.col("t").alias("b"), F.col("weights").alias("wb")), "b")
-    return checkpointed(with_b.mapInArrow(_compared(least), "a long, b long"))
+    return checkpointed(with_b.mapInArrow(tidied(_compared(least)), "a long, b long"))
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +205,14 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [_loaded(w) for w in b.column("weights").to_pylist()]
         owner = pa.array(np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets]))
-        h = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, "<u4")
+        h = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, "<u8")
         share = np.concatenate([w / w.sum() for _, w in sets]) if sets else np.zeros(0)
-        yield pa.record_batch([pa.array(h.view("<i4"), pa.int32()), b.column("t").take(owner), pa.array(share, pa.float64())], names=["h", "t", "share"])
+        yield pa.record_batch([pa.array(h.view("<i8"), pa.int64()), b.column("t").take(owner), pa.array(share, pa.float64())], names=["h", "t", "share"])
 
 
 def own_part(weights: DataFrame) -> DataFrame:
     """``weights`` with ``own`` and ``own_share``: number and weight of the shingles that no other of its texts has."""
-    h = weights.mapInArrow(_shares, "h int, t long, share double").groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("share").alias("share"))
+    h = weights.mapInArrow(tidied(_shares), "h long, t long, share double").groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t"), F.min("share").alias("share"))
     own = h.where("n = 1").groupBy("t").agg(F.count("*").alias("own"), F.sum("share").alias("own_share"))
     return weights.join(own, "t", "left").withColumns({"own": F.coalesce("own", F.lit(0)), "own_share": F.coalesce("own_share", F.lit(0.0))})
 
@@ -340,7 +339,7 @@ def classes(docs: DataFrame, text: str = "text", words: int = WORDS, least: floa
     """``t, class_id, kept`` of each different text (``kept`` is the text that stays for its class), and ``doc_id, t, text`` of each row."""
     spark = docs.sparkSession
     keyed = _keyed(docs, text)
-    signed = keyed.mapInArrow(_signed(words, bands, rows), "doc_id long, t long, bands array<long>")
+    signed = keyed.mapInArrow(tidied(_signed(words, bands, rows)), "doc_id long, t long, bands array<long>")
     texts = checkpointed(signed.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     member = texts.where("bands is not null").select("t", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -359,7 +358,7 @@ def classes(docs: DataFrame, text: str = "text", words: int = WORDS, least: floa
     dealt = left.withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).select("key", "t", "label", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "t", "label").join(weights.select("t", "weights", "own", "own_share"), "t")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = dealt.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_across(most, least), "a long, b long")
+    more = dealt.repartition(tasks, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(tidied(_across(most, least)), "a long, b long")
     label = components(links.union(checkpointed(more)))
     joined = texts.select("t", "doc_id").join(label.withColumnRenamed("v", "t"), "t", "left").withColumn("label", F.coalesce("label", "t"))
     best = joined.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "t")).alias("best"))

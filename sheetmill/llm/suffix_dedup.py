@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetmill.llm.common import U64, checkpointed, mix, sized_batches, strings
+from sheetmill.llm.common import U64, checkpointed, mix, sized_batches, strings, tidied
 
 LENGTH, GRAM, MOST, SPLIT = 200, 32, 20_000, 1_000
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -380,9 +380,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     rows = _keyed(docs, text)
     copies = checkpointed(rows.where(F.col("size") >= length).groupBy("tk", "size").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(-1))).alias("rep")))
     source = rows.where(F.col("size") >= length)
-    often = checkpointed(source.select("tk", "size", "text").mapInArrow(_anchor_rows(length, gram, False), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    often = checkpointed(source.select("tk", "size", "text").mapInArrow(tidied(_anchor_rows(length, gram, False)), "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = source.select("tk", "size", "text").mapInArrow(_anchor_rows(length, gram, True), "gram long, context long, tk long, size int, place int")
+    placed = source.select("tk", "size", "text").mapInArrow(tidied(_anchor_rows(length, gram, True)), "gram long, context long, tk long, size int, place int")
     found = checkpointed(held_by(placed, often, ["gram"], total))
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("tk", "size", "place")).alias("rep"))
     groups = contexts.groupBy("gram").agg(F.count("*").alias("different"))
@@ -393,19 +393,19 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     # Texts with a whole copy are known to go; their text is needed only if others are compared with it.
     marks = marks.join(copies, ["tk", "size"]).where("copies = 1 or size(wanted) > 0").withColumnRenamed("rep", "doc_id").drop("copies")
     texts = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(marks, ["tk", "size", "doc_id"]).select("tk", "size", "text", "whole", "wanted")
-    packed = checkpointed(texts.mapInArrow(_pack, "tk long, size int, packed binary, whole array<int>, wanted array<int>"))
-    asked = packed.where("size(wanted) > 0").mapInArrow(_fetch(length, gram), "gram long, tk long, size int, place int, at int, data binary")
+    packed = checkpointed(texts.mapInArrow(tidied(_pack), "tk long, size int, packed binary, whole array<int>, wanted array<int>"))
+    asked = packed.where("size(wanted) > 0").mapInArrow(tidied(_fetch(length, gram)), "gram long, tk long, size int, place int, at int, data binary")
     asked = asked.join(groups.where("different > 1"), "gram")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = asked.where(F.col("different") <= most).repartition(parts, "gram").sortWithinPartitions("gram").drop("different")
-    sorted_out = small.mapInArrow(_sort_groups(length), SPAN)
-    large = asked.where(F.col("different") > most).mapInArrow(_strings_of(length), "key binary, tk long, size int, low int")
+    sorted_out = small.mapInArrow(tidied(_sort_groups(length)), SPAN)
+    large = asked.where(F.col("different") > most).mapInArrow(tidied(_strings_of(length)), "key binary, tk long, size int, low int")
     twice = large.groupBy("key").count().where("count > 1").select("key")
     counted = large.join(twice, "key", "left_semi").select("tk", "size", "low", (F.col("low") + length).alias("high"))
     spans = sorted_out.unionByName(counted).groupBy("tk", "size").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     single = packed.join(copies.where("copies = 1"), ["tk", "size"], "left_semi").drop("wanted").dropDuplicates(["tk", "size"])
-    cut = single.join(spans, ["tk", "size"], "left").mapInArrow(_cut(length, gram), "tk long, size int, n_removed long, n_spans long, kept_sha256 string, kept binary").where("n_spans > 0")
+    cut = single.join(spans, ["tk", "size"], "left").mapInArrow(tidied(_cut(length, gram)), "tk long, size int, n_removed long, n_spans long, kept_sha256 string, kept binary").where("n_spans > 0")
     gone = copies.where("copies > 1").select("tk", "size", F.col("size").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return cut.unionByName(gone), rows.select("doc_id", "tk", "size", "text")
 
@@ -431,7 +431,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     A null text stays null. A row is carried as a whole, so no name of a column can clash.
     """
     removed, _ = repeats(docs, text, length, gram, most)
-    kept = removed.select("tk", "size", "kept").mapInArrow(_unpack, "tk long, size int, kept string")
+    kept = removed.select("tk", "size", "kept").mapInArrow(tidied(_unpack), "tk long, size int, kept string")
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(t).alias("tk"), F.octet_length(t).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     out = rows.join(kept, ["tk", "size"], "left")

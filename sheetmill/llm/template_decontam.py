@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetmill.llm.common import GOLDEN, U64, mix, sized_batches, strings
+from sheetmill.llm.common import GOLDEN, U64, mix, sized_batches, strings, tidied
 
 WINDOW, COVER, SHORTEST, MOST_WINDOWS, KEPT = 8, 0.5, 5, 4_000_000, 150_000
 WORD, NUMBER, UNIT, NAME, STOP = 0, 1, 2, 3, 4
@@ -275,15 +275,15 @@ def _text_key(docs: DataFrame):
 def held(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, shortest: int = SHORTEST) -> DataFrame:
     """The columns of ``matches`` for each different text (key ``tk``) under an id."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).mapInArrow(_item_rows(window, shortest), ITEM)
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).mapInArrow(tidied(_item_rows(window, shortest)), ITEM)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` of them
     found = [r[0] for r in items.select("hash").distinct().limit(MOST_WINDOWS + 1).collect()]
     known = None if len(found) > MOST_WINDOWS or not found else sc.broadcast(np.sort(np.array(found, np.int64).view(U64)))
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_key(docs).alias("tk"), t.alias("text"))
-    own = rows.mapInArrow(_text_rows(sizes, known), "hash long, size int, doc_id long, tk long, place int, filled binary")
+    own = rows.mapInArrow(tidied(_text_rows(sizes, known), _kinds.clear), "hash long, size int, doc_id long, tk long, place int, filled binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    judged = own.join(items, ["hash", "size"]).repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_judged, MATCH)
+    judged = own.join(items, ["hash", "size"]).repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(tidied(_judged), MATCH)
     best = judged.where(F.col("covered") >= cover * F.col("item_words")).groupBy("doc_id", "tk", "item_id").agg(F.min_by(F.struct("item_words", "covered", "slots_changed", "first_word"), "form").alias("best"))
     return best.select("doc_id", "tk", "item_id", "best.*")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from sheetmill.llm.common import sized_batches, strings
+from sheetmill.llm.common import sized_batches, strings, tidied
 from sheetmill.llm.piece_units import MARK, proves_units, units
 
 KEPT = 150_000
@@ -241,6 +241,12 @@ def machine(model_file: str) -> PieceTransducer:
     return _machines[model_file]
 
 
+def clear() -> None:
+    """Empties what the machines of a worker have learned from texts."""
+    for m in _machines.values():
+        m.seen.clear()
+
+
 def encode_pieces(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, ids (array<int>), decoded``: the ids of each text and what they decode to."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -253,7 +259,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text") -> DataF
             size = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
             yield pa.record_batch([b.column("doc_id"), size, pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(i) for i in ids], pa.string())], names=["doc_id", "n_bytes", "ids", "decoded"])
 
-    return rows.mapInArrow(encoded, "doc_id long, n_bytes long, ids array<int>, decoded string")
+    return rows.mapInArrow(tidied(encoded, clear), "doc_id long, n_bytes long, ids array<int>, decoded string")
 
 
 def piece_digest(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -277,4 +283,4 @@ def piece_digest(docs: DataFrame, model_file: str, text: str = "text") -> DataFr
                 trip.append(m.decode(ids.tolist()) == t)
             yield pa.record_batch([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.int64()), pa.array(trip, pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_hash", "round_trip"])
 
-    return rows.mapInArrow(digested, "doc_id long, n_bytes long, n_pieces long, ids_hash long, round_trip boolean")
+    return rows.mapInArrow(tidied(digested, clear), "doc_id long, n_bytes long, n_pieces long, ids_hash long, round_trip boolean")
