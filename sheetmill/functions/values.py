@@ -329,3 +329,38 @@ RANKED_CHIPS = (
     "tl431", "tl082", "tl084", "opa2134", "ad823", "lt1013",
     "mc34063", "uc3842",
 )
+
+# Preambles of thinking, in the order in which they are tried.
+THINKING_PREFIXES = (
+    r"\d*\s*Thinking\s*Process\s*:\s*",
+    r"\d*\s*Analyze\s+the\s+Request\s*:\s*",
+    r"\d*\s*Let(?:'s|\s+me)\s+(?:think|analyze|reason|break\s+down)\s*[:：]?\s*",
+    r"\d*\s*Step\s*\d+\s*[:：]\s*Analysis\s*",
+)
+# What an answer begins with.
+ANSWER_START = (
+    r"(?:(?:NE|LM|SN|CD|STM32?|AD|MAX|TL|OP|UA|MC|AT)[\p{L}\p{N}_]*(?:的|是|工作|电源|电压|供电|输入|输出|最大|最小|范围|绝对)"
+    r"|根据[^\n]*?(?:规格|数据|资料|文档|手册)"
+    r"|[±]?\d+\.?\d*\s*[VvAa][\s，,。.；;]"
+    r"|该(?:芯片|器件|元件)"
+    r"|Supply\s+voltage)"
+)
+# What goes out of an answer, or is written another way, in this order.
+ANSWER_REPLACEMENTS = (
+    (r"(?i)^(?:Wait|Oh\s+wait|Let\s+me\s+think|I\s+need\s+to)[,.]?\s+", ""),
+    (r"^\d+\s+(?=[A-Za-z一-鿿])", ""),
+    (r"^[\n*\-. ]+", ""),
+    (r"\*\*", ""),
+    (r"<[^>]+>", ""),
+    (r"```markdown\s*", ""),
+    (r"```\s*", ""),
+    (r"(?im)^\s*(?:Solution|Answer|Result)\s*[:：]?\s*$", ""),
+    (r"(?is)根据.*?分析如下：", ""),
+    (r"(?i)作为[^。！？]+专家[^。！？]*[，,。！？]", ""),
+    (r"(?i)我需基于[^。！？]+[。！？]", ""),
+    (r"(?i)以下是针对[^。！？]+[：:]", ""),
+    (r"(\d+)\.\s+(\d+)", "$1.$2"),
+    (r"(\d+)\.\n(\d+)", "$1.$2"),
+    (r"(?i)(\d+)\s+(V|A|℃|°C|mA|mV|μA|kHz|MHz)", "$1$2"),
+    (r"(?i)(\d+)\.\s*(V|A|℃|°C|mA|mV|μA|kHz|MHz)", "$1$2"),
+)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +17,64 @@ _NUMBER = r"([+-]?\d+\.?\d*)"
 PART_NUMBER = r"\b([A-Z]{2,}\d+[A-Z0-9-]*|SN\d+[A-Z]+\d*|NE\d+|LM\d+|CD\d+[A-Z]*)\b"
 
 
-def regex_specs(texts: DataFrame, params: list[str], text: str = "text", key: str = "chip", patterns: dict[str, list[str]] = values.PARAMETER_PATTERNS) -> DataFrame:
-    """``<key>, param, value, confidence``: of each parameter's patterns the first with a believable value."""
+def regex_specs(texts: DataFrame, params: list[str], text: str = "text", key: str = "chip", patterns: dict[str, list[str]] = values.PARAMETER_PATTERNS, among: str | None = None) -> DataFrame:
+    """``<key>, param, value, confidence``: of each parameter's patterns the first with a believable value.
+
+    ``among`` names a column with the parameters that are asked of a text; the patterns of others are not run.
+    """
     found = []
     for p in params:
         tries = [F.regexp_extract(text, "(?i)" + x, 1).try_cast("double") for x in patterns[p]]
         ok = [F.when(in_range(F.lit(p), v), F.struct(v.alias("value"), F.lit(round(0.85 - 0.04 * k, 2)).alias("confidence"))) for k, v in enumerate(tries)]
-        best = F.coalesce(*ok)
+        best = F.coalesce(*ok) if among is None else F.when(F.array_contains(among, p), F.coalesce(*ok))
         found.append(F.when(best.isNotNull(), F.struct(F.lit(p).alias("param"), best["value"].alias("value"), best["confidence"].alias("confidence"))))
     return texts.select(key, F.inline(F.array_compact(F.array(*found))))
 
 
-def cascade(stages: list[DataFrame], key: str = "chip") -> DataFrame:
-    """Of each key and parameter the spec of the first stage that has one, most confident first."""
-    u = stages[0].withColumn("stage", F.lit(1))
-    for k, s in enumerate(stages[1:], 2):
-        u = u.unionByName(s.withColumn("stage", F.lit(k)))
-    w = Window.partitionBy(key, "param").orderBy("stage", F.desc("confidence"), "value")
-    return u.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+#: A stage of the cascade: from the pairs ``<key>, param`` that are still open to specs of them.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def cascade(wanted: DataFrame, stages: list[Stage], key: str = "chip") -> DataFrame:
+    """Of each pair of ``wanted(<key>, param)`` the spec of the first stage that has one, the most confident of it.
+
+    A stage is given the pairs that no stage before it has answered, and does not see more: what is answered
+    early costs later stages nothing. Specs of other pairs that a stage gives all the same are left out.
+    """
+    open_, out = wanted.select(key, "param").distinct(), None
+    for k, stage in enumerate(stages, 1):
+        specs = stage(open_).select(key, "param", "value", "confidence").join(open_, [key, "param"], "left_semi")
+        best = specs.groupBy(key, "param").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "value")).alias("s"))
+        found = best.select(key, "param", F.col("s.value").alias("value"), (-F.col("s.c")).alias("confidence"), F.lit(k).alias("stage"))
+        out = found if out is None else out.unionByName(found)
+        open_ = open_.join(found.select(key, "param"), [key, "param"], "left_anti")
+    return out
+
+
+def stage_of_tables(specs: DataFrame, key: str = "chip") -> Stage:
+    """Specs that tables hold."""
+    return lambda open_: specs.join(open_, [key, "param"], "left_semi")
+
+
+def stage_of_texts(texts: DataFrame, params: list[str], text: str = "text", key: str = "chip") -> Stage:
+    """Patterns of the open parameters over the electrical section of the texts that have any."""
+    from sheetmill.operators.text import section
+
+    def run(open_: DataFrame) -> DataFrame:
+        asked = open_.groupBy(key).agg(F.collect_set("param").alias("_open"))
+        return regex_specs(texts.join(asked, key).withColumn(text, section(F.col(text))), params, text, key, among="_open")
+
+    return run
+
+
+def stage_of_responses(responses: Callable[[DataFrame], DataFrame], params: list[str], key: str = "chip") -> Stage:
+    """Lines of answers to what is open: ``responses`` turns ``<key>, asked`` (parameters) into ``<key>, response``."""
+
+    def run(open_: DataFrame) -> DataFrame:
+        asked = open_.groupBy(key).agg(F.array_sort(F.collect_set("param")).alias("asked"))
+        return line_specs(responses(asked), params, key)
+
+    return run
 
 
 def line_specs(responses: DataFrame, params: list[str], key: str = "chip", text: str = "response") -> DataFrame:

@@ -287,8 +287,8 @@ def hybrid(hits: DataFrame, k: int = 50, **options) -> DataFrame:
     return top_k(f, k, "query_id", F.desc(F.round("score", 9)), F.col("document_id"), F.col("chunk_id"))
 
 
-def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """Hits of all paths: ``query_id, source, document_id, chunk_id, text, score``.
+def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables: DataFrame | None = None, k: int = 50, signs: int = 100) -> DataFrame:
+    """Hits of all paths: ``query_id, source, document_id, chunk_id, text, score``; of texts their first ``signs`` signs.
 
     ``queries(query_id, query, q)`` are asked of ``vectors(doc_id, v)`` and of the words of
     ``chunks(doc_id, document_id, text)``, each for ``2 k`` hits, and of ``tables(doc_id, document_id,
@@ -297,17 +297,22 @@ def retrieved(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables:
     near = dense(queries.where("q is not null").select("query_id", "q"), vectors, 2 * k)
     word = bm25(queries.select("query_id", "query"), chunks.select("doc_id", "text"), 2 * k)
     found = near.select("query_id", F.lit("vector").alias("source"), "doc_id", "score").unionByName(word.select("query_id", F.lit("bm25").alias("source"), "doc_id", "score"))
-    # Only ids and scores are ranked; texts join what is left.
-    out = found.join(chunks, "doc_id").select("query_id", "source", "document_id", F.col("doc_id").cast("string").alias("chunk_id"), "text", "score")
+    begun = lambda df: df.select("doc_id", "document_id", F.substring("text", 1, signs).alias("text"))
+    # Only ids, scores and beginnings are ranked; whole texts join what is left.
+    out = found.join(begun(chunks), "doc_id").select("query_id", "source", "document_id", F.col("doc_id").cast("string").alias("chunk_id"), "text", "score")
     if tables is None:
         return out
-    rows = full_text(queries.select("query_id", "query"), tables.select("doc_id", "text"), k).join(tables, "doc_id")
+    rows = full_text(queries.select("query_id", "query"), tables.select("doc_id", "text"), k).join(begun(tables), "doc_id")
     return out.unionByName(rows.select("query_id", F.lit("table").alias("source"), "document_id", F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("chunk_id"), "text", "score"))
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, tables: DataFrame | None = None, k: int = 50, **options) -> DataFrame:
-    """Hybrid retrieval: hits of all paths, fused, without copies, capped per document, normalised; the k best."""
-    return hybrid(retrieved(queries, chunks, vectors, tables, k), k, **options)
+    """Hybrid retrieval: hits of all paths, fused, without copies, capped per document, normalised; the k best with their texts."""
+    best = hybrid(retrieved(queries, chunks, vectors, tables, k), k, **options).drop("text")
+    texts = chunks.select("document_id", F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    if tables is not None:
+        texts = texts.unionByName(tables.select("document_id", F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("chunk_id"), "text"))
+    return best.join(texts, ["document_id", "chunk_id"])
 
 
 def or_all(df: DataFrame, flag: Column, by: str = "query_id") -> DataFrame:

@@ -24,9 +24,20 @@ def _texts(spark, sf_dir):
     return p.groupBy(F.col("chip_id").alias("chip")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
 
 
+def _responses(spark, sf_dir):
+    """One line for each parameter of a chip, as a model answers when asked for it."""
+    p = read(spark, sf_dir, "fx_parameter_texts")
+    r = p.select("chip_id", F.concat("param_name", F.lit(": "), F.col("value_text"), F.lit(" V [25C]")).alias("line"))
+    return r.groupBy(F.col("chip_id").alias("chip")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("response"))
+
+
 def ex1(spark, sf_dir):
+    """Tables of a few chips, texts of the rest, answers for what neither has."""
     tables = T.table_specs(G.grids(spark, sf_dir), PARAMS).select(F.concat(F.lit("chip"), F.lpad(F.col("table_id").cast("string"), 6, "0")).alias("chip"), "param", "value", "confidence")
-    return X.cascade([tables, X.regex_specs(_texts(spark, sf_dir), PARAMS)])
+    answers = _responses(spark, sf_dir)
+    wanted = read(spark, sf_dir, "fx_chips").select(F.col("chip_id").alias("chip"), F.explode(F.array(*map(F.lit, PARAMS))).alias("param"))
+    stages = [X.stage_of_tables(tables), X.stage_of_texts(_texts(spark, sf_dir), PARAMS), X.stage_of_responses(lambda asked: asked.join(answers, "chip"), PARAMS)]
+    return X.cascade(wanted, stages)
 
 
 def ex2(spark, sf_dir):
@@ -34,10 +45,7 @@ def ex2(spark, sf_dir):
 
 
 def ex3(spark, sf_dir):
-    p = read(spark, sf_dir, "fx_parameter_texts")
-    r = p.select("chip_id", F.concat("param_name", F.lit(": "), F.col("value_text"), F.lit(" V [25C]")).alias("line"))
-    r = r.groupBy(F.col("chip_id").alias("chip")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("response"))
-    return X.line_specs(r, PARAMS)
+    return X.line_specs(_responses(spark, sf_dir), PARAMS)
 
 
 def ex4(spark, sf_dir):
@@ -149,6 +157,13 @@ SELECT name, CASE {kinds} ELSE '{values.OTHER_PIN}' END AS type, {up} = '' OR (l
 {begins} OR {any_of(values.MEANINGFUL_WORDS, values.MEANINGFUL_PATTERNS)} AS meaningful FROM n"""
 
 
+#: Each stage as a table of its own; a pair takes the first that has it.
+_CASCADE = f"""WITH st AS (SELECT concat('chip', lpad(CAST(table_id AS VARCHAR), 6, '0')) AS chip, param, value, confidence, 1 AS stage FROM ({G.SQL["tb10_tb12_specs"]})
+  UNION ALL SELECT chip, param, value, confidence, 2 FROM ({_family()} SELECT chip, param, value, confidence FROM rx) UNION ALL SELECT chip, param, value, confidence, 3 FROM (@lines@)),
+w AS (SELECT chip_id AS chip, unnest([{', '.join(f"'{p}'" for p in PARAMS)}]) AS param FROM {{fx_chips}}),
+r AS (SELECT st.*, row_number() OVER (PARTITION BY st.chip, st.param ORDER BY stage, confidence DESC, value) AS n FROM st JOIN w ON w.chip = st.chip AND w.param = st.param)
+SELECT chip, param, value, confidence, stage FROM r WHERE n = 1"""
+
 SQL = {
     "ex11_ex12_pin_names": _pin_names(),
     "ex5_part_numbers": "SELECT query_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(concat('compare ', name, ' with lm358 and LM358'), '(?i)" + X.PART_NUMBER + "'), lambda x: upper(x)))), ',') AS parts FROM {fx_names}",
@@ -164,3 +179,4 @@ SQL = {
     "rt21_query_rewrite": r"""WITH q AS (SELECT query_id, name, concat('what ', CASE WHEN query_id % 2 = 0 THEN 'supply voltage ' ELSE '' END, 'has ', name) AS q FROM {fx_names}), c AS (SELECT *, upper(regexp_extract(q, '(?i)\b([A-Z]{2,}\d+[A-Z0-9-]*|SN\d+[A-Z]+\d*|NE\d+|LM\d+|CD\d+[A-Z]*)\b', 1)) AS chip FROM q)
 SELECT query_id, CASE WHEN chip = '' THEN q WHEN query_id % 2 = 0 THEN concat(chip, ' voltage supply') ELSE concat(chip, ' supply voltage operating voltage') END AS query FROM c""",
 }
+SQL["ex1_cascade"] = _CASCADE.replace("@lines@", SQL["ex3_line_format"])

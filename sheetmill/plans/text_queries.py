@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from sheetmill.functions import dicts
+from sheetmill.functions import dicts, values
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CIRCUIT_WORDS
 from sheetmill.operators import text as T
 from sheetmill.operators.tagging import tagger
@@ -100,7 +102,9 @@ def tx15(spark, sf_dir):
 
 
 def tx16(spark, sf_dir):
-    return read(spark, sf_dir, "fx_answers").select("conv_id", "turn", F.length(T.cleaned_answer(F.concat(F.lit("<think>x</think>## **"), "text"))).alias("kept"))
+    """Answers with thoughts before them, or another role and entities behind them."""
+    wrapped = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("<think>x</think>## **"), "text")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Thinking Process: a plan\nSupply voltage 3. 3 V at 25 °C. "), "text")).otherwise(F.concat("text", F.lit(" &lt;5 mA. user: next question")))
+    return read(spark, sf_dir, "fx_answers").select("conv_id", "turn", T.cleaned_answer(wrapped).alias("answer"))
 
 
 def tx17(spark, sf_dir):
@@ -141,14 +145,30 @@ rp AS (SELECT a.conv_id, a.turn, a.text, coalesce(d, '') AS deduped, length(repl
 _TEXT11 = "SELECT doc_id AS document_id, concat(substring(text, 1, 300), CASE WHEN doc_id % 2 = 0 THEN ' Electrical Characteristics ' ELSE ' ' END, substring(text, 301, 900), CASE WHEN doc_id % 3 = 0 THEN ' Package Information ' ELSE ' ' END, substring(text, 1201)) AS t FROM documents"
 _AT = lambda t, p: f"CASE WHEN regexp_matches({t}, '{p}') THEN length(regexp_extract({t}, '(?s)^(.*?)(?:{p})', 1)) + 1 ELSE 0 END"
 
+def _cleaned() -> str:
+    """The chain of an answer's clean-up for texts of which more than ten signs are left."""
+    cut = lambda t, mark, beyond: f"CASE WHEN instr(lower({t}), {mark}) > {beyond + 1} THEN substring({t}, 1, instr(lower({t}), {mark}) - 1) ELSE {t} END"
+    steps = ["CASE conv_id % 3 WHEN 0 THEN concat('## **', text) WHEN 1 THEN concat('Supply voltage 3. 3 V at 25 °C. ', text) ELSE concat(text, ' &lt;5 mA. user: next question') END"]
+    steps.append("regexp_replace(t, '(?im)^\\d*\\s*\\*\\s*(?:Step|Role|Task|Question|Analysis|Reasoning|User\\s+Question)\\s*\\d*\\s*[:：].*$', '', 'g')")
+    steps += [cut("t", "concat(chr(10), chr(10), chr(10))", -1), *(cut("t", f"'{m}'", 20) for m in ("assistant:", "user:", "system:")), *(cut("t", f"'{m}'", 30) for m in ("###", "【答案】"))]
+    for pattern, by in values.ANSWER_REPLACEMENTS:
+        # The other engine has no look-ahead: the sign that is looked at is put back.
+        pattern, by = (re.sub(r"\(\?=(.*)\)$", r"(\1)", pattern), "$1") if "(?=" in pattern else (pattern, by)
+        steps.append(f"regexp_replace(t, '{pattern}', '{by.replace('$', chr(92))}', 'g')")
+    steps += [f"replace(t, '{e}', '{x}')" for e, x in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'))]
+    ctes = ", ".join(f"s{k} AS (SELECT conv_id, turn, {step} AS t FROM {f's{k - 1}' if k else '{fx_answers}'})" for k, step in enumerate(steps))
+    return f"""WITH {ctes}, p0 AS (SELECT conv_id, turn, list_transform(regexp_extract_all(t, '[^。！？.!?\\n]*[。！？.!?]?'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS s FROM s{len(steps) - 1}),
+p1 AS (SELECT conv_id, turn, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM p0), p2 AS (SELECT *, regexp_replace(lower(s), '\\s+', '', 'g') AS k FROM p1 WHERE length(s) > 6),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, substring(k, 1, 20) ORDER BY pos) AS n FROM p2 WHERE length(k) > 4), p4 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS r FROM p3 WHERE n = 1)
+SELECT conv_id, turn, string_agg(s, chr(10) ORDER BY pos) AS answer FROM p4 WHERE r <= 12 GROUP BY conv_id, turn"""
+
+
 SQL = {
     "tx9_components": "SELECT doc_id AS document_id, array_to_string(list_sort(list_distinct(" + "list_concat(" * 3 + ", ".join(f"list_slice(regexp_extract_all(text, '{p}', 1), 1, 5)" + (")" if k else "") for k, p in enumerate(_PARTS)) + ")), ',') AS components FROM documents",
     "tx11_section": f"WITH x AS ({_TEXT11}), a AS (SELECT *, {_AT('t', T.SECTION_START)} AS beg FROM x), b AS (SELECT *, CASE WHEN beg > 0 THEN substring(t, beg, 2000) ELSE substring(t, 1, 2000) END AS body FROM a), c AS (SELECT *, substring(body, 52, 2000) AS rest FROM b), d AS (SELECT *, {_AT('rest', T.SECTION_END)} AS stop FROM c) SELECT document_id, md5(CASE WHEN beg > 0 AND stop > 0 THEN substring(body, 1, stop + 50) ELSE body END) AS section_key FROM d",
     "tx12_context": f"WITH a AS (SELECT doc_id AS document_id, text, {_AT('text', '(?i)' + chr(92) + 'bthor' + chr(92) + 'b')} AS a4, {_AT('text', '(?i)' + chr(92) + 'btho' + chr(92) + 'b')} AS a3 FROM documents), b AS (SELECT *, CASE WHEN a4 > 0 THEN a4 ELSE a3 END AS f, CASE WHEN a4 > 0 THEN 4 ELSE 3 END AS s FROM a WHERE a4 > 0 OR a3 > 0) SELECT document_id, trim(substring(text, greatest(f - 125, 1), f + s + 125 - greatest(f - 125, 1))) AS around FROM b",
     "tx13_sentence_dedupe": _REPEATS + " SELECT conv_id, turn, md5(deduped) AS deduped_key, repetitive FROM rp",
-    "tx16_answer_cleanup": r"""WITH a AS (SELECT conv_id, turn, concat('<think>x</think>## **', text) AS t FROM {fx_answers}), b AS (SELECT conv_id, turn, regexp_replace(t, '(?is)<think>.*?</think>|</?think>', '', 'g') AS t FROM a), c AS (SELECT conv_id, turn, regexp_replace(t, '(?im)^\s*(assistant|user|system)\s*[:：]?\s*$', '', 'g') AS t FROM b),
-d AS (SELECT conv_id, turn, regexp_replace(t, '(?m)^\s{{0,3}}#{{1,6}}\s*|\*\*|`', '', 'g') AS t FROM c), e AS (SELECT conv_id, turn, regexp_replace(t, '(\d)\s+(V|mA|A|MHz|kHz|Hz|ns|W)\b', '\1\2', 'g') AS t FROM d)
-SELECT conv_id, turn, length(trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS kept FROM e""".replace("{{", "{").replace("}}", "}").replace(chr(92) * 2, chr(92)),
+    "tx16_answer_cleanup": _cleaned(),
     "sc1_document_status": "WITH p AS (SELECT concat(source, '-', CAST(floor(doc_id / 100) AS BIGINT)) AS document_id, n_chars < 100 AS e FROM documents) SELECT document_id, count(*) AS page_count, count(*) FILTER (e) AS error_pages, CASE WHEN count(*) FILTER (e) = 0 THEN 'success' WHEN count(*) FILTER (e) < count(*) THEN 'partial' ELSE 'error' END AS status FROM p GROUP BY document_id",
     "tx3_windows": f"WITH d AS (SELECT doc_id AS document_id, {_COL} AS t FROM documents), e AS (SELECT document_id, t, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, CAST(pos AS INTEGER) AS pos, CAST(pos * 600 AS INTEGER) AS start, md5(substring(t, pos * 600 + 1, 800)) AS chunk_key FROM e",
     "tx4_chunk_ids": f"WITH d AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, {_COL} AS t FROM documents), e AS (SELECT document_id, page, unnest(range(0, (length(t) + 599) // 600)) AS pos FROM d WHERE length(t) > 0) SELECT document_id, page, CAST(pos AS INTEGER) AS pos, concat(document_id, '_p', page, '_c', row_number() OVER (PARTITION BY document_id ORDER BY page, pos) - 1) AS chunk_id FROM e",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheetmill.functions import dicts
 from sheetmill.functions.folds import prefix_sums, scan
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CIRCUIT_WORDS
-from sheetmill.operators import figures, maintenance, retrieval, tables, tagging, text
+from sheetmill.operators import extraction, figures, maintenance, retrieval, tables, tagging, text
 from sheetmill.sources import index_store
 from sheetmill.streaming import ingest
 
@@ -199,3 +199,69 @@ def test_all_rows_of_a_long_pin_table_count(spark):
     pins = [int(r[0]) for r in data[1:]]
     share = sum(b - a > 1 for a, b in itertools.pairwise(pins)) / len(pins)
     assert tables.pin_gap_penalty(df).first().confidence == pytest.approx(1 - share * 0.5)
+
+
+def test_substring_look_up_equals_plain_search_and_leaves_texts_behind(spark):
+    r = random.Random(1)
+    hays = ["".join(r.choices("abc", k=r.randrange(0, 30))) for _ in range(150)] + ["", None, "x" * 20_000, "放大器电路的增益"]
+    needles = sorted({"".join(r.choices("abc", k=r.randrange(1, 8))) for _ in range(90)} | {"", "zzzz", "aaaaa", "xxxxxx", "电路的增", "增益"})
+    rows = spark.createDataFrame(list(enumerate(hays)), "row_id long, hay string")
+    found = retrieval.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), rows)
+    assert {tuple(x) for x in found.collect()} == {(n, k) for n in needles for k, h in enumerate(hays) if h is not None and n in h}
+    before = found._jdf.queryExecution().optimizedPlan().toString().split("Filter Contains")[0]
+    assert "_part" not in before
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        (None, ""),
+        ("", ""),
+        ("Short.", ""),
+        ("<think>so</think>The supply voltage is 5 V. The supply voltage is 5 V.", "The supply voltage is 5V."),
+        ("Thinking Process: step one\nSupply voltage is 12 V. It is stable enough.", "Supply voltage is 12V.\nIt is stable enough."),
+        ("Thinking Process: nothing that answers", ""),
+        ("Let me think: 该芯片的电源电压为 5 V，输出电流最大。", "该芯片的电源电压为 5V，输出电流最大。"),
+        ("The output current is 20 mA here. user: what next", "The output current is 20mA here."),
+        ("First good sentence.\n\n\nSecond sentence is dropped.", "First good sentence."),
+        ("**Gain** is &lt; 5. 5 V for this part.", "Gain is < 5.\n5V for this part."),  # a sentence ends at every stop
+        ("Answer:\n```markdown\nThe gain is one hundred.\n```", "The gain is one hundred."),
+        ("ok **x** y", ""),
+        ("**a** or b?", "a or b?"),
+        ("a. b. c. d. e. f.", "a. b. c. d. e. f."),
+        ("Wait, the limit is 7. 5 A for all parts.", "the limit is 7.\n5A for all parts."),
+    ],
+)
+def test_answers_are_cleaned(spark, answer, want):
+    assert spark.createDataFrame([(answer,)], "t string").select(text.cleaned_answer(F.col("t")).alias("x")).first().x == want
+
+
+def test_of_many_sentences_twelve_stay(spark):
+    long = " ".join(f"Fact {k:03d} stands here." for k in range(40)) + " Fact 000 stands here."
+    x = spark.createDataFrame([(long,)], "t string").select(text.cleaned_answer(F.col("t")).alias("x")).first().x
+    assert x.split("\n") == [f"Fact {k:03d} stands here." for k in range(12)]
+
+
+def test_later_stages_see_open_pairs_only(spark):
+    wanted = spark.createDataFrame([(c, p) for c in ("a", "b", "c") for p in ("VOH", "VOL", "IOL")], "chip string, param string")
+    tables_ = spark.createDataFrame([("a", "VOH", 3.0, 0.9), ("a", "VOL", 0.2, 0.9), ("a", "IOL", 4.0, 0.9), ("b", "VOH", 2.9, 0.8), ("b", "VOH", 2.8, 0.95), ("z", "VOH", 1.0, 1.0)], "chip string, param string, value double, confidence double")
+    texts = spark.createDataFrame([(c, "VOH = 3.3 V\nVOL = 0.3 V") for c in ("a", "b", "c")], "chip string, text string")
+    answers = spark.createDataFrame([(c, "IOL: 8 mA [25C]\nVOL: 0.1 V") for c in ("a", "b", "c")], "chip string, response string")
+    seen = {}
+
+    def watched(name, stage):
+        def run(open_):
+            seen[name] = {tuple(r) for r in open_.select("chip", "param").collect()}
+            return stage(open_)
+
+        return run
+
+    def ask(asked):
+        seen["asked"] = {(r.chip, tuple(r.asked)) for r in asked.collect()}
+        return asked.join(answers, "chip")
+
+    params = ["VOH", "VOL", "IOL"]
+    stages = [watched("tables", extraction.stage_of_tables(tables_)), watched("texts", extraction.stage_of_texts(texts, params)), watched("answers", extraction.stage_of_responses(ask, params))]
+    got = {(r.chip, r.param): (r.value, r.stage) for r in extraction.cascade(wanted, stages).collect()}
+    assert got == {("a", "VOH"): (3.0, 1), ("a", "VOL"): (0.2, 1), ("a", "IOL"): (4.0, 1), ("b", "VOH"): (2.8, 1), ("b", "VOL"): (0.3, 2), ("c", "VOH"): (3.3, 2), ("c", "VOL"): (0.3, 2), ("b", "IOL"): (8.0, 3), ("c", "IOL"): (8.0, 3)}
+    assert len(seen["tables"]) == 9 and len(seen["texts"]) == 5 and seen["answers"] == {("b", "IOL"), ("c", "IOL")} and seen["asked"] == {("b", ("IOL",)), ("c", ("IOL",))}
