@@ -231,10 +231,13 @@ def spread_pairs(left: DataFrame, right: DataFrame, parts: int | None = None) ->
 
 
 def dense(queries: DataFrame, corpus: DataFrame, k: int = 50) -> DataFrame:
-    """``query_id, doc_id, score, rank`` by cosine, clipped to 0..1, of ``queries(query_id, q)`` and ``corpus(doc_id, v)``."""
-    pairs = spread_pairs(queries.select("query_id", normalised(F.col("q")).alias("q")), corpus.select("doc_id", normalised(F.col("v")).alias("v")))
-    score = F.least(F.greatest(dot(F.col("q"), F.col("v")), F.lit(0.0)), F.lit(1.0))
-    return top_k(pairs.select("query_id", "doc_id", score.alias("score")), k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))
+    """``query_id, doc_id, score, rank`` by cosine, clipped to 0..1, of ``queries(query_id, q)`` and ``corpus(doc_id, v)``.
+
+    The corpus is indexed by cells (``cells.cell_index``, which may be kept for further queries).
+    """
+    from sheetmill.operators.cells import cell_index, nearest
+
+    return nearest(queries, *cell_index(corpus), k)
 
 
 def max_sim(query_tokens: DataFrame, patches: DataFrame, k: int = 10, threshold: float = 0.0, how: str = "avg") -> DataFrame:

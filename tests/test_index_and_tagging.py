@@ -4,13 +4,14 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sheetmill.functions import dicts
 from sheetmill.functions.folds import prefix_sums, scan
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CIRCUIT_WORDS
-from sheetmill.operators import extraction, figures, maintenance, retrieval, tables, tagging, text
+from sheetmill.operators import cells, extraction, figures, maintenance, retrieval, tables, tagging, text
 from sheetmill.sources import index_store
 from sheetmill.streaming import ingest
 
@@ -265,3 +266,29 @@ def test_later_stages_see_open_pairs_only(spark):
     got = {(r.chip, r.param): (r.value, r.stage) for r in extraction.cascade(wanted, stages).collect()}
     assert got == {("a", "VOH"): (3.0, 1), ("a", "VOL"): (0.2, 1), ("a", "IOL"): (4.0, 1), ("b", "VOH"): (2.8, 1), ("b", "VOL"): (0.3, 2), ("c", "VOH"): (3.3, 2), ("c", "VOL"): (0.3, 2), ("b", "IOL"): (8.0, 3), ("c", "IOL"): (8.0, 3)}
     assert len(seen["tables"]) == 9 and len(seen["texts"]) == 5 and seen["answers"] == {("b", "IOL"), ("c", "IOL")} and seen["asked"] == {("b", ("IOL",)), ("c", ("IOL",))}
+
+
+def test_probing_cells_finds_what_plain_search_finds(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 8))
+    rows = [(k, [float(x) for x in centres[k % 12] + 0.1 * r.normal(size=8)]) for k in range(400)]
+    rows += [(1_000 + k, rows[5][1]) for k in range(150)]  # many alike
+    rows += [(2_000, [0.0] * 8), (2_001, [-x for x in rows[5][1]]), (2_002, None), (2_003, [])]
+    asked = [(1, rows[5][1]), (2, [0.0] * 8), (3, rows[7][1]), (4, [-x for x in rows[7][1]]), (5, None)]
+    v = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    q = spark.createDataFrame(asked, "query_id long, q array<double>")
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1.0)
+    want = {}
+    for i, x in asked[:4]:
+        s = {k: round(float(np.clip(unit(x) @ unit(y), 0, 1)), 9) for k, y in rows if y}
+        want[i] = sorted(s, key=lambda k: (-s[k], k))[:20]
+    monkeypatch.setattr(cells, "PART", 40)
+    index, made = cells.cell_index(v, 12)
+    got = {}
+    for x in cells.nearest(q, index, made, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append(x.doc_id)
+    assert got == want
+    # A query within a cluster leaves most cells alone.
+    near = cells._probes(q.where("query_id = 3"), made, 20).collect()
+    assert sum(x.early or x.bound >= 0.9 for x in near) <= 4 < len(near)
+    assert retrieval.dense(q, v.limit(0), 5).count() == 0
