@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetmill.functions.folds import scan
+
 IN_PROGRESS = ("uploading", "parsing", "indexing", "processing")
 
 
@@ -86,12 +88,18 @@ def status_report(entries: DataFrame) -> DataFrame:
 def kept_within_ttl(log: DataFrame, key: str, seconds: int) -> DataFrame:
     """Entries that are stored: an entry is served for ``seconds`` after it was stored, and not renewed by use.
 
-    A fold over the sorted times of each key, which one key's times must fit into memory for.
+    One pass over the sorted times of each key, which one key's times must fit into memory for;
+    ``streaming.ingest.stored_entries`` keeps one time for each key instead.
     """
     times = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col("entry")))).alias("s"))
-    first = F.array().cast("array<struct<at:bigint,entry:bigint>>")
-    kept = F.aggregate("s", first, lambda a, x: F.when((F.size(a) == 0) | (x["at"] - F.try_element_at(a, F.lit(-1))["at"] >= seconds), F.concat(a, F.array(F.struct(x["at"].alias("at"), x["entry"].alias("entry"))))).otherwise(a))
-    return times.select(key, F.inline(kept))
+    kind = "struct<at:bigint,entry:bigint>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        new = last.isNull() | (x["at"] - last >= seconds)
+        return F.when(new, x["at"]).otherwise(last), F.when(new, F.array(F.struct(x["at"].alias("at"), x["entry"].alias("entry")))).otherwise(none)
+
+    return times.select(key, F.inline(scan(F.col("s"), F.lit(None).cast("bigint"), step, kind)))
 
 
 def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -> DataFrame:

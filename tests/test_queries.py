@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUERIES, TWINS = registry.queries(), registry.oracle_sql()
 #: Folds and lists that SQL does not express; their outputs are compared whole in other tests.
 ELSEWHERE = {
-    "ex6_pairs", "rt19_query_enrichment", "sc2_web_pages", "st3_ttl", "tx5_chart_noise", "tx6_query_time_text", "tx17_captions", "tx20_acceptance", "tx21_annotations",
+    "ex6_pairs", "rt19_query_enrichment", "sc2_web_pages", "tx5_chart_noise", "tx6_query_time_text", "tx17_captions", "tx20_acceptance",
 }
 
 
