@@ -122,8 +122,9 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
     return direct.unionByName(held(mapped))
 
 
-def index_counts(outputs: dict[str, DataFrame]) -> DataFrame:
-    """``document_id`` and ``<name>_count`` for each of the outputs of indexing, 0 where a document has none."""
+def index_counts(chunks: DataFrame, postings: DataFrame, tables: DataFrame, **more: DataFrame) -> DataFrame:
+    """``document_id`` and ``chunk_count``, ``posting_count``, ``table_count`` (and one of each of ``more``), 0 where a document has none."""
+    outputs = {"chunk": chunks, "posting": postings, "table": tables, **more}
     all_of = None
     for name, df in outputs.items():
         rows = df.select("document_id", F.lit(name).alias("_output"))
