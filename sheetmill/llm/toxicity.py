@@ -1,9 +1,10 @@
 """Toxicity scores: misspelled lexicon terms by Levenshtein automata, weighed by their context.
 
-The lexicon is a trie of words and stems. A Levenshtein automaton for all of its words at once is
+The lexicon is a trie of words and one of stems. A Levenshtein automaton for all of its words at once is
 the product of the trie with an error count; its states are made when a token first needs them and
-kept, so that a token costs one dictionary look-up for each character, and most tokens leave the
-automaton after two or three. Words of 5 to 7 letters may have one error, longer ones two, shorter
+kept, so that a token costs one dictionary look-up for each character. One automaton reads tokens forward and
+takes fewer errors in the first half of a word, another reads them backward and takes none in the second half;
+between them no misspelling is lost, and most tokens leave them after two or three letters. Words of 5 to 7 letters may have one error, longer ones two, shorter
 ones none; stems of 5 letters or more may have one error, whatever follows them.
 
 A token of common language is no misspelling: what stands near a term but is used in clean rows does
@@ -29,9 +30,9 @@ further columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -69,103 +70,146 @@ def stem_errors(stem: str) -> int:
     return min(1, errors_allowed(stem))
 
 
-class Lexicon:
-    """The trie and its automaton. A state is a set of (node, errors so far); 0 is the dead state."""
+class Automaton:
+    """A trie of terms and the automaton of its product with an error count.
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], common: frozenset[str] = frozenset(), trust: dict[int, float] = TRUST) -> None:
-        self.words, self.stems, self.common, self.trust = words, stems, common, {0: 1.0, **trust}
-        self.children: list[dict[str, int]] = [{}]
-        self.word: list[tuple[str, float] | None] = [None]
-        self.stem: list[tuple[str, float] | None] = [None]
-        for terms, ends in ((words, self.word), (stems, self.stem)):
-            for term, weight in terms.items():
-                ends[self._node(term)] = (term, weight)
-        #: The most errors that a word or stem below a node allows.
-        self.limit = [0] * len(self.children)
-        for node in range(len(self.children) - 1, -1, -1):
-            own = errors_allowed(self.word[node][0]) if self.word[node] else 0
-            stem = stem_errors(self.stem[node][0]) if self.stem[node] else 0
-            self.limit[node] = max([own, stem, *(self.limit[c] for c in self.children[node].values())])
-        self.seen: dict[str, tuple[int, float, str] | None] = {}
-        self._restart()
+    A place is a node with the errors so far, as ``3 * node + errors``; a state is a set of places, and 0 is the dead
+    state. ``terms`` are (letters, end, errors, first, early): ``end`` is kept where the term is met, and while at
+    most ``first`` of its letters are read, there are at most ``early`` errors.
+    """
 
-    def _restart(self) -> None:
+    def __init__(self, terms: list[tuple[str, tuple[float, str], int, int, int]]) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        #: The most errors at a node: once its letter is read, after letters too many, and of all terms below.
+        self.entered, self.stayed, self.limit = [0], [0], [0]
+        self.end_at: dict[int, tuple[int, float, str]] = {}
+        for letters, (weight, term), errors, first, early in terms:
+            node = 0
+            for depth in range(len(letters) + 1):
+                if depth:
+                    node = self._child(node, letters[depth - 1])
+                self.entered[node] = max(self.entered[node], early if depth <= first else errors)
+                self.stayed[node] = max(self.stayed[node], early if depth < first else errors)
+                self.limit[node] = max(self.limit[node], errors)
+            self.end_at.update((3 * node + e, (e, -weight, term)) for e in range(errors + 1))
+        self.left_out: dict[int, frozenset[int]] = {}
+        self.mistaken: dict[int, frozenset[int]] = {}
+        self.restart()
+
+    def restart(self) -> None:
         """No states but the dead one and the start."""
-        self.states: dict[frozenset, int] = {frozenset(): 0}
-        self.sets: list[frozenset] = [frozenset()]
-        self.next: list[dict[str, int]] = [{}]
-        #: Of each state the closest stem that has been met there.
-        self.met: list[tuple[int, float, str] | None] = [None]
-        self.start = self._state(self._closed({(0, 0)}))
-
-    def _node(self, term: str) -> int:
-        node = 0
-        for ch in term:
-            if ch not in self.children[node]:
-                self.children[node][ch] = len(self.children)
-                self.children.append({})
-                self.word.append(None)
-                self.stem.append(None)
-            node = self.children[node][ch]
-        return node
-
-    def _closed(self, members: set[tuple[int, int]]) -> frozenset:
-        """With the nodes that are reached by leaving out letters of the lexicon's words."""
-        open_, out = list(members), set(members)
-        while open_:
-            node, e = open_.pop()
-            for child in self.children[node].values():
-                if e < self.limit[child] and (child, e + 1) not in out:
-                    out.add((child, e + 1))
-                    open_.append((child, e + 1))
-        least: dict[int, int] = {}
-        for node, e in out:
-            least[node] = min(e, least.get(node, e))
-        return frozenset(least.items())
-
-    def _state(self, members: frozenset) -> int:
-        if members not in self.states:
-            self.states[members] = len(self.sets)
-            self.sets.append(members)
+        self.states: dict[frozenset[int], int] = {}
+        self.sets: list[frozenset[int]] = []
+        self.next: list[dict[str, int]] = []
+        #: Of each state the closest term that is met there.
+        self.met: list[tuple[int, float, str] | None] = []
+        self._state(frozenset())
+        self.start = self._state(self._closest(self._closed(0)))
+
+    def _child(self, node: int, letter: str) -> int:
+        if letter not in self.children[node]:
+            self.children[node][letter] = len(self.children)
+            self.children.append({})
+            for most in (self.entered, self.stayed, self.limit):
+                most.append(0)
+        return self.children[node][letter]
+
+    def _closed(self, place: int) -> frozenset[int]:
+        """With the places that are reached by leaving out letters of the terms."""
+        if place not in self.left_out:
+            node, e = divmod(place, 3)
+            below = (self._closed(3 * child + e + 1) for child in self.children[node].values() if e < self.entered[child])
+            self.left_out[place] = frozenset({place}).union(*below)
+        return self.left_out[place]
+
+    def _mistaken(self, place: int) -> frozenset[int]:
+        """Where any letter leads that is another one, or one too many."""
+        if place not in self.mistaken:
+            node, e = divmod(place, 3)
+            others = [3 * child + e + 1 for child in self.children[node].values() if e < self.entered[child]]
+            more = [place + 1] if e < self.stayed[node] else []
+            self.mistaken[place] = frozenset().union(*map(self._closed, others + more))
+        return self.mistaken[place]
+
+    @staticmethod
+    def _closest(places: frozenset[int] | set[int]) -> frozenset[int]:
+        """Of each node the place with the fewest errors."""
+        return frozenset(p for p in places if not (p % 3 and (p - 1 in places or (p % 3 == 2 and p - 2 in places))))
+
+    def _state(self, places: frozenset[int]) -> int:
+        if places not in self.states:
+            self.states[places] = len(self.sets)
+            self.sets.append(places)
             self.next.append({})
-            stems = [(e, -self.stem[n][1], self.stem[n][0]) for n, e in members if self.stem[n] and e <= stem_errors(self.stem[n][0])]
-            self.met.append(min(stems) if stems else None)
-        return self.states[members]
+            self.met.append(min((self.end_at[p] for p in places if p in self.end_at), default=None))
+        return self.states[places]
 
     def step(self, state: int, ch: str) -> int:
         known = self.next[state].get(ch)
         if known is None:
-            after: set[tuple[int, int]] = set()
-            for node, e in self.sets[state]:
-                for letter, child in self.children[node].items():
-                    if letter == ch:
-                        after.add((child, e))
-                    elif e < self.limit[child]:
-                        after.add((child, e + 1))  # another letter
-                if e < self.limit[node]:
-                    after.add((node, e + 1))  # a letter too many
-            known = self.next[state][ch] = self._state(self._closed(after))
+            after: set[int] = set()
+            for place in self.sets[state]:
+                child = self.children[place // 3].get(ch)
+                if child is not None and place % 3 <= self.limit[child]:
+                    after |= self._closed(3 * child + place % 3)
+                after |= self._mistaken(place)
+            known = self.next[state][ch] = self._state(self._closest(after))
         return known
 
+    def end(self, token: str) -> tuple[int, float, str] | None:
+        """The closest term that the whole token is."""
+        state, known = self.start, self.next
+        for ch in token:
+            after = known[state].get(ch)
+            state = self.step(state, ch) if after is None else after
+            if not state:
+                return None
+        return self.met[state]
+
+    def closest_start(self, token: str) -> tuple[int, float, str] | None:
+        """The closest, and of equally close ones the longest term that the token begins with."""
+        state, known, found = self.start, self.next, None
+        for ch in token:
+            after = known[state].get(ch)
+            state = self.step(state, ch) if after is None else after
+            if not state:
+                break
+            met = self.met[state]
+            if met and (found is None or (met[0], -len(met[2])) < (found[0], -len(found[2]))):
+                found = met
+        return found
+
+
+class Lexicon:
+    """Words and stems as automata. Of a word's two halves, one has fewer errors than the word: either the first,
+    and it is met by an automaton that reads forward, or all are in the first, and one that reads the second,
+    faultless half first, backward, meets it. So few tokens are followed far.
+    """
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float], common: frozenset[str] = frozenset(), trust: dict[int, float] = TRUST) -> None:
+        self.words, self.stems = words, stems
+        terms = [(w, (weight, w), errors_allowed(w), len(w) // 2) for w, weight in words.items()]
+        self.forward = Automaton([(w, end, e, half, max(0, e - 1)) for w, end, e, half in terms])
+        self.backward = Automaton([(w[::-1], end, e, len(w) - half, 0) for w, end, e, half in terms if e])
+        self.begin = Automaton([(x, (weight, x), stem_errors(x), 0, stem_errors(x)) for x, weight in stems.items()])
+        self.seen: dict[str, tuple[int, float, str] | None] = {}
+        self.judge_by(common, trust)
+
+    def judge_by(self, common: frozenset[str], trust: dict[int, float]) -> Lexicon:
+        """The same automata with other common language and trust."""
+        self.common, self.trust = common, {0: 1.0, **trust}
+        self.seen.clear()
+        return self
+
     def find(self, token: str) -> tuple[int, float, str] | None:
         """(errors, weight, term) of the closest term of a lower-case token, or nothing."""
         if token in self.seen:
             return self.seen[token]
-        if len(self.sets) > STATES:
-            self._restart()
-        state = self.start
-        found: tuple[int, float, str] | None = None  # errors, -weight, term
-        for ch in token:
-            state = self.step(state, ch)
-            if not state:
-                break
-            stem = self.met[state]
-            if stem and (found is None or (stem[0], -len(stem[2])) < (found[0], -len(found[2]))):
-                found = stem
-        for at, e in self.sets[state]:
-            w = self.word[at]
-            if w and e <= errors_allowed(w[0]) and (found is None or (e, -w[1], w[0]) < found):
-                found = (e, -w[1], w[0])
+        for automaton in (self.forward, self.backward, self.begin):
+            if len(automaton.sets) > STATES:
+                automaton.restart()
+        ends = (self.begin.closest_start(token), self.forward.end(token), self.backward.end(token[::-1]))
+        found = min((x for x in ends if x), default=None)
         if found and found[0] and token in self.common:
             found = None
         out = (found[0], -found[1], found[2]) if found else None
@@ -268,7 +312,7 @@ def near_words(words: DataFrame, lexicon: Lexicon, toxic: int, other: int) -> tu
     Only words that the automaton meets with errors come back to the driver, and of them those that clean
     rows use; the evidence of all others is summed where it is.
     """
-    run, _ = _with_lexicon(lexicon.words, lexicon.stems)
+    run = _with_lexicon(lexicon.words, lexicon.stems)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = run()
@@ -294,21 +338,23 @@ _lexicons: dict[str, Lexicon] = {}
 
 
 def _with_lexicon(words: dict[str, float], stems: dict[str, float], common: frozenset[str] = frozenset(), trust: dict[int, float] = TRUST):
-    """A function that gives a worker its lexicon, and the name under which it is kept there."""
-    name = uuid.uuid4().hex
+    """A function that gives a worker its lexicon. One of the same terms keeps its states, whatever it is judged by."""
+    name = hashlib.sha256(repr((sorted(words.items()), sorted(stems.items()))).encode()).hexdigest()
     sent = SparkSession.getActiveSession().sparkContext.broadcast((words, stems, common, trust))
 
     def run() -> Lexicon:
+        words, stems, common, trust = sent.value
         if name not in _lexicons:
             _lexicons.clear()
-            _lexicons[name] = Lexicon(*sent.value)
-        return _lexicons[name]
+            _lexicons[name] = Lexicon(words, stems)
+        lexicon = _lexicons[name]
+        return lexicon if (lexicon.common, lexicon.trust) == (common, {0: 1.0, **trust}) else lexicon.judge_by(common, trust)
 
-    return run, name
+    return run
 
 
 def _featured(model: ToxicModel, columns: list[str], types: str):
-    lexicon_of, _ = _with_lexicon(model.words, model.stems, model.common, model.trust)
+    lexicon_of = _with_lexicon(model.words, model.stems, model.common, model.trust)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of()

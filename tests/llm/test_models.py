@@ -80,6 +80,19 @@ def test_automaton_finds_what_the_distance_allows():
     assert lexicon.find("vequxyz") == (0, 2.0, "vequ") and lexicon.find("veq") is None
 
 
+def test_halves_lose_no_misspelling():
+    """All tokens within two edits of a word, wherever they are, are met, and with the least number of errors."""
+    letters, words = "aeb", {"abbaeaeb": 1.0, "abeab": 2.0, "abeabbe": 1.5, "eba": 1.0}
+    lexicon = toxicity.Lexicon(words, {})
+    near = lambda w: {w[:k] + c + w[k + d :] for k in range(len(w) + 1) for d in (0, 1) for c in ("", *letters)}
+    tokens = {y for w in words for x in near(w) for y in near(x)}
+    assert len(tokens) > 1000
+    for token in tokens:
+        fits = [(d, -weight, w) for w, weight in words.items() if (d := plain_distance(token, w)) <= toxicity.errors_allowed(w)]
+        want = min(fits, default=None)
+        assert lexicon.find(token) == (want and (want[0], -want[1], want[2]))
+
+
 def test_quotation_weighs_less_than_abuse():
     lexicon = toxicity.Lexicon({"idiot": 3.0}, {})
     said = dict(zip(toxicity.FEATURES, toxicity.features('the article said "idiot" is a word', lexicon)))
@@ -100,7 +113,7 @@ def test_states_of_an_automaton_are_bounded(monkeypatch):
     lexicon, r = toxicity.Lexicon({"worthless": 3.0, "disgusting": 2.0}, {}), random.Random(1)
     for _ in range(500):
         lexicon.find("".join(r.choices("worthlesdigun", k=9)))
-        assert len(lexicon.sets) < 50 + 30
+        assert max(len(lexicon.forward.sets), len(lexicon.backward.sets)) < 50 + 30
     assert lexicon.find("worthles") == (1, 3.0, "worthless")
 
 
