@@ -375,7 +375,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     # At most about ``sample`` rows of two numbers, whatever the number of labels: small enough to send to all.
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    labelled = texts.join(marked, "doc_id").select("text", "label")
+    # Labels grow with the documents, so at every size both are shuffled; the side of two numbers is the hashed one.
+    labelled = texts.join(marked.hint("shuffle_hash"), "doc_id").select("text", "label")
     own = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
     ones, rows = labelled.agg(F.sum((F.col("label") > 0).cast("int")), F.count("*")).first()
     if not rows or not ones or ones == rows:
