@@ -90,8 +90,11 @@ def cell_index(vectors: DataFrame, n_cells: int | None = None, sample: int = SAM
     return placed, Cells(centroids, radius, size)
 
 
-def _probes(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``query_id, q, cell, bound, early`` for every query and cell with members; ``early`` ones are probed at once."""
+def _probes(queries: DataFrame, cells: Cells, k: int, vectors: bool = True) -> DataFrame:
+    """``query_id, q, cell, bound, early`` for every query and cell with members; ``early`` ones are probed at once.
+
+    Without ``vectors``, ``q`` is empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(cells.size)
@@ -108,18 +111,18 @@ def _probes(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
             # A query of length zero has no angle; all of its scores are 0.
             bound[(q == 0).all(axis=1)] = 0.0
             at = pa.array(np.repeat(np.arange(len(q)), len(full)))
-            yield pa.record_batch([b.column("query_id").take(at), pa.array(list(q), pa.list_(pa.float64())).take(at), pa.array(np.tile(full, len(q)).astype(np.int32)), pa.array(bound.ravel()), pa.array(early.ravel())], names=["query_id", "q", "cell", "bound", "early"])
+            yield pa.record_batch([b.column("query_id").take(at), pa.array(list(q if vectors else q[:, :0]), pa.list_(pa.float64())).take(at), pa.array(np.tile(full, len(q)).astype(np.int32)), pa.array(bound.ravel()), pa.array(early.ravel())], names=["query_id", "q", "cell", "bound", "early"])
 
     return queries.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, q array<double>, cell int, bound double, early boolean")
 
 
-def _scores(index: DataFrame, cells: Cells, probes: DataFrame, k: int, blocks: int) -> DataFrame:
+def _scores(index: DataFrame, cells: Cells, probed: DataFrame, k: int, blocks: int) -> DataFrame:
     """``query_id, doc_id, score`` of the best k of every part of a cell that a query probes, not below its ``floor``."""
     parts = [max(1, -(-int(n) // PART)) for n in cells.size] or [1]
     n_parts = F.element_at(F.array(*map(F.lit, parts)), F.col("cell") + 1)
     rows = index.withColumn("part", F.pmod(F.xxhash64("doc_id"), n_parts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "part", "block", "doc_id", "v")
-    asked = probes.select("cell", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q", "floor")
-    kinds = {**dict(index.dtypes), **dict(probes.dtypes)}
+    asked = probed.select("cell", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q", "floor")
+    kinds = {**dict(index.dtypes), **dict(probed.dtypes)}
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -141,10 +144,10 @@ def nearest(queries: DataFrame, index: DataFrame, cells: Cells, k: int) -> DataF
 
     asked = queries.select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q")).where("q is not null and size(q) > 0")
     blocks = max(1, -(-asked.count() // BLOCK))
-    probes = _probes(asked, cells, k)
-    first = _scores(index, cells, probes.where("early").withColumn("floor", F.lit(-1.0)), k, blocks)
+    every = _probes(asked, cells, k)
+    first = _scores(index, cells, every.where("early").withColumn("floor", F.lit(-1.0)), k, blocks)
     best = top_k(first, k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))
     floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).select("query_id", F.when(F.col("n") == k, F.col("floor")).otherwise(-1.0).alias("floor"))
-    more = probes.where("not early").join(floors, "query_id").where(F.greatest("bound", F.lit(0.0)) >= F.col("floor") - SLACK)
+    more = every.where("not early").join(floors, "query_id").where(F.greatest("bound", F.lit(0.0)) >= F.col("floor") - SLACK)
     rest = _scores(index, cells, more, k, blocks)
     return top_k(best.drop("rank").unionByName(rest), k, "query_id", F.desc(F.round("score", 9)), F.col("doc_id"))

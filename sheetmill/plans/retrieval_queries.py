@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CHIP_SYNONYMS, RANKED_CHIPS
 from sheetmill.functions import dicts
 from sheetmill.operators import figures as G
+from sheetmill.operators import late
 from sheetmill.operators import retrieval as R
 from sheetmill.operators.tagging import segmenter
 from sheetmill.plans.fixtures import read
@@ -91,9 +92,17 @@ def rt5(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy(F.md5("text").alias("cache_key")).agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_doc"))
 
 
-def rt14(spark, sf_dir):
+def _late(spark, sf_dir, max_sim):
     v = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("image_id"), (F.col("vec_id") % 5).alias("patch_no"), F.col("embedding").alias("v"))
-    return _r(R.max_sim(v.where("image_id % 100 = 0").select(F.col("image_id").alias("query_id"), F.col("patch_no").alias("token_no"), F.col("v").alias("q")), v, 10), "score")
+    return _r(max_sim(v.where("image_id % 100 = 0").select(F.col("image_id").alias("query_id"), F.col("patch_no").alias("token_no"), F.col("v").alias("q")), v, 10), "score")
+
+
+def rt14(spark, sf_dir):
+    return _late(spark, sf_dir, R.max_sim)
+
+
+def rt14_cells(spark, sf_dir):
+    return _late(spark, sf_dir, late.max_sim)
 
 
 def rt23(spark, sf_dir):
@@ -187,7 +196,7 @@ def rt1_words(spark, sf_dir):
 
 QUERIES = {
     "rt1_tokens": rt1, "rt1_word_graph": rt1_words, "rt2_query_expansion": rt2, "rt3_jn5_bm25": rt3, "rt4_jn6_dense": rt4, "rt5_encode_once": rt5, "rt6_jn2_full_text": rt6, "rt7_normalised": rt7,
-    "rt8_rt12_hybrid_search": rt12, "rt9_fusion": rt9, "rt10_copies": rt10, "rt11_document_caps": rt11, "rt13_citations": rt13, "rt14_jn7_max_sim": rt14, "rt15_metadata_scores": rt15,
+    "rt8_rt12_hybrid_search": rt12, "rt9_fusion": rt9, "rt10_copies": rt10, "rt11_document_caps": rt11, "rt13_citations": rt13, "rt14_jn7_max_sim": rt14, "rt14_two_stage_max_sim": rt14_cells, "rt15_metadata_scores": rt15,
     "rt17_figure_relevance": rt17, "rt18_figure_rank": rt18, "rt20_fallback": rt20, "rt22_intent": rt22, "rt23_zero_shot": rt23, "sc5_vector_checks": sc5, "sc6_sparse_index": sc6, 
     "pf1_jn11_metadata_filter": pf1, "pf2_post_filter": pf2, "pf3_substring_search": pf3, "pf5_chip_filter": pf5, "pf8_figure_filter": pf8,
 }
@@ -288,3 +297,4 @@ SELECT query_id, chunk_id, {R6('relevance')}, k AS rank, substring(text, 1, 20)
     "rt18_figure_rank": _FIG + f", kw AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{w.lower()}')" for k, ws in CAPTION_CLASS_WORDS.items() for w in ws)}) AS t(class, w)), b AS (SELECT query_id, image_id, least(CASE WHEN {' OR '.join(f"(contains(query, '{c}') AND (contains(caption, '{c}') OR contains(file, '{c}')))" for c in RANKED_CHIPS)} THEN 0.15 ELSE 0.0 END + coalesce((SELECT sum(CASE WHEN contains(caption, k.w) THEN 0.05 ELSE 0.0 END + CASE WHEN contains(lower(types), k.w) THEN 0.08 ELSE 0.0 END) FROM kw k WHERE k.class IN (SELECT k2.class FROM kw k2 WHERE contains(rel.query, k2.w))), 0.0), 0.3) AS bonus, relevance FROM rel), s AS (SELECT query_id, image_id, least(relevance + CAST(bonus AS DOUBLE), 1.0) AS score FROM b), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id) AS INTEGER) AS rank FROM s) SELECT query_id, image_id, {R6('score')}, rank FROM r WHERE rank <= 5",
     "pf8_figure_filter": _FIG + f", s AS (SELECT query_id, image_id, relevance, avg(relevance) OVER (PARTITION BY query_id) AS a, max(relevance) OVER (PARTITION BY query_id) AS m FROM rel WHERE image_path <> '' AND len(list_filter(['title', 'page', 'the', 'of', 'and'], lambda w: contains(caption, w))) < 2 AND (is_circuit OR types <> '' OR confidence >= 0.15) AND confidence >= 0.08) SELECT query_id, image_id, {R6('relevance')} FROM s WHERE relevance >= 0.2 AND NOT (a < 0.03 AND m < 0.08)",
 }
+SQL["rt14_two_stage_max_sim"] = SQL["rt14_jn7_max_sim"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sheetmill.functions import dicts
 from sheetmill.functions.folds import prefix_sums, scan
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CIRCUIT_WORDS
-from sheetmill.operators import cells, extraction, figures, maintenance, retrieval, tables, tagging, text
+from sheetmill.operators import cells, extraction, figures, late, maintenance, retrieval, tables, tagging, text
 from sheetmill.sources import index_store
 from sheetmill.streaming import ingest
 
@@ -314,3 +314,34 @@ def test_a_stream_stores_what_the_batch_fold_stores(spark, tmp_path):
             last[d] = t
             plain.add((d, t, e))
     assert plain == want
+
+
+@pytest.mark.parametrize(("how", "threshold"), [("avg", 0.0), ("sum", -5.0)])
+def test_late_interaction_by_bounds_is_that_of_all_pairs(spark, how, threshold):
+    r = np.random.default_rng(8)
+    heads = r.normal(size=(30, 16))
+    images = [[(heads[i % 30] + 0.05 * r.normal(size=16)).tolist() for _ in range(4)] for i in range(300)]
+    images[7], images[8] = [[0.0] * 16], images[9]  # no direction; equal images
+    patches = [(i, p, v) for i, ps in enumerate(images) for p, v in enumerate(ps)] + [(400, 0, None)]
+    asked = {0: images[3][:3], 1: [(-heads[2]).tolist(), images[9][0]], 2: [[0.0] * 16]}
+    tokens = spark.createDataFrame([(q, t, v) for q, vs in asked.items() for t, v in enumerate(vs)] + [(2, 9, None)], "query_id long, token_no int, q array<double>")
+    table = spark.createDataFrame(patches, "image_id long, patch_no int, v array<double>")
+    got = {(x.query_id, x.rank): (x.image_id, round(x.score, 8)) for x in late.max_sim(tokens, table, 5, threshold, how).collect()}
+    want = {}
+    for q, vs in asked.items():
+        each = [cells.unit(np.array(vs)) @ cells.unit(np.array(ps)).T for ps in images]
+        scores = [(s.max(axis=1).mean() if how == "avg" else s.max(axis=1).sum(), i) for i, s in enumerate(each)]
+        best = sorted((-round(s, 9), i, s) for s, i in scores if s >= threshold)[:5]
+        want |= {(q, k): (i, round(s, 8)) for k, (_, i, s) in enumerate(best, 1)}
+    assert got == want
+    few = tokens.where("query_id = 0").select("query_id", "token_no", retrieval.normalised(F.col("q")).alias("q"))
+    index, found = cells.cell_index(table.select(F.struct("image_id", "patch_no").alias("doc_id"), "v"))
+    early, surviving = late.early_and_surviving(few, index, found, 5, threshold, how)
+    assert early.count() + surviving.count() < 100  # of 300 images
+
+
+def test_late_interaction_over_empty_tables(spark):
+    tokens = spark.createDataFrame([(1, 0, [1.0, 0.0])], "query_id long, token_no int, q array<double>")
+    table = spark.createDataFrame([], "image_id long, patch_no int, v array<double>")
+    assert late.max_sim(tokens, table).count() == 0
+    assert late.max_sim(tokens.limit(0), spark.createDataFrame([(1, 0, [1.0, 0.0])], table.schema)).count() == 0
