@@ -134,7 +134,6 @@ QUERIES = {
 _COL = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 _ANY = lambda t, ws: "(" + " OR ".join(f"contains({t}, '{w}')" for w in ws) + ")"
 
-_PARTS = [r"\\b([A-Z]{2,}\\d{2,}[A-Z0-9]*)\\b", r"\\b(LM\\d{3,}|NE\\d{3,}|TL\\d{3,}|AD\\d{3,}|OPA\\d{3,})\\b", r"\\b(\\d{1,4}[kKmM]?[Ωω])", r"\\b(\\d{1,4}[pPnNuUμmM]?[Ff])\\b"]
 _REPEATS = """WITH s0 AS (SELECT conv_id, turn, text, list_transform(regexp_extract_all(text, '[^。！？.!?\\n]*[。！？.!?]?'), lambda x: trim(x)) AS s FROM {fx_answers}),
 s1 AS (SELECT conv_id, turn, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM s0),
 s2 AS (SELECT *, substring(regexp_replace(lower(s), '\\s+', '', 'g'), 1, 20) AS k FROM s1 WHERE length(s) > 6 AND length(regexp_replace(lower(s), '\\s+', '', 'g')) > 4),
@@ -170,7 +169,7 @@ SELECT image_id, CASE WHEN len(seed) + len(t) > 0 THEN array_to_string(list_conc
 
 SQL = {
     "tx21_annotations": _ANNOTATED,
-    "tx9_components": "SELECT doc_id AS document_id, array_to_string(list_sort(list_distinct(" + "list_concat(" * 3 + ", ".join(f"list_slice(regexp_extract_all(text, '{p}', 1), 1, 5)" + (")" if k else "") for k, p in enumerate(_PARTS)) + ")), ',') AS components FROM documents",
+    "tx9_components": "SELECT document_id, array_to_string(list_sort(list_filter(c, lambda x, i: list_position(c, x) = i AND len(list_distinct(c[:i])) <= 10)), ',') AS components FROM (SELECT doc_id AS document_id, " + "list_concat(" * 3 + ", ".join(f"list_slice(regexp_extract_all(text, '{p}', 1), 1, 5)" + (")" if k else "") for k, p in enumerate(values.COMPONENT_PATTERNS)) + " AS c FROM documents)",
     "tx11_section": f"WITH x AS ({_TEXT11}), a AS (SELECT *, {_AT('t', T.SECTION_START)} AS beg FROM x), b AS (SELECT *, CASE WHEN beg > 0 THEN substring(t, beg, 2000) ELSE substring(t, 1, 2000) END AS body FROM a), c AS (SELECT *, substring(body, 52, 2000) AS rest FROM b), d AS (SELECT *, {_AT('rest', T.SECTION_END)} AS stop FROM c) SELECT document_id, md5(CASE WHEN beg > 0 AND stop > 0 THEN substring(body, 1, stop + 50) ELSE body END) AS section_key FROM d",
     "tx12_context": f"WITH a AS (SELECT doc_id AS document_id, text, {_AT('text', '(?i)' + chr(92) + 'bthor' + chr(92) + 'b')} AS a4, {_AT('text', '(?i)' + chr(92) + 'btho' + chr(92) + 'b')} AS a3 FROM documents), b AS (SELECT *, CASE WHEN a4 > 0 THEN a4 ELSE a3 END AS f, CASE WHEN a4 > 0 THEN 4 ELSE 3 END AS s FROM a WHERE a4 > 0 OR a3 > 0) SELECT document_id, trim(substring(text, greatest(f - 125, 1), f + s + 125 - greatest(f - 125, 1))) AS around FROM b",
     "tx13_sentence_dedupe": _REPEATS + " SELECT conv_id, turn, md5(deduped) AS deduped_key, repetitive FROM rp",
