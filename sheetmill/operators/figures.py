@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sheetmill.functions.values import CAPTION_CLASS_WORDS, CHIP_SYNONYMS, NON_CIRCUIT_WORDS, RANKED_CHIPS
 from sheetmill.operators.extraction import query_keywords
-from sheetmill.operators.retrieval import top_k
+from sheetmill.operators.retrieval import spread_pairs, top_k
 from sheetmill.operators.tagging import occurrences
 
 FIELDS = ("caption", "types", "parts", "file")
@@ -98,6 +98,15 @@ def figure_relevance(queries: DataFrame, figures: DataFrame, chips: dict[str, li
     return d.select("query_id", "image_id", F.least(score, F.lit(1.0)).alias("relevance"))
 
 
+def whole_relevance(queries: DataFrame, figures: DataFrame, chips: dict[str, list[str]] = CHIP_SYNONYMS) -> DataFrame:
+    """``query_id, image_id, relevance`` of every pair: those of ``figure_relevance``, and the constants of the others."""
+    words = F.col("words") if "words" in queries.columns else query_keywords(F.col("query"))
+    asked = queries.select("query_id", (F.size(words) > 0).alias("worded"))
+    pairs = spread_pairs(asked, figure_constants(figures))
+    own = F.coalesce("relevance", F.when(F.col("worded"), F.col("rest")).otherwise(F.col("wordless")))
+    return pairs.join(figure_relevance(queries, figures, chips), ["query_id", "image_id"], "left").select("query_id", "image_id", own.alias("relevance"))
+
+
 def rank_bonus(queries: DataFrame, figures: DataFrame, classes: dict[str, list[str]] = CAPTION_CLASS_WORDS, chips: Sequence[str] = RANKED_CHIPS) -> DataFrame:
     """``query_id, image_id, bonus`` (at most 0.3) of the pairs that have one.
 

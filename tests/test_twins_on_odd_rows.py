@@ -59,3 +59,11 @@ def test_components_of_texts_that_have_some(spark, sf, tmp_path):
     folder = copied(sf, tmp_path, documents=f"SELECT * REPLACE (CASE doc_id % 3 WHEN 0 THEN '{parts}' WHEN 1 THEN 'an LM358 with 10kΩ, AB12 and AB12' ELSE text END AS text) FROM '{{t}}'")
     ours, theirs = both(spark, folder, "tx9_components")
     assert ours == theirs and any("LM358" in c for c, _ in ours)
+
+
+def test_every_pair_of_query_and_figure_has_a_relevance(spark, sf):
+    from sheetmill.plans.fixtures import read
+
+    queries, figures = read(spark, sf, "fx_figure_queries"), read(spark, sf, "fx_figures")
+    out = QUERIES["rt17_figure_relevance"](spark, sf)
+    assert out.count() == queries.count() * figures.count() == out.where("query_id is not null").distinct().count()
