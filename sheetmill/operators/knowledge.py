@@ -47,26 +47,31 @@ def process_of_family(family: Column) -> Column:
     return out
 
 
-def found_chips(names: DataFrame, chips: DataFrame) -> DataFrame:
+def found_chips(names: DataFrame, chips: DataFrame, split: int = 8) -> DataFrame:
     """``query_id, chip_id, level``: exact names, else parts of (normalised) names, of the best level only.
 
-    Exact matches are an equi join; only names without one look for parts of names, by their rarest grams.
+    ``names(query_id, name)`` has one name of each query. Names are answered once, however many queries ask for
+    them, and meet the different texts of chips only; queries and chips come in at the end. Exact matches are an
+    equi join; only names without one look for parts of names, by their rarest grams.
     """
-    exact = names.join(chips.select("chip_id", "name"), "name").select("query_id", "chip_id", F.lit(1).alias("level"))
-    rest = names.join(exact.select("query_id").distinct(), "query_id", "left_anti").withColumn("norm", normalised_name(F.col("name"))).withColumnRenamed("name", "asked")
-    low = lambda c: F.lower(F.col(c))
-    by_name = chips.select(F.col("chip_id").alias("row_id"), low("name").alias("hay"))
-    by_full = chips.select(F.col("chip_id").alias("row_id"), low("full_name").alias("hay")).where("hay is not null")
-
-    def held(needle: Column, rows: DataFrame, level: int, asked: DataFrame = rest) -> DataFrame:
-        n = asked.select("query_id", F.lower(needle).alias("needle"))
-        return containing(n.select("needle").distinct(), rows).join(n, "needle").select("query_id", F.col("row_id").alias("chip_id"), F.lit(level).alias("level"))
-
-    second = held(F.col("norm"), by_name, 2).unionByName(held(F.col("asked"), by_full, 2))
-    third = held(F.col("norm"), by_full, 3, rest.where(F.col("norm").startswith("74")))
-    loose = second.unionByName(third).groupBy("query_id", "chip_id").agg(F.min("level").alias("level"))
-    best = loose.withColumn("_m", F.min("level").over(Window.partitionBy("query_id"))).where("level = _m").drop("_m")
-    return exact.unionByName(best)
+    asked = names.where("name is not null").select("name").distinct()
+    exact = asked.join(chips.select("chip_id", "name"), "name").select("name", "chip_id", F.lit(1).alias("level"))
+    rest = asked.join(chips.select("name"), "name", "left_anti").withColumn("norm", normalised_name(F.col("name")))
+
+    def held(needle: Column, text: str, level: int, asked: DataFrame = rest) -> DataFrame:
+        n = asked.select("name", F.lower(needle).alias("needle"))
+        hays = chips.select("chip_id", F.lower(text).alias("hay")).where("hay is not null")
+        met = containing(n.select("needle").distinct(), hays.select("hay").distinct().select(F.col("hay").alias("row_id"), "hay"))
+        return met.join(n, "needle").select("name", F.col("row_id").alias("hay")).join(hays, "hay").select("name", "chip_id", F.lit(level).alias("level"))
+
+    second = held(F.col("norm"), "name", 2).unionByName(held(F.col("name"), "full_name", 2))
+    third = held(F.col("norm"), "full_name", 3, rest.where(F.col("norm").startswith("74")))
+    loose = second.unionByName(third).groupBy("name", "chip_id").agg(F.min("level").alias("level"))
+    best = loose.withColumn("_m", F.min("level").over(Window.partitionBy("name"))).where("level = _m").drop("_m")
+    # The chips of a name go to several tasks, and the queries that ask for it to each of them.
+    dealt = exact.unionByName(best).withColumn("_part", F.pmod(F.xxhash64("chip_id"), F.lit(split)).cast("int"))
+    queries = names.select("query_id", "name", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("_part"))
+    return queries.join(dealt, ["name", "_part"]).select("query_id", "chip_id", "level")
 
 
 def resolved_names(names: DataFrame, library: DataFrame, aliases: DataFrame) -> DataFrame:
