@@ -16,3 +16,22 @@ def test_a_name_is_looked_up_once_among_different_texts(spark, monkeypatch):
     out = {(r.query_id, r.chip_id, r.level) for r in knowledge.found_chips(names, chips).collect()}
     assert out == {(q, f"c{c}", 2) for q in range(40) for c in range(30) if (c % 3 == 0) == bool(q % 2)}
     assert seen and all(rows <= 2 for _, rows in seen)
+
+
+def test_words_that_nobody_asks_for_are_not_shuffled(spark):
+    import re
+
+    from sheetmill.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "gain of an amplifier"), (2, "noise gain")], "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "gain")], "query_id int, query string")
+    plan = retrieval.bm25(queries, docs)._jdf.queryExecution().executedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi), re.sub("#[0-9]+", "", plan)
+
+
+def test_stop_words_and_cjk_runs(spark):
+    from sheetmill.operators.retrieval import tokens
+
+    d = spark.createDataFrame([("The Gain of a NE5532, and x",), ("同相放大器 is 好 gain",), (None,), ("",)], "text string")
+    assert [r.t for r in d.select(tokens(d.text).alias("t")).collect()] == [["gain", "ne5532"], ["同相", "相放", "放大", "大器", "gain"], [], []]
