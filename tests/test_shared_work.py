@@ -35,3 +35,17 @@ def test_stop_words_and_cjk_runs(spark):
 
     d = spark.createDataFrame([("The Gain of a NE5532, and x",), ("同相放大器 is 好 gain",), (None,), ("",)], "text string")
     assert [r.t for r in d.select(tokens(d.text).alias("t")).collect()] == [["gain", "ne5532"], ["同相", "相放", "放大", "大器", "gain"], [], []]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pins_of_hits_are_dealt_by_query_and_stay_there(spark):
+    from sheetmill.operators import extraction
+
+    hits = spark.createDataFrame([("a", 1, "Pin 1: GND", "DIP-14")], "query_id string, rank int, text string, package string")
+    pins = extraction.pins_of_hits(hits)
+    dealt = [line for line in plan_of(pins.groupBy("query_id").count()).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+    assert pins.collect() == [("a", 1, "GND", "ground")]
