@@ -174,8 +174,13 @@ OPTIONAL_TEXT = ("driver_interface", "receiver_interface", "driver_direction", "
 
 
 def paired(pairs: DataFrame, drivers: DataFrame, receivers: DataFrame) -> DataFrame:
-    """One row for each pair with the parameters of both sides; columns that are not there are null."""
-    out = pairs.join(drivers, "driver").join(receivers, "receiver")
+    """One row for each pair with the parameters of both sides; columns that are not there are null.
+
+    Pairs are dealt by receiver into all partitions of a shuffle before they grow, and stay there when results
+    are put together by pair.
+    """
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "receiver")
+    out = dealt.join(receivers, "receiver").join(drivers, "driver")
     missing = {n: F.lit(None).cast("double") for n in OPTIONAL if n not in out.columns} | {n: F.lit(None).cast("string") for n in OPTIONAL_TEXT if n not in out.columns}
     if "driver_tri_state" not in out.columns:
         missing["driver_tri_state"] = F.lit(False)
@@ -196,8 +201,9 @@ def check_pairs(table: DataFrame, degradation: DataFrame, temperature: float = 8
             table = with_degradation(table, degradation, process, package, F.col(f"{side}_vcc"), side, temperature)
         rules += stress_rules(temperature)
     rules += more or []
-    found = F.array_compact(F.array(*(r.struct() for r in rules if r.layer in layers)))
-    return table.select("driver", "receiver", F.inline(found))
+    # Rules that do not apply go as rows: dropping them inside the array would keep all rules from being compiled.
+    found = F.array(*(r.struct() for r in rules if r.layer in layers))
+    return table.select("driver", "receiver", F.inline(found)).where("layer is not null")
 
 
 def layer_results(results: DataFrame) -> DataFrame:
@@ -229,7 +235,9 @@ def categorised(results: DataFrame) -> DataFrame:
 
 def rule_report(results: DataFrame) -> DataFrame:
     """How many pairs each rule and layer, and all together, saw and failed."""
-    out = results.rollup("layer", "rule_id").agg(F.count("*").alias("checked"), F.count_if(~F.col("passed")).alias("failed"))
+    counts = results.groupBy("layer", "rule_id").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("bad"))
+    # Only the counts of each rule are added up for layers and all.
+    out = counts.rollup("layer", "rule_id").agg(F.sum("n").alias("checked"), F.sum("bad").alias("failed"))
     return out.withColumns({"layer": F.coalesce("layer", F.lit(0)), "rule_id": F.coalesce("rule_id", F.lit("all"))})
 
 

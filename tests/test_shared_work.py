@@ -49,3 +49,30 @@ def test_pins_of_hits_are_dealt_by_query_and_stay_there(spark):
     dealt = [line for line in plan_of(pins.groupBy("query_id").count()).splitlines() if "Exchange hashpartitioning" in line]
     assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
     assert pins.collect() == [("a", 1, "GND", "ground")]
+
+
+def test_results_of_a_pair_are_put_together_where_it_was_dealt(spark):
+    from sheetmill.functions import dicts
+    from sheetmill.operators import rules
+
+    pairs = spark.createDataFrame([(1, 2)], "driver int, receiver int")
+    drivers = spark.createDataFrame([(1, 3.0, 0.2, 3.3)], "driver int, voh double, vol double, driver_vcc double")
+    receivers = spark.createDataFrame([(2, 2.0, 0.8, 3.3)], "receiver int, vih double, vil double, receiver_vcc double")
+    table = rules.paired(pairs, drivers, receivers).withColumns({n: rules.F.lit(0.1) for n in ("ioh", "iol", "iih", "iil")} | {f"{n}_unit": rules.F.lit("mA") for n in ("ioh", "iol", "iih", "iil")})
+    results = rules.check_pairs(table, dicts.degradation(spark))
+    plan = plan_of(rules.overall_results(rules.layer_results(results)))
+    assert "REPARTITION_BY_NUM" in plan and "filter(array(CASE" not in plan
+    # The exchange of pairs and those of a join; none by pair or layer.
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(driver" in line and ", receiver" in line]
+    assert results.where("layer is null or rule_id is null").isEmpty() and results.count() > 0
+
+
+def test_rules_are_counted_before_layers_and_all(spark):
+    from sheetmill.operators import rules
+
+    rows = [(1, "A", True), (1, "A", False), (1, "B", True), (2, "C", False)]
+    report = rules.rule_report(spark.createDataFrame(rows, "layer int, rule_id string, passed boolean"))
+    plan = plan_of(report).splitlines()
+    below = plan[next(k for k, line in enumerate(plan) if "Expand" in line) :]
+    assert any("HashAggregate" in line for line in below)
+    assert {tuple(r) for r in report.collect()} == {(0, "all", 4, 2), (1, "all", 3, 1), (2, "all", 1, 1), (1, "A", 2, 1), (1, "B", 1, 0), (2, "C", 1, 1)}
