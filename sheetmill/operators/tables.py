@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmill.functions import values
+from sheetmill.functions.folds import bound
 
 # Patterns of table types over the header and the first column.
 TYPE_PATTERNS = [
@@ -220,6 +221,14 @@ def scanned_text(df: DataFrame, params: list[str] | None = None, scan: dict[str,
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")
     d = df.select("table_id", clean.alias("_t"), F.upper(clean).alias("_u"))
 
+    def row(v: Column, p: str, slots: tuple, unit: str) -> Column:
+        first = -F.abs(F.get(v, F.lit(0))) if p == "IOH" else F.get(v, F.lit(0))
+        # A maximum that is not there is the typical value.
+        second = F.coalesce(F.get(v, F.lit(1)), first) if slots[-1] == "max" else F.get(v, F.lit(1))
+        place = dict(zip(slots, (first, second)))
+        null = F.lit(None).cast("double")
+        return F.when(v.isNotNull(), F.struct(F.lit(p).alias("param"), *(place.get(s, null).alias(f"{s}_value") for s in ("min", "typ", "max")), F.lit(unit).alias("unit"), F.lit(0.85).alias("confidence")))
+
     rows = []
     for p in params or list(scan):
         anchors, before, after, inner, low, high, signed, slots, unit = scan[p]
@@ -236,15 +245,11 @@ def scanned_text(df: DataFrame, params: list[str] | None = None, scan: dict[str,
             found = F.transform(F.regexp_extract_all(window, F.lit(r"([+-]?\d+\.?\d*)" if signed else r"(\d+\.?\d*)"), F.lit(1)), lambda x: x.try_cast("double"))
             size = (lambda v: F.abs(v)) if p == "IOH" else (lambda v: v)
             good = F.filter(found, lambda v: size(v).between(low, high))
-            tries.append(F.when((at > 0) & (F.size(good) > 0), good))
-        v = F.coalesce(*tries)
-        first = -F.abs(F.get(v, F.lit(0))) if p == "IOH" else F.get(v, F.lit(0))
-        # A maximum that is not there is the typical value.
-        second = F.coalesce(F.get(v, F.lit(1)), first) if slots[-1] == "max" else F.get(v, F.lit(1))
-        place = dict(zip(slots, (first, second)))
+            tries.append(F.when(at > 0, bound(good, lambda g: F.when(F.size(g) > 0, g))))
         named = F.contains("_u", F.lit(p)) | F.contains("_u", F.lit("HIGH")) | F.contains("_u", F.lit("LOW"))
-        null = F.lit(None).cast("double")
-        rows.append(F.when(v.isNotNull() & named, F.struct(F.lit(p).alias("param"), *(place.get(s, null).alias(f"{s}_value") for s in ("min", "typ", "max")), F.lit(unit).alias("unit"), F.lit(0.85).alias("confidence"))))
+
+        # The numbers of a window are read once, and only where the row can come of them.
+        rows.append(F.when(named, bound(F.coalesce(*tries), lambda v: row(v, p, slots, unit))))
     return d.select("table_id", F.inline(F.array_compact(F.array(*rows))))
 
 

@@ -76,3 +76,16 @@ def test_rules_are_counted_before_layers_and_all(spark):
     below = plan[next(k for k, line in enumerate(plan) if "Expand" in line) :]
     assert any("HashAggregate" in line for line in below)
     assert {tuple(r) for r in report.collect()} == {(0, "all", 4, 2), (1, "all", 3, 1), (2, "all", 1, 1), (1, "A", 2, 1), (1, "B", 1, 0), (2, "C", 1, 1)}
+
+
+def test_numbers_of_a_table_window_are_read_once(spark):
+    from sheetmill.functions import values
+    from sheetmill.operators import tables
+
+    scan = {"VIH": values.TABLE_SCAN["VIH"]}
+    rows = spark.createDataFrame([(1, "VIH level 2.5 V"), (2, "H-level 9 V, VIH 3"), (3, "nothing"), (4, None)], "table_id int, content string")
+    found = tables.scanned_text(rows, scan=scan)
+    # Once for each anchor.
+    line = next(x for x in plan_of(found).splitlines() if "inline(" in x)
+    assert line.count("regexp_extract_all") <= len(scan["VIH"][0])
+    assert [tuple(r)[:3] for r in found.orderBy("table_id").collect()] == [(1, "VIH", 2.5), (2, "VIH", 3.0)]
