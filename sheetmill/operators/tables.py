@@ -134,12 +134,12 @@ def column_roles(header: Column) -> Column:
     def roles_of(cell: Column, i: Column) -> Column:
         """All roles whose words the cell holds, with or without its blanks."""
         h = F.lower(F.trim(F.coalesce(cell, F.lit(""))))
-        both = F.concat_ws("\n", h, F.regexp_replace(h, r"\s+", ""))
-        return F.struct(F.array_compact(F.array(*(F.when(both.rlike("|".join(w.replace(".", r"\.") for w in words)), n) for n, words in ROLE_WORDS))).alias("roles"), i.alias("i"))
+        found = lambda both: F.array_compact(F.array(*(F.when(both.rlike("|".join(w.replace(".", r"\.") for w in words)), n) for n, words in ROLE_WORDS)))
+        return F.struct(bound(F.concat_ws("\n", h, F.regexp_replace(h, r"\s+", "")), found).alias("roles"), i.alias("i"))
 
     def take(taken: Column, cell: Column) -> Column:
         free = F.try_element_at(F.filter(cell["roles"], lambda r: ~F.exists(taken, lambda t: t["role"] == r)), F.lit(1))
-        return F.when(free.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(free.alias("role"), cell["i"].alias("i")))))
+        return bound(free, lambda f: F.when(f.isNull(), taken).otherwise(F.concat(taken, F.array(F.struct(f.alias("role"), cell["i"].alias("i"))))))
 
     pairs = F.transform(header, lambda c, i: F.struct(F.lower(F.concat(c, F.coalesce(F.get(header, i + 1), F.lit("")))).alias("c"), i.alias("i")))
     fallback = F.try_element_at(F.filter(pairs, lambda x: (x["i"] < F.size(header) - 1) & x["c"].rlike("|".join(ROLE_WORDS[0][1]))), F.lit(1))["i"]
@@ -195,8 +195,7 @@ def representative(param: Column, low: Column, typ: Column, high: Column) -> Col
 def symbol_matches(symbol: Column, param: Column) -> Column:
     """Equal, or one in the other, without case, blanks, dashes and underscores."""
     norm = lambda c: F.upper(F.regexp_replace(c, r"[\s_\-]", ""))
-    a, b = norm(symbol), norm(param)
-    return (a != "") & ((a == b) | F.contains(a, b) | F.contains(b, a))
+    return bound(norm(symbol), lambda a: bound(norm(param), lambda b: (a != "") & ((a == b) | F.contains(a, b) | F.contains(b, a))))
 
 
 def table_specs(df: DataFrame, params: list[str]) -> DataFrame:

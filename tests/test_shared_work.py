@@ -89,3 +89,16 @@ def test_numbers_of_a_table_window_are_read_once(spark):
     line = next(x for x in plan_of(found).splitlines() if "inline(" in x)
     assert line.count("regexp_extract_all") <= len(scan["VIH"][0])
     assert [tuple(r)[:3] for r in found.orderBy("table_id").collect()] == [(1, "VIH", 2.5), (2, "VIH", 3.0)]
+
+
+def test_symbols_and_header_cells_are_normalised_once(spark):
+    from sheetmill.operators import tables
+
+    rows = spark.createDataFrame([("V_OH", "voh"), ("-", "voh"), (None, "voh"), ("IOH", "oh")], "s string, p string")
+    matched = rows.select(tables.symbol_matches(rows.s, rows.p).alias("m"))
+    assert plan_of(matched).count("regexp_replace") == 2
+    assert [r.m for r in matched.collect()] == [True, False, None, True]
+    header = spark.createDataFrame([(["Sym bol", "Min.", "Typ"],)], "h array<string>").select(tables.column_roles(tables.F.col("h")).alias("r"))
+    assert plan_of(header).count("regexp_replace") == 1
+    r = header.first().r
+    assert (r.symbol, r.min, r.typ, r.max) == (0, 1, 2, None)
