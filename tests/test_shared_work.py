@@ -102,3 +102,23 @@ def test_symbols_and_header_cells_are_normalised_once(spark):
     assert plan_of(header).count("regexp_replace") == 1
     r = header.first().r
     assert (r.symbol, r.min, r.typ, r.max) == (0, 1, 2, None)
+
+
+def test_equal_texts_are_searched_once_and_give_their_first_rows(spark, monkeypatch):
+    from sheetmill.operators import retrieval
+
+    seen, plain = [], retrieval.containing
+
+    def watched(needles, rows, *more):
+        seen.append(rows.count())
+        return plain(needles, rows, *more)
+
+    monkeypatch.setattr(retrieval, "containing", watched)
+    texts = ["VOH 23.5 ab", "voh 1 ab", "x VOH 23.5", "none", None, ""]
+    rows = [(600 - k, texts[k % 6]) for k in range(600)]
+    queries = [(1, "VOH 23.5"), (2, "voh"), (3, "-"), (4, "23.5, voh"), (5, "ab zz")]
+    got = retrieval.contains_all(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(rows, "doc_id int, text string"), 7).collect()
+    words = {1: ["voh", "23.5"], 2: ["voh"], 4: ["23.5", "voh"], 5: ["ab", "zz"]}
+    want = {(q, d, n) for q, ws in words.items() for n, d in enumerate(sorted(i for i, t in rows if t is not None and all(w in t.lower() for w in ws))[:7], 1)}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want and len(got) == len(want) == 21
+    assert seen == [5]
