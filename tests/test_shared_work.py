@@ -122,3 +122,53 @@ def test_equal_texts_are_searched_once_and_give_their_first_rows(spark, monkeypa
     want = {(q, d, n) for q, ws in words.items() for n, d in enumerate(sorted(i for i, t in rows if t is not None and all(w in t.lower() for w in ws))[:7], 1)}
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want and len(got) == len(want) == 21
     assert seen == [5]
+
+
+def plain_bm25(queries, docs, k, allowed=None):
+    """Plain scores of words split at blanks; ties after nine digits go to the first id."""
+    from collections import Counter
+    from math import log
+
+    words = {d: t.split() for d, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df, out = Counter(w for ws in words.values() for w in set(ws)), set()
+    for q, text in queries:
+        hits = []
+        for d, ws in words.items():
+            s = sum(log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in set(text.split()) if w in ws)
+            if s > 0 and (allowed is None or (q, d) in allowed):
+                hits.append((-round(s, 9), d))
+        out |= {(q, d, -s, n) for n, (s, d) in enumerate(sorted(hits)[:k], 1)}
+    return out
+
+
+def test_texts_are_scored_where_they_lie_as_by_plain_search(spark, monkeypatch):
+    import random
+    import re
+
+    from sheetmill.operators import retrieval
+
+    r = random.Random(5)
+    docs = [(f"d{k:03}", " ".join(r.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=r.randrange(0, 9)))) for k in range(150)] + [(f"c{k:03}", "aa bb cc") for k in range(60)]
+    queries = [(1, "aa bb"), (2, "cc"), (3, "none"), (4, "ff ee dd"), (5, "")]
+    d, q = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    key = lambda df: {(x.query_id, x.doc_id, round(x.score, 9), x["rank"]) for x in df.collect()}
+    found = retrieval.bm25(q, d, 12)
+    assert key(found) == plain_bm25(queries, docs, 12) != set()
+    # Postings are dealt once, by text; pairs are no rows of a join.
+    plan = plan_of(found)
+    assert "FlatMapCoGroupsInArrow" in plan and not re.search(r"hashpartitioning\(query_id#\d+, doc_id", plan)
+    allowed = {(a, b) for a, _ in queries for b, _ in docs[::3]}
+    some = retrieval.bm25(q, d, 12, allowed=spark.createDataFrame(sorted(allowed), "query_id int, doc_id string"))
+    assert key(some) == plain_bm25(queries, docs, 12, allowed)
+    monkeypatch.setattr(retrieval, "ASKED", 2)
+    assert key(retrieval.bm25(q, d, 12)) == plain_bm25(queries, docs, 12)
+
+
+def test_scores_that_are_equal_after_nine_digits_go_to_the_first(spark):
+    import numpy as np
+
+    from sheetmill.operators import retrieval
+
+    assert set(retrieval._may_lead(np.array([1.0, 1.0, 1.0 + 1e-12, 0.5, 2.0]), 2)) == {0, 1, 2, 4}
+    assert set(retrieval._may_lead(np.array([1.0] * 50 + [0.9]), 3)) == {0, 1, 2}
