@@ -172,3 +172,39 @@ def test_scores_that_are_equal_after_nine_digits_go_to_the_first(spark):
 
     assert set(retrieval._may_lead(np.array([1.0, 1.0, 1.0 + 1e-12, 0.5, 2.0]), 2)) == {0, 1, 2, 4}
     assert set(retrieval._may_lead(np.array([1.0] * 50 + [0.9]), 3)) == {0, 1, 2}
+
+
+def test_words_of_a_batch_are_dealt_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from sheetmill.sources import index_store
+
+    plans, write = {}, DataFrameWriter.parquet
+
+    def watched(self, path, *more, **options):
+        plans[path.split("/")[-2]] = plan_of(self._df)
+        return write(self, path, *more, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    chunks = spark.createDataFrame([("a_p1_c0", "a", 1, "red red gain"), ("b_p1_c0", "b", 1, "the"), ("b_p1_c1", "b", 1, None)], "chunk_id string, document_id string, page int, chunk string")
+    index_store.add(spark, str(tmp_path / "s"), 0, chunks)
+    assert plans["postings"].count("Exchange hashpartitioning") == 1 and "Generate" not in plans["lengths"]
+    rows = lambda name, *cols: {tuple(r) for r in index_store.live(spark, str(tmp_path / "s"), name).select(*cols).collect()}
+    assert rows("postings", "term", "chunk_id", "tf") == {("red", "a_p1_c0", 2), ("gain", "a_p1_c0", 1)}
+    assert rows("lengths", "chunk_id", "dl") == {("a_p1_c0", 3), ("b_p1_c0", 0), ("b_p1_c1", 0)}
+
+
+def test_sentences_end_where_the_pattern_of_the_twin_ends_them(spark):
+    import random
+
+    from sheetmill.operators import text
+    from sheetmill.plans.sql_parts import SENTENCES
+
+    r = random.Random(3)
+    rows = [("".join(r.choices([".", ".", " ", "!", "。", "a", "b", "\n", "?"], k=r.randrange(0, 14))),) for _ in range(3000)] + [(None,), ("",), ("v1.2 is a. b... c..d e!? 好。x",)]
+    F = text.F
+    pattern = SENTENCES.split("'")[1]
+    full = lambda a: F.filter(a, lambda s: F.length(s) > 0)
+    d = spark.createDataFrame(rows, "t string")
+    assert d.where(~full(text.sentence_array(d.t)).eqNullSafe(full(F.regexp_extract_all("t", F.lit(pattern), F.lit(1))))).isEmpty()
+    assert "regexp_extract_all" not in plan_of(text.packed_chunks(d.select(F.lit("a").alias("document_id"), F.lit(1).alias("page"), F.col("t").alias("text"))))
