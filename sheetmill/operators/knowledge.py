@@ -52,17 +52,18 @@ def found_chips(names: DataFrame, chips: DataFrame, split: int = 8) -> DataFrame
 
     ``names(query_id, name)`` has one name of each query. Names are answered once, however many queries ask for
     them, and meet the different texts of chips only; queries and chips come in at the end. Exact matches are an
-    equi join; only names without one look for parts of names, by their rarest grams.
+    equi join; only names without one look for parts of names, by their rarest grams. Names and chips grow with the
+    corpus, however small their files look, and are not broadcast.
     """
     asked = names.where("name is not null").select("name").distinct()
-    exact = asked.join(chips.select("chip_id", "name"), "name").select("name", "chip_id", F.lit(1).alias("level"))
-    rest = asked.join(chips.select("name"), "name", "left_anti").withColumn("norm", normalised_name(F.col("name")))
+    exact = asked.join(chips.select("chip_id", "name").hint("merge"), "name").select("name", "chip_id", F.lit(1).alias("level"))
+    rest = asked.join(chips.select("name").hint("merge"), "name", "left_anti").withColumn("norm", normalised_name(F.col("name")))
 
     def held(needle: Column, text: str, level: int, asked: DataFrame = rest) -> DataFrame:
         n = asked.select("name", F.lower(needle).alias("needle"))
         hays = chips.select("chip_id", F.lower(text).alias("hay")).where("hay is not null")
         met = containing(n.select("needle").distinct(), hays.select("hay").distinct().select(F.col("hay").alias("row_id"), "hay"))
-        return met.join(n, "needle").select("name", F.col("row_id").alias("hay")).join(hays, "hay").select("name", "chip_id", F.lit(level).alias("level"))
+        return met.join(n.hint("merge"), "needle").select("name", F.col("row_id").alias("hay")).join(hays.hint("merge"), "hay").select("name", "chip_id", F.lit(level).alias("level"))
 
     second = held(F.col("norm"), "name", 2).unionByName(held(F.col("name"), "full_name", 2))
     third = held(F.col("norm"), "full_name", 3, rest.where(F.col("norm").startswith("74")))
@@ -71,7 +72,7 @@ def found_chips(names: DataFrame, chips: DataFrame, split: int = 8) -> DataFrame
     # The chips of a name go to several tasks, and the queries that ask for it to each of them.
     dealt = exact.unionByName(best).withColumn("_part", F.pmod(F.xxhash64("chip_id"), F.lit(split)).cast("int"))
     queries = names.select("query_id", "name", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("_part"))
-    return queries.join(dealt, ["name", "_part"]).select("query_id", "chip_id", "level")
+    return queries.join(dealt.hint("merge"), ["name", "_part"]).select("query_id", "chip_id", "level")
 
 
 def resolved_names(names: DataFrame, library: DataFrame, aliases: DataFrame) -> DataFrame:
