@@ -10,6 +10,10 @@ def broadcast_joins(spark, sf, name):
     return [line.strip() for line in plan.splitlines() if "BroadcastHashJoin" in line]
 
 
+def test_pairs_of_the_cascade_are_not_broadcast(spark, sf):
+    assert broadcast_joins(spark, sf, "ex1_cascade") == []
+
+
 def test_names_and_chips_of_the_fallback_look_up_are_not_broadcast(spark, sf):
     # Only texts shorter than a gram are sent to all tasks.
     found = broadcast_joins(spark, sf, "jn3_fallback_lookup")
