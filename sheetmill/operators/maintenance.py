@@ -123,10 +123,14 @@ def device_search(queries: DataFrame, devices: DataFrame, keywords: DataFrame) -
 
 
 def index_counts(chunks: DataFrame, postings: DataFrame, tables: DataFrame, **more: DataFrame) -> DataFrame:
-    """``document_id`` and ``chunk_count``, ``posting_count``, ``table_count`` (and one of each of ``more``), 0 where a document has none."""
+    """``document_id`` and ``chunk_count``, ``posting_count``, ``table_count`` (and one of each of ``more``), 0 where a document has none.
+
+    A row counts once, or as often as its ``n`` says where there is one.
+    """
     outputs = {"chunk": chunks, "posting": postings, "table": tables, **more}
     all_of = None
     for name, df in outputs.items():
-        rows = df.select("document_id", F.lit(name).alias("_output"))
+        n = F.col("n").cast("long") if "n" in df.columns else F.lit(1).cast("long")
+        rows = df.select("document_id", F.lit(name).alias("_output"), n.alias("n"))
         all_of = rows if all_of is None else all_of.unionByName(rows)
-    return all_of.groupBy("document_id").agg(*(F.count_if(F.col("_output") == name).alias(f"{name}_count") for name in outputs))
+    return all_of.groupBy("document_id").agg(*(F.sum(F.when(F.col("_output") == name, F.col("n")).otherwise(0)).alias(f"{name}_count") for name in outputs))
